@@ -185,7 +185,9 @@ class SampleStore:
         meta = self._meta_row(table, tier_name(rate))
         realised = meta["sample_rows"] / meta["population_rows"]
         res = sampling.aggregate_sample(self.tier(table, rate), as_aggs(aggs), realised,
-                                        where=where, confidence=confidence)
+                                        where=where, confidence=confidence,
+                                        population=meta["population_rows"],
+                                        sample_size=meta["sample_rows"])
         return res.withColumn("sample_type", F.lit(tier_name(rate)))
 
     def stratified_aggregate(self, table: str, group_by, aggs, where=None) -> DataFrame:

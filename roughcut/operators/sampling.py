@@ -75,7 +75,8 @@ def sample_aggregate(df: DataFrame, aggs, rate: float, group_by: Sequence[str] =
 
 def aggregate_sample(rows: DataFrame, aggs, rate: float, group_by: Sequence[str] = (),
                      where: Column | None = None, confidence: float = 0.95,
-                     bound_method: str = "proportion", with_bounds: bool = True) -> DataFrame:
+                     bound_method: str = "proportion", with_bounds: bool = True,
+                     population: int | None = None, sample_size: int | None = None) -> DataFrame:
     """Aggregate rows that already are a uniform sample at ``rate``.
 
     For every aggregate ``x`` the output carries ``x`` (population estimate:
@@ -84,11 +85,16 @@ def aggregate_sample(rows: DataFrame, aggs, rate: float, group_by: Sequence[str]
     for COUNT and SUM, ``x_error_pct``/``x_ci_low``/``x_ci_high``; AVG gets
     ``x_margin``. ``sample_rows`` is the number of sampled rows behind each
     output row.
+
+    When the sample's exact size ``sample_size`` and its population size
+    ``population`` are known (stored samples), COUNT and SUM scale by
+    ``population / sample_size`` instead of ``1 / rate``.
     """
     aggs = as_aggs(aggs)
     group_by = list(group_by)
     if where is not None:
         rows = rows.filter(where)
+    exact_ratio = population is not None and sample_size
 
     stats = [F.count(F.lit(1)).alias("sample_rows")]
     for a in aggs:
@@ -99,12 +105,18 @@ def aggregate_sample(rows: DataFrame, aggs, rate: float, group_by: Sequence[str]
 
     r = F.lit(float(rate))
     n = F.col("sample_rows")
-    n_hat = F.when(n > 0, F.floor(n / r))
+    if exact_ratio:
+        N_, n_ = F.lit(int(population)), F.lit(int(sample_size))
+        scale = lambda v: v * N_ / n_
+        n_hat = F.when(n > 0, F.floor(n * N_ / n_))
+    else:
+        scale = lambda v: v / r
+        n_hat = F.when(n > 0, F.floor(n / r))
     out: list[Column] = [F.col(g) for g in group_by]
     for a in aggs:
         s = F.col(f"{a.name}__s")
         if a.func == "count":
-            out.append(F.floor(s / r).cast("bigint").alias(a.name))
+            out.append(F.floor(scale(s)).cast("bigint").alias(a.name))
             out.append(s.alias(f"{a.name}_sample"))
             if with_bounds:
                 b = bounds.count_bound(s, float(rate), confidence, bound_method)
@@ -113,7 +125,7 @@ def aggregate_sample(rows: DataFrame, aggs, rate: float, group_by: Sequence[str]
                         b["ci_high"].alias(f"{a.name}_ci_high")]
         elif a.func == "sum":
             sd = _as_double(s)
-            out.append((sd / r).alias(a.name))
+            out.append(scale(sd).alias(a.name))
             out.append(sd.alias(f"{a.name}_sample"))
             if with_bounds:
                 b = bounds.sum_bound(sd, F.col(f"{a.name}__sd"), n, n_hat, confidence)

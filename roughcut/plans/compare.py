@@ -25,12 +25,17 @@ def _join_groups(left: DataFrame, right: DataFrame, group_by: list[str], how: st
     if not group_by:
         # both sides hold exactly one row: join on a constant, not a cartesian product
         return left.withColumn("__k", F.lit(0)).join(right.withColumn("__k", F.lit(0)), "__k", how).drop("__k")
+    # both sides usually descend from the same scan: rename the keys on each
+    # side so the join condition cannot resolve to the wrong lineage
     l2 = left.select(*[F.col(g).alias(f"__l_{g}") for g in group_by],
                      *[c for c in left.columns if c not in group_by])
-    cond = reduce(lambda a, b: a & b, [l2[f"__l_{g}"].eqNullSafe(right[g]) for g in group_by])
-    j = l2.join(right, cond, how)
-    keys = [F.coalesce(F.col(f"__l_{g}"), right[g]).alias(g) for g in group_by]
-    rest = [c for c in j.columns if not c.startswith("__l_") and c not in group_by]
+    r2 = right.select(*[F.col(g).alias(f"__r_{g}") for g in group_by],
+                      *[c for c in right.columns if c not in group_by])
+    cond = reduce(lambda a, b: a & b,
+                  [F.col(f"__l_{g}").eqNullSafe(F.col(f"__r_{g}")) for g in group_by])
+    j = l2.join(r2, cond, how)
+    keys = [F.coalesce(F.col(f"__l_{g}"), F.col(f"__r_{g}")).alias(g) for g in group_by]
+    rest = [c for c in j.columns if not c.startswith(("__l_", "__r_"))]
     return j.select(*keys, *rest)
 
 
@@ -58,9 +63,11 @@ def compare_exact_approx(df: DataFrame, aggs, group_by: Sequence[str] = (),
     aggs = as_aggs(aggs)
     group_by = list(group_by)
     exact = exact_aggregate(df, aggs, group_by, where)
-    approx = approx_aggregate(df, aggs, group_by, accuracy, where, **kw)
-    approx = approx.select(*group_by, *[a.name for a in aggs], "strategy", "sample_rate")
-    return compare_frames(exact, approx, [a.name for a in aggs], group_by)
+    approx, plan = approx_aggregate(df, aggs, group_by, accuracy, where, return_plan=True, **kw)
+    approx = approx.select(*group_by, *[a.name for a in aggs])
+    cmp = compare_frames(exact, approx, [a.name for a in aggs], group_by)
+    return cmp.withColumn("strategy", F.lit(plan.strategy)).withColumn(
+        "sample_rate", F.lit(plan.rate).cast("double"))
 
 
 def compare_strategies(df: DataFrame, aggs, group_by: Sequence[str] = (),
@@ -97,9 +104,10 @@ def compare_strategies(df: DataFrame, aggs, group_by: Sequence[str] = (),
             unsupported.append(name)
             continue
         res = _run(df, aggs, group_by, where, key, table, store, plan, confidence)
-        res = res.select(*group_by, *names, "sample_rate")
-        cmp = compare_frames(exact, res, names, group_by)
-        parts.append(cmp.withColumn("strategy", F.lit(name)).withColumn("supported", F.lit(True)))
+        cmp = compare_frames(exact, res.select(*group_by, *names), names, group_by)
+        # groups a sample missed still belong to this strategy and its rate
+        parts.append(cmp.withColumn("strategy", F.lit(name)).withColumn("supported", F.lit(True))
+                     .withColumn("sample_rate", F.lit(plan.rate).cast("double")))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if unsupported:
         flags = df.sparkSession.createDataFrame([(n, False) for n in unsupported],
