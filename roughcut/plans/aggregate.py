@@ -75,7 +75,7 @@ def choose_plan(df: DataFrame, aggs: list[Agg], group_by: list[str], accuracy: f
     else:
         n, mean, sd = _numeric_stats(df, value_col)
     if n < small_table_rows:
-        return Plan("exact", reason=f"{n} rows < {small_table_rows}")
+        return Plan("exact", rate=1.0, reason=f"{n} rows < {small_table_rows}")
     rate = bounds.accuracy_to_rate_py(accuracy, mean, sd, n, confidence)
     if group_by:
         if store is not None and table is not None and tuple(group_by) in store.stratified_groups(table):
