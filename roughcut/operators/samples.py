@@ -63,6 +63,19 @@ class SampleStore:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = (root or shared_dir(spark, "samples")).rstrip("/")
+        # driver-side handles: registry rows (a few per sample) and dataset
+        # readers (their file listing); dropped whenever a sample is rebuilt
+        self._meta_rows: list | None = None
+        self._frames: dict[str, DataFrame] = {}
+
+    def _invalidate(self) -> None:
+        self._meta_rows = None
+        self._frames.clear()
+
+    def _read(self, path: str) -> DataFrame:
+        if path not in self._frames:
+            self._frames[path] = self.spark.read.parquet(path)
+        return self._frames[path]
 
     # ---------------------------------------------------------------- paths
     def _tiers(self, table: str) -> str:
@@ -76,6 +89,7 @@ class SampleStore:
         """All uniform tiers in one write; returns the new meta rows."""
         rates = sorted(set(float(r) for r in rates))
         key = [key] if isinstance(key, str) else list(key)
+        self._invalidate()
         dfh = with_row_hash(df, key)
         h = F.col("h")
         band = None
@@ -102,6 +116,7 @@ class SampleStore:
         """Stratified sample (``rate`` per stratum, >= 1 row per stratum)."""
         g = [group_by] if isinstance(group_by, str) else list(group_by)
         key = [key] if isinstance(key, str) else list(key)
+        self._invalidate()
         dfh = with_row_hash(df, key)
         path = self._strat(table, g)
         # the written strata table cuts the lineage before it is used twice
@@ -128,16 +143,18 @@ class SampleStore:
         return meta.withColumn("realised_rate",
                                F.col("sample_rows") / F.col("population_rows"))
 
+    def _registry_rows(self) -> list:
+        # a few rows per stored sample: catalog metadata, safe on the driver
+        if self._meta_rows is None:
+            self._meta_rows = self.registry().collect()
+        return self._meta_rows
+
     def _meta_row(self, table: str, sample_type: str, group_cols: str | None = None):
-        reg = self.registry().filter((F.col("table_name") == table) &
-                                     (F.col("sample_type") == sample_type))
-        if group_cols is not None:
-            reg = reg.filter(F.col("group_cols") == group_cols)
-        # a registry row is a fixed-size record, not data: safe on the driver
-        row = reg.first()
-        if row is None:
-            raise LookupError(f"no {sample_type} sample stored for {table}")
-        return row
+        for row in self._registry_rows():
+            if (row["table_name"] == table and row["sample_type"] == sample_type
+                    and (group_cols is None or row["group_cols"] == group_cols)):
+                return row
+        raise LookupError(f"no {sample_type} sample stored for {table}")
 
     def has_sample(self, table: str, sample_type: str) -> bool:
         try:
@@ -147,27 +164,25 @@ class SampleStore:
             return False
 
     def available_tiers(self, table: str) -> list[float]:
-        reg = self.registry().filter((F.col("table_name") == table) &
-                                     (F.col("sample_type") != "stratified"))
-        return sorted(r["rate"] for r in reg.select("rate").collect())
+        return sorted(r["rate"] for r in self._registry_rows()
+                      if r["table_name"] == table and r["sample_type"] != "stratified")
 
     def stratified_groups(self, table: str) -> list[tuple[str, ...]]:
-        reg = self.registry().filter((F.col("table_name") == table) &
-                                     (F.col("sample_type") == "stratified"))
-        return [tuple(r["group_cols"].split(",")) for r in reg.select("group_cols").collect()]
+        return [tuple(r["group_cols"].split(",")) for r in self._registry_rows()
+                if r["table_name"] == table and r["sample_type"] == "stratified"]
 
     def tier(self, table: str, rate: float) -> DataFrame:
         """Rows of one stored tier (partition-pruned read)."""
-        data = self.spark.read.parquet(f"{self._tiers(table)}/data")
+        data = self._read(f"{self._tiers(table)}/data")
         return data.filter(F.col("tier_ppm") <= F.lit(ppm(rate))).drop("tier_ppm")
 
     def stratified_rows(self, table: str, group_by) -> DataFrame:
         g = [group_by] if isinstance(group_by, str) else list(group_by)
-        return self.spark.read.parquet(f"{self._strat(table, g)}/data")
+        return self._read(f"{self._strat(table, g)}/data")
 
     def strata(self, table: str, group_by) -> DataFrame:
         g = [group_by] if isinstance(group_by, str) else list(group_by)
-        return self.spark.read.parquet(f"{self._strat(table, g)}/strata")
+        return self._read(f"{self._strat(table, g)}/strata")
 
     # ---------------------------------------------------------------- answer
     def tier_aggregate(self, table: str, aggs, rate: float | None = None,
@@ -232,6 +247,7 @@ class SampleStore:
         if len(keys) != 1:
             raise LookupError(f"no samples (or mixed keys) stored for {table}")
         key = keys.pop().split(",")
+        self._invalidate()
         if tiers:
             self.build_tiers(df, table, key, tiers)
         for r in reg:
