@@ -14,18 +14,17 @@ Plans, and why they hold at scale:
   the **same single pass** as the population counts: the sampled values are
   conditional aggregates, and the forced minimum-hash row comes from
   ``min_by(value, h)``. No join, no second scan.
-* :func:`stratified_sample` materialises sample rows. Rows under the
-  threshold need no join at all; only strata left empty need their
-  minimum-hash row, found by a semi-join on ``(group, h)`` - a key that is
-  unique per row, so a hot stratum cannot skew it. The empty-strata side is
-  broadcast only when its row count, read from the checkpointed strata
-  table, is under ``broadcast_rows``.
+* :func:`stratified_sample` materialises sample rows as
+  ``rows under the threshold  UNION ALL  forced rows``. The forced row of
+  each stratum is carried out of the strata aggregate itself by
+  ``min_by(struct(row), h)``: per partition and stratum one candidate row
+  crosses the shuffle, and no join against the base rows is needed, so
+  neither the number of strata nor a hot stratum can blow up the plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +33,6 @@ from roughcut.functions import bounds
 from roughcut.functions.hashing import threshold, with_row_hash
 from roughcut.operators.aggspec import Agg, as_aggs
 
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
 
 def _groups(group_by: str | Sequence[str]) -> list[str]:
     return [group_by] if isinstance(group_by, str) else list(group_by)
@@ -46,46 +43,43 @@ def strata_distinct(df: DataFrame, group_by) -> DataFrame:
     return df.select(*_groups(group_by)).distinct()
 
 
-def strata_table(df: DataFrame, group_by, rate: float, key=None, h: str = "h") -> DataFrame:
+def strata_table(df: DataFrame, group_by, rate: float, key=None, h: str = "h",
+                 with_rows: bool = False) -> DataFrame:
     """S3: per stratum ``population_count``, ``below_count`` (rows under the
-    rate threshold), ``sample_count`` (= max(below_count, 1)) and ``min_h``."""
+    rate threshold), ``sample_count`` (= max(below_count, 1)) and ``min_h``.
+
+    ``with_rows=True`` adds ``forced_row``: the whole minimum-hash row of the
+    stratum (a struct), which is the stratum's sample when no hash falls
+    under the threshold.
+    """
     g = _groups(group_by)
     if h not in df.columns:
         df = with_row_hash(df, key, h)
     below = F.col(h) < F.lit(threshold(rate))
-    return (df.groupBy(*g)
-            .agg(F.count(F.lit(1)).alias("population_count"),
-                 F.count_if(below).alias("below_count"),
-                 F.min(h).alias("min_h"))
+    aggs = [F.count(F.lit(1)).alias("population_count"),
+            F.count_if(below).alias("below_count"),
+            F.min(h).alias("min_h")]
+    if with_rows:
+        aggs.append(F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.col(h)).alias("forced_row"))
+    return (df.groupBy(*g).agg(*aggs)
             .withColumn("sample_count", F.greatest(F.col("below_count"), F.lit(1)).cast("bigint")))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
-
-
 def stratified_sample(df: DataFrame, group_by, rate: float, key=None, h: str = "h",
-                      strata: DataFrame | None = None,
-                      broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                      strata: DataFrame | None = None) -> DataFrame:
     """Sample rows, ``rate`` per stratum, at least one row per stratum.
 
-    ``strata`` may be passed when it is already materialised (e.g. read back
-    from a sample store); otherwise it is computed and checkpointed to the
-    shared checkpoint folder, cutting its lineage before it is used twice.
+    ``strata`` may be a stored strata table built with ``with_rows=True``;
+    otherwise the strata aggregate runs as part of this plan (one extra scan,
+    no join).
     """
     g = _groups(group_by)
     if h not in df.columns:
         df = with_row_hash(df, key, h)
-    thr = F.lit(threshold(rate))
     if strata is None:
-        strata = strata_table(df, g, rate, h=h).checkpoint(eager=True)
-    empty = (strata.filter(F.col("below_count") == 0)
-             .select(*g, F.col("min_h").alias(h)))
-    if empty.count() <= broadcast_rows:
-        empty = F.broadcast(empty)
-    base_above = df.filter(F.col(h) >= thr)
-    forced = base_above.join(empty, _null_safe_on(base_above, empty, g + [h]), "left_semi")
-    return df.filter(F.col(h) < thr).unionByName(forced)
+        strata = strata_table(df, g, rate, h=h, with_rows=True)
+    forced = strata.filter(F.col("below_count") == 0).select("forced_row.*")
+    return df.filter(F.col(h) < F.lit(threshold(rate))).unionByName(forced.select(*df.columns))
 
 
 def _sampled(a: Agg, sel: Column, w: Column, h: str) -> Column:

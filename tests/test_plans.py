@@ -38,12 +38,8 @@ def test_stratified_estimate_is_one_aggregate(sales):
     assert p.count("Exchange") == 1
 
 
-def test_stratified_sample_does_not_shuffle_base_rows(spark, sales):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        df = stratified.stratified_sample(sales, "region", 0.01)
-        p = _plan(df)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert "BroadcastHashJoin" in p and "LeftSemi" in p
-    assert "SortMergeJoin" not in p
+def test_stratified_sample_needs_no_join(spark, sales):
+    df = stratified.stratified_sample(sales, "region", 0.01)
+    p = _plan(df)
+    assert "Join" not in p
+    assert p.count("Exchange") == 1  # the strata partials only
