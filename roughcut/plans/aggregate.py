@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from roughcut.functions import bounds
 from roughcut.operators import profile as prof
-from roughcut.operators import sampling, sketches, stratified
+from roughcut.operators import quantile, sampling, sketches, stratified
 from roughcut.operators.aggspec import Agg, as_aggs
 from roughcut.operators.samples import SampleStore, tier_name
 
@@ -110,13 +110,33 @@ def _exact_expr(a: Agg) -> Column:
 
 def exact_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
                     where: Column | None = None) -> DataFrame:
-    """Ground truth with the same output columns as the estimates."""
+    """Ground truth with the same output columns as the estimates.
+
+    Exact quantiles use distributed selection
+    (:mod:`roughcut.operators.quantile`) rather than Spark's single-task
+    exact percentile; their one-row-per-group results are joined on the
+    group key.
+    """
     aggs = as_aggs(aggs)
+    group_by = list(group_by)
     if where is not None:
         df = df.filter(where)
-    cols = [_exact_expr(a).alias(a.name) for a in aggs]
-    res = df.groupBy(*group_by).agg(*cols) if group_by else df.agg(*cols)
-    return res
+    plain = [a for a in aggs if not a.is_quantile]
+    parts = []
+    if plain or not aggs:
+        cols = [_exact_expr(a).alias(a.name) for a in plain]
+        parts.append(df.groupBy(*group_by).agg(*cols) if group_by else df.agg(*cols))
+    for a in aggs:
+        if a.is_quantile:
+            parts.append(quantile.exact_quantile_grouped(df, group_by, a.column, a.prob, alias=a.name)
+                         if group_by else quantile.exact_quantile(df, a.column, a.prob, alias=a.name))
+    res = parts[0]
+    for nxt in parts[1:]:
+        if group_by:
+            res = res.join(nxt, group_by, "full_outer")
+        else:  # one row each: join on a constant, not a cartesian product
+            res = res.withColumn("__k", F.lit(0)).join(nxt.withColumn("__k", F.lit(0)), "__k").drop("__k")
+    return res.select(*group_by, *[a.name for a in aggs])
 
 
 def _finish(res: DataFrame, group_by, aggs: list[Agg], err: dict[str, Column],

@@ -22,6 +22,7 @@ from roughcut.functions import bounds
 from roughcut.functions.hashing import threshold
 from roughcut.operators import profile as prof
 from roughcut.operators import sampling, sketches, stratified
+from roughcut.operators.quantile import exact_quantile, exact_quantile_grouped
 from roughcut.operators.samples import DEFAULT_TIERS, SampleStore
 from roughcut.plans.aggregate import approx_aggregate, exact_aggregate
 from roughcut.plans.compare import (ACCURACY_LEVELS, accuracy_sweep, compare_exact_approx,
@@ -161,19 +162,20 @@ def exact_count_distinct(spark, d):
 
 @query
 def exact_median(spark, d):
-    return load_sales(spark, d).agg(r6(F.median("amount")).alias("median_amount"))
+    q = exact_quantile(load_sales(spark, d), "amount", 0.5, "cont", alias="median_amount")
+    return q.select(r6("median_amount").alias("median_amount"))
 
 
 @query
 def exact_p95(spark, d):
-    return load_sales(spark, d).agg(
-        r6(F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY amount)")).alias("p95"))
+    q = exact_quantile(load_sales(spark, d), "amount", 0.95, "cont", alias="p95")
+    return q.select(r6("p95").alias("p95"))
 
 
 @query
 def exact_percentile_disc(spark, d):
-    return load_sales(spark, d).agg(
-        r6(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY amount)")).alias("p95_disc"))
+    q = exact_quantile(load_sales(spark, d), "amount", 0.95, "disc", alias="p95_disc")
+    return q.select(r6("p95_disc").alias("p95_disc"))
 
 
 @query
@@ -488,30 +490,47 @@ def hll_merge(spark, d):
 
 
 # ======================================================================== Q
-def _pdisc(col: str, p: float) -> Column:
-    p = min(max(p, 0.0), 1.0)
-    return F.expr(f"percentile_disc({p!r}) WITHIN GROUP (ORDER BY CAST({col} AS DOUBLE))")
-
-
-def _rank_ok(est: Column, lo: Column, hi: Column) -> Column:
-    return (est >= lo) & (est <= hi)
+def _const(df: DataFrame) -> DataFrame:
+    return df.withColumn("__k", F.lit(0))
 
 
 def _quantile_check(df: DataFrame, col: str, probs, est_fn, eps: float, group_by=()):
-    """Exact continuous quantile plus a rank check of the estimate: the
-    estimate lies between the exact discrete quantiles at p - eps and p + eps."""
-    stats = [F.percentile(F.col(col).cast("double"), F.lit(float(p))).alias(f"x{i}") for i, p in enumerate(probs)]
-    stats += [_pdisc(col, p - eps).alias(f"lo{i}") for i, p in enumerate(probs)]
-    stats += [_pdisc(col, p + eps).alias(f"hi{i}") for i, p in enumerate(probs)]
-    stats += [est_fn(p).alias(f"e{i}") for i, p in enumerate(probs)]
-    r = df.groupBy(*group_by).agg(*stats) if group_by else df.agg(*stats)
+    """Exact quantile per probability plus a rank check of the estimate.
+
+    The estimate passes when the share of rows at or below it reaches
+    ``p - eps`` and the share strictly below it stays under ``p + eps``.
+    Estimates (one row per group) are joined back to the rows by group key
+    and broadcast; exact values come from distributed selection.
+    """
+    g = list(group_by)
+    probs = list(probs)
+    x = F.col(col).cast("double")
+    ests = [est_fn(p).alias(f"e{i}") for i, p in enumerate(probs)]
+    est = df.groupBy(*g).agg(*ests) if g else df.agg(*ests)
+    if g:
+        j = df.join(F.broadcast(est), g)
+    else:
+        j = _const(df).join(F.broadcast(_const(est)), "__k")
+    cnt = [F.count(x).alias("n")]
+    for i in range(len(probs)):
+        e = F.col(f"e{i}")
+        cnt += [F.count_if(x < e).alias(f"lt{i}"), F.count_if(x <= e).alias(f"le{i}")]
+    ranks = j.groupBy(*g).agg(*cnt) if g else j.agg(*cnt)
+    exact = None
+    for i, p in enumerate(probs):
+        q = (exact_quantile_grouped(df, g, col, p, alias=f"x{i}") if g
+             else exact_quantile(df, col, p, alias=f"x{i}"))
+        exact = q if exact is None else (exact.join(q, g) if g else
+                                         _const(exact).join(_const(q), "__k").drop("__k"))
+    both = ranks.join(exact, g) if g else _const(ranks).join(_const(exact), "__k").drop("__k")
+    n = F.col("n")
     rows = F.explode(F.array(*[F.struct(
         F.lit(sketches.quantile_name(p)).alias("quantile"), F.lit(float(p)).alias("p"),
         F.col(f"x{i}").alias("exact"),
-        _rank_ok(F.col(f"e{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")).alias("ok"))
+        ((F.col(f"le{i}") / n >= p - eps) & (F.col(f"lt{i}") / n <= p + eps)).alias("ok"))
         for i, p in enumerate(probs)])).alias("q")
-    return r.select(*group_by, rows).select(
-        *group_by, "q.quantile", r6("q.p").alias("p"), r6("q.exact").alias("exact_value"),
+    return both.select(*g, rows).select(
+        *g, "q.quantile", r6("q.p").alias("p"), r6("q.exact").alias("exact_value"),
         F.col("q.ok").alias("within_rank_tolerance"))
 
 
@@ -551,21 +570,16 @@ def sampled_quantile(spark, d):
 def kll_merge(spark, d):
     """Per-region KLL sketches merged, checked against the whole table."""
     s = load_sales(spark, d)
-    per = sketches.kll_sketches(s, "amount", ["region"], KLL_K)
-    merged = sketches.merge_kll(per, PERCENTILES)
-    probs = list(PERCENTILES)
-    stats = s.agg(*[F.percentile(F.col("amount").cast("double"), F.lit(p)).alias(f"x{i}")
-                    for i, p in enumerate(probs)],
-                  *[_pdisc("amount", p - KLL_EPS).alias(f"lo{i}") for i, p in enumerate(probs)],
-                  *[_pdisc("amount", p + KLL_EPS).alias(f"hi{i}") for i, p in enumerate(probs)])
-    j = stats.withColumn("__k", F.lit(0)).join(merged.withColumn("__k", F.lit(0)), "__k")
-    rows = F.explode(F.array(*[F.struct(
-        F.lit(sketches.quantile_name(p)).alias("quantile"), F.lit(p).alias("p"),
-        F.col(f"x{i}").alias("exact"),
-        _rank_ok(F.col(sketches.quantile_name(p)), F.col(f"lo{i}"), F.col(f"hi{i}")).alias("ok"))
-        for i, p in enumerate(probs)])).alias("q")
-    return j.select(rows).select("q.quantile", r6("q.p").alias("p"), r6("q.exact").alias("exact_value"),
-                                 F.col("q.ok").alias("within_rank_tolerance"))
+    merged = sketches.merge_kll(sketches.kll_sketches(s, "amount", ["region"], KLL_K), PERCENTILES)
+    # the merged quantiles enter the rank check as constants of a one-row frame
+    cols = {sketches.quantile_name(p): p for p in PERCENTILES}
+
+    def est_fn(p):
+        return F.first(F.col(f"__m_{sketches.quantile_name(p)}"))
+
+    s2 = _const(s).join(F.broadcast(_const(merged.select(
+        *[F.col(c).alias(f"__m_{c}") for c in cols]))), "__k").drop("__k")
+    return _quantile_check(s2, "amount", PERCENTILES, est_fn, KLL_EPS)
 
 
 @query

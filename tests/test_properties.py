@@ -125,3 +125,37 @@ def test_empty_filter_gives_empty_groups(sales):
     res = stratified.stratified_aggregate(sales, "region", ["count(*)"], 0.01,
                                           where=F.col("amount") < 0)
     assert res.count() == 0
+
+
+@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.95, 0.999, 1.0])
+@pytest.mark.parametrize("kind", ["cont", "disc"])
+def test_exact_quantile_selection(sales, p, kind):
+    """Distributed selection (forced through several narrowing rounds)
+    equals Spark's single-task exact percentile."""
+    from roughcut.operators.quantile import exact_quantile
+    got = exact_quantile(sales, "amount", p, kind, alias="q", small=50, accuracy=100).first()["q"]
+    fn = "percentile_cont" if kind == "cont" else "percentile_disc"
+    want = sales.agg(F.expr(f"{fn}({p}) WITHIN GROUP (ORDER BY CAST(amount AS DOUBLE))")).first()[0]
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_exact_quantile_heavy_ties(spark):
+    from roughcut.operators.quantile import exact_quantile
+    df = spark.range(5000).select((F.col("id") % 3).alias("v"))
+    got = exact_quantile(df, "v", 0.5, small=10, accuracy=100).first()[0]
+    assert got == df.agg(F.median("v")).first()[0]
+
+
+@pytest.mark.parametrize("p,kind", [(0.5, "cont"), (0.95, "cont"), (0.95, "disc"), (0.0, "disc"),
+                                    (1.0, "cont")])
+def test_exact_quantile_grouped(sales, p, kind):
+    from roughcut.operators.quantile import exact_quantile_grouped
+    got = {r["region"]: r["q"] for r in
+           exact_quantile_grouped(sales, "region", "amount", p, kind, alias="q",
+                                  small=20, accuracy=200).collect()}
+    fn = "percentile_cont" if kind == "cont" else "percentile_disc"
+    want = {r["region"]: r[1] for r in sales.groupBy("region").agg(
+        F.expr(f"{fn}({p}) WITHIN GROUP (ORDER BY CAST(amount AS DOUBLE))")).collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-9), k
