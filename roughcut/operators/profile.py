@@ -164,6 +164,13 @@ def load_profile(spark, path: str, now: _dt.datetime | None = None,
     return fresh if fresh.limit(1).count() else None
 
 
+def invalidate_profile(spark, path: str) -> None:
+    """Make the snapshot stale so the next :func:`cached_profile` rebuilds
+    it (an empty overwrite: no file deletion outside Spark's writer)."""
+    (spark.createDataFrame([], "column_name string, profiled_at timestamp_ntz")
+     .write.mode("overwrite").parquet(path))
+
+
 def cached_profile(df: DataFrame, path: str, now: _dt.datetime | None = None,
                    ttl_seconds: int = PROFILE_TTL_SECONDS, **kw) -> DataFrame:
     """Profile from the snapshot when fresh, otherwise profile and save."""

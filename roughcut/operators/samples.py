@@ -142,8 +142,11 @@ class SampleStore:
             meta = self.spark.read.schema(META_SCHEMA).parquet(f"{self.root}/*/*/meta")
         except Exception:  # nothing stored yet
             meta = self.spark.createDataFrame([], META_SCHEMA)
-        return meta.withColumn("realised_rate",
-                               F.col("sample_rows") / F.col("population_rows"))
+        # storage_overhead: rows physically stored for this sample over the
+        # population (all nested tiers share one dataset, so they report the
+        # same overhead: the largest rate)
+        return (meta.withColumn("realised_rate", F.col("sample_rows") / F.col("population_rows"))
+                .withColumn("storage_overhead", F.col("stored_rows") / F.col("population_rows")))
 
     def _registry_rows(self) -> list:
         # a few rows per stored sample: catalog metadata, safe on the driver

@@ -241,11 +241,13 @@ Q["sample_stratified_build"] = w(strata(T10), samp(T10)) + \
 def _registry_sql(strat: bool = True) -> str:
     rows = [f"SELECT 'sales' AS table_name, '{nm}' AS sample_type, {r6(d(r))} AS rate, "
             f"CAST(NULL AS VARCHAR) AS group_cols, {n} AS sample_rows, n_all AS population_rows, "
-            f"n20 AS stored_rows, {r6(f'{n} / n_all')} AS realised_rate FROM sz"
+            f"n20 AS stored_rows, {r6(f'{n} / n_all')} AS realised_rate, "
+            f"{r6('n20 / n_all')} AS storage_overhead FROM sz"
             for (r, _, nm), n in zip(_TIERS, ("n1", "n10", "n20"))]
     if strat:
         rows.append(f"SELECT 'sales', 'stratified', {r6(d(0.1))}, 'region', CAST(sum(sample_count) AS BIGINT), "
                     f"CAST(sum(population_count) AS BIGINT), CAST(sum(sample_count) AS BIGINT), "
+                    f"{r6('sum(sample_count) / sum(population_count)')}, "
                     f"{r6('sum(sample_count) / sum(population_count)')} FROM strata")
     return w(_SIZES, strata(T10)) + "\nUNION ALL ".join(rows)
 
@@ -451,9 +453,9 @@ Q["approx_aggregate_skewed"] = w(*_SKEW_CTES) + f"""SELECT a.region, {r6(_CNT_ES
   {r6('a.avg_s')} AS avg_amount, {r6(_ERR)} AS avg_amount_error_pct,
   'stratified' AS strategy, {r6('(SELECT rate FROM th2)')} AS sample_rate
 FROM a JOIN strata t ON a.region = t.region"""
-Q["approx_aggregate_small"] = w() + f"""SELECT region, {r6('count(*)')} AS cnt, 0.0 AS cnt_error_pct,
-  {r6(SUM_AMT)} AS total_revenue, 0.0 AS total_revenue_error_pct, {r6(AVG_AMT)} AS avg_amount,
-  0.0 AS avg_amount_error_pct, 'exact' AS strategy, 1.0 AS sample_rate FROM sales GROUP BY region"""
+Q["approx_aggregate_small"] = w() + f"""SELECT region, {r6('count(*)')} AS cnt, {d(0.0)} AS cnt_error_pct,
+  {r6(SUM_AMT)} AS total_revenue, {d(0.0)} AS total_revenue_error_pct, {r6(AVG_AMT)} AS avg_amount,
+  {d(0.0)} AS avg_amount_error_pct, 'exact' AS strategy, {d(1.0)} AS sample_rate FROM sales GROUP BY region"""
 
 
 def _cmp_cols(e: str, a: str, names=("cnt", "total_revenue"), with_acc: bool = True) -> str:

@@ -348,7 +348,8 @@ def _built(spark, d, name, tiers=True, strat=True):
 def _registry(st: SampleStore) -> DataFrame:
     return st.registry().select("table_name", "sample_type", r6("rate").alias("rate"),
                                 "group_cols", "sample_rows", "population_rows", "stored_rows",
-                                r6("realised_rate").alias("realised_rate"))
+                                r6("realised_rate").alias("realised_rate"),
+                                r6("storage_overhead").alias("storage_overhead"))
 
 
 @query

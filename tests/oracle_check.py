@@ -38,6 +38,31 @@ def canon(rows, cols):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+def spark_kind(dt) -> str:
+    n = type(dt).__name__
+    return {"LongType": "int", "IntegerType": "int", "ShortType": "int", "ByteType": "int",
+            "DoubleType": "float", "FloatType": "float", "DecimalType": "decimal",
+            "StringType": "str", "BooleanType": "bool", "TimestampType": "ts",
+            "TimestampNTZType": "ts", "DateType": "date"}.get(n, n)
+
+
+def duck_kind(t) -> str:
+    t = str(t).upper()
+    if t in ("BIGINT", "INTEGER", "SMALLINT", "TINYINT", "HUGEINT", "UBIGINT", "UINTEGER"):
+        return "int"
+    if t in ("DOUBLE", "FLOAT"):
+        return "float"
+    if t.startswith("DECIMAL"):
+        return "decimal"
+    if t in ("VARCHAR", "STRING"):
+        return "str"
+    if t == "BOOLEAN":
+        return "bool"
+    if t.startswith("TIMESTAMP"):
+        return "ts"
+    return t
+
+
 def duck(sf_dir):
     con = duckdb.connect()
     for t in TABLES:
@@ -58,6 +83,11 @@ def compare(spark, con, name, fn, sql, sf_dir):
     orows = res.fetchall()
     if sorted(cols) != sorted(ocols):
         return "FAIL", f"columns {sorted(cols)} vs {sorted(ocols)}", ts
+    sk = {f.name: spark_kind(f.dataType) for f in df.schema.fields}
+    dk = {c[0]: duck_kind(c[1]) for c in res.description}
+    kinds = [f"{c}:{sk[c]}/{dk[c]}" for c in cols if sk[c] != dk[c]]
+    if kinds:
+        return "FAIL", f"types differ {kinds}", ts
     if len(rows) != len(orows):
         return "FAIL", f"rows {len(rows)} vs {len(orows)}", ts
     a, b = canon(rows, cols), canon(orows, ocols)
