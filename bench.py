@@ -101,7 +101,7 @@ def main() -> None:
             lineitem, [("count", "*", "cnt"), ("sum", "l_quantity", "q")], ["l_returnflag", "l_linestatus"]),
         "stratified_group_lineitem": lambda: stratified.stratified_aggregate(
             lineitem, ["l_returnflag", "l_linestatus"], [("count", "*", "cnt"), ("sum", "l_quantity", "q")],
-            0.01, key=li_key),
+            0.01, key=li_key, hash_method="xxhash"),
         "exact_distinct_lineitem": lambda: lineitem.agg(F.count_distinct("l_partkey")),
         "approx_distinct_lineitem": lambda: sketches.approx_distinct(lineitem, "l_partkey"),
     }

@@ -60,7 +60,8 @@ def _as_double(c: Column) -> Column:
 def sample_aggregate(df: DataFrame, aggs, rate: float, group_by: Sequence[str] = (),
                      where: Column | None = None, key=None, method: str = "hash",
                      seed: int = 42, confidence: float = 0.95,
-                     bound_method: str = "proportion", with_bounds: bool = True) -> DataFrame:
+                     bound_method: str = "proportion", with_bounds: bool = True,
+                     hash_method: str = "md5") -> DataFrame:
     """Aggregate over a runtime sample and scale to the population.
 
     The WHERE predicate applies to sampled rows (sample first); with hash
@@ -68,7 +69,7 @@ def sample_aggregate(df: DataFrame, aggs, rate: float, group_by: Sequence[str] =
     push the predicate into the Parquet scan. See :func:`aggregate_sample`
     for the output columns.
     """
-    rows = uniform_sample(df, rate, key, method, seed)
+    rows = uniform_sample(df, rate, key, method, seed, hash_method=hash_method)
     return aggregate_sample(rows, aggs, rate, group_by, where, confidence,
                             bound_method, with_bounds)
 

@@ -44,7 +44,7 @@ def strata_distinct(df: DataFrame, group_by) -> DataFrame:
 
 
 def strata_table(df: DataFrame, group_by, rate: float, key=None, h: str = "h",
-                 with_rows: bool = False) -> DataFrame:
+                 with_rows: bool = False, hash_method: str = "md5") -> DataFrame:
     """S3: per stratum ``population_count``, ``below_count`` (rows under the
     rate threshold), ``sample_count`` (= max(below_count, 1)) and ``min_h``.
 
@@ -54,7 +54,7 @@ def strata_table(df: DataFrame, group_by, rate: float, key=None, h: str = "h",
     """
     g = _groups(group_by)
     if h not in df.columns:
-        df = with_row_hash(df, key, h)
+        df = with_row_hash(df, key, h, hash_method)
     below = F.col(h) < F.lit(threshold(rate))
     aggs = [F.count(F.lit(1)).alias("population_count"),
             F.count_if(below).alias("below_count"),
@@ -66,7 +66,7 @@ def strata_table(df: DataFrame, group_by, rate: float, key=None, h: str = "h",
 
 
 def stratified_sample(df: DataFrame, group_by, rate: float, key=None, h: str = "h",
-                      strata: DataFrame | None = None) -> DataFrame:
+                      strata: DataFrame | None = None, hash_method: str = "md5") -> DataFrame:
     """Sample rows, ``rate`` per stratum, at least one row per stratum.
 
     ``strata`` may be a stored strata table built with ``with_rows=True``;
@@ -75,7 +75,7 @@ def stratified_sample(df: DataFrame, group_by, rate: float, key=None, h: str = "
     """
     g = _groups(group_by)
     if h not in df.columns:
-        df = with_row_hash(df, key, h)
+        df = with_row_hash(df, key, h, hash_method)
     if strata is None:
         strata = strata_table(df, g, rate, h=h, with_rows=True)
     forced = strata.filter(F.col("below_count") == 0).select("forced_row.*")
@@ -103,7 +103,8 @@ def _sampled(a: Agg, sel: Column, w: Column, h: str) -> Column:
 
 
 def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
-                         where: Column | None = None, h: str = "h") -> DataFrame:
+                         where: Column | None = None, h: str = "h",
+                         hash_method: str = "md5") -> DataFrame:
     """Per-stratum estimates from the guaranteed stratified sample.
 
     Output: group columns, one column per aggregate (COUNT and SUM scaled by
@@ -115,7 +116,7 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
     g = _groups(group_by)
     aggs = as_aggs(aggs)
     if h not in df.columns:
-        df = with_row_hash(df, key, h)
+        df = with_row_hash(df, key, h, hash_method)
     below = F.col(h) < F.lit(threshold(rate))
     w = where if where is not None else F.lit(True)
     sel = below & w

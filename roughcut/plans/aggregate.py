@@ -80,10 +80,13 @@ def choose_plan(df: DataFrame, aggs: list[Agg], group_by: list[str], accuracy: f
     if group_by:
         if store is not None and table is not None and tuple(group_by) in store.stratified_groups(table):
             return Plan("materialized_stratified", reason="stored stratified sample")
-        g = prof.frequency_gini(df, group_by).first()
-        skewed = (g["gini_normalised"] or 0.0) > prof.SKEW_GINI
+        if profile_row is not None and profile_row.get("group_gini_normalised") is not None:
+            gn = profile_row["group_gini_normalised"]
+        else:
+            gn = prof.frequency_gini(df, group_by).first()["gini_normalised"]
+        skewed = (gn or 0.0) > prof.SKEW_GINI
         return Plan("stratified" if skewed else "uniform", rate=rate,
-                    reason=f"normalised gini {g['gini_normalised']}")
+                    reason=f"normalised gini {gn}")
     if store is not None and table is not None:
         tiers = store.available_tiers(table)
         if tiers:
@@ -158,7 +161,12 @@ def approx_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
                      small_table_rows: int = SMALL_TABLE_ROWS,
                      confidence: float = 0.95, profile_row: dict | None = None,
                      return_plan: bool = False):
-    """Answer ``aggs`` (grouped by ``group_by``) within an accuracy target."""
+    """Answer ``aggs`` (grouped by ``group_by``) within an accuracy target.
+
+    ``profile_row`` (e.g. the aggregated column's row of a stored profile,
+    with ``row_count``, ``mean``, ``stddev`` and optionally
+    ``group_gini_normalised``) lets the planner skip its statistics passes.
+    """
     aggs = as_aggs(aggs)
     group_by = list(group_by)
     plan = choose_plan(df, aggs, group_by, accuracy, table, store, small_table_rows,
