@@ -96,16 +96,18 @@ class SampleStore:
         for r in rates:
             band = (F.when(h < threshold(r), F.lit(ppm(r))) if band is None
                     else band.when(h < threshold(r), F.lit(ppm(r))))
-        # Population and per-tier sizes in one column-pruned aggregate.
-        sizes = dfh.agg(F.count(F.lit(1)).alias("n"),
-                        *[F.count_if(h < threshold(r)).alias(f"t{i}") for i, r in enumerate(rates)]
-                        ).first()
         path = self._tiers(table)
         (dfh.filter(h < threshold(rates[-1])).withColumn("tier_ppm", band)
             .write.mode("overwrite").partitionBy("tier_ppm").parquet(f"{path}/data"))
+        # Sizes without hashing the base again: the population is a
+        # column-less count (the hash projection is pruned away), the tier
+        # sizes a count over the written rows grouped by partition value.
+        population = df.count()
+        per_band = dict(self.spark.read.parquet(f"{path}/data").groupBy("tier_ppm").count()
+                        .select("tier_ppm", "count").collect())
+        cum = [sum(per_band.get(ppm(x), 0) for x in rates if x <= r) for r in rates]
         built = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        stored = sizes[f"t{len(rates) - 1}"]
-        rows = [(table, tier_name(r), r, None, sizes[f"t{i}"], sizes["n"], stored,
+        rows = [(table, tier_name(r), r, None, cum[i], population, cum[-1],
                  ",".join(key), built) for i, r in enumerate(rates)]
         meta = self.spark.createDataFrame(rows, META_SCHEMA)
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")

@@ -226,6 +226,19 @@ SELECT a.l_returnflag, a.l_linestatus,
 FROM a JOIN st ON a.l_returnflag IS NOT DISTINCT FROM st.l_returnflag
   AND a.l_linestatus IS NOT DISTINCT FROM st.l_linestatus"""
 
+Q["stratified_documents_lang"] = f"""WITH dc AS (SELECT doc_id, lang, n_chars, {hsql(['doc_id'])} AS h FROM documents),
+st AS (SELECT lang, count(*) AS population_count, count(*) FILTER (WHERE h < {T10}) AS below_count,
+         min(h) AS min_h, CAST(greatest(count(*) FILTER (WHERE h < {T10}), 1) AS BIGINT) AS sample_count
+       FROM dc GROUP BY lang),
+sp AS (SELECT dc.* FROM dc JOIN st ON dc.lang IS NOT DISTINCT FROM st.lang
+       WHERE dc.h < {T10} OR (st.below_count = 0 AND dc.h = st.min_h)),
+a AS (SELECT lang, count(*) AS c, CAST(sum(n_chars) AS DOUBLE) AS s,
+        CAST(sum(n_chars) AS DOUBLE) / count(n_chars) AS av FROM sp GROUP BY lang)
+SELECT a.lang, CAST(floor(a.c * st.population_count / st.sample_count) AS BIGINT) AS docs,
+  {r6('a.av')} AS avg_chars, {r6('a.s * st.population_count / st.sample_count')} AS total_chars,
+  st.sample_count, st.population_count, {strat_err('st.sample_count', 'st.population_count')} AS error_pct
+FROM a JOIN st ON a.lang IS NOT DISTINCT FROM st.lang"""
+
 # ======================================================================== E
 _TIERS = ((0.01, T1, "1pct"), (0.10, T10, "10pct"), (0.20, T20, "20pct"))
 _SIZES = f"""sz AS (SELECT count(*) AS n_all,
@@ -280,6 +293,8 @@ Q["approx_distinct_filtered"] = w() + \
     "SELECT count(DISTINCT user_id) AS distinct_users, TRUE AS within_tolerance FROM sales WHERE amount > 50"
 Q["approx_distinct_grouped"] = w() + \
     "SELECT region, count(DISTINCT user_id) AS distinct_users, TRUE AS within_tolerance FROM sales GROUP BY region"
+Q["approx_distinct_orders"] = """SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers,
+  TRUE AS within_tolerance FROM orders GROUP BY o_orderstatus"""
 Q["hll_distinct"] = Q["approx_distinct"]
 Q["hll_precision_sweep"] = w("u AS (SELECT count(DISTINCT user_id) AS distinct_users FROM sales)") + \
     "\nUNION ALL ".join(

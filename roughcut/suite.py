@@ -334,6 +334,20 @@ def stratified_count_lineitem(spark, d):
                       "sample_count", "population_count", "error_pct")
 
 
+@query
+def stratified_documents_lang(spark, d):
+    """Stratified estimate on a naturally skewed text table: documents and
+    average length per language (only doc_id, lang and n_chars are read)."""
+    docs = read_table(spark, d, "documents")
+    res = stratified.stratified_aggregate(docs, "lang", [("count", "*", "docs"),
+                                                         ("avg", "n_chars", "avg_chars"),
+                                                         ("sum", "n_chars", "total_chars")],
+                                          UNIFORM_RATE, key="doc_id")
+    return res.select("lang", "docs", r6("avg_chars").alias("avg_chars"),
+                      r6("total_chars").alias("total_chars"), "sample_count", "population_count",
+                      "error_pct")
+
+
 # ======================================================================== E
 def _built(spark, d, name, tiers=True, strat=True):
     st = _store(spark, name)
@@ -448,6 +462,18 @@ def approx_distinct_grouped(spark, d):
                     .alias("within_tolerance"))
 
 
+@query
+def approx_distinct_orders(spark, d):
+    """Distinct customers with orders, per order status (HLL, tolerance)."""
+    o = read_table(spark, d, "orders")
+    r = o.groupBy("o_orderstatus").agg(
+        F.approx_count_distinct("o_custkey", sketches.DEFAULT_RSD).alias("e"),
+        F.count_distinct("o_custkey").alias("customers"))
+    return r.select("o_orderstatus", "customers",
+                    _within(F.col("e"), F.col("customers"), 3 * sketches.DEFAULT_RSD)
+                    .alias("within_tolerance"))
+
+
 @query
 def hll_distinct(spark, d):
     p = sketches.DEFAULT_HLL_P
@@ -509,7 +535,8 @@ def _quantile_check(df: DataFrame, col: str, probs, est_fn, eps: float, group_by
     ests = [est_fn(p).alias(f"e{i}") for i, p in enumerate(probs)]
     est = df.groupBy(*g).agg(*ests) if g else df.agg(*ests)
     if g:
-        j = df.join(F.broadcast(est), g)
+        # one row per group: broadcast when the counted number of groups is bounded
+        j = df.join(F.broadcast(est) if est.count() <= 1_000_000 else est, g)
     else:
         j = _const(df).join(F.broadcast(_const(est)), "__k")
     cnt = [F.count(x).alias("n")]

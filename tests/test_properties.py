@@ -159,3 +159,11 @@ def test_exact_quantile_grouped(sales, p, kind):
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-9), k
+
+
+def test_empty_input_gives_null_bounds(sales):
+    empty = sales.filter(F.col("amount") < 0)
+    r = sampling.sample_aggregate(empty, ["count(*)", "sum(amount)", "avg(amount)"], 0.1).first()
+    assert r["count_rows"] == 0 and r["count_rows_error_pct"] is None
+    assert r["sum_amount"] is None and r["sum_amount_error_pct"] is None
+    assert r["avg_amount_margin"] is None
