@@ -9,7 +9,7 @@ Prints ONE JSON line:
   {"metric": "total_query_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 3).
+BENCH_REPEAT (default 5).
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "5"))
 
     from pyspark.sql import functions as F
 
@@ -39,7 +39,11 @@ def main() -> None:
     from roughcut.session import local_session, shared_dir
     from roughcut.sources.tables import read_table, sales_with_hash
 
-    spark = local_session(cpus, shuffle_partitions=max(int(cpus), 1) * 2, app_name="roughcut-bench")
+    from roughcut.session import shuffle_partitions_for
+    input_bytes = sum(os.path.getsize(os.path.join(sf_dir, f)) for f in os.listdir(sf_dir)
+                      if f.endswith(".parquet") and os.path.isfile(os.path.join(sf_dir, f)))
+    parts = shuffle_partitions_for(input_bytes, int(cpus))
+    spark = local_session(cpus, shuffle_partitions=parts, app_name="roughcut-bench")
     setup: dict[str, float] = {}
 
     def timed(name, fn, bucket=setup):
@@ -136,6 +140,7 @@ def main() -> None:
         "speedup_exact_over_approx": speedups,
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
+        "shuffle_partitions": parts,
         "repeat": repeat,
     }
     print(json.dumps(out))

@@ -38,7 +38,7 @@ from roughcut.functions import bounds
 from roughcut.operators import profile as prof
 from roughcut.operators import quantile, sampling, sketches, stratified
 from roughcut.operators.aggspec import Agg, as_aggs
-from roughcut.operators.samples import SampleStore, tier_name
+from roughcut.operators.samples import SampleStore
 
 SMALL_TABLE_ROWS = 100_000  # fixed value: below this many rows answer exactly
 QUANTILE_ACCURACY = 10_000
@@ -108,7 +108,7 @@ def _exact_expr(a: Agg) -> Column:
         return getattr(F, a.func)(c).cast("double")
     if a.func == "count_distinct":
         return F.count_distinct(c)
-    return F.percentile(c.cast("double"), F.lit(a.prob))
+    raise ValueError("exact quantiles go through roughcut.operators.quantile")
 
 
 def exact_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
@@ -222,7 +222,3 @@ def _run(df, aggs, group_by, where, key, table, store, plan: Plan, confidence) -
         raise ValueError(f"unknown strategy {s!r}")
     err = {a.name: F.col("error_pct") for a in aggs if a.func in ("count", "sum", "avg")}
     return _finish(res, group_by, aggs, err, s, plan.rate)
-
-
-def strategy_name_for_tier(rate: float) -> str:
-    return tier_name(rate)

@@ -40,6 +40,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def shuffle_partitions_for(input_bytes: int, cores: int,
+                           target_bytes: int = 128 * 1024 * 1024) -> int:
+    """Initial ``spark.sql.shuffle.partitions`` for an input size.
+
+    About one partition per ``target_bytes`` of input, at most two per
+    core; AQE then coalesces small partitions and splits skewed ones at run
+    time. (On a cluster: set it from the table size the same way and let
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` steer AQE.)
+    """
+    return max(1, min(2 * max(cores, 1), -(-input_bytes // target_bytes)))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder, setting one only if unset.
 
