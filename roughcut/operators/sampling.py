@@ -29,11 +29,15 @@ from roughcut.operators.aggspec import Agg, as_aggs
 def uniform_sample(df: DataFrame, rate: float, key: str | Sequence[str] | None = None,
                    method: str = "hash", seed: int = 42, h: str = "h",
                    hash_method: str = "md5") -> DataFrame:
-    """Uniform row sample at ``rate``."""
+    """Uniform row sample at ``rate``.
+
+    Hash sampling needs the row key (or a stored ``h``); without either the
+    call falls back to Spark's Bernoulli sampler.
+    """
+    if method == "hash" and h not in df.columns and key is None:
+        method = "bernoulli"
     if method == "hash":
         if h not in df.columns:
-            if key is None:
-                raise ValueError("hash sampling needs a row key or an 'h' column")
             df = with_row_hash(df, key, h, hash_method)
         return df.filter(F.col(h) < F.lit(threshold(rate)))
     if method == "bernoulli":
@@ -149,3 +153,13 @@ def count_with_error(counts: DataFrame, count_col: str, rate: float,
     """Attach a COUNT bound to every row of an aggregated result."""
     b = bounds.count_bound(F.col(count_col), float(rate), confidence, method)
     return counts.select("*", *[v.alias(k) for k, v in b.items()])
+
+
+def sample_stats(df: DataFrame, rates) -> DataFrame:
+    """H4: population size and the expected sample size ``floor(N * r)`` for
+    each rate, from one count of the table (one row per rate)."""
+    n = df.agg(F.count(F.lit(1)).alias("population_size"))
+    x = n.select("population_size", F.explode(F.array(*[F.lit(float(r)) for r in rates])).alias("sample_rate"))
+    return x.select("population_size",
+                    F.floor(F.col("population_size") * F.col("sample_rate")).cast("bigint").alias("sample_size"),
+                    "sample_rate")

@@ -712,10 +712,8 @@ def avg_error(spark, d):
 
 @query
 def sample_stats(spark, d):
-    s = load_sales(spark, d).agg(F.count(F.lit(1)).alias("population_size"))
-    x = s.select("population_size", F.explode(F.array(*[F.lit(r) for r in DEFAULT_TIERS])).alias("rate"))
-    return x.select("population_size", F.floor(F.col("population_size") * F.col("rate"))
-                    .cast("bigint").alias("sample_size"), r6("rate").alias("sample_rate"))
+    res = sampling.sample_stats(load_sales(spark, d), DEFAULT_TIERS)
+    return res.select("population_size", "sample_size", r6("sample_rate").alias("sample_rate"))
 
 
 @query
