@@ -131,15 +131,14 @@ def group_distribution(df: DataFrame, group_by: str | Sequence[str]) -> DataFram
     most frequent first.
 
     ``SUM(COUNT(*)) OVER ()`` would pull every group into one task; the
-    total comes instead from a one-row aggregate broadcast to the group
-    counts, and the final ordering is Spark's distributed range sort.
+    total is a scalar subquery instead (one extra column-less count), and
+    the final ordering is Spark's distributed range sort.
     """
     g = [group_by] if isinstance(group_by, str) else list(group_by)
     counts = df.groupBy(*g).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1)).alias("__total")).withColumn("__k", F.lit(0))
-    j = counts.withColumn("__k", F.lit(0)).join(F.broadcast(total), "__k")
-    share = F.round(F.col("count") * 100.0 / F.col("__total"), 2)
-    return j.select(*g, "count", share.alias("pct")).orderBy(F.desc("count"), *g)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    share = F.round(F.col("count") * 100.0 / total, 2)
+    return counts.select(*g, "count", share.alias("pct")).orderBy(F.desc("count"), *g)
 
 
 # ------------------------------------------------------------------ snapshots

@@ -121,10 +121,9 @@ class SampleStore:
         self._invalidate()
         dfh = with_row_hash(df, key)
         path = self._strat(table, g)
-        # the written strata table (with each stratum's forced row) cuts the
-        # lineage: the sample is then one filtered scan plus the forced rows
-        (stratified.strata_table(dfh, g, rate, with_rows=True)
-         .write.mode("overwrite").parquet(f"{path}/strata"))
+        # the written strata table cuts the lineage; the sample is then one
+        # scan joined to the (counted, broadcast) empty strata
+        stratified.strata_table(dfh, g, rate).write.mode("overwrite").parquet(f"{path}/strata")
         strata = self.spark.read.parquet(f"{path}/strata")
         rows = stratified.stratified_sample(dfh, g, rate, strata=strata)
         rows.write.mode("overwrite").parquet(f"{path}/data")
@@ -189,7 +188,7 @@ class SampleStore:
 
     def strata(self, table: str, group_by) -> DataFrame:
         g = [group_by] if isinstance(group_by, str) else list(group_by)
-        return self._read(f"{self._strat(table, g)}/strata").drop("forced_row")
+        return self._read(f"{self._strat(table, g)}/strata")
 
     # ---------------------------------------------------------------- answer
     def tier_aggregate(self, table: str, aggs, rate: float | None = None,

@@ -14,12 +14,14 @@ Plans, and why they hold at scale:
   the **same single pass** as the population counts: the sampled values are
   conditional aggregates, and the forced minimum-hash row comes from
   ``min_by(value, h)``. No join, no second scan.
-* :func:`stratified_sample` materialises sample rows as
-  ``rows under the threshold  UNION ALL  forced rows``. The forced row of
-  each stratum is carried out of the strata aggregate itself by
-  ``min_by(struct(row), h)``: per partition and stratum one candidate row
-  crosses the shuffle, and no join against the base rows is needed, so
-  neither the number of strata nor a hot stratum can blow up the plan.
+* :func:`stratified_sample` materialises sample rows in one scan: a row is
+  kept when its hash is under the threshold or when it is the minimum-hash
+  row of a stratum left empty. The empty strata (key and ``min_h``, from
+  the numeric strata aggregate) are broadcast once their counted number is
+  under ``broadcast_strata``; the base rows are then only filtered, never
+  shuffled. Beyond that bound each empty stratum's row is carried out of an
+  aggregate as ``min_by(struct(row), h)`` instead: still no shuffle of base
+  rows, at the price of a sort-based aggregate.
 """
 
 from __future__ import annotations
@@ -65,21 +67,36 @@ def strata_table(df: DataFrame, group_by, rate: float, key=None, h: str = "h",
             .withColumn("sample_count", F.greatest(F.col("below_count"), F.lit(1)).cast("bigint")))
 
 
+DEFAULT_BROADCAST_STRATA = 2_000_000
+
+
 def stratified_sample(df: DataFrame, group_by, rate: float, key=None, h: str = "h",
-                      strata: DataFrame | None = None, hash_method: str = "md5") -> DataFrame:
+                      strata: DataFrame | None = None, hash_method: str = "md5",
+                      broadcast_strata: int = DEFAULT_BROADCAST_STRATA) -> DataFrame:
     """Sample rows, ``rate`` per stratum, at least one row per stratum.
 
-    ``strata`` may be a stored strata table built with ``with_rows=True``;
-    otherwise the strata aggregate runs as part of this plan (one extra scan,
-    no join).
+    ``strata`` may be a stored strata table (see :func:`strata_table`);
+    otherwise it is computed and checkpointed to the shared checkpoint
+    folder, which cuts its lineage before it is counted and joined.
     """
     g = _groups(group_by)
     if h not in df.columns:
         df = with_row_hash(df, key, h, hash_method)
+    thr = F.lit(threshold(rate))
     if strata is None:
-        strata = strata_table(df, g, rate, h=h, with_rows=True)
-    forced = strata.filter(F.col("below_count") == 0).select("forced_row.*")
-    return df.filter(F.col(h) < F.lit(threshold(rate))).unionByName(forced.select(*df.columns))
+        strata = strata_table(df, g, rate, h=h).checkpoint(eager=True)
+    empty = strata.filter(F.col("below_count") == 0)
+    if empty.count() <= broadcast_strata:
+        e = F.broadcast(empty.select(*[F.col(c).alias(f"__e_{c}") for c in g],
+                                     F.col("min_h").alias("__e_h")))
+        cond = F.col(h) == F.col("__e_h")
+        for c in g:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"__e_{c}"))
+        kept = df.join(e, cond, "left").filter((F.col(h) < thr) | F.col("__e_h").isNotNull())
+        return kept.select(*df.columns)
+    forced = (strata_table(df, g, rate, h=h, with_rows=True)
+              .filter(F.col("below_count") == 0).select("forced_row.*"))
+    return df.filter(F.col(h) < thr).unionByName(forced.select(*df.columns))
 
 
 def _sampled(a: Agg, sel: Column, w: Column, h: str) -> Column:

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roughcut.functions import bounds
+from roughcut.functions.frames import with_scalars
 from roughcut.operators import profile as prof
 from roughcut.operators import quantile, sampling, sketches, stratified
 from roughcut.operators.aggspec import Agg, as_aggs
@@ -134,11 +135,10 @@ def exact_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
             parts.append(quantile.exact_quantile_grouped(df, group_by, a.column, a.prob, alias=a.name)
                          if group_by else quantile.exact_quantile(df, a.column, a.prob, alias=a.name))
     res = parts[0]
-    for nxt in parts[1:]:
-        if group_by:
-            res = res.join(nxt, group_by, "full_outer")
-        else:  # one row each: join on a constant, not a cartesian product
-            res = res.withColumn("__k", F.lit(0)).join(nxt.withColumn("__k", F.lit(0)), "__k").drop("__k")
+    if not group_by:  # one row each: attach as scalars
+        res = with_scalars(res, *parts[1:])
+    for nxt in parts[1:] if group_by else []:
+        res = res.join(nxt, group_by, "full_outer")
     return res.select(*group_by, *[a.name for a in aggs])
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roughcut.functions import bounds
+from roughcut.functions.frames import with_scalars
 from roughcut.operators.aggspec import SAMPLEABLE, as_aggs
 from roughcut.operators.samples import SampleStore
 from roughcut.plans.aggregate import Plan, _run, approx_aggregate, exact_aggregate
@@ -23,8 +24,8 @@ ACCURACY_LEVELS = (0.85, 0.90, 0.95, 0.99)  # fixed value: the reference's sweep
 
 def _join_groups(left: DataFrame, right: DataFrame, group_by: list[str], how: str) -> DataFrame:
     if not group_by:
-        # both sides hold exactly one row: join on a constant, not a cartesian product
-        return left.withColumn("__k", F.lit(0)).join(right.withColumn("__k", F.lit(0)), "__k", how).drop("__k")
+        # both sides hold exactly one row: attach the right one as scalars
+        return with_scalars(left, right)
     # both sides usually descend from the same scan: rename the keys on each
     # side so the join condition cannot resolve to the wrong lineage
     l2 = left.select(*[F.col(g).alias(f"__l_{g}") for g in group_by],

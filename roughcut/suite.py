@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roughcut.functions import bounds
+from roughcut.functions.frames import with_scalars
 from roughcut.functions.hashing import threshold
 from roughcut.operators import profile as prof
 from roughcut.operators import sampling, sketches, stratified
@@ -209,7 +210,7 @@ def sample_native(spark, d):
         .agg(F.count(F.lit(1)).alias("n"))
     pop = s.agg(F.count(F.lit(1)).alias("population_rows"))
     r = UNIFORM_RATE
-    j = pop.withColumn("__k", F.lit(0)).join(n.withColumn("__k", F.lit(0)), "__k")
+    j = with_scalars(pop, n)
     ok = F.abs(F.col("n") - F.col("population_rows") * r) <= \
         4 * F.sqrt(F.col("population_rows") * r * (1 - r))
     return j.select("population_rows", ok.alias("within_tolerance"))
@@ -510,47 +511,45 @@ def hll_merge(spark, d):
     merged = sketches.merge_hll(per, alias="merged")
     direct = s.agg(F.hll_sketch_estimate(sketches.hll_sketch("user_id", p)).alias("direct"),
                    F.count_distinct("user_id").alias("distinct_users"))
-    j = merged.withColumn("__k", F.lit(0)).join(direct.withColumn("__k", F.lit(0)), "__k")
+    j = with_scalars(merged, direct)
     tol = 3 * sketches.hll_error_pct(p) / 100
     return j.select("distinct_users", (F.col("merged") == F.col("direct")).alias("merge_equals_direct"),
                     _within(F.col("merged"), F.col("distinct_users"), tol).alias("within_tolerance"))
 
 
 # ======================================================================== Q
-def _const(df: DataFrame) -> DataFrame:
-    return df.withColumn("__k", F.lit(0))
-
-
-def _quantile_check(df: DataFrame, col: str, probs, est_fn, eps: float, group_by=()):
+def _quantile_check(df: DataFrame, col: str, probs, est_fn, eps: float, group_by=(),
+                    est_frame: DataFrame | None = None):
     """Exact quantile per probability plus a rank check of the estimate.
 
     The estimate passes when the share of rows at or below it reaches
     ``p - eps`` and the share strictly below it stays under ``p + eps``.
     Estimates (one row per group) are joined back to the rows by group key
-    and broadcast; exact values come from distributed selection.
+    (broadcast behind a count), or attached as scalars when ungrouped; exact
+    values come from distributed selection.
     """
     g = list(group_by)
     probs = list(probs)
     x = F.col(col).cast("double")
-    ests = [est_fn(p).alias(f"e{i}") for i, p in enumerate(probs)]
-    est = df.groupBy(*g).agg(*ests) if g else df.agg(*ests)
-    if g:
-        # one row per group: broadcast when the counted number of groups is bounded
+    if est_frame is not None:  # precomputed estimates e0, e1, ... (one row, ungrouped)
+        j = with_scalars(df, est_frame)
+    elif g:
+        est = df.groupBy(*g).agg(*[est_fn(p).alias(f"e{i}") for i, p in enumerate(probs)])
         j = df.join(F.broadcast(est) if est.count() <= 1_000_000 else est, g)
     else:
-        j = _const(df).join(F.broadcast(_const(est)), "__k")
+        j = with_scalars(df, df.agg(*[est_fn(p).alias(f"e{i}") for i, p in enumerate(probs)]))
     cnt = [F.count(x).alias("n")]
     for i in range(len(probs)):
         e = F.col(f"e{i}")
         cnt += [F.count_if(x < e).alias(f"lt{i}"), F.count_if(x <= e).alias(f"le{i}")]
     ranks = j.groupBy(*g).agg(*cnt) if g else j.agg(*cnt)
-    exact = None
-    for i, p in enumerate(probs):
-        q = (exact_quantile_grouped(df, g, col, p, alias=f"x{i}") if g
-             else exact_quantile(df, col, p, alias=f"x{i}"))
-        exact = q if exact is None else (exact.join(q, g) if g else
-                                         _const(exact).join(_const(q), "__k").drop("__k"))
-    both = ranks.join(exact, g) if g else _const(ranks).join(_const(exact), "__k").drop("__k")
+    if g:
+        both = ranks
+        for i, p in enumerate(probs):
+            both = both.join(exact_quantile_grouped(df, g, col, p, alias=f"x{i}"), g)
+    else:
+        both = with_scalars(ranks, *[exact_quantile(df, col, p, alias=f"x{i}")
+                                     for i, p in enumerate(probs)])
     n = F.col("n")
     rows = F.explode(F.array(*[F.struct(
         F.lit(sketches.quantile_name(p)).alias("quantile"), F.lit(float(p)).alias("p"),
@@ -599,15 +598,9 @@ def kll_merge(spark, d):
     """Per-region KLL sketches merged, checked against the whole table."""
     s = load_sales(spark, d)
     merged = sketches.merge_kll(sketches.kll_sketches(s, "amount", ["region"], KLL_K), PERCENTILES)
-    # the merged quantiles enter the rank check as constants of a one-row frame
-    cols = {sketches.quantile_name(p): p for p in PERCENTILES}
-
-    def est_fn(p):
-        return F.first(F.col(f"__m_{sketches.quantile_name(p)}"))
-
-    s2 = _const(s).join(F.broadcast(_const(merged.select(
-        *[F.col(c).alias(f"__m_{c}") for c in cols]))), "__k").drop("__k")
-    return _quantile_check(s2, "amount", PERCENTILES, est_fn, KLL_EPS)
+    est = merged.select(*[F.col(sketches.quantile_name(p)).alias(f"e{i}")
+                          for i, p in enumerate(PERCENTILES)])
+    return _quantile_check(s, "amount", PERCENTILES, None, KLL_EPS, est_frame=est)
 
 
 @query

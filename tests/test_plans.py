@@ -38,8 +38,20 @@ def test_stratified_estimate_is_one_aggregate(sales):
     assert p.count("Exchange") == 1
 
 
-def test_stratified_sample_needs_no_join(spark, sales):
+def test_stratified_sample_filters_base_rows_in_place(spark, sales):
+    """Base rows are scanned once and filtered against broadcast empty strata:
+    no shuffle of base rows, no sort-based aggregate."""
     df = stratified.stratified_sample(sales, "region", 0.01)
     p = _plan(df)
-    assert "Join" not in p
-    assert p.count("Exchange") == 1  # the strata partials only
+    assert "BroadcastHashJoin" in p and "LeftOuter" in p
+    assert "SortMergeJoin" not in p and "SortAggregate" not in p
+    assert "Exchange hashpartitioning" not in p  # strata were checkpointed
+
+
+def test_stratified_sample_many_strata_fallback(sales):
+    """Past the broadcast bound the forced rows come out of an aggregate."""
+    small = stratified.stratified_sample(sales, "region", 0.01)
+    big = stratified.stratified_sample(sales, "region", 0.01, broadcast_strata=0)
+    assert "Join" not in _plan(big)
+    key = lambda df: sorted(r["event_id"] for r in df.select("event_id").collect())
+    assert key(small) == key(big)
