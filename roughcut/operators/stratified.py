@@ -126,8 +126,11 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
 
     Output: group columns, one column per aggregate (COUNT and SUM scaled by
     ``N_g / n_g`` of the **unfiltered** stratum, AVG/MIN/MAX as sampled),
-    ``x_sample`` for COUNT/SUM, ``sample_count``, ``population_count`` and
-    ``error_pct``. With ``where``, strata with no matching sampled row drop
+    ``x_sample`` for COUNT/SUM, ``x_ci_low``/``x_ci_high`` for SUM and AVG
+    (normal interval from the spread of the sampled values within the
+    stratum, with finite-population correction; NULL when fewer than two
+    rows were sampled), ``sample_count``, ``population_count`` and the
+    stratum's ``error_pct``. With ``where``, strata with no matching sampled row drop
     out, as they would after ``WHERE ... GROUP BY`` on the sample rows.
     """
     g = _groups(group_by)
@@ -144,19 +147,31 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
     for a in aggs:
         b, f = _sampled(a, sel, w, h)
         stats += [b.alias(f"{a.name}__b"), f.alias(f"{a.name}__f")]
+        if a.func in ("sum", "avg"):
+            # spread of the sampled values (a lone forced row has none)
+            stats.append(F.stddev_samp(F.when(sel, F.col(a.column))).alias(f"{a.name}__sd"))
     agg = df.groupBy(*g).agg(*stats)
 
     has_below = F.col("below_count") > 0
     n = F.greatest(F.col("below_count"), F.lit(1)).cast("bigint")
     N = F.col("population_count")
     matched = F.when(has_below, F.col("match__b")).otherwise(F.col("match__f"))
+    # rows of the (filtered) domain in the sample, and its estimated size
+    n_d = F.when(has_below, F.col("match__b")).otherwise(F.col("match__f"))
+    N_d = n_d * N / n
     out: list[Column] = [F.col(c) for c in g]
     for a in aggs:
         v = F.when(has_below, F.col(f"{a.name}__b")).otherwise(F.col(f"{a.name}__f"))
         if a.func == "count":
             out += [F.floor(v * N / n).cast("bigint").alias(a.name), v.alias(f"{a.name}_sample")]
         elif a.func == "sum":
-            out += [(v * N / n).alias(a.name), v.alias(f"{a.name}_sample")]
+            b = bounds.sum_bound(v, F.col(f"{a.name}__sd"), n_d, N_d)
+            out += [(v * N / n).alias(a.name), v.alias(f"{a.name}_sample"),
+                    b["ci_low"].alias(f"{a.name}_ci_low"), b["ci_high"].alias(f"{a.name}_ci_high")]
+        elif a.func == "avg":
+            m = bounds.avg_bound(F.col(f"{a.name}__sd"), n_d, N_d)["margin"]
+            out += [v.alias(a.name), F.round(v - m, 4).alias(f"{a.name}_ci_low"),
+                    F.round(v + m, 4).alias(f"{a.name}_ci_high")]
         else:
             out.append(v.alias(a.name))
     out += [n.alias("sample_count"), N.alias("population_count"),

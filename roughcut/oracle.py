@@ -204,6 +204,15 @@ Q["stratified_avg"] = _strat_agg(f"a.region, {r6('a.avg_s')} AS avg_amount")
 Q["stratified_minmax"] = _strat_agg(f"a.region, {r6('a.min_s')} AS min_amount, {r6('a.max_s')} AS max_amount")
 Q["stratified_error"] = w(strata(T1)) + f"""SELECT region, sample_count, population_count,
   {strat_err('sample_count', 'population_count')} AS error_pct FROM strata"""
+_sbd = sum_bound("a.sum_s", "a.sd_s", "CAST(t.sample_count AS DOUBLE)", "CAST(t.population_count AS DOUBLE)")
+_sem_b = avg_sem("a.sd_s", "CAST(t.sample_count AS DOUBLE)", "CAST(t.population_count AS DOUBLE)")
+Q["stratified_bounds"] = w(strata(T10), samp(T10), f"""a AS (SELECT region, {SUM_AMT} AS sum_s, {AVG_AMT} AS avg_s,
+    stddev_samp(amount) FILTER (WHERE h < {T10}) AS sd_s FROM samp GROUP BY region)""") + f"""SELECT a.region,
+  {r6(_SUM_EST)} AS total_revenue, {_sbd['ci_low']} AS total_revenue_ci_low,
+  {_sbd['ci_high']} AS total_revenue_ci_high, {r6('a.avg_s')} AS avg_amount,
+  round(a.avg_s - round(1.96 * {_sem_b}, 4), 4) AS avg_amount_ci_low,
+  round(a.avg_s + round(1.96 * {_sem_b}, 4), 4) AS avg_amount_ci_high, t.sample_count
+FROM a JOIN strata t ON a.region = t.region"""
 Q["stratified_filtered"] = _strat_agg(
     f"a.region, {_CNT_EST} AS cnt, a.cnt_s AS cnt_sample, {r6(_SUM_EST)} AS total_revenue, "
     "t.sample_count, t.population_count", where="WHERE amount > 50")

@@ -314,6 +314,16 @@ def stratified_error(spark, d):
     return _strat(spark, d, [CNT]).select("region", "sample_count", "population_count", "error_pct")
 
 
+@query
+def stratified_bounds(spark, d):
+    """Per-stratum confidence intervals of SUM and AVG (10 % stratified)."""
+    res = stratified.stratified_aggregate(_sales(spark, d), "region", [SUM, AVG], UNIFORM_RATE)
+    return res.select("region", r6("total_revenue").alias("total_revenue"),
+                      "total_revenue_ci_low", "total_revenue_ci_high",
+                      r6("avg_amount").alias("avg_amount"), "avg_amount_ci_low", "avg_amount_ci_high",
+                      "sample_count")
+
+
 @query
 def stratified_filtered(spark, d):
     """Filter on a stratified sample: COUNT scales by N_g/n_g of the unfiltered stratum."""

@@ -167,3 +167,33 @@ def test_empty_input_gives_null_bounds(sales):
     assert r["count_rows"] == 0 and r["count_rows_error_pct"] is None
     assert r["sum_amount"] is None and r["sum_amount_error_pct"] is None
     assert r["avg_amount_margin"] is None
+
+
+def test_stratified_intervals_cover_truth(spark, sales):
+    """95 % intervals from a 1 % stratified sample of lineitem (sf0.1, about
+    1,000 sampled rows per stratum) contain every stratum's true SUM and AVG;
+    a stratum represented by its lone forced row gets no interval."""
+    li = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    g = ["l_returnflag", "l_linestatus"]
+    est = stratified.stratified_aggregate(li, g, ["sum(l_extendedprice)", "avg(l_extendedprice)"],
+                                          0.01, key=key, hash_method="xxhash")
+    ex = {(r[0], r[1]): (r[2], r[3]) for r in
+          li.groupBy(*g).agg(F.sum("l_extendedprice"), F.avg("l_extendedprice")).collect()}
+    for r in est.collect():
+        s, a = ex[(r["l_returnflag"], r["l_linestatus"])]
+        assert r["sum_l_extendedprice_ci_low"] <= s <= r["sum_l_extendedprice_ci_high"]
+        assert r["avg_l_extendedprice_ci_low"] <= a <= r["avg_l_extendedprice_ci_high"]
+    a = stratified.stratified_aggregate(sales, "region", ["sum(amount)"], 0.01).collect()
+    lone = [r for r in a if r["sample_count"] == 1]
+    assert lone and all(r["sum_amount_ci_low"] is None for r in lone)
+
+
+def test_null_group_is_a_stratum(spark, sales):
+    s = sales.withColumn("region", F.when(F.col("event_id") % 500 == 7, None).otherwise(F.col("region")))
+    rows = stratified.stratified_sample(s, "region", 0.01)
+    got = {r["region"] for r in rows.select("region").distinct().collect()}
+    assert None in got and {"US", "UK", "Antarctica"} <= got
+    agg = {r["region"]: r["population_count"] for r in
+           stratified.stratified_aggregate(s, "region", ["count(*)"], 0.01).collect()}
+    assert agg[None] == 20 and sum(agg.values()) == 10_000
