@@ -1,11 +1,14 @@
 """Error bounds and accuracy maps as Spark column expressions.
 
-Every function here returns ``Column`` objects, so bounds are computed on the
-executors next to the aggregates that feed them (one value per group row),
-never in a driver loop. Inputs may be columns or Python numbers.
-
-Undefined cases (empty sample, population of one) give NULL instead of an
-error or an infinity.
+Every bound is computed on the executors next to the aggregates that feed it
+(one value per group row), never in a driver loop. The formulas are written
+once as Spark SQL expression text (the ``*_sql`` functions) and turned into
+columns with ``F.expr``: one driver call per output column instead of one
+per arithmetic node, which keeps plan construction cheap.
+
+Inputs are column names (or SQL expressions over columns) and Python
+numbers. Undefined cases (empty sample, population of one) give NULL
+instead of an error or an infinity.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ColLike = Column | float | int
+Operand = str | float | int
 
 # Fixed values (must equal the reference for identical results):
 #   z = 1.96 when the confidence is exactly 0.95, otherwise 2.576
@@ -34,17 +37,33 @@ def z_value(confidence: float) -> float:
     return Z_95 if confidence == 0.95 else Z_OTHER
 
 
-def _c(x: ColLike) -> Column:
-    return x if isinstance(x, Column) else F.lit(float(x) if isinstance(x, float) else x)
+def sql(x: Operand) -> str:
+    """SQL text of an operand: numbers become typed literals (``2.5D`` is a
+    DOUBLE, a bare ``2.5`` would be DECIMAL), strings are column names or
+    expressions and are parenthesised."""
+    if isinstance(x, bool):
+        return "true" if x else "false"
+    if isinstance(x, int):
+        return f"{x}L" if abs(x) > 2_147_483_647 else str(x)
+    if isinstance(x, float):
+        return f"{x!r}D"
+    if isinstance(x, str):
+        return f"({x})"
+    raise TypeError(f"pass a column name or a number, not {type(x).__name__}")
+
 
+def _cols(d: dict[str, str]) -> dict[str, Column]:
+    return {k: F.expr(v) for k, v in d.items()}
 
-def _fpc(N: Column, n: Column) -> Column:
+
+def _fpc(N: str, n: str) -> str:
     """Finite population correction sqrt((N-n)/(N-1)); 1 when N <= 1."""
-    return F.when(N > 1, F.sqrt((N - n) / (N - F.lit(1)))).otherwise(F.lit(1.0))
+    return f"(CASE WHEN {N} > 1 THEN sqrt(({N} - {n}) / ({N} - 1)) ELSE 1.0D END)"
 
 
-def count_bound(n: ColLike, rate: ColLike, confidence: float = 0.95,
-                method: str = "proportion") -> dict[str, Column]:
+# ------------------------------------------------------------------ COUNT
+def count_bound_sql(n: Operand, rate: Operand, confidence: float = 0.95,
+                    method: str = "proportion") -> dict[str, str]:
     """COUNT scaled from a Bernoulli sample of ``rate`` with ``n`` hits.
 
     ``method="proportion"`` reproduces the reference's margin
@@ -52,75 +71,98 @@ def count_bound(n: ColLike, rate: ColLike, confidence: float = 0.95,
     Horvitz-Thompson relative error ``z * sqrt((1 - r) / n) * fpc``, the
     statistically sound (and wider) bound.
     """
-    n, r = _c(n), _c(rate)
-    z = F.lit(z_value(confidence))
-    N = F.floor(n / r).cast("bigint")
+    n, r, z = sql(n), sql(rate), sql(z_value(confidence))
+    N = f"CAST(floor({n} / {r}) AS BIGINT)"
     if method == "proportion":
-        core = F.sqrt(r * (F.lit(1.0) - r) / n)
+        core = f"sqrt({r} * (1.0D - {r}) / {n})"
     elif method == "ht":
-        core = F.sqrt((F.lit(1.0) - r) / n)
+        core = f"sqrt((1.0D - {r}) / {n})"
     else:
         raise ValueError(f"unknown method {method!r}")
-    margin = F.when(n > 0, z * core * _fpc(N, n))
-    ok = n > 0
+    margin = f"(CASE WHEN {n} > 0 THEN {z} * {core} * {_fpc(N, n)} END)"
     return {
-        "estimated_total": F.when(ok, N),
-        "error_pct": F.round(margin * 100, 2),
-        "ci_low": F.floor(N * (F.lit(1.0) - margin)).cast("bigint"),
-        "ci_high": F.floor(N * (F.lit(1.0) + margin)).cast("bigint"),
+        "estimated_total": f"CASE WHEN {n} > 0 THEN {N} END",
+        "error_pct": f"round({margin} * 100, 2)",
+        "ci_low": f"CAST(floor({N} * (1.0D - {margin})) AS BIGINT)",
+        "ci_high": f"CAST(floor({N} * (1.0D + {margin})) AS BIGINT)",
     }
 
 
-def sum_bound(sample_sum: ColLike, sample_std: ColLike, n: ColLike, N: ColLike,
-              confidence: float = 0.95) -> dict[str, Column]:
+def count_bound(n: Operand, rate: Operand, confidence: float = 0.95,
+                method: str = "proportion") -> dict[str, Column]:
+    return _cols(count_bound_sql(n, rate, confidence, method))
+
+
+# ------------------------------------------------------------------ SUM / AVG
+def sum_bound_sql(sample_sum: Operand, sample_std: Operand, n: Operand, N: Operand,
+                  confidence: float = 0.95) -> dict[str, str]:
     """SUM scaled by N/n with a normal-approximation interval.
 
     NULL when the sample has fewer than two rows (no standard deviation) or
     the population has at most one row.
     """
-    s, sd, n, N = _c(sample_sum), _c(sample_std), _c(n), _c(N)
-    z = F.lit(z_value(confidence))
-    ok = (n > 1) & (N > 1)
-    total = F.when(n > 0, s * N / n)
-    margin = F.when(ok, z * (N * (sd / F.sqrt(n)) * _fpc(N, n)))
-    pct = F.when(total != 0, margin / total * 100).otherwise(F.when(ok, F.lit(0.0)))
+    s, sd, n, N, z = sql(sample_sum), sql(sample_std), sql(n), sql(N), sql(z_value(confidence))
+    ok = f"({n} > 1 AND {N} > 1)"
+    total = f"(CASE WHEN {n} > 0 THEN {s} * {N} / {n} END)"
+    margin = f"(CASE WHEN {ok} THEN {z} * ({N} * ({sd} / sqrt({n})) * {_fpc(N, n)}) END)"
+    pct = f"(CASE WHEN {total} != 0 THEN {margin} / {total} * 100 WHEN {ok} THEN 0.0D END)"
     return {
-        "estimated_total": F.round(total, 2),
-        "error_pct": F.round(pct, 2),
-        "ci_low": F.round(total - margin, 2),
-        "ci_high": F.round(total + margin, 2),
+        "estimated_total": f"round({total}, 2)",
+        "error_pct": f"round({pct}, 2)",
+        "ci_low": f"round({total} - {margin}, 2)",
+        "ci_high": f"round({total} + {margin}, 2)",
     }
 
 
-def avg_bound(sample_std: ColLike, n: ColLike, N: ColLike,
+def sum_bound(sample_sum: Operand, sample_std: Operand, n: Operand, N: Operand,
               confidence: float = 0.95) -> dict[str, Column]:
+    return _cols(sum_bound_sql(sample_sum, sample_std, n, N, confidence))
+
+
+def avg_sem_sql(sample_std: Operand, n: Operand, N: Operand) -> str:
+    sd, n, N = sql(sample_std), sql(n), sql(N)
+    return f"(CASE WHEN {n} > 1 AND {N} > 1 THEN ({sd} / sqrt({n})) * {_fpc(N, n)} END)"
+
+
+def avg_bound_sql(sample_std: Operand, n: Operand, N: Operand,
+                  confidence: float = 0.95) -> dict[str, str]:
     """Standard error and margin of a sample mean, with fpc (4 decimals)."""
-    sd, n, N = _c(sample_std), _c(n), _c(N)
-    z = F.lit(z_value(confidence))
-    sem = F.when((n > 1) & (N > 1), (sd / F.sqrt(n)) * _fpc(N, n))
-    return {
-        "standard_error": F.round(sem, 4),
-        "margin": F.round(z * sem, 4),
-    }
+    sem = avg_sem_sql(sample_std, n, N)
+    return {"standard_error": f"round({sem}, 4)",
+            "margin": f"round({sql(z_value(confidence))} * {sem}, 4)"}
+
+
+def avg_bound(sample_std: Operand, n: Operand, N: Operand,
+              confidence: float = 0.95) -> dict[str, Column]:
+    return _cols(avg_bound_sql(sample_std, n, N, confidence))
 
 
-def stratum_error_pct(sample_count: ColLike, population_count: ColLike) -> Column:
+# ------------------------------------------------------------------ strata
+def stratum_error_pct_sql(sample_count: Operand, population_count: Operand) -> str:
     """Per-stratum error 1.96*sqrt(p(1-p)/n)*100 with p = n/N, 2 decimals."""
-    n, N = _c(sample_count), _c(population_count)
-    p = n / N
-    return F.round(F.when(n > 0, F.lit(Z_95) * F.sqrt(p * (F.lit(1.0) - p) / n) * 100), 2)
+    n, N = sql(sample_count), sql(population_count)
+    p = f"({n} / {N})"
+    return f"round(CASE WHEN {n} > 0 THEN {sql(Z_95)} * sqrt({p} * (1.0D - {p}) / {n}) * 100 END, 2)"
+
 
+def stratum_error_pct(sample_count: Operand, population_count: Operand) -> Column:
+    return F.expr(stratum_error_pct_sql(sample_count, population_count))
 
-def accuracy_to_rate(accuracy: ColLike, mean: ColLike, stddev: ColLike,
-                     total_rows: ColLike, confidence: float = 0.95) -> Column:
+
+# ------------------------------------------------------------------ accuracy maps
+def accuracy_to_rate_sql(accuracy: Operand, mean: Operand, stddev: Operand,
+                         total_rows: Operand, confidence: float = 0.95) -> str:
     """Sample rate needed for a mean within ``(1-accuracy)*2`` relative margin."""
-    a, m, sd, N = _c(accuracy), _c(mean), _c(stddev), _c(total_rows)
-    z = F.lit(z_value(confidence))
-    margin = (F.lit(1.0) - a) * m * 2
-    need = F.pow(z * sd / margin, 2)
-    clamped = F.greatest(F.lit(RATE_MIN), F.least(F.lit(RATE_MAX), need / N))
-    return (F.when((margin == 0) | (m == 0) | m.isNull() | (N <= 0), F.lit(RATE_DEFAULT))
-            .otherwise(clamped))
+    a, m, sd, N, z = sql(accuracy), sql(mean), sql(stddev), sql(total_rows), sql(z_value(confidence))
+    margin = f"((1.0D - {a}) * {m} * 2)"
+    clamped = f"greatest({sql(RATE_MIN)}, least({sql(RATE_MAX)}, pow({z} * {sd} / {margin}, 2) / {N}))"
+    return (f"CASE WHEN {margin} = 0 OR {m} = 0 OR {m} IS NULL OR {N} <= 0 "
+            f"THEN {sql(RATE_DEFAULT)} ELSE {clamped} END")
+
+
+def accuracy_to_rate(accuracy: Operand, mean: Operand, stddev: Operand,
+                     total_rows: Operand, confidence: float = 0.95) -> Column:
+    return F.expr(accuracy_to_rate_sql(accuracy, mean, stddev, total_rows, confidence))
 
 
 def accuracy_to_rate_py(accuracy: float, mean: float | None, stddev: float | None,
@@ -136,12 +178,14 @@ def accuracy_to_rate_py(accuracy: float, mean: float | None, stddev: float | Non
     return max(RATE_MIN, min(RATE_MAX, need / max(total_rows, 1)))
 
 
-def accuracy_to_hll_precision(accuracy: ColLike) -> Column:
-    a = _c(accuracy)
-    out = None
-    for floor_acc, p in HLL_PRECISION_STEPS:
-        out = F.when(a >= floor_acc, F.lit(p)) if out is None else out.when(a >= floor_acc, F.lit(p))
-    return out.otherwise(F.lit(HLL_PRECISION_FLOOR))
+def accuracy_to_hll_precision_sql(accuracy: Operand) -> str:
+    a = sql(accuracy)
+    steps = " ".join(f"WHEN {a} >= {sql(f)} THEN {p}" for f, p in HLL_PRECISION_STEPS)
+    return f"CASE {steps} ELSE {HLL_PRECISION_FLOOR} END"
+
+
+def accuracy_to_hll_precision(accuracy: Operand) -> Column:
+    return F.expr(accuracy_to_hll_precision_sql(accuracy))
 
 
 def accuracy_to_hll_precision_py(accuracy: float) -> int:
@@ -151,22 +195,38 @@ def accuracy_to_hll_precision_py(accuracy: float) -> int:
     return HLL_PRECISION_FLOOR
 
 
-def hll_error_pct(precision: ColLike) -> Column:
+def hll_error_pct_sql(precision: Operand) -> str:
     """Nominal HLL relative standard error 1.04 / sqrt(2^p), in percent."""
-    p = _c(precision)
-    return F.lit(104.0) / F.sqrt(F.pow(F.lit(2.0), p))
+    return f"104.0D / sqrt(pow(2.0D, {sql(precision)}))"
 
 
-def achieved_accuracy(estimate: ColLike, exact: ColLike) -> Column:
+def hll_error_pct(precision: Operand) -> Column:
+    return F.expr(hll_error_pct_sql(precision))
+
+
+def achieved_accuracy_sql(estimate: Operand, exact: Operand) -> str:
     """1 - |estimate - exact| / |exact|; NULL when the exact value is 0."""
-    e, x = _c(estimate), _c(exact)
-    return F.when(x != 0, F.lit(1.0) - F.abs(e - x) / F.abs(x))
+    e, x = sql(estimate), sql(exact)
+    return f"CASE WHEN {x} != 0 THEN 1.0D - abs({e} - {x}) / abs({x}) END"
+
+
+def achieved_accuracy(estimate: Operand, exact: Operand) -> Column:
+    return F.expr(achieved_accuracy_sql(estimate, exact))
 
 
-def tier_for_accuracy(accuracy: ColLike) -> Column:
+def relative_error_sql(estimate: Operand, exact: Operand) -> str:
+    e, x = sql(estimate), sql(exact)
+    return f"CASE WHEN {x} != 0 THEN abs({e} - {x}) / abs({x}) END"
+
+
+def tier_for_accuracy_sql(accuracy: Operand) -> str:
     """Stored tier chosen for an accuracy target: >=0.95 -> 20 %, >=0.90 -> 10 %, else 1 %."""
-    a = _c(accuracy)
-    return F.when(a >= 0.95, F.lit(0.20)).when(a >= 0.90, F.lit(0.10)).otherwise(F.lit(0.01))
+    a = sql(accuracy)
+    return f"CASE WHEN {a} >= 0.95D THEN 0.2D WHEN {a} >= 0.9D THEN 0.1D ELSE 0.01D END"
+
+
+def tier_for_accuracy(accuracy: Operand) -> Column:
+    return F.expr(tier_for_accuracy_sql(accuracy))
 
 
 def tier_for_accuracy_py(accuracy: float) -> float:

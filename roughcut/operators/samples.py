@@ -97,7 +97,11 @@ class SampleStore:
             band = (F.when(h < threshold(r), F.lit(ppm(r))) if band is None
                     else band.when(h < threshold(r), F.lit(ppm(r))))
         path = self._tiers(table)
+        # REBALANCE lets AQE cut each band into advisory-size files (instead
+        # of one small file per band from every scan task), and sorting by h
+        # inside the files makes any sub-sample of a tier row-group-prunable.
         (dfh.filter(h < threshold(rates[-1])).withColumn("tier_ppm", band)
+            .hint("rebalance", "tier_ppm").sortWithinPartitions("h")
             .write.mode("overwrite").partitionBy("tier_ppm").parquet(f"{path}/data"))
         # Sizes without hashing the base again: the population is a
         # column-less count (the hash projection is pruned away), the tier
@@ -126,7 +130,7 @@ class SampleStore:
         stratified.strata_table(dfh, g, rate).write.mode("overwrite").parquet(f"{path}/strata")
         strata = self.spark.read.parquet(f"{path}/strata")
         rows = stratified.stratified_sample(dfh, g, rate, strata=strata)
-        rows.write.mode("overwrite").parquet(f"{path}/data")
+        rows.hint("rebalance").write.mode("overwrite").parquet(f"{path}/data")
         sizes = strata.agg(F.sum("sample_count").alias("s"),
                            F.sum("population_count").alias("n")).first()
         built = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
@@ -220,28 +224,29 @@ class SampleStore:
         side when its file size is under the broadcast threshold.
         """
         from roughcut.functions import bounds
+        from roughcut.operators.sampling import agg_sql, q
         g = [group_by] if isinstance(group_by, str) else list(group_by)
         aggs = as_aggs(aggs)
         rows = self.stratified_rows(table, g)
         if where is not None:
             rows = rows.filter(where)
-        stats = [sampling._agg_expr(a).alias(f"{a.name}__s") for a in aggs]
-        agg = rows.groupBy(*g).agg(*stats)
+        agg = rows.groupBy(*g).agg(*[F.expr(f"{agg_sql(a)} AS {q(a.name + '__s')}") for a in aggs])
         strata = self.strata(table, g).select(*g, "sample_count", "population_count")
         j = agg.join(strata, g, "inner")
-        n, N = F.col("sample_count"), F.col("population_count")
-        out = [F.col(c) for c in g]
+        n, N = "sample_count", "population_count"
+        out = [q(c) for c in g]
         for a in aggs:
-            v = F.col(f"{a.name}__s")
+            v = q(a.name + "__s")
             if a.func == "count":
-                out += [F.floor(v * N / n).cast("bigint").alias(a.name), v.alias(f"{a.name}_sample")]
+                out += [f"CAST(floor({v} * {N} / {n}) AS BIGINT) AS {q(a.name)}",
+                        f"{v} AS {q(a.name + '_sample')}"]
             elif a.func == "sum":
-                v = v.cast("double")
-                out += [(v * N / n).alias(a.name), v.alias(f"{a.name}_sample")]
+                out += [f"CAST({v} AS DOUBLE) * {N} / {n} AS {q(a.name)}",
+                        f"CAST({v} AS DOUBLE) AS {q(a.name + '_sample')}"]
             else:
-                out.append(v.cast("double").alias(a.name))
-        out += [n, N, bounds.stratum_error_pct(n, N).alias("error_pct")]
-        return j.select(*out)
+                out.append(f"CAST({v} AS DOUBLE) AS {q(a.name)}")
+        out += [n, N, f"{bounds.stratum_error_pct_sql(n, N)} AS error_pct"]
+        return j.selectExpr(*out)
 
     # ---------------------------------------------------------------- refresh
     def refresh(self, table: str, df: DataFrame) -> DataFrame:

@@ -45,20 +45,22 @@ def uniform_sample(df: DataFrame, rate: float, key: str | Sequence[str] | None =
     raise ValueError(f"unknown sampling method {method!r}")
 
 
-def _agg_expr(a: Agg) -> Column:
+def q(name: str) -> str:
+    """Quote a column name for SQL expression text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def agg_sql(a: Agg) -> str:
+    """SQL text of one aggregate over the sample rows."""
     if a.func == "count":
-        return F.count(F.lit(1)) if a.column == "*" else F.count(a.column)
-    col = F.col(a.column)
+        return "count(1)" if a.column == "*" else f"count({q(a.column)})"
+    c = q(a.column)
     if a.func == "sum":
-        return F.sum(col)
+        return f"sum({c})"
     if a.func == "avg":
         # exact decimal/long sum divided in double: same value in every engine
-        return F.sum(col).cast("double") / F.count(col)
-    return getattr(F, a.func)(col)
-
-
-def _as_double(c: Column) -> Column:
-    return c.cast("double")
+        return f"CAST(sum({c}) AS DOUBLE) / count({c})"
+    return f"{a.func}({c})"
 
 
 def sample_aggregate(df: DataFrame, aggs, rate: float, group_by: Sequence[str] = (),
@@ -99,60 +101,52 @@ def aggregate_sample(rows: DataFrame, aggs, rate: float, group_by: Sequence[str]
     group_by = list(group_by)
     if where is not None:
         rows = rows.filter(where)
-    exact_ratio = population is not None and sample_size
-
-    stats = [F.count(F.lit(1)).alias("sample_rows")]
+    stats = ["count(1) AS sample_rows"]
     for a in aggs:
-        stats.append(_agg_expr(a).alias(f"{a.name}__s"))
+        stats.append(f"{agg_sql(a)} AS {q(a.name + '__s')}")
         if with_bounds and a.func in ("sum", "avg"):
-            stats.append(F.stddev_samp(a.column).alias(f"{a.name}__sd"))
+            stats.append(f"stddev_samp({q(a.column)}) AS {q(a.name + '__sd')}")
+    stats = [F.expr(x) for x in stats]
     grouped = rows.groupBy(*group_by).agg(*stats) if group_by else rows.agg(*stats)
 
-    r = F.lit(float(rate))
-    n = F.col("sample_rows")
-    if exact_ratio:
-        N_, n_ = F.lit(int(population)), F.lit(int(sample_size))
-        scale = lambda v: v * N_ / n_
-        n_hat = F.when(n > 0, F.floor(n * N_ / n_))
+    n = "sample_rows"
+    if population is not None and sample_size:
+        def scale(v):
+            return f"{v} * {bounds.sql(int(population))} / {bounds.sql(int(sample_size))}"
     else:
-        scale = lambda v: v / r
-        n_hat = F.when(n > 0, F.floor(n / r))
-    out: list[Column] = [F.col(g) for g in group_by]
+        def scale(v):
+            return f"{v} / {bounds.sql(float(rate))}"
+    n_hat = f"CASE WHEN {n} > 0 THEN floor({scale(n)}) END"
+    out = [q(g) for g in group_by]
     for a in aggs:
-        s = F.col(f"{a.name}__s")
+        v, name = q(a.name + "__s"), q(a.name)
         if a.func == "count":
-            out.append(F.floor(scale(s)).cast("bigint").alias(a.name))
-            out.append(s.alias(f"{a.name}_sample"))
+            out += [f"CAST(floor({scale(v)}) AS BIGINT) AS {name}", f"{v} AS {q(a.name + '_sample')}"]
             if with_bounds:
-                b = bounds.count_bound(s, float(rate), confidence, bound_method)
-                out += [b["error_pct"].alias(f"{a.name}_error_pct"),
-                        b["ci_low"].alias(f"{a.name}_ci_low"),
-                        b["ci_high"].alias(f"{a.name}_ci_high")]
+                b = bounds.count_bound_sql(v, float(rate), confidence, bound_method)
+                out += [f"{b[k]} AS {q(a.name + '_' + k)}" for k in ("error_pct", "ci_low", "ci_high")]
         elif a.func == "sum":
-            sd = _as_double(s)
-            out.append(scale(sd).alias(a.name))
-            out.append(sd.alias(f"{a.name}_sample"))
+            d = f"CAST({v} AS DOUBLE)"
+            out += [f"{scale(d)} AS {name}", f"{d} AS {q(a.name + '_sample')}"]
             if with_bounds:
-                b = bounds.sum_bound(sd, F.col(f"{a.name}__sd"), n, n_hat, confidence)
-                out += [b["error_pct"].alias(f"{a.name}_error_pct"),
-                        b["ci_low"].alias(f"{a.name}_ci_low"),
-                        b["ci_high"].alias(f"{a.name}_ci_high")]
+                b = bounds.sum_bound_sql(d, q(a.name + "__sd"), n, n_hat, confidence)
+                out += [f"{b[k]} AS {q(a.name + '_' + k)}" for k in ("error_pct", "ci_low", "ci_high")]
         elif a.func == "avg":
-            out.append(s.alias(a.name))
+            out.append(f"{v} AS {name}")
             if with_bounds:
-                b = bounds.avg_bound(F.col(f"{a.name}__sd"), n, n_hat, confidence)
-                out.append(b["margin"].alias(f"{a.name}_margin"))
+                m = bounds.avg_bound_sql(q(a.name + "__sd"), n, n_hat, confidence)["margin"]
+                out.append(f"{m} AS {q(a.name + '_margin')}")
         else:
-            out.append(_as_double(s).alias(a.name))
-    out += [n.alias("sample_rows"), r.alias("sample_rate")]
-    return grouped.select(*out)
+            out.append(f"CAST({v} AS DOUBLE) AS {name}")
+    out += [f"{n} AS sample_rows", f"{bounds.sql(float(rate))} AS sample_rate"]
+    return grouped.selectExpr(*out)
 
 
 def count_with_error(counts: DataFrame, count_col: str, rate: float,
                      confidence: float = 0.95, method: str = "proportion") -> DataFrame:
     """Attach a COUNT bound to every row of an aggregated result."""
-    b = bounds.count_bound(F.col(count_col), float(rate), confidence, method)
-    return counts.select("*", *[v.alias(k) for k, v in b.items()])
+    b = bounds.count_bound_sql(q(count_col), float(rate), confidence, method)
+    return counts.selectExpr("*", *[f"{v} AS {k}" for k, v in b.items()])
 
 
 def sample_stats(df: DataFrame, rates) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from roughcut.functions import bounds
 from roughcut.functions.hashing import threshold, with_row_hash
 from roughcut.operators.aggspec import Agg, as_aggs
+from roughcut.operators.sampling import q
 
 
 def _groups(group_by: str | Sequence[str]) -> list[str]:
@@ -99,28 +100,32 @@ def stratified_sample(df: DataFrame, group_by, rate: float, key=None, h: str = "
     return df.filter(F.col(h) < thr).unionByName(forced.select(*df.columns))
 
 
-def _sampled(a: Agg, sel: Column, w: Column, h: str) -> Column:
-    """Sample value of one aggregate: over rows under the threshold, else the
-    stratum's forced minimum-hash row (``min_by`` over the whole stratum)."""
+def _sampled(a: Agg, sel: str, w: str, h: str) -> list[str]:
+    """SQL text of one aggregate's sample value: ``__b`` over the rows under
+    the threshold, ``__f`` for the stratum's forced minimum-hash row
+    (``min_by`` over the whole stratum), ``__sd`` their spread."""
     if a.func == "count":
-        if a.column == "*":
-            return (F.count_if(sel).cast("bigint"),
-                    F.min_by(F.when(w, F.lit(1)).otherwise(F.lit(0)), F.col(h)).cast("bigint"))
-        c = F.col(a.column)
-        return (F.count_if(sel & c.isNotNull()).cast("bigint"),
-                F.min_by(F.when(w & c.isNotNull(), F.lit(1)).otherwise(F.lit(0)), F.col(h)).cast("bigint"))
-    c = F.col(a.column)
-    forced = F.min_by(F.when(w, c), F.col(h))
-    picked = F.when(sel, c)
+        cond = sel if a.column == "*" else f"{sel} AND {q(a.column)} IS NOT NULL"
+        forced_ok = w if a.column == "*" else f"{w} AND {q(a.column)} IS NOT NULL"
+        return [f"count_if({cond}) AS {q(a.name + '__b')}",
+                f"CAST(min_by(CASE WHEN {forced_ok} THEN 1 ELSE 0 END, {h}) AS BIGINT) AS {q(a.name + '__f')}"]
+    c = q(a.column)
+    picked = f"CASE WHEN {sel} THEN {c} END"
+    forced = f"CAST(min_by(CASE WHEN {w} THEN {c} END, {h}) AS DOUBLE) AS {q(a.name + '__f')}"
     if a.func == "sum":
-        return F.sum(picked).cast("double"), forced.cast("double")
-    if a.func == "avg":
-        return (F.sum(picked).cast("double") / F.count(picked)), forced.cast("double")
-    return getattr(F, a.func)(picked).cast("double"), forced.cast("double")
+        out = [f"CAST(sum({picked}) AS DOUBLE) AS {q(a.name + '__b')}", forced]
+    elif a.func == "avg":
+        out = [f"CAST(sum({picked}) AS DOUBLE) / count({picked}) AS {q(a.name + '__b')}", forced]
+    else:
+        out = [f"CAST({a.func}({picked}) AS DOUBLE) AS {q(a.name + '__b')}", forced]
+    if a.func in ("sum", "avg"):
+        # spread of the sampled values (a lone forced row has none)
+        out.append(f"stddev_samp({picked}) AS {q(a.name + '__sd')}")
+    return out
 
 
 def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
-                         where: Column | None = None, h: str = "h",
+                         where: Column | str | None = None, h: str = "h",
                          hash_method: str = "md5") -> DataFrame:
     """Per-stratum estimates from the guaranteed stratified sample.
 
@@ -130,53 +135,53 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
     (normal interval from the spread of the sampled values within the
     stratum, with finite-population correction; NULL when fewer than two
     rows were sampled), ``sample_count``, ``population_count`` and the
-    stratum's ``error_pct``. With ``where``, strata with no matching sampled row drop
-    out, as they would after ``WHERE ... GROUP BY`` on the sample rows.
+    stratum's ``error_pct``. With ``where``, strata with no matching sampled
+    row drop out, as they would after ``WHERE ... GROUP BY`` on the sample
+    rows.
     """
     g = _groups(group_by)
     aggs = as_aggs(aggs)
     if h not in df.columns:
         df = with_row_hash(df, key, h, hash_method)
-    below = F.col(h) < F.lit(threshold(rate))
-    w = where if where is not None else F.lit(True)
-    sel = below & w
-    stats = [F.count(F.lit(1)).alias("population_count"),
-             F.count_if(below).alias("below_count"),
-             F.count_if(sel).alias("match__b"),
-             F.min_by(F.when(w, F.lit(1)).otherwise(F.lit(0)), F.col(h)).alias("match__f")]
+    w = "true"
+    if where is not None:
+        # the predicate becomes a named boolean column so the text can refer to it
+        df = df.withColumn("__w", where if isinstance(where, Column) else F.expr(where))
+        w = "__w"
+    hq = q(h)
+    below = f"{hq} < {bounds.sql(threshold(rate))}"
+    sel = f"({below}) AND {w}"
+    stats = ["count(1) AS population_count", f"count_if({below}) AS below_count",
+             f"count_if({sel}) AS match__b",
+             f"min_by(CASE WHEN {w} THEN 1 ELSE 0 END, {hq}) AS match__f"]
     for a in aggs:
-        b, f = _sampled(a, sel, w, h)
-        stats += [b.alias(f"{a.name}__b"), f.alias(f"{a.name}__f")]
-        if a.func in ("sum", "avg"):
-            # spread of the sampled values (a lone forced row has none)
-            stats.append(F.stddev_samp(F.when(sel, F.col(a.column))).alias(f"{a.name}__sd"))
-    agg = df.groupBy(*g).agg(*stats)
-
-    has_below = F.col("below_count") > 0
-    n = F.greatest(F.col("below_count"), F.lit(1)).cast("bigint")
-    N = F.col("population_count")
-    matched = F.when(has_below, F.col("match__b")).otherwise(F.col("match__f"))
+        stats += _sampled(a, sel, w, hq)
+    agg = df.groupBy(*g).agg(*[F.expr(x) for x in stats])
+
+    has_below = "below_count > 0"
+    n = "greatest(below_count, 1)"
+    N = "population_count"
     # rows of the (filtered) domain in the sample, and its estimated size
-    n_d = F.when(has_below, F.col("match__b")).otherwise(F.col("match__f"))
-    N_d = n_d * N / n
-    out: list[Column] = [F.col(c) for c in g]
+    n_d = f"(CASE WHEN {has_below} THEN match__b ELSE match__f END)"
+    N_d = f"({n_d} * {N} / {n})"
+    out = [q(c) for c in g]
     for a in aggs:
-        v = F.when(has_below, F.col(f"{a.name}__b")).otherwise(F.col(f"{a.name}__f"))
+        v = f"(CASE WHEN {has_below} THEN {q(a.name + '__b')} ELSE {q(a.name + '__f')} END)"
+        name = q(a.name)
         if a.func == "count":
-            out += [F.floor(v * N / n).cast("bigint").alias(a.name), v.alias(f"{a.name}_sample")]
+            out += [f"CAST(floor({v} * {N} / {n}) AS BIGINT) AS {name}", f"{v} AS {q(a.name + '_sample')}"]
         elif a.func == "sum":
-            b = bounds.sum_bound(v, F.col(f"{a.name}__sd"), n_d, N_d)
-            out += [(v * N / n).alias(a.name), v.alias(f"{a.name}_sample"),
-                    b["ci_low"].alias(f"{a.name}_ci_low"), b["ci_high"].alias(f"{a.name}_ci_high")]
+            b = bounds.sum_bound_sql(v, q(a.name + "__sd"), n_d, N_d)
+            out += [f"{v} * {N} / {n} AS {name}", f"{v} AS {q(a.name + '_sample')}",
+                    f"{b['ci_low']} AS {q(a.name + '_ci_low')}", f"{b['ci_high']} AS {q(a.name + '_ci_high')}"]
         elif a.func == "avg":
-            m = bounds.avg_bound(F.col(f"{a.name}__sd"), n_d, N_d)["margin"]
-            out += [v.alias(a.name), F.round(v - m, 4).alias(f"{a.name}_ci_low"),
-                    F.round(v + m, 4).alias(f"{a.name}_ci_high")]
+            m = bounds.avg_bound_sql(q(a.name + "__sd"), n_d, N_d)["margin"]
+            out += [f"{v} AS {name}", f"round({v} - {m}, 4) AS {q(a.name + '_ci_low')}",
+                    f"round({v} + {m}, 4) AS {q(a.name + '_ci_high')}"]
         else:
-            out.append(v.alias(a.name))
-    out += [n.alias("sample_count"), N.alias("population_count"),
-            bounds.stratum_error_pct(n, N).alias("error_pct")]
-    res = agg.select(*out, matched.alias("__matched"))
+            out.append(f"{v} AS {name}")
+    out += [f"CAST({n} AS BIGINT) AS sample_count", f"{N} AS population_count",
+            f"{bounds.stratum_error_pct_sql(n, N)} AS error_pct"]
     if where is not None:
-        res = res.filter(F.col("__matched") > 0)
-    return res.drop("__matched")
+        agg = agg.filter(F.expr(f"{n_d} > 0"))
+    return agg.selectExpr(*out)

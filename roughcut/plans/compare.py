@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from roughcut.functions import bounds
 from roughcut.functions.frames import with_scalars
 from roughcut.operators.aggspec import SAMPLEABLE, as_aggs
+from roughcut.operators.sampling import q
 from roughcut.operators.samples import SampleStore
 from roughcut.plans.aggregate import Plan, _run, approx_aggregate, exact_aggregate
 
@@ -47,15 +48,15 @@ def compare_frames(exact: DataFrame, approx: DataFrame, names: list[str],
     a = approx.select(*group_by, *[F.col(c).alias(f"approx_{c}") if c in names else F.col(c)
                                    for c in keep])
     j = _join_groups(e, a, group_by, "full_outer")
-    out: list[Column] = [F.col(g) for g in group_by]
+    out = [q(g) for g in group_by]
     for n in names:
-        ex, ap = F.col(f"exact_{n}"), F.col(f"approx_{n}").cast("double")
-        out += [ex, ap.alias(f"approx_{n}"),
-                F.when(ex != 0, F.abs(ap - ex) / F.abs(ex)).alias(f"rel_error_{n}"),
-                bounds.achieved_accuracy(ap, ex).alias(f"accuracy_{n}")]
-    extra = [c for c in j.columns if c not in {f"exact_{n}" for n in names}
+        ex, ap = q(f"exact_{n}"), f"CAST({q(f'approx_{n}')} AS DOUBLE)"
+        out += [ex, f"{ap} AS {q(f'approx_{n}')}",
+                f"{bounds.relative_error_sql(ap, ex)} AS {q(f'rel_error_{n}')}",
+                f"{bounds.achieved_accuracy_sql(ap, ex)} AS {q(f'accuracy_{n}')}"]
+    extra = [q(c) for c in j.columns if c not in {f"exact_{n}" for n in names}
              and c not in {f"approx_{n}" for n in names} and c not in group_by]
-    return j.select(*out, *extra)
+    return j.selectExpr(*out, *extra)
 
 
 def compare_exact_approx(df: DataFrame, aggs, group_by: Sequence[str] = (),

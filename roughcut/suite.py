@@ -401,7 +401,7 @@ def sample_tier_choice(spark, d):
     st, _ = _built(spark, d, "choice", strat=False)
     reg = st.registry().filter(F.col("sample_type") != "stratified")
     lv = reg.withColumn("accuracy", F.explode(F.array(*[F.lit(a) for a in ACCURACY_LEVELS])))
-    return (lv.filter(F.abs(bounds.tier_for_accuracy(F.col("accuracy")) - F.col("rate")) < 1e-12)
+    return (lv.filter(F.abs(bounds.tier_for_accuracy("accuracy") - F.col("rate")) < 1e-12)
             .select(r6("accuracy").alias("accuracy"), "sample_type", r6("rate").alias("rate"),
                     "sample_rows"))
 
@@ -505,7 +505,7 @@ def hll_precision_sweep(spark, d):
     rows = F.explode(F.array(*[F.struct(F.lit(p).alias("precision"), F.col(f"e{p}").alias("e"))
                                for p in HLL_PRECISIONS])).alias("x")
     x = r.select("distinct_users", rows)
-    err = bounds.hll_error_pct(F.col("x.precision"))
+    err = bounds.hll_error_pct("x.precision")
     ok = F.abs(F.col("x.e") - F.col("distinct_users")) <= 3 * err / 100 * F.col("distinct_users")
     return x.select(F.col("x.precision").cast("bigint").alias("precision"),
                     r6(err).alias("error_pct"), "distinct_users", ok.alias("within_tolerance"))
@@ -680,8 +680,8 @@ def count_error(spark, d):
     r = s.agg(*[F.count_if(F.col("h") < threshold(x)).alias(f"n{i}") for i, x in enumerate(rates)])
     x = r.select(F.explode(F.array(*[F.struct(F.lit(v).alias("rate"), F.col(f"n{i}").alias("n"))
                                      for i, v in enumerate(rates)])).alias("x"))
-    b = bounds.count_bound(F.col("x.n"), F.col("x.rate"))
-    ht = bounds.count_bound(F.col("x.n"), F.col("x.rate"), method="ht")
+    b = bounds.count_bound("x.n", "x.rate")
+    ht = bounds.count_bound("x.n", "x.rate", method="ht")
     return x.select(r6("x.rate").alias("rate"), F.col("x.n").alias("count_sample"),
                     b["estimated_total"].alias("estimated_total"), b["error_pct"].alias("error_pct"),
                     b["ci_low"].alias("ci_low"), b["ci_high"].alias("ci_high"),
@@ -701,15 +701,14 @@ def _group_sample_stats(spark, d):
 @query
 def sum_error(spark, d):
     g = _group_sample_stats(spark, d)
-    b = bounds.sum_bound(F.col("sample_sum"), F.col("sample_std"), F.col("sample_size"),
-                         F.col("population_size"))
+    b = bounds.sum_bound("sample_sum", "sample_std", "sample_size", "population_size")
     return g.select("region", "sample_size", "population_size", *[v.alias(k) for k, v in b.items()])
 
 
 @query
 def avg_error(spark, d):
     g = _group_sample_stats(spark, d)
-    b = bounds.avg_bound(F.col("sample_std"), F.col("sample_size"), F.col("population_size"))
+    b = bounds.avg_bound("sample_std", "sample_size", "population_size")
     return g.select("region", "sample_size", "population_size", *[v.alias(k) for k, v in b.items()])
 
 
@@ -723,7 +722,7 @@ def sample_stats(spark, d):
 def accuracy_sample_rate(spark, d):
     p = _profile(spark, d).filter("is_numeric")
     x = p.withColumn("accuracy", F.explode(F.array(*[F.lit(a) for a in ACCURACY_LEVELS])))
-    rate = bounds.accuracy_to_rate(F.col("accuracy"), F.col("mean"), F.col("stddev"), F.col("row_count"))
+    rate = bounds.accuracy_to_rate("accuracy", "mean", "stddev", "row_count")
     return x.select("column_name", r6("accuracy").alias("accuracy"), r6(rate).alias("sample_rate"))
 
 
@@ -734,9 +733,9 @@ def accuracy_hll_precision(spark, d):
               *[F.hll_sketch_estimate(sketches.hll_sketch("user_id", p)).alias(f"e{p}")
                 for p in HLL_PRECISIONS])
     x = r.withColumn("accuracy", F.explode(F.array(*[F.lit(a) for a in ACCURACY_LEVELS])))
-    p = bounds.accuracy_to_hll_precision(F.col("accuracy"))
+    p = bounds.accuracy_to_hll_precision("accuracy")
     est = F.coalesce(*[F.when(p == q, F.col(f"e{q}")) for q in HLL_PRECISIONS])
-    err = bounds.hll_error_pct(p)
+    err = bounds.hll_error_pct(bounds.accuracy_to_hll_precision_sql("accuracy"))
     return x.select(r6("accuracy").alias("accuracy"), p.cast("bigint").alias("precision"),
                     r6(err).alias("error_pct"), "distinct_users",
                     (F.abs(est - F.col("distinct_users")) <= 3 * err / 100 * F.col("distinct_users"))
@@ -751,8 +750,8 @@ def achieved_accuracy(spark, d):
     j = est.select("region", F.col("cnt").alias("est_cnt"), F.col("total_revenue").alias("est_sum")) \
         .join(ex, "region")
     return j.select("region", "cnt", r6("total_revenue").alias("total_revenue"),
-                    r6(bounds.achieved_accuracy(F.col("est_cnt"), F.col("cnt"))).alias("count_accuracy"),
-                    r6(bounds.achieved_accuracy(F.col("est_sum"), F.col("total_revenue"))).alias("sum_accuracy"))
+                    r6(bounds.achieved_accuracy("est_cnt", "cnt")).alias("count_accuracy"),
+                    r6(bounds.achieved_accuracy("est_sum", "total_revenue")).alias("sum_accuracy"))
 
 
 # ======================================================================== R

@@ -22,34 +22,34 @@ def _one(spark, cols: dict):
     (100, 1_000, 5.58, 944, 1_055),
 ])
 def test_count_bound_vectors(spark, n, total, err, lo, hi):
-    r = _one(spark, bounds.count_bound(F.lit(n), 0.1))
+    r = _one(spark, bounds.count_bound(n, 0.1))
     assert (r["estimated_total"], r["error_pct"], r["ci_low"], r["ci_high"]) == (total, err, lo, hi)
 
 
 def test_count_bound_empty_is_null(spark):
-    r = _one(spark, bounds.count_bound(F.lit(0), 0.1))
+    r = _one(spark, bounds.count_bound(0, 0.1))
     assert all(v is None for v in r.values())
 
 
 def test_ht_bound_is_wider(spark):
-    p = _one(spark, bounds.count_bound(F.lit(946), 0.1))["error_pct"]
-    h = _one(spark, bounds.count_bound(F.lit(946), 0.1, method="ht"))["error_pct"]
+    p = _one(spark, bounds.count_bound(946, 0.1))["error_pct"]
+    h = _one(spark, bounds.count_bound(946, 0.1, method="ht"))["error_pct"]
     assert h == pytest.approx(p / math.sqrt(0.1), rel=0.01)
 
 
 def test_sum_bound_vector(spark):
-    r = _one(spark, bounds.sum_bound(F.lit(50000.0), F.lit(28.87), F.lit(1000), F.lit(10000)))
+    r = _one(spark, bounds.sum_bound(50000.0, 28.87, 1000, 10000))
     assert r == {"estimated_total": 500000.0, "error_pct": 3.4,
                  "ci_low": 483023.59, "ci_high": 516976.41}
 
 
 def test_sum_bound_single_row_is_null(spark):
-    r = _one(spark, bounds.sum_bound(F.lit(5.0), F.lit(None).cast("double"), F.lit(1), F.lit(1)))
+    r = _one(spark, bounds.sum_bound(5.0, "CAST(NULL AS DOUBLE)", 1, 1))
     assert r["error_pct"] is None and r["ci_low"] is None
 
 
 def test_avg_bound_vector(spark):
-    r = _one(spark, bounds.avg_bound(F.lit(28.87), F.lit(1000), F.lit(10000)))
+    r = _one(spark, bounds.avg_bound(28.87, 1000, 10000))
     assert r == {"standard_error": 0.8661, "margin": 1.6976}
 
 
@@ -68,7 +68,7 @@ def test_accuracy_to_rate(spark, acc, mean, sd, n, rate):
 @pytest.mark.parametrize("N,n,err", [(9000, 87, 2.06), (980, 8, 6.24), (20, 1, 42.72),
                                      (20, 2, 41.58), (9000, 946, 1.95)])
 def test_stratum_error(spark, N, n, err):
-    assert _one(spark, {"e": bounds.stratum_error_pct(F.lit(n), F.lit(N))})["e"] == err
+    assert _one(spark, {"e": bounds.stratum_error_pct(n, N)})["e"] == err
 
 
 @pytest.mark.parametrize("acc,p,tier", [(0.85, 10, 0.01), (0.90, 12, 0.10), (0.95, 14, 0.20),
