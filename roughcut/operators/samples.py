@@ -85,12 +85,18 @@ class SampleStore:
         return f"{self.root}/{table}/strat__{'__'.join(group_by)}"
 
     # ---------------------------------------------------------------- build
-    def build_tiers(self, df: DataFrame, table: str, key, rates=DEFAULT_TIERS) -> DataFrame:
-        """All uniform tiers in one write; returns the new meta rows."""
+    def build_tiers(self, df: DataFrame, table: str, key, rates=DEFAULT_TIERS,
+                    hash_method: str = "md5") -> DataFrame:
+        """All uniform tiers in one write; returns the new meta rows.
+
+        A stored ``h`` column on ``df`` is used as is; otherwise the key is
+        hashed (``hash_method="xxhash"`` is the cheap choice when no SQL twin
+        of the sample is needed).
+        """
         rates = sorted(set(float(r) for r in rates))
         key = [key] if isinstance(key, str) else list(key)
         self._invalidate()
-        dfh = with_row_hash(df, key)
+        dfh = with_row_hash(df, key, method=hash_method)
         h = F.col("h")
         band = None
         for r in rates:
@@ -118,12 +124,12 @@ class SampleStore:
         return self.spark.read.parquet(f"{path}/meta")
 
     def build_stratified(self, df: DataFrame, table: str, group_by, key,
-                         rate: float = 0.10) -> DataFrame:
+                         rate: float = 0.10, hash_method: str = "md5") -> DataFrame:
         """Stratified sample (``rate`` per stratum, >= 1 row per stratum)."""
         g = [group_by] if isinstance(group_by, str) else list(group_by)
         key = [key] if isinstance(key, str) else list(key)
         self._invalidate()
-        dfh = with_row_hash(df, key)
+        dfh = with_row_hash(df, key, method=hash_method)
         path = self._strat(table, g)
         # the written strata table cuts the lineage; the sample is then one
         # scan joined to the (counted, broadcast) empty strata
