@@ -39,7 +39,7 @@ from roughcut.functions.frames import with_scalars
 from roughcut.operators import profile as prof
 from roughcut.operators import quantile, sampling, sketches, stratified
 from roughcut.operators.aggspec import Agg, as_aggs
-from roughcut.operators.samples import SampleStore
+from roughcut.operators.samples import SampleStore, tier_name
 
 SMALL_TABLE_ROWS = 100_000  # fixed value: below this many rows answer exactly
 QUANTILE_ACCURACY = 10_000
@@ -63,26 +63,47 @@ def _numeric_stats(df: DataFrame, column: str | None):
     return row["n"], (row["m"] if column else None), (row["s"] if column else None)
 
 
+def _planning_stats(df, value_col, table, store, profile_row, profile):
+    """Row count, mean and stddev of the aggregated column, from the cheapest
+    source: a given profile row, a stored profile DataFrame, the largest
+    stored tier (population size from its metadata, moments from the
+    sample), or - only without any of these - one pass over ``df``."""
+    if profile_row is not None:
+        return profile_row["row_count"], profile_row.get("mean"), profile_row.get("stddev"), "profile"
+    if profile is not None and value_col is not None:
+        row = profile.filter(F.col("column_name") == value_col).first()
+        if row is not None:
+            return row["row_count"], row["mean"], row["stddev"], "profile"
+    tiers = store.available_tiers(table) if store is not None and table is not None else []
+    if tiers:
+        meta = store._meta_row(table, tier_name(max(tiers)))
+        _, m, sd = _numeric_stats(store.tier(table, max(tiers)), value_col)
+        return meta["population_rows"], m, sd, "stored sample"
+    n, m, sd = _numeric_stats(df, value_col)
+    return n, m, sd, "table scan"
+
+
 def choose_plan(df: DataFrame, aggs: list[Agg], group_by: list[str], accuracy: float,
                 table: str | None, store: SampleStore | None,
                 small_table_rows: int, confidence: float,
-                profile_row: dict | None = None) -> Plan:
+                profile_row: dict | None = None, profile: DataFrame | None = None) -> Plan:
     if any(a.is_quantile for a in aggs) or any(a.func == "count_distinct" for a in aggs):
         return Plan("sketch", hll_precision=bounds.accuracy_to_hll_precision_py(accuracy),
                     reason="quantile or distinct aggregate")
     value_col = next((a.column for a in aggs if a.column != "*"), None)
-    if profile_row is not None:
-        n, mean, sd = profile_row["row_count"], profile_row.get("mean"), profile_row.get("stddev")
-    else:
-        n, mean, sd = _numeric_stats(df, value_col)
+    n, mean, sd, source = _planning_stats(df, value_col, table, store, profile_row, profile)
     if n < small_table_rows:
-        return Plan("exact", rate=1.0, reason=f"{n} rows < {small_table_rows}")
+        return Plan("exact", rate=1.0, reason=f"{n} rows < {small_table_rows} ({source})")
     rate = bounds.accuracy_to_rate_py(accuracy, mean, sd, n, confidence)
     if group_by:
         if store is not None and table is not None and tuple(group_by) in store.stratified_groups(table):
             return Plan("materialized_stratified", reason="stored stratified sample")
+        tiers = store.available_tiers(table) if store is not None and table is not None else []
         if profile_row is not None and profile_row.get("group_gini_normalised") is not None:
             gn = profile_row["group_gini_normalised"]
+        elif tiers:
+            # group frequencies of the stored sample stand in for the table's
+            gn = prof.frequency_gini(store.tier(table, max(tiers)), group_by).first()["gini_normalised"]
         else:
             gn = prof.frequency_gini(df, group_by).first()["gini_normalised"]
         skewed = (gn or 0.0) > prof.SKEW_GINI
@@ -160,17 +181,21 @@ def approx_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
                      store: SampleStore | None = None,
                      small_table_rows: int = SMALL_TABLE_ROWS,
                      confidence: float = 0.95, profile_row: dict | None = None,
-                     return_plan: bool = False):
+                     profile: DataFrame | None = None, return_plan: bool = False):
     """Answer ``aggs`` (grouped by ``group_by``) within an accuracy target.
 
-    ``profile_row`` (e.g. the aggregated column's row of a stored profile,
-    with ``row_count``, ``mean``, ``stddev`` and optionally
-    ``group_gini_normalised``) lets the planner skip its statistics passes.
+    Planning needs the row count and the aggregated column's mean and
+    spread (and, grouped, the group column's skew). They come from
+    ``profile_row`` (``row_count``, ``mean``, ``stddev``, optionally
+    ``group_gini_normalised``) or a stored ``profile`` DataFrame
+    (:func:`roughcut.operators.profile.cached_profile`); failing that from
+    the largest stored tier of ``table``; only without either from a pass
+    over ``df`` - pass a profile when ``df`` is large.
     """
     aggs = as_aggs(aggs)
     group_by = list(group_by)
     plan = choose_plan(df, aggs, group_by, accuracy, table, store, small_table_rows,
-                       confidence, profile_row)
+                       confidence, profile_row, profile)
     res = _run(df, aggs, group_by, where, key, table, store, plan, confidence)
     return (res, plan) if return_plan else res
 

@@ -91,3 +91,19 @@ def test_generator_shape(spark):
     shares = {r["region"]: r["count"] / 20_000 for r in g.groupBy("region").count().collect()}
     assert 0.88 < shares["US"] < 0.92 and 0.08 < shares["UK"] < 0.12
     assert g.agg(F.max("amount")).first()[0] <= 1000
+
+
+def test_planning_stats_from_stored_tier_not_table(spark, sales, store):
+    """With stored tiers the planner reads the 20 % tier and the metadata,
+    not the table: a table that fails when scanned proves it."""
+    from roughcut.plans.aggregate import _planning_stats
+    poisoned = sales.withColumn("amount", F.expr("raise_error('table scanned')"))
+    n, m, sd, src = _planning_stats(poisoned, "amount", "sales", store, None, None)
+    assert src == "stored sample" and n == 10_000 and 40 < m < 60
+
+
+def test_planning_stats_from_profile(spark, sales):
+    from roughcut.plans.aggregate import _planning_stats
+    p = prof.profile_table(sales.drop("h"))
+    n, m, sd, src = _planning_stats(sales, "amount", None, None, None, p)
+    assert src == "profile" and n == 10_000 and round(m, 4) == 49.6307
