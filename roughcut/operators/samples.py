@@ -61,8 +61,10 @@ class SampleStore:
     """Stored samples of one or more tables, kept as Parquet datasets."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
+        """``root`` defaults to a stable folder under ``spark.checkpoint.dir``,
+        so samples built once are found by later sessions."""
         self.spark = spark
-        self.root = (root or shared_dir(spark, "samples")).rstrip("/")
+        self.root = (root or shared_dir(spark, "samples", per_app=False)).rstrip("/")
         # driver-side handles: registry rows (a few per sample) and dataset
         # readers (their file listing); dropped whenever a sample is rebuilt
         self._meta_rows: list | None = None

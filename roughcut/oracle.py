@@ -472,14 +472,21 @@ _SKEW_CTES = [f"st0 AS (SELECT count(*) AS n, avg(amount) AS m, stddev_samp(amou
   WHERE s.h < (SELECT thr FROM th2) OR (t.below_count = 0 AND s.h = t.min_h))""",
               f"""a AS (SELECT region, count(*) AS cnt_s, {SUM_AMT} AS sum_s, {AVG_AMT} AS avg_s
   FROM samp GROUP BY region)"""]
-Q["approx_aggregate_skewed"] = w(*_SKEW_CTES) + f"""SELECT a.region, {r6(_CNT_EST)} AS cnt, {r6(_ERR)} AS cnt_error_pct,
+_SKEW_BODY = f"""SELECT a.region, {r6(_CNT_EST)} AS cnt, {r6(_ERR)} AS cnt_error_pct,
   {r6(_SUM_EST)} AS total_revenue, {r6(_ERR)} AS total_revenue_error_pct,
   {r6('a.avg_s')} AS avg_amount, {r6(_ERR)} AS avg_amount_error_pct,
   'stratified' AS strategy, {r6('(SELECT rate FROM th2)')} AS sample_rate
 FROM a JOIN strata t ON a.region = t.region"""
-Q["approx_aggregate_small"] = w() + f"""SELECT region, {r6('count(*)')} AS cnt, {d(0.0)} AS cnt_error_pct,
+Q["approx_aggregate_skewed"] = w(*_SKEW_CTES) + _SKEW_BODY
+# R2: the small-table rule decides by row count, so the twin carries both
+# branches, each gated on the count (exact below 100,000 rows, else the
+# skew rule's stratified answer)
+_SMALL_EXACT = f"""SELECT region, {r6('count(*)')} AS cnt, {d(0.0)} AS cnt_error_pct,
   {r6(SUM_AMT)} AS total_revenue, {d(0.0)} AS total_revenue_error_pct, {r6(AVG_AMT)} AS avg_amount,
-  {d(0.0)} AS avg_amount_error_pct, 'exact' AS strategy, {d(1.0)} AS sample_rate FROM sales GROUP BY region"""
+  {d(0.0)} AS avg_amount_error_pct, 'exact' AS strategy, {d(1.0)} AS sample_rate FROM sales
+  WHERE (SELECT n FROM st0) < 100000 GROUP BY region"""
+Q["approx_aggregate_small"] = (w(*_SKEW_CTES) + _SMALL_EXACT + "\nUNION ALL\n" + _SKEW_BODY
+                               + "\nWHERE (SELECT n FROM st0) >= 100000")
 
 
 def _cmp_cols(e: str, a: str, names=("cnt", "total_revenue"), with_acc: bool = True) -> str:

@@ -73,15 +73,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return root
 
 
-def shared_dir(spark: SparkSession, *parts: str) -> str:
+def shared_dir(spark: SparkSession, *parts: str, per_app: bool = True) -> str:
     """A folder below the shared root, e.g. ``shared_dir(spark, "samples")``.
 
-    Every process gets its own application folder so concurrent runs do not
-    overwrite each other's samples.
+    ``per_app=True`` (scratch data) puts it under the application id so
+    concurrent runs cannot overwrite each other; ``per_app=False`` gives a
+    stable location that later sessions find again (stored samples).
     """
     root = ensure_checkpoint_dir(spark)
-    app = spark.sparkContext.applicationId
-    path = "/".join([root, "roughcut", app, *parts])
+    scope = [spark.sparkContext.applicationId] if per_app else ["shared"]
+    path = "/".join([root, "roughcut", *scope, *parts])
     if "://" not in path or path.startswith("file:"):
         os.makedirs(path.removeprefix("file:"), exist_ok=True)
     return path
