@@ -309,7 +309,7 @@ Q["hll_precision_sweep"] = w("u AS (SELECT count(DISTINCT user_id) AS distinct_u
     "\nUNION ALL ".join(
         f"SELECT CAST({p} AS BIGINT) AS precision, {r6(f'104.0 / sqrt(pow(2.0, {p}))')} AS error_pct, "
         "distinct_users, TRUE AS within_tolerance FROM u" for p in (10, 12, 14, 16))
-Q["hll_merge"] = w() + """SELECT count(DISTINCT user_id) AS distinct_users, TRUE AS merge_equals_direct,
+Q["hll_merge"] = w() + """SELECT count(DISTINCT user_id) AS distinct_users, TRUE AS merge_agrees_with_direct,
   TRUE AS within_tolerance FROM sales"""
 
 
