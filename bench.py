@@ -75,14 +75,14 @@ def main() -> None:
     # system being re-created reported both.
     queries = {
         # the reference's corpus, exact (ground truth)
-        "exact_count": lambda: sales.agg(F.count(F.lit(1))),
+        "exact_count": lambda: sales.agg(F.count(F.lit(1)).alias("cnt")),
         "exact_avg": lambda: exact_aggregate(sales, avg),
         "exact_group_count": lambda: exact_aggregate(sales, cnt, ["region"]),
         "exact_group_stats": lambda: exact_aggregate(sales, stats, ["region"]),
         "exact_filter_group": lambda: exact_aggregate(sales, cnt, ["region"], F.col("amount") > 50),
-        "exact_count_distinct": lambda: sales.agg(F.count_distinct("user_id")),
-        "exact_median": lambda: sales.agg(F.median("amount")),
-        "exact_p95": lambda: sales.agg(F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY amount)")),
+        "exact_count_distinct": lambda: sales.agg(F.count_distinct("user_id").alias("users")),
+        "exact_median": lambda: sales.agg(F.median("amount").alias("median")),
+        "exact_p95": lambda: sales.agg(F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY amount)").alias("p95")),
         # the same corpus through the accuracy-targeted planner (accuracy 0.95)
         "approx_count": lambda: approx_aggregate(sales, cnt, accuracy=0.95, **auto),
         "approx_avg": lambda: approx_aggregate(sales, avg, accuracy=0.95, **auto),
@@ -90,7 +90,7 @@ def main() -> None:
         "approx_group_stats": lambda: approx_aggregate(sales, stats, ["region"], accuracy=0.95, **auto),
         "approx_filter_group": lambda: approx_aggregate(sales, cnt, ["region"], accuracy=0.95,
                                                         where=F.col("amount") > 50, **auto),
-        "approx_count_distinct": lambda: sketches.approx_distinct(sales, "user_id"),
+        "approx_count_distinct": lambda: sketches.approx_distinct(sales, "user_id", alias="users"),
         "approx_median": lambda: sketches.approx_quantiles(sales, "amount", [0.5]),
         "approx_p95": lambda: sketches.approx_quantiles(sales, "amount", [0.95]),
         # stored tiers (partition-pruned reads), as in the warm-cache log
@@ -110,8 +110,8 @@ def main() -> None:
         "stratified_group_lineitem": lambda: stratified.stratified_aggregate(
             lineitem, ["l_returnflag", "l_linestatus"], [("count", "*", "cnt"), ("sum", "l_quantity", "q")],
             0.01, key=li_key, hash_method="xxhash"),
-        "exact_distinct_lineitem": lambda: lineitem.agg(F.count_distinct("l_partkey")),
-        "approx_distinct_lineitem": lambda: sketches.approx_distinct(lineitem, "l_partkey"),
+        "exact_distinct_lineitem": lambda: lineitem.agg(F.count_distinct("l_partkey").alias("parts")),
+        "approx_distinct_lineitem": lambda: sketches.approx_distinct(lineitem, "l_partkey", alias="parts"),
     }
 
     results: dict[str, float] = {}
@@ -135,6 +135,26 @@ def main() -> None:
              ("median", "exact_median", "approx_median"), ("p95", "exact_p95", "approx_p95"),
              ("lineitem_distinct", "exact_distinct_lineitem", "approx_distinct_lineitem")]
     speedups = {k: ratio(e, a) for k, e, a in pairs}
+
+    def max_rel_error(e_name, a_name):
+        """Largest relative error of the approximate answer over the values
+        both results share (matched by group key), outside the timings."""
+        ex, ap = queries[e_name](), queries[a_name]()
+        keys = [f.name for f in ex.schema.fields if f.dataType.simpleString() == "string"]
+        vals = [c for c in ex.columns if c in ap.columns and c not in keys]
+        idx = {tuple(r[k] for k in keys): r for r in ap.collect()}
+        worst = 0.0
+        for r in ex.collect():
+            other = idx.get(tuple(r[k] for k in keys))
+            for c in vals:
+                if other is None or other[c] is None:
+                    return None
+                if r[c]:
+                    worst = max(worst, abs(float(other[c]) - float(r[c])) / abs(float(r[c])))
+        return round(worst, 6)
+
+    accuracy = {k: max_rel_error(e, a) for k, e, a in pairs}
+    rows = {"sales": sales.count(), "lineitem": lineitem.count()}
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     out = {
         "metric": "total_query_sec",
@@ -143,6 +163,8 @@ def main() -> None:
         "queries": results,
         "setup": setup,
         "speedup_exact_over_approx": speedups,
+        "approx_max_rel_error": accuracy,
+        "rows": rows,
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
         "shuffle_partitions": parts,
