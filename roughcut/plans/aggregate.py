@@ -42,6 +42,8 @@ from roughcut.operators.aggspec import Agg, as_aggs
 from roughcut.operators.samples import SampleStore, tier_name
 
 SMALL_TABLE_ROWS = 100_000  # fixed value: below this many rows answer exactly
+STRATEGIES = ("exact", "uniform", "stratified", "materialized_tier", "materialized_stratified",
+              "sketch")
 QUANTILE_ACCURACY = 10_000
 
 
@@ -181,8 +183,12 @@ def approx_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
                      store: SampleStore | None = None,
                      small_table_rows: int = SMALL_TABLE_ROWS,
                      confidence: float = 0.95, profile_row: dict | None = None,
-                     profile: DataFrame | None = None, return_plan: bool = False):
-    """Answer ``aggs`` (grouped by ``group_by``) within an accuracy target.
+                     profile: DataFrame | None = None, strategy: str | None = None,
+                     sample_rate: float | None = None, hll_precision: int | None = None,
+                     return_plan: bool = False):
+    """Answer ``aggs`` (grouped by ``group_by``) within an accuracy target,
+    or with an explicitly requested ``strategy`` (and ``sample_rate`` /
+    ``hll_precision``).
 
     Planning needs the row count and the aggregated column's mean and
     spread (and, grouped, the group column's skew). They come from
@@ -194,8 +200,19 @@ def approx_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
     """
     aggs = as_aggs(aggs)
     group_by = list(group_by)
-    plan = choose_plan(df, aggs, group_by, accuracy, table, store, small_table_rows,
-                       confidence, profile_row, profile)
+    if strategy is not None:
+        # explicit request: skip the rules (``exact``, ``uniform``, ``stratified``,
+        # ``materialized_tier``, ``materialized_stratified`` or ``sketch``)
+        if strategy not in STRATEGIES:
+            raise ValueError(f"unknown strategy {strategy!r}; use one of {STRATEGIES}")
+        rate = sample_rate if sample_rate is not None else (
+            1.0 if strategy == "exact" else bounds.RATE_DEFAULT)
+        plan = Plan(strategy, rate=rate,
+                    hll_precision=hll_precision or bounds.accuracy_to_hll_precision_py(accuracy),
+                    reason="requested")
+    else:
+        plan = choose_plan(df, aggs, group_by, accuracy, table, store, small_table_rows,
+                           confidence, profile_row, profile)
     res = _run(df, aggs, group_by, where, key, table, store, plan, confidence)
     return (res, plan) if return_plan else res
 

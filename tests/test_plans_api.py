@@ -107,3 +107,15 @@ def test_planning_stats_from_profile(spark, sales):
     p = prof.profile_table(sales.drop("h"))
     n, m, sd, src = _planning_stats(sales, "amount", None, None, None, p)
     assert src == "profile" and n == 10_000 and round(m, 4) == 49.6307
+
+
+def test_explicit_strategy_override(sales, store):
+    res, p = approx_aggregate(sales, AGGS, ["region"], strategy="uniform", sample_rate=0.2,
+                              return_plan=True)
+    assert (p.strategy, p.rate) == ("uniform", 0.2)
+    assert {r["strategy"] for r in res.collect()} == {"uniform"}
+    _, p = approx_aggregate(sales, AGGS, strategy="materialized_tier", sample_rate=0.01,
+                            table="sales", store=store, return_plan=True)
+    assert (p.strategy, p.rate) == ("materialized_tier", 0.01)
+    with pytest.raises(ValueError):
+        approx_aggregate(sales, AGGS, strategy="reservoir")
