@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from roughcut.functions import bounds
 from roughcut.functions.hashing import threshold
