@@ -43,7 +43,14 @@ def main() -> None:
     input_bytes = sum(os.path.getsize(os.path.join(sf_dir, f)) for f in os.listdir(sf_dir)
                       if f.endswith(".parquet") and os.path.isfile(os.path.join(sf_dir, f)))
     parts = shuffle_partitions_for(input_bytes, int(cpus))
-    spark = local_session(cpus, shuffle_partitions=parts, app_name="roughcut-bench")
+    # Spark's event log (in a fresh scratch folder; the UI stays off) gives
+    # the bytes each query read and shuffled.
+    import tempfile
+    log_dir = tempfile.mkdtemp(prefix="roughcut-bench-events-", dir="/tmp")
+    spark = local_session(cpus, shuffle_partitions=parts, app_name="roughcut-bench",
+                          extra_conf={"spark.eventLog.enabled": "true",
+                                      "spark.eventLog.dir": f"file://{log_dir}",
+                                      "spark.eventLog.compress": "false"})
     setup: dict[str, float] = {}
 
     def timed(name, fn, bucket=setup):
@@ -115,13 +122,17 @@ def main() -> None:
     }
 
     results: dict[str, float] = {}
+    sc = spark.sparkContext
     for name, build in queries.items():
         build().collect()  # warm-up: JIT, file listing, metadata
         runs = []
-        for _ in range(repeat):
+        for i in range(repeat):
+            if i == repeat - 1:
+                sc.setJobDescription(f"bench:{name}")  # tag one run for the byte counts
             t = time.perf_counter()
             build().collect()
             runs.append(time.perf_counter() - t)
+        sc.setJobDescription(None)
         results[name] = round(statistics.median(runs), 4)
 
     def ratio(a, b):
@@ -170,8 +181,44 @@ def main() -> None:
         "shuffle_partitions": parts,
         "repeat": repeat,
     }
-    print(json.dumps(out))
     spark.stop()
+    try:
+        out["bytes"] = _bytes_per_query(log_dir)
+    except Exception as e:  # the byte counts are informative only
+        out["bytes"] = {"error": f"{type(e).__name__}: {e}"}
+    print(json.dumps(out))
+
+
+def _bytes_per_query(log_dir: str) -> dict:
+    """Input and shuffle bytes of each tagged query, from the event log."""
+    desc_of_job, job_of_stage, acc = {}, {}, {}
+    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(log_dir) for f in fs
+                   if f.startswith("events_") or f.startswith("local-"))
+    for path in files:
+        with open(path) as fh:
+            for line in fh:
+                if not line.strip():
+                    continue
+                ev = json.loads(line)
+                kind = ev.get("Event")
+                if kind == "SparkListenerJobStart":
+                    d = (ev.get("Properties") or {}).get("spark.job.description", "")
+                    if d.startswith("bench:"):
+                        desc_of_job[ev["Job ID"]] = d[6:]
+                        for sid in ev.get("Stage IDs", []):
+                            job_of_stage[sid] = ev["Job ID"]
+                elif kind == "SparkListenerStageCompleted":
+                    info = ev["Stage Info"]
+                    job = job_of_stage.get(info["Stage ID"])
+                    if job is None or job not in desc_of_job:
+                        continue
+                    q = acc.setdefault(desc_of_job[job], {"input": 0, "shuffle_write": 0})
+                    for a in info.get("Accumulables", []):
+                        if a.get("Name") == "internal.metrics.input.bytesRead":
+                            q["input"] += int(a.get("Value", 0))
+                        elif a.get("Name") == "internal.metrics.shuffle.write.bytesWritten":
+                            q["shuffle_write"] += int(a.get("Value", 0))
+    return acc
 
 
 if __name__ == "__main__":

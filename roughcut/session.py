@@ -17,14 +17,17 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "roughcut") -> SparkSession:
+                  app_name: str = "roughcut", extra_conf: dict | None = None) -> SparkSession:
     """A local session configured the way the tests and the bench expect.
 
     AQE stays on so shuffle partitions coalesce and skewed partitions split
     at run time; the UI is off (no server is started).
     """
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
