@@ -489,8 +489,8 @@ def approx_distinct_orders(spark, d):
 def hll_distinct(spark, d):
     p = sketches.DEFAULT_HLL_P
     s = load_sales(spark, d)
-    r = s.agg(F.hll_sketch_estimate(sketches.hll_sketch("user_id", p)).alias("e"),
-              F.count_distinct("user_id").alias("distinct_users"))
+    est = sketches.hll_distinct(s, "user_id", p, alias="e")  # two-level merge
+    r = with_scalars(s.agg(F.count_distinct("user_id").alias("distinct_users")), est)
     tol = 3 * sketches.hll_error_pct(p) / 100
     return r.select("distinct_users", _within(F.col("e"), F.col("distinct_users"), tol)
                     .alias("within_tolerance"))
@@ -579,11 +579,6 @@ def _gk(col):
                                          sketches.DEFAULT_PCT_ACCURACY)
 
 
-def _kll(col, k=KLL_K):
-    return lambda p: F.kll_sketch_get_quantile_double(
-        F.kll_sketch_agg_double(F.col(col).cast("double"), k), F.lit(float(p)))
-
-
 @query
 def approx_median(spark, d):
     return _quantile_check(load_sales(spark, d), "amount", [0.5], _gk("amount"), GK_EPS)
@@ -596,7 +591,10 @@ def approx_percentiles(spark, d):
 
 @query
 def kll_quantile(spark, d):
-    res = _quantile_check(load_sales(spark, d), "amount", PERCENTILES, _kll("amount"), KLL_EPS)
+    s = load_sales(spark, d)
+    est = sketches.kll_quantiles(s, "amount", PERCENTILES, k=KLL_K)  # two-level merge
+    est = est.select(*[F.col(sketches.quantile_name(p)).alias(f"e{i}") for i, p in enumerate(PERCENTILES)])
+    res = _quantile_check(s, "amount", PERCENTILES, None, KLL_EPS, est_frame=est)
     return res.withColumn("error_estimate", F.lit(sketches.kll_error_estimate(KLL_K)))
 
 

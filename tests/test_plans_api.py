@@ -49,6 +49,7 @@ def test_sketch_plan_mixes_exact_and_sketched(sales):
     assert p.strategy == "sketch" and p.hll_precision == 16
     assert r["cnt"] == 10_000 and r["cnt_error_pct"] == 0.0
     assert abs(r["users"] - 150) <= 3 and r["users_error_pct"] == pytest.approx(0.4063, abs=1e-4)
+    assert abs(r["med"] - 34.59) / 34.59 < 0.02 and r["med_error_pct"] == 0.2
 
 
 def test_exact_aggregate_with_quantiles(sales):
