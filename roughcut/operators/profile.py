@@ -24,25 +24,74 @@ def is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, T.NumericType)
 
 
+PROFILE_HLL_LGK = 12  # HLL registers 2^12: about 1.6 % relative error
+TREE_FANIN = 1024
+
+
+def _profile_tree(df: DataFrame, fields) -> DataFrame:
+    """One wide row of profile statistics, merged in two levels.
+
+    Level 1 aggregates per ``partition id mod TREE_FANIN`` (constant inside a
+    map task): row count, a mergeable HLL sketch per column and, for numeric
+    columns, ``n``, mean and ``M2`` (sum of squared deviations). Level 2
+    unions the sketches and combines the moments with the parallel-variance
+    rule ``M2 = sum(M2_i) + sum(n_i * mean_i^2) - N * mean^2``, so no task
+    ever merges more than TREE_FANIN partial rows.
+    """
+    salted = df.withColumn("__b", F.pmod(F.spark_partition_id(), F.lit(TREE_FANIN)))
+    l1 = [F.count(F.lit(1)).alias("__rows")]
+    for i, f in enumerate(fields):
+        c = F.col(f.name)
+        l1.append(F.hll_sketch_agg(c.cast("string"), PROFILE_HLL_LGK).alias(f"__hll{i}"))
+        if is_numeric(f.dataType):
+            x = c.cast("double")
+            l1 += [F.count(c).alias(f"__n{i}"), F.avg(x).alias(f"__m{i}"),
+                   F.coalesce(F.var_samp(x) * (F.count(c) - 1), F.lit(0.0)).alias(f"__q{i}")]
+    level1 = salted.groupBy("__b").agg(*l1)
+    l2 = [F.sum("__rows").alias("__rows")]
+    for i, f in enumerate(fields):
+        l2.append(F.hll_sketch_estimate(F.hll_union_agg(f"__hll{i}", True)).alias(f"__card{i}"))
+        if is_numeric(f.dataType):
+            n, m = F.col(f"__n{i}"), F.col(f"__m{i}")
+            l2 += [F.sum(n).alias(f"__N{i}"), F.sum(n * m).alias(f"__S{i}"),
+                   F.sum(n * m * m).alias(f"__SS{i}"), F.sum(f"__q{i}").alias(f"__Q{i}")]
+    one = level1.agg(*l2)
+    out = [F.col("__rows")]
+    for i, f in enumerate(fields):
+        out.append(F.col(f"__card{i}"))
+        if is_numeric(f.dataType):
+            N, S, SS, Q = (F.col(f"__{k}{i}") for k in ("N", "S", "SS", "Q"))
+            mean = F.when(N > 0, S / N)
+            m2 = F.greatest(Q + SS - N * mean * mean, F.lit(0.0))
+            out += [mean.alias(f"__mean{i}"), F.when(N > 1, F.sqrt(m2 / (N - 1))).alias(f"__sd{i}")]
+    return one.select(*out)
+
+
 def profile_table(df: DataFrame, columns: Sequence[str] | None = None,
-                  exact_cardinality: bool = False, rsd: float = 0.02) -> DataFrame:
+                  exact_cardinality: bool = False) -> DataFrame:
     """One row per column with type, cardinality, mean and stddev.
 
-    ``exact_cardinality=False`` (the default) counts distinct values with
-    HyperLogLog++ in the same single pass; ``True`` uses exact distinct
-    counts, which Spark evaluates by expanding each row once per column
-    before a shuffle - affordable at small scale only.
+    ``exact_cardinality=False`` (the default, meant for large tables) counts
+    distinct values with mergeable HLL sketches and merges every statistic
+    in two levels (:func:`_profile_tree`). ``True`` uses exact distinct
+    counts in one aggregate - Spark expands each row once per column before
+    the shuffle, so it is meant for small tables and for checks.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    if not exact_cardinality:
+        return _explode_profile(_profile_tree(df, fields), fields)
     stats: list[Column] = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
         c = F.col(f.name)
-        card = F.count_distinct(c) if exact_cardinality else F.approx_count_distinct(c, rsd)
-        stats.append(card.alias(f"__card{i}"))
+        stats.append(F.count_distinct(c).alias(f"__card{i}"))
         if is_numeric(f.dataType):
             stats.append(F.avg(c).cast("double").alias(f"__mean{i}"))
             stats.append(F.stddev_samp(c).cast("double").alias(f"__sd{i}"))
-    one = df.agg(*stats)
+    return _explode_profile(df.agg(*stats), fields)
+
+
+def _explode_profile(one: DataFrame, fields) -> DataFrame:
+    """Turn the one wide statistics row into one row per column."""
     rows = []
     for i, f in enumerate(fields):
         num = is_numeric(f.dataType)
