@@ -5,16 +5,20 @@ and merges it in a single final task; on a 100 TB column that task holds the
 column. Here the exact order statistic is found by distributed selection:
 
 1. count the non-null values (target ranks follow from N and p);
-2. ask ``percentile_approx`` (rank error <= n/accuracy) for two values that
-   bracket the target ranks with a safety margin;
+2. build a KLL sketch of the candidates - merged in two levels, so no task
+   merges more than a bounded number of partial sketches - and read two
+   values that bracket the target ranks with a safety margin;
 3. count, in one pass, the values below the bracket and inside it; the
-   candidates shrink by about ``accuracy / 4`` per round;
+   candidates shrink by roughly ``1 / (2 * margin)`` per round;
 4. once at most ``small`` candidates remain, rank their distinct values in
    one window over that bounded set and read the answer.
 
-Every pass reads one pruned column; the driver only sees a few scalars per
-round. Ranks follow the SQL definitions: ``cont`` interpolates linearly at
-``p * (N - 1)``, ``disc`` returns the value of rank ``max(1, ceil(p * N))``.
+The KLL bound holds with high probability, not always: every bracket is
+verified by exact counts, and a missed one is retried with a doubled margin,
+so the answer is always exact. Every pass reads one pruned column; the
+driver only sees a few scalars per round. Ranks follow the SQL definitions:
+``cont`` interpolates linearly at ``p * (N - 1)``, ``disc`` returns the value
+of rank ``max(1, ceil(p * N))``.
 """
 
 from __future__ import annotations
@@ -24,9 +28,18 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roughcut.operators.sketches import TREE_FANIN, kll_sketch
+
 SMALL = 100_000
-ACCURACY = 10_000
-MAX_ROUNDS = 12
+KLL_K = 2000
+MAX_ROUNDS = 16
+MAX_MARGIN = 0.25
+
+
+def kll_rank_error(k: int) -> float:
+    """Normalised rank error of a KLL sketch (double-sided, 99 % confidence),
+    the published DataSketches fit ``2.446 / k^0.9433``."""
+    return 2.446 / k ** 0.9433
 
 
 def _ranks(n: int, p: float, kind: str) -> tuple[int, int, float]:
@@ -38,9 +51,39 @@ def _ranks(n: int, p: float, kind: str) -> tuple[int, int, float]:
     return math.floor(pos) + 1, math.ceil(pos) + 1, pos
 
 
+def _merged_sketch(df: DataFrame, group_by: list[str], k: int) -> DataFrame:
+    """KLL sketch of ``x`` per group, merged in two levels (bucket = task)."""
+    salted = df.withColumn("__b", F.pmod(F.spark_partition_id(), F.lit(TREE_FANIN)))
+    level1 = salted.groupBy(*group_by, "__b").agg(kll_sketch("x", k).alias("__sk"))
+    merged = F.kll_merge_agg_double(F.col("__sk")).alias("__sk")
+    return level1.groupBy(*group_by).agg(merged) if group_by else level1.agg(merged)
+
+
+def _final(cand: DataFrame, group_by: list[str], lo_r, hi_r, pos, kind: str, name: str) -> DataFrame:
+    """Rank the distinct candidate values (with counts) in one ordered window
+    per group and read the target ranks. When heavy ties stop the narrowing
+    early the candidates are few distinct values, so the window stays small."""
+    carry = [c for c in ("__lo_r", "__hi_r", "__pos") if c in cand.columns]
+    vc = cand.groupBy(*group_by, "x", *carry).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*group_by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    runs = vc.withColumn("last", F.sum("c").over(w)).withColumn("first", F.col("last") - F.col("c") + 1)
+
+    def at(rank):
+        return F.max(F.when((F.col("first") <= rank) & (F.col("last") >= rank), F.col("x")))
+
+    aggs = [at(lo_r).alias("v1"), at(hi_r).alias("v2"), F.first(pos).alias("pos")]
+    res = runs.groupBy(*group_by).agg(*aggs) if group_by else runs.agg(*aggs)
+    if kind == "disc":
+        value = F.col("v1")
+    else:
+        lower, higher = F.floor("pos"), F.ceil("pos")
+        value = F.when(lower == higher, F.col("v1")).otherwise(
+            (higher - F.col("pos")) * F.col("v1") + (F.col("pos") - lower) * F.col("v2"))
+    return res.select(*group_by, value.alias(name))
+
+
 def exact_quantile(df: DataFrame, column: str, p: float, kind: str = "cont",
-                   alias: str | None = None, small: int = SMALL,
-                   accuracy: int = ACCURACY) -> DataFrame:
+                   alias: str | None = None, small: int = SMALL, k: int = KLL_K) -> DataFrame:
     """One-row DataFrame holding the exact quantile ``p`` of ``column``."""
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be in [0, 1]")
@@ -54,18 +97,22 @@ def exact_quantile(df: DataFrame, column: str, p: float, kind: str = "cont",
     k_lo, k_hi, pos = _ranks(n, p, kind)
 
     cand, size, below = vals, n, 0
+    margin = kll_rank_error(k)
     for _ in range(MAX_ROUNDS):
         if size <= small:
             break
-        margin = 2.0 / accuracy
         q_lo = max(0.0, (k_lo - below) / size - margin)
         q_hi = min(1.0, (k_hi - below) / size + margin)
-        v_lo, v_hi = cand.agg(F.percentile_approx("x", [q_lo, q_hi], accuracy)).first()[0]
+        v_lo, v_hi = _merged_sketch(cand, [], k).select(
+            F.kll_sketch_get_quantile_double("__sk", F.array(F.lit(q_lo), F.lit(q_hi)))).first()[0]
         c = cand.agg(F.count_if(F.col("x") < v_lo).alias("lt"),
                      F.count_if(F.col("x").between(v_lo, v_hi)).alias("inside")).first()
         lt, inside = c["lt"], c["inside"]
         if not (below + lt < k_lo and k_hi <= below + lt + inside):
-            break  # bracket missed (cannot happen within the sketch's bound): stop narrowing
+            if margin >= MAX_MARGIN:
+                break
+            margin = min(MAX_MARGIN, 2 * margin)  # the sketch missed: widen and retry
+            continue
         if v_lo == v_hi:
             # every target rank sits in one run of equal values
             return cand.filter(F.col("x") == v_lo).agg(F.max("x").alias(name))
@@ -73,25 +120,7 @@ def exact_quantile(df: DataFrame, column: str, p: float, kind: str = "cont",
             break  # no progress (heavy ties at the edges)
         cand = cand.filter(F.col("x").between(v_lo, v_hi))
         size, below = inside, below + lt
-
-    # Bounded set: rank its distinct values (with their counts) in one ordered
-    # window. When heavy ties stop the narrowing early the candidates are few
-    # distinct values, so the window stays small either way.
-    lo_r, hi_r = k_lo - below, k_hi - below
-    vc = cand.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    cum = F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    runs = vc.withColumn("last", cum).withColumn("first", F.col("last") - F.col("c") + 1)
-
-    def at(rank):
-        return F.max(F.when((F.col("first") <= rank) & (F.col("last") >= rank), F.col("x")))
-
-    v1, v2 = at(lo_r), at(hi_r)
-    if kind == "disc" or lo_r == hi_r:
-        value = v1
-    else:
-        lower, higher = math.floor(pos), math.ceil(pos)
-        value = F.lit(higher - pos) * v1 + F.lit(pos - lower) * v2
-    return runs.agg(value.alias(name))
+    return _final(cand, [], F.lit(k_lo - below), F.lit(k_hi - below), F.lit(float(pos)), kind, name)
 
 
 GRID = 1000  # per-group bracket grid: sketch quantiles at 0, 1/GRID, ..., 1
@@ -105,16 +134,18 @@ def _maybe_broadcast(state: DataFrame) -> DataFrame:
 
 def exact_quantile_grouped(df: DataFrame, group_by, column: str, p: float,
                            kind: str = "cont", alias: str | None = None,
-                           small: int = SMALL, accuracy: int = ACCURACY) -> DataFrame:
+                           small: int = SMALL, k: int = KLL_K) -> DataFrame:
     """Exact quantile per group without holding a hot group in one task.
 
     Same selection as :func:`exact_quantile`, run for all groups at once:
-    per round one grouped sketch pass (a fixed grid of probabilities, since
-    ``percentile_approx`` needs constant ones) and one grouped counting pass
-    over the rows still inside each group's bracket. The per-group state is
-    joined to the rows by group key - broadcast when the number of groups is
-    bounded, otherwise a shuffle join whose hot keys AQE's skew handling
-    splits. The last step ranks at most ``small`` candidates per group.
+    per round one grouped two-level sketch pass (a fixed grid of ranks read
+    from each group's merged KLL sketch, since the rank argument must be a
+    constant) and one grouped counting pass over the rows still inside each
+    group's bracket. The per-group state is joined to the rows by group key -
+    broadcast when the number of groups is bounded, otherwise a shuffle join
+    whose hot keys AQE's skew handling splits. A group whose bracket missed
+    doubles its own margin; the last step ranks at most ``small`` candidates
+    per group.
     """
     from roughcut.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)  # state tables are checkpointed per round
@@ -132,24 +163,25 @@ def exact_quantile_grouped(df: DataFrame, group_by, column: str, p: float,
              .select(*g, "n", k_lo.cast("bigint").alias("k_lo"), k_hi.cast("bigint").alias("k_hi"),
                      pos.alias("pos"), F.lit(0).cast("bigint").alias("below"),
                      n.alias("size"), F.lit(None).cast("double").alias("lo"),
-                     F.lit(None).cast("double").alias("hi")))
+                     F.lit(None).cast("double").alias("hi"),
+                     F.lit(kll_rank_error(k)).alias("margin")))
     state = state.checkpoint()
     inside = ((F.col("lo").isNull() | (F.col("x") >= F.col("lo"))) &
               (F.col("hi").isNull() | (F.col("x") <= F.col("hi"))))
-    grid = [i / GRID for i in range(GRID + 1)]
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
     for _ in range(MAX_ROUNDS):
         if state.filter(F.col("size") > small).limit(1).count() == 0:
             break
         st = _maybe_broadcast(state)
-        cand = vals.join(st.filter(F.col("size") > small), g).filter(inside)
-        sk = cand.groupBy(*g).agg(F.percentile_approx("x", grid, accuracy).alias("qs"))
-        # grid cells that surely bracket the target ranks (sketch error n/accuracy)
+        cand = vals.join(st.filter(F.col("size") > small), g).filter(inside).select(*g, "x")
+        sk = _merged_sketch(cand, g, k).select(
+            *g, F.kll_sketch_get_quantile_double("__sk", grid).alias("qs"))
+        # grid cells that bracket the target ranks with the group's margin
         step = F.lit(float(GRID))
-        slack = F.lit(GRID / accuracy) + 1
-        q_lo = (F.col("k_lo") - F.col("below")) / F.col("size")
-        q_hi = (F.col("k_hi") - F.col("below")) / F.col("size")
-        j_lo = F.greatest(F.lit(0), F.floor(q_lo * step - slack)).cast("int")
-        j_hi = F.least(F.lit(GRID), F.ceil(q_hi * step + slack)).cast("int")
+        q_lo = (F.col("k_lo") - F.col("below")) / F.col("size") - F.col("margin")
+        q_hi = (F.col("k_hi") - F.col("below")) / F.col("size") + F.col("margin")
+        j_lo = F.greatest(F.lit(0), F.floor(q_lo * step)).cast("int")
+        j_hi = F.least(F.lit(GRID), F.ceil(q_hi * step)).cast("int")
         br = (state.join(sk, g).select(*g, F.element_at("qs", j_lo + 1).alias("nlo"),
                                        F.element_at("qs", j_hi + 1).alias("nhi")))
         br = _maybe_broadcast(br.checkpoint())
@@ -157,37 +189,25 @@ def exact_quantile_grouped(df: DataFrame, group_by, column: str, p: float,
                .groupBy(*g).agg(F.count_if(F.col("x") < F.col("nlo")).alias("lt"),
                                 F.count_if(F.col("x").between(F.col("nlo"), F.col("nhi"))).alias("ins"),
                                 F.first("nlo").alias("nlo"), F.first("nhi").alias("nhi")))
-        ok = ((F.col("below") + F.col("lt") < F.col("k_lo")) &
-              (F.col("k_hi") <= F.col("below") + F.col("lt") + F.col("ins")) &
-              (F.col("ins") < F.col("size")))
+        hit = ((F.col("below") + F.col("lt") < F.col("k_lo")) &
+               (F.col("k_hi") <= F.col("below") + F.col("lt") + F.col("ins")))
+        ok = hit & (F.col("ins") < F.col("size"))
+        missed = F.col("lt").isNotNull() & ~hit & (F.col("margin") < MAX_MARGIN)
         nxt = state.join(cnt, g, "left").select(
             *g, "n", "k_lo", "k_hi", "pos",
             F.when(ok, F.col("below") + F.col("lt")).otherwise(F.col("below")).alias("below"),
-            # groups that cannot narrow further are parked at size `small`
-            F.when(ok, F.col("ins")).when(F.col("size") > small, F.lit(small))
-             .otherwise(F.col("size")).alias("size"),
+            # a group that cannot narrow further (ties, or misses at the widest
+            # margin) is parked at size `small`; a missed bracket is retried
+            F.when(ok, F.col("ins")).when(missed, F.col("size"))
+             .when(F.col("size") > small, F.lit(small)).otherwise(F.col("size")).alias("size"),
             F.when(ok, F.col("nlo")).otherwise(F.col("lo")).alias("lo"),
-            F.when(ok, F.col("nhi")).otherwise(F.col("hi")).alias("hi"))
+            F.when(ok, F.col("nhi")).otherwise(F.col("hi")).alias("hi"),
+            F.when(missed, F.least(F.lit(MAX_MARGIN), F.col("margin") * 2))
+             .otherwise(F.col("margin")).alias("margin"))
         state = nxt.checkpoint()
 
     st = _maybe_broadcast(state)
-    cand = vals.join(st, g).filter(inside)
-    vc = cand.groupBy(*g, "x").agg(F.count(F.lit(1)).alias("c"),
-                                   F.first("below").alias("below"), F.first("k_lo").alias("k_lo"),
-                                   F.first("k_hi").alias("k_hi"), F.first("pos").alias("pos"))
-    w = Window.partitionBy(*g).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    runs = (vc.withColumn("last", F.sum("c").over(w) + F.col("below"))
-              .withColumn("first", F.col("last") - F.col("c") + 1))
-
-    def at(rank):
-        return F.max(F.when((F.col("first") <= rank) & (F.col("last") >= rank), F.col("x")))
-
-    res = runs.groupBy(*g).agg(at(F.col("k_lo")).alias("v1"), at(F.col("k_hi")).alias("v2"),
-                               F.first("pos").alias("pos"))
-    if kind == "disc":
-        value = F.col("v1")
-    else:
-        lower, higher = F.floor("pos"), F.ceil("pos")
-        value = F.when(lower == higher, F.col("v1")).otherwise(
-            (higher - F.col("pos")) * F.col("v1") + (F.col("pos") - lower) * F.col("v2"))
-    return res.select(*g, value.alias(name))
+    cand = (vals.join(st, g).filter(inside)
+            .select(*g, "x", (F.col("k_lo") - F.col("below")).alias("__lo_r"),
+                    (F.col("k_hi") - F.col("below")).alias("__hi_r"), F.col("pos").alias("__pos")))
+    return _final(cand, g, F.col("__lo_r"), F.col("__hi_r"), F.col("__pos"), kind, name)

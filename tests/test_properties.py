@@ -133,7 +133,7 @@ def test_exact_quantile_selection(sales, p, kind):
     """Distributed selection (forced through several narrowing rounds)
     equals Spark's single-task exact percentile."""
     from roughcut.operators.quantile import exact_quantile
-    got = exact_quantile(sales, "amount", p, kind, alias="q", small=50, accuracy=100).first()["q"]
+    got = exact_quantile(sales, "amount", p, kind, alias="q", small=50, k=50).first()["q"]
     fn = "percentile_cont" if kind == "cont" else "percentile_disc"
     want = sales.agg(F.expr(f"{fn}({p}) WITHIN GROUP (ORDER BY CAST(amount AS DOUBLE))")).first()[0]
     assert got == pytest.approx(want, abs=1e-9)
@@ -142,7 +142,7 @@ def test_exact_quantile_selection(sales, p, kind):
 def test_exact_quantile_heavy_ties(spark):
     from roughcut.operators.quantile import exact_quantile
     df = spark.range(5000).select((F.col("id") % 3).alias("v"))
-    got = exact_quantile(df, "v", 0.5, small=10, accuracy=100).first()[0]
+    got = exact_quantile(df, "v", 0.5, small=10, k=50).first()[0]
     assert got == df.agg(F.median("v")).first()[0]
 
 
@@ -152,7 +152,7 @@ def test_exact_quantile_grouped(sales, p, kind):
     from roughcut.operators.quantile import exact_quantile_grouped
     got = {r["region"]: r["q"] for r in
            exact_quantile_grouped(sales, "region", "amount", p, kind, alias="q",
-                                  small=20, accuracy=200).collect()}
+                                  small=20, k=50).collect()}
     fn = "percentile_cont" if kind == "cont" else "percentile_disc"
     want = {r["region"]: r[1] for r in sales.groupBy("region").agg(
         F.expr(f"{fn}({p}) WITHIN GROUP (ORDER BY CAST(amount AS DOUBLE))")).collect()}
