@@ -119,6 +119,26 @@ def sum_bound(sample_sum: Operand, sample_std: Operand, n: Operand, N: Operand,
     return _cols(sum_bound_sql(sample_sum, sample_std, n, N, confidence))
 
 
+def sum_bound_ht_sql(sample_sum: Operand, sample_sumsq: Operand, rate: Operand,
+                     confidence: float = 0.95) -> dict[str, str]:
+    """SUM from a Bernoulli(rate) sample, Horvitz-Thompson interval.
+
+    ``Var = (1 - r) / r^2 * sum(y^2)`` over the sampled rows. Unlike the
+    fixed-sample-size formula above it includes the randomness of the
+    sample size, which dominates when the mean is large next to the spread.
+    """
+    s, ss, r, z = sql(sample_sum), sql(sample_sumsq), sql(rate), sql(z_value(confidence))
+    total = f"({s} / {r})"
+    margin = f"({z} * sqrt((1.0D - {r}) / ({r} * {r}) * {ss}))"
+    pct = f"(CASE WHEN {total} != 0 THEN {margin} / abs({total}) * 100 END)"
+    return {
+        "estimated_total": f"round({total}, 2)",
+        "error_pct": f"round({pct}, 2)",
+        "ci_low": f"round({total} - {margin}, 2)",
+        "ci_high": f"round({total} + {margin}, 2)",
+    }
+
+
 def avg_sem_sql(sample_std: Operand, n: Operand, N: Operand) -> str:
     sd, n, N = sql(sample_std), sql(n), sql(N)
     return f"(CASE WHEN {n} > 1 AND {N} > 1 THEN ({sd} / sqrt({n})) * {_fpc(N, n)} END)"

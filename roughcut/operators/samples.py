@@ -205,7 +205,7 @@ class SampleStore:
     # ---------------------------------------------------------------- answer
     def tier_aggregate(self, table: str, aggs, rate: float | None = None,
                        accuracy: float | None = None, where=None,
-                       confidence: float = 0.95) -> DataFrame:
+                       confidence: float = 0.95, bound_method: str = "proportion") -> DataFrame:
         """Ungrouped aggregate answered from a stored tier.
 
         COUNT/SUM are scaled by the tier's realised rate ``n/N`` read from
@@ -219,6 +219,7 @@ class SampleStore:
         realised = meta["sample_rows"] / meta["population_rows"]
         res = sampling.aggregate_sample(self.tier(table, rate), as_aggs(aggs), realised,
                                         where=where, confidence=confidence,
+                                        bound_method=bound_method,
                                         population=meta["population_rows"],
                                         sample_size=meta["sample_rows"])
         return res.withColumn("sample_type", F.lit(tier_name(rate)))

@@ -86,6 +86,11 @@ def aggregate_sample(rows: DataFrame, aggs, rate: float, group_by: Sequence[str]
                      population: int | None = None, sample_size: int | None = None) -> DataFrame:
     """Aggregate rows that already are a uniform sample at ``rate``.
 
+    ``bound_method="proportion"`` reproduces the reference's COUNT and SUM
+    bounds; ``"ht"`` gives Horvitz-Thompson intervals for both (COUNT:
+    ``z*sqrt((1-r)/n)``; SUM: ``z*sqrt((1-r)/r^2 * sum(y^2))``), which hold
+    their coverage when the reference's are too narrow.
+
     For every aggregate ``x`` the output carries ``x`` (population estimate:
     COUNT and SUM scaled by ``1/rate``, AVG/MIN/MAX as measured on the
     sample), ``x_sample`` (the raw sample value, for COUNT and SUM) and,
@@ -106,6 +111,9 @@ def aggregate_sample(rows: DataFrame, aggs, rate: float, group_by: Sequence[str]
         stats.append(f"{agg_sql(a)} AS {q(a.name + '__s')}")
         if with_bounds and a.func in ("sum", "avg"):
             stats.append(f"stddev_samp({q(a.column)}) AS {q(a.name + '__sd')}")
+        if with_bounds and a.func == "sum" and bound_method == "ht":
+            y = f"CAST({q(a.column)} AS DOUBLE)"
+            stats.append(f"sum({y} * {y}) AS {q(a.name + '__ss')}")
     stats = [F.expr(x) for x in stats]
     grouped = rows.groupBy(*group_by).agg(*stats) if group_by else rows.agg(*stats)
 
@@ -129,7 +137,12 @@ def aggregate_sample(rows: DataFrame, aggs, rate: float, group_by: Sequence[str]
             d = f"CAST({v} AS DOUBLE)"
             out += [f"{scale(d)} AS {name}", f"{d} AS {q(a.name + '_sample')}"]
             if with_bounds:
-                b = bounds.sum_bound_sql(d, q(a.name + "__sd"), n, n_hat, confidence)
+                if bound_method == "ht":
+                    r_eff = (f"({bounds.sql(int(sample_size))} / {bounds.sql(int(population))})"
+                             if population is not None and sample_size else bounds.sql(float(rate)))
+                    b = bounds.sum_bound_ht_sql(d, q(a.name + "__ss"), r_eff, confidence)
+                else:
+                    b = bounds.sum_bound_sql(d, q(a.name + "__sd"), n, n_hat, confidence)
                 out += [f"{b[k]} AS {q(a.name + '_' + k)}" for k in ("error_pct", "ci_low", "ci_high")]
         elif a.func == "avg":
             out.append(f"{v} AS {name}")

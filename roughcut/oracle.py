@@ -375,6 +375,13 @@ _GSS = f"""g AS (SELECT region, count(*) AS population_size,
 _sb = sum_bound("sample_sum", "sample_std", "sample_size", "population_size")
 Q["sum_error"] = w(_GSS) + "SELECT region, sample_size, population_size, " + \
     ", ".join(f"{v} AS {k}" for k, v in _sb.items()) + " FROM g"
+_ht_tot = f"(s / {R10})"
+_ht_m = f"(1.96 * sqrt((1.0 - {R10}) / ({R10} * {R10}) * ss))"
+Q["sum_error_ht"] = w(f"""g AS (SELECT region, {SUM_AMT} AS s,
+  sum(CAST(amount AS DOUBLE) * CAST(amount AS DOUBLE)) AS ss FROM sales WHERE h < {T10} GROUP BY region)""") + \
+    f"""SELECT region, {r6(_ht_tot)} AS estimated_total,
+  round(CASE WHEN {_ht_tot} <> 0 THEN {_ht_m} / abs({_ht_tot}) * 100 END, 2) AS error_pct,
+  round({_ht_tot} - {_ht_m}, 2) AS ci_low, round({_ht_tot} + {_ht_m}, 2) AS ci_high FROM g"""
 _sem = avg_sem("sample_std", "sample_size", "population_size")
 Q["avg_error"] = w(_GSS) + f"""SELECT region, sample_size, population_size,
   round({_sem}, 4) AS standard_error, round(1.96 * {_sem}, 4) AS margin FROM g"""

@@ -188,7 +188,7 @@ def approx_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
                      confidence: float = 0.95, profile_row: dict | None = None,
                      profile: DataFrame | None = None, strategy: str | None = None,
                      sample_rate: float | None = None, hll_precision: int | None = None,
-                     return_plan: bool = False):
+                     bound_method: str = "proportion", return_plan: bool = False):
     """Answer ``aggs`` (grouped by ``group_by``) within an accuracy target,
     or with an explicitly requested ``strategy`` (and ``sample_rate`` /
     ``hll_precision``).
@@ -216,11 +216,12 @@ def approx_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
     else:
         plan = choose_plan(df, aggs, group_by, accuracy, table, store, small_table_rows,
                            confidence, profile_row, profile)
-    res = _run(df, aggs, group_by, where, key, table, store, plan, confidence)
+    res = _run(df, aggs, group_by, where, key, table, store, plan, confidence, bound_method)
     return (res, plan) if return_plan else res
 
 
-def _run(df, aggs, group_by, where, key, table, store, plan: Plan, confidence) -> DataFrame:
+def _run(df, aggs, group_by, where, key, table, store, plan: Plan, confidence,
+         bound_method: str = "proportion") -> DataFrame:
     s = plan.strategy
     if s == "exact":
         res = exact_aggregate(df, aggs, group_by, where)
@@ -255,10 +256,10 @@ def _run(df, aggs, group_by, where, key, table, store, plan: Plan, confidence) -
     if s in ("uniform", "materialized_tier"):
         if s == "uniform":
             res = sampling.sample_aggregate(df, aggs, plan.rate, group_by, where, key,
-                                            confidence=confidence)
+                                            confidence=confidence, bound_method=bound_method)
         else:
             res = store.tier_aggregate(table, aggs, rate=plan.rate, where=where,
-                                       confidence=confidence)
+                                       confidence=confidence, bound_method=bound_method)
         err = {}
         for a in aggs:
             if a.func in ("count", "sum"):

@@ -706,6 +706,17 @@ def sum_error(spark, d):
     return g.select("region", "sample_size", "population_size", *[v.alias(k) for k, v in b.items()])
 
 
+@query
+def sum_error_ht(spark, d):
+    """Horvitz-Thompson SUM interval per region from the 10 % hash sample."""
+    res = sampling.sample_aggregate(_sales(spark, d), [SUM], UNIFORM_RATE, ["region"],
+                                    bound_method="ht")
+    return res.select("region", r6("total_revenue").alias("estimated_total"),
+                      F.col("total_revenue_error_pct").alias("error_pct"),
+                      F.col("total_revenue_ci_low").alias("ci_low"),
+                      F.col("total_revenue_ci_high").alias("ci_high"))
+
+
 @query
 def avg_error(spark, d):
     g = _group_sample_stats(spark, d)

@@ -197,3 +197,23 @@ def test_null_group_is_a_stratum(spark, sales):
     agg = {r["region"]: r["population_count"] for r in
            stratified.stratified_aggregate(s, "region", ["count(*)"], 0.01).collect()}
     assert agg[None] == 20 and sum(agg.values()) == 10_000
+
+
+def test_uniform_ht_intervals_cover_truth(spark):
+    """1 % uniform sample of lineitem (sf0.1): the Horvitz-Thompson COUNT and
+    SUM intervals contain every group's truth; the reference's proportion
+    COUNT bound is narrower by sqrt(r) and misses some (D12)."""
+    li = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    g = ["l_returnflag", "l_linestatus"]
+    ex = {(r[0], r[1]): (r[2], r[3]) for r in
+          li.groupBy(*g).agg(F.count("*"), F.sum("l_extendedprice")).collect()}
+    res = sampling.sample_aggregate(li, ["count(*)", "sum(l_extendedprice)"], 0.01, g, key=key,
+                                    hash_method="xxhash", bound_method="ht").collect()
+    for r in res:
+        c, s = ex[(r[0], r[1])]
+        assert r["count_rows_ci_low"] <= c <= r["count_rows_ci_high"]
+        assert r["sum_l_extendedprice_ci_low"] <= s <= r["sum_l_extendedprice_ci_high"]
+    narrow = sampling.sample_aggregate(li, ["count(*)"], 0.01, g, key=key, hash_method="xxhash").collect()
+    assert sum(not (x["count_rows_ci_low"] <= ex[(x[0], x[1])][0] <= x["count_rows_ci_high"])
+               for x in narrow) > 0
