@@ -422,7 +422,8 @@ def _uniform_unified(src: str, rate: str, thr: str, group: str | None, val: str,
     g = f"{group}, " if group else ""
     gb = f" GROUP BY {group}" if group else ""
     inner = (f"SELECT {g}count(*) AS c, CAST(sum({val}) AS DOUBLE) AS s, "
-             f"CAST(sum({val}) AS DOUBLE) / count({val}) AS av, stddev_samp({val}) AS sd "
+             f"CAST(sum({val}) AS DOUBLE) / count({val}) AS av, stddev_samp({val}) AS sd, "
+             f"sum(CAST({val} AS DOUBLE) * CAST({val} AS DOUBLE)) AS ss "
              f"FROM {src} {extra_from} WHERE h < {thr} {where}{gb}")
     if exact_ratio:
         N_, n_ = exact_ratio
@@ -433,8 +434,11 @@ def _uniform_unified(src: str, rate: str, thr: str, group: str | None, val: str,
         scale_c = f"CAST(floor(c / {rate}) AS BIGINT)"
         scale_s = f"s / {rate}"
         n_hat = f"(CASE WHEN c > 0 THEN floor(c / {rate}) END)"
-    cb = count_bound("c", rate)
-    sb = sum_bound("s", "sd", "c", n_hat)
+    # the planner states Horvitz-Thompson bounds for COUNT and SUM
+    cb = count_bound("c", rate, "ht")
+    ht_total = f"(s / {rate})"
+    ht_margin = f"(1.96 * sqrt((1.0 - {rate}) / ({rate} * {rate}) * ss))"
+    sb = {"error_pct": f"round(CASE WHEN {ht_total} <> 0 THEN {ht_margin} / abs({ht_total}) * 100 END, 2)"}
     sem = avg_sem("sd", "c", n_hat)
     avg_err = f"(CASE WHEN av <> 0 THEN round(round(1.96 * {sem}, 4) / abs(av) * 100, 2) END)"
     return (f"SELECT {g}{r6(scale_c)} AS cnt, {r6(cb['error_pct'])} AS cnt_error_pct, "

@@ -188,11 +188,15 @@ def approx_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
                      confidence: float = 0.95, profile_row: dict | None = None,
                      profile: DataFrame | None = None, strategy: str | None = None,
                      sample_rate: float | None = None, hll_precision: int | None = None,
-                     bound_method: str = "proportion", return_plan: bool = False):
+                     bound_method: str = "ht", return_plan: bool = False):
     """Answer ``aggs`` (grouped by ``group_by``) within an accuracy target,
     or with an explicitly requested ``strategy`` (and ``sample_rate`` /
     ``hll_precision``).
 
+    Stated COUNT and SUM errors of the sampling strategies are
+    Horvitz-Thompson bounds by default (``bound_method="ht"``); pass
+    ``"proportion"`` for the reference's narrower formulas.
+
     Planning needs the row count and the aggregated column's mean and
     spread (and, grouped, the group column's skew). They come from
     ``profile_row`` (``row_count``, ``mean``, ``stddev``, optionally
