@@ -8,7 +8,8 @@ column. Here the exact order statistic is found by distributed selection:
 2. build a KLL sketch of the candidates - merged in two levels, so no task
    merges more than a bounded number of partial sketches - and read two
    values that bracket the target ranks with a safety margin;
-3. count, in one pass, the values below the bracket and inside it; the
+3. count, in one pass, the values below the bracket and inside it - the
+   same pass sketches the rows inside, ready for the next round; the
    candidates shrink by roughly ``1 / (2 * margin)`` per round;
 4. once at most ``small`` candidates remain, rank their distinct values in
    one window over that bounded set and read the answer.
@@ -82,16 +83,50 @@ def _final(cand: DataFrame, group_by: list[str], lo_r, hi_r, pos, kind: str, nam
     return res.select(*group_by, value.alias(name))
 
 
+GRID = 1000  # bracket grid: sketch quantiles at ranks 0, 1/GRID, ..., 1
+_GRID_RANKS = [i / GRID for i in range(GRID + 1)]
+
+
+def _pass(cand: DataFrame, lo: float | None, hi: float | None, k: int):
+    """One pass over the candidates (a two-level aggregate): rows below the
+    bracket ``[lo, hi]``, rows inside it, and the grid of quantiles of the
+    rows inside - the next round's candidates - from their merged KLL
+    sketch. ``None`` leaves a side of the bracket open."""
+    x = F.col("x")
+    inside = F.lit(True)
+    if lo is not None:
+        inside = inside & (x >= F.lit(lo))
+    if hi is not None:
+        inside = inside & (x <= F.lit(hi))
+    under = x < F.lit(lo) if lo is not None else F.lit(False)
+    salted = cand.withColumn("__b", F.pmod(F.spark_partition_id(), F.lit(TREE_FANIN)))
+    level1 = salted.groupBy("__b").agg(
+        F.count_if(under).alias("lt"), F.count_if(inside).alias("ins"),
+        F.kll_sketch_agg_double(F.when(inside, x), k).alias("sk"))
+    level2 = level1.agg(F.sum("lt").alias("lt"), F.sum("ins").alias("ins"),
+                        F.kll_merge_agg_double("sk").alias("sk"))
+    grid = F.array(*[F.lit(r) for r in _GRID_RANKS])
+    row = level2.select(F.coalesce("lt", F.lit(0)).alias("lt"), F.coalesce("ins", F.lit(0)).alias("ins"),
+                        F.when(F.col("ins") > 0, F.kll_sketch_get_quantile_double("sk", grid))
+                        .alias("qs")).first()
+    return row["lt"], row["ins"], row["qs"]
+
+
 def exact_quantile(df: DataFrame, column: str, p: float, kind: str = "cont",
                    alias: str | None = None, small: int = SMALL, k: int = KLL_K) -> DataFrame:
-    """One-row DataFrame holding the exact quantile ``p`` of ``column``."""
+    """One-row DataFrame holding the exact quantile ``p`` of ``column``.
+
+    One pass per round: the pass that counts the rows below and inside the
+    new bracket also sketches the rows inside it, which gives the next
+    round's bracket.
+    """
     if not 0.0 <= p <= 1.0:
         raise ValueError("p must be in [0, 1]")
     if kind not in ("cont", "disc"):
         raise ValueError("kind is 'cont' or 'disc'")
     name = alias or f"{kind}_{column}"
     vals = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    n = vals.count()
+    _, n, grid = _pass(vals, None, None, k)
     if n == 0:
         return vals.agg(F.max("x").alias(name))
     k_lo, k_hi, pos = _ranks(n, p, kind)
@@ -101,13 +136,11 @@ def exact_quantile(df: DataFrame, column: str, p: float, kind: str = "cont",
     for _ in range(MAX_ROUNDS):
         if size <= small:
             break
-        q_lo = max(0.0, (k_lo - below) / size - margin)
-        q_hi = min(1.0, (k_hi - below) / size + margin)
-        v_lo, v_hi = _merged_sketch(cand, [], k).select(
-            F.kll_sketch_get_quantile_double("__sk", F.array(F.lit(q_lo), F.lit(q_hi)))).first()[0]
-        c = cand.agg(F.count_if(F.col("x") < v_lo).alias("lt"),
-                     F.count_if(F.col("x").between(v_lo, v_hi)).alias("inside")).first()
-        lt, inside = c["lt"], c["inside"]
+        q_lo = (k_lo - below) / size - margin
+        q_hi = (k_hi - below) / size + margin
+        v_lo = grid[max(0, math.floor(q_lo * GRID))]
+        v_hi = grid[min(GRID, math.ceil(q_hi * GRID))]
+        lt, inside, nxt = _pass(cand, v_lo, v_hi, k)
         if not (below + lt < k_lo and k_hi <= below + lt + inside):
             if margin >= MAX_MARGIN:
                 break
@@ -119,11 +152,10 @@ def exact_quantile(df: DataFrame, column: str, p: float, kind: str = "cont",
         if inside >= size:
             break  # no progress (heavy ties at the edges)
         cand = cand.filter(F.col("x").between(v_lo, v_hi))
-        size, below = inside, below + lt
+        size, below, grid = inside, below + lt, nxt
     return _final(cand, [], F.lit(k_lo - below), F.lit(k_hi - below), F.lit(float(pos)), kind, name)
 
 
-GRID = 1000  # per-group bracket grid: sketch quantiles at 0, 1/GRID, ..., 1
 BROADCAST_GROUPS = 1_000_000
 
 
