@@ -188,11 +188,14 @@ def approx_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
                      confidence: float = 0.95, profile_row: dict | None = None,
                      profile: DataFrame | None = None, strategy: str | None = None,
                      sample_rate: float | None = None, hll_precision: int | None = None,
-                     bound_method: str = "ht", return_plan: bool = False):
+                     bound_method: str = "ht", hash_method: str = "md5",
+                     return_plan: bool = False):
     """Answer ``aggs`` (grouped by ``group_by``) within an accuracy target,
     or with an explicitly requested ``strategy`` (and ``sample_rate`` /
     ``hll_precision``).
 
+    Runtime samples hash ``key`` with ``hash_method`` (``"md5"`` for SQL
+    parity, ``"xxhash"`` for speed) unless ``df`` already carries ``h``.
     Stated COUNT and SUM errors of the sampling strategies are
     Horvitz-Thompson bounds by default (``bound_method="ht"``); pass
     ``"proportion"`` for the reference's narrower formulas.
@@ -220,12 +223,13 @@ def approx_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
     else:
         plan = choose_plan(df, aggs, group_by, accuracy, table, store, small_table_rows,
                            confidence, profile_row, profile)
-    res = _run(df, aggs, group_by, where, key, table, store, plan, confidence, bound_method)
+    res = _run(df, aggs, group_by, where, key, table, store, plan, confidence, bound_method,
+               hash_method)
     return (res, plan) if return_plan else res
 
 
 def _run(df, aggs, group_by, where, key, table, store, plan: Plan, confidence,
-         bound_method: str = "proportion") -> DataFrame:
+         bound_method: str = "proportion", hash_method: str = "md5") -> DataFrame:
     s = plan.strategy
     if s == "exact":
         res = exact_aggregate(df, aggs, group_by, where)
@@ -260,7 +264,8 @@ def _run(df, aggs, group_by, where, key, table, store, plan: Plan, confidence,
     if s in ("uniform", "materialized_tier"):
         if s == "uniform":
             res = sampling.sample_aggregate(df, aggs, plan.rate, group_by, where, key,
-                                            confidence=confidence, bound_method=bound_method)
+                                            confidence=confidence, bound_method=bound_method,
+                                            hash_method=hash_method)
         else:
             res = store.tier_aggregate(table, aggs, rate=plan.rate, where=where,
                                        confidence=confidence, bound_method=bound_method)
@@ -273,7 +278,8 @@ def _run(df, aggs, group_by, where, key, table, store, plan: Plan, confidence,
                     F.col(f"{a.name}_margin") / F.abs(F.col(a.name)) * 100, 2))
         return _finish(res, group_by, aggs, err, s, plan.rate)
     if s == "stratified":
-        res = stratified.stratified_aggregate(df, group_by, aggs, plan.rate, key, where)
+        res = stratified.stratified_aggregate(df, group_by, aggs, plan.rate, key, where,
+                                              hash_method=hash_method)
     elif s == "materialized_stratified":
         res = store.stratified_aggregate(table, group_by, aggs, where)
         meta = store._meta_row(table, "stratified", ",".join(group_by))

@@ -120,3 +120,17 @@ def test_explicit_strategy_override(sales, store):
     assert (p.strategy, p.rate) == ("materialized_tier", 0.01)
     with pytest.raises(ValueError):
         approx_aggregate(sales, AGGS, strategy="reservoir")
+
+
+def test_runtime_sampling_with_xxhash(spark):
+    """Without a stored hash the planner can hash keys with xxhash64; the
+    plan then has no md5 and the estimates stay sensible."""
+    li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    res = approx_aggregate(li, [("count", "*", "cnt"), ("sum", "l_quantity", "q")], ["l_returnflag"],
+                           key=key, small_table_rows=0, hash_method="xxhash", accuracy=0.95)
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" in plan and "md5" not in plan
+    exact = {r[0]: r[1] for r in li.groupBy("l_returnflag").count().collect()}
+    for r in res.collect():
+        assert abs(r["cnt"] - exact[r["l_returnflag"]]) / exact[r["l_returnflag"]] < 0.1
