@@ -45,6 +45,7 @@ META_SCHEMA = T.StructType([
     T.StructField("stored_rows", T.LongType()),
     T.StructField("key_cols", T.StringType()),
     T.StructField("built_at", T.TimestampType()),
+    T.StructField("hash_method", T.StringType()),
 ])
 
 
@@ -120,7 +121,7 @@ class SampleStore:
         cum = [sum(per_band.get(ppm(x), 0) for x in rates if x <= r) for r in rates]
         built = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         rows = [(table, tier_name(r), r, None, cum[i], population, cum[-1],
-                 ",".join(key), built) for i, r in enumerate(rates)]
+                 ",".join(key), built, hash_method) for i, r in enumerate(rates)]
         meta = self.spark.createDataFrame(rows, META_SCHEMA)
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
         return self.spark.read.parquet(f"{path}/meta")
@@ -144,7 +145,7 @@ class SampleStore:
         built = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         meta = self.spark.createDataFrame(
             [(table, "stratified", float(rate), ",".join(g), sizes["s"], sizes["n"], sizes["s"],
-              ",".join(key), built)], META_SCHEMA)
+              ",".join(key), built, hash_method)], META_SCHEMA)
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
         return self.spark.read.parquet(f"{path}/meta")
 
@@ -240,8 +241,14 @@ class SampleStore:
         if where is not None:
             rows = rows.filter(where)
         agg = rows.groupBy(*g).agg(*[F.expr(f"{agg_sql(a)} AS {q(a.name + '__s')}") for a in aggs])
-        strata = self.strata(table, g).select(*g, "sample_count", "population_count")
-        j = agg.join(strata, g, "inner")
+        strata = self.strata(table, g).select(*[F.col(c).alias(f"__s_{c}") for c in g],
+                                              "sample_count", "population_count")
+        # null-safe: a NULL group value is a stratum like any other
+        cond = None
+        for c in g:
+            eq = F.col(c).eqNullSafe(F.col(f"__s_{c}"))
+            cond = eq if cond is None else cond & eq
+        j = agg.join(strata, cond, "inner")
         n, N = "sample_count", "population_count"
         out = [q(c) for c in g]
         for a in aggs:
@@ -261,16 +268,18 @@ class SampleStore:
     def refresh(self, table: str, df: DataFrame) -> DataFrame:
         """Rebuild every sample stored for ``table`` from current data."""
         reg = (self.registry().filter(F.col("table_name") == table)
-               .select("sample_type", "rate", "group_cols", "key_cols").collect())
+               .select("sample_type", "rate", "group_cols", "key_cols", "hash_method").collect())
         tiers = sorted({r["rate"] for r in reg if r["sample_type"] != "stratified"})
-        keys = {r["key_cols"] for r in reg}
+        keys = {(r["key_cols"], r["hash_method"] or "md5") for r in reg}
         if len(keys) != 1:
-            raise LookupError(f"no samples (or mixed keys) stored for {table}")
-        key = keys.pop().split(",")
+            raise LookupError(f"no samples (or mixed keys / hash methods) stored for {table}")
+        key_text, method = keys.pop()
+        key = key_text.split(",")
         self._invalidate()
         if tiers:
-            self.build_tiers(df, table, key, tiers)
+            self.build_tiers(df, table, key, tiers, hash_method=method)
         for r in reg:
             if r["sample_type"] == "stratified":
-                self.build_stratified(df, table, r["group_cols"].split(","), key, r["rate"])
+                self.build_stratified(df, table, r["group_cols"].split(","), key, r["rate"],
+                                      hash_method=method)
         return self.registry().filter(F.col("table_name") == table)

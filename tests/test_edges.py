@@ -63,3 +63,21 @@ def test_null_values_in_quantiles(sales):
     got = exact_quantile(s, "amount", 0.5, alias="q", small=100, k=50).first()["q"]
     want = s.agg(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(amount AS DOUBLE))")).first()[0]
     assert abs(got - want) < 1e-9
+
+
+def test_stored_stratified_keeps_null_stratum(spark, sales):
+    s = sales.withColumn("region", F.when(F.col("event_id") % 500 == 7, None).otherwise(F.col("region")))
+    st = SampleStore(spark, shared_dir(spark, "test", "edges-null"))
+    st.build_stratified(s.drop("h"), "sales", "region", "event_id", 0.1)
+    got = {r["region"]: r["count_rows"] for r in st.stratified_aggregate("sales", "region", ["count(*)"]).collect()}
+    assert None in got and sum(got.values()) == 10_000
+
+
+def test_refresh_keeps_hash_method(spark, sales):
+    st = SampleStore(spark, shared_dir(spark, "test", "edges-xx"))
+    base = sales.drop("h")
+    st.build_tiers(base, "sales", "event_id", hash_method="xxhash")
+    before = {r["sample_type"]: r["sample_rows"] for r in st.registry().collect()}
+    after = {r["sample_type"]: (r["sample_rows"], r["hash_method"]) for r in st.refresh("sales", base).collect()}
+    assert {k: v[0] for k, v in after.items()} == before
+    assert {v[1] for v in after.values()} == {"xxhash"}
