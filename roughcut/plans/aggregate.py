@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roughcut.functions import bounds
-from roughcut.functions.frames import with_scalars
+from roughcut.functions.frames import join_on_groups, with_scalars
 from roughcut.operators import profile as prof
 from roughcut.operators import quantile, sampling, sketches, stratified
 from roughcut.operators.aggspec import Agg, as_aggs
@@ -164,7 +164,7 @@ def exact_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
     if not group_by:  # one row each: attach as scalars
         res = with_scalars(res, *parts[1:])
     for nxt in parts[1:] if group_by else []:
-        res = res.join(nxt, group_by, "full_outer")
+        res = join_on_groups(res, nxt, group_by)
     return res.select(*group_by, *[a.name for a in aggs])
 
 
@@ -257,7 +257,7 @@ def _run(df, aggs, group_by, where, key, table, store, plan: Plan, confidence,
         res = parts[0]
         if group_by:
             for nxt in parts[1:]:
-                res = res.join(nxt, group_by, "full_outer")
+                res = join_on_groups(res, nxt, group_by)
         else:
             res = with_scalars(res, *parts[1:])
         return _finish(res, group_by, aggs, err, s, None)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roughcut.functions import bounds
-from roughcut.functions.frames import with_scalars
+from roughcut.functions.frames import join_on_groups
 from roughcut.operators.aggspec import SAMPLEABLE, as_aggs
 from roughcut.operators.sampling import q
 from roughcut.operators.samples import SampleStore
@@ -23,31 +23,13 @@ from roughcut.plans.aggregate import Plan, _run, approx_aggregate, exact_aggrega
 ACCURACY_LEVELS = (0.85, 0.90, 0.95, 0.99)  # fixed value: the reference's sweep
 
 
-def _join_groups(left: DataFrame, right: DataFrame, group_by: list[str], how: str) -> DataFrame:
-    if not group_by:
-        # both sides hold exactly one row: attach the right one as scalars
-        return with_scalars(left, right)
-    # both sides usually descend from the same scan: rename the keys on each
-    # side so the join condition cannot resolve to the wrong lineage
-    l2 = left.select(*[F.col(g).alias(f"__l_{g}") for g in group_by],
-                     *[c for c in left.columns if c not in group_by])
-    r2 = right.select(*[F.col(g).alias(f"__r_{g}") for g in group_by],
-                      *[c for c in right.columns if c not in group_by])
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(f"__l_{g}").eqNullSafe(F.col(f"__r_{g}")) for g in group_by])
-    j = l2.join(r2, cond, how)
-    keys = [F.coalesce(F.col(f"__l_{g}"), F.col(f"__r_{g}")).alias(g) for g in group_by]
-    rest = [c for c in j.columns if not c.startswith(("__l_", "__r_"))]
-    return j.select(*keys, *rest)
-
-
 def compare_frames(exact: DataFrame, approx: DataFrame, names: list[str],
                    group_by: list[str]) -> DataFrame:
     e = exact.select(*group_by, *[F.col(n).cast("double").alias(f"exact_{n}") for n in names])
     keep = [c for c in approx.columns if c not in group_by]
     a = approx.select(*group_by, *[F.col(c).alias(f"approx_{c}") if c in names else F.col(c)
                                    for c in keep])
-    j = _join_groups(e, a, group_by, "full_outer")
+    j = join_on_groups(e, a, group_by, "full_outer")
     out = [q(g) for g in group_by]
     for n in names:
         ex, ap = q(f"exact_{n}"), f"CAST({q(f'approx_{n}')} AS DOUBLE)"

@@ -81,3 +81,13 @@ def test_refresh_keeps_hash_method(spark, sales):
     after = {r["sample_type"]: (r["sample_rows"], r["hash_method"]) for r in st.refresh("sales", base).collect()}
     assert {k: v[0] for k, v in after.items()} == before
     assert {v[1] for v in after.values()} == {"xxhash"}
+
+
+def test_grouped_parts_join_null_safely(sales):
+    """A NULL group appears once when per-group parts are combined."""
+    from roughcut.plans.aggregate import exact_aggregate
+    s = sales.withColumn("region", F.when(F.col("event_id") % 500 == 7, None).otherwise(F.col("region")))
+    rows = exact_aggregate(s, [("count", "*", "cnt"), ("median", "amount", "med")], ["region"]).collect()
+    assert len(rows) == 4 and sum(1 for r in rows if r["region"] is None) == 1
+    r = approx_aggregate(s, [("count", "*", "cnt"), ("count_distinct", "user_id", "u")], ["region"]).collect()
+    assert len(r) == 4
