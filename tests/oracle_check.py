@@ -70,9 +70,9 @@ def duck(sf_dir):
     return con
 
 
-def compare(spark, con, name, fn, sql, sf_dir):
+def compare(spark, con, name, fn, sql, sf_dir, df=None):
     t = time.time()
-    df = fn(spark, sf_dir)
+    df = fn(spark, sf_dir) if df is None else df
     rows = [tuple(r) for r in df.collect()]
     cols = df.columns
     ts = time.time() - t
