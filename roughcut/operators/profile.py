@@ -164,6 +164,35 @@ def gini_of_counts(counts: DataFrame, count_col: str = "count") -> DataFrame:
                       F.when(F.col("n") > 1, g * n / (n - 1)).alias("gini_normalised"))
 
 
+def profile_skew(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """P7 for several columns in one plan: frequency Gini per column.
+
+    Rows are stacked as ``(column_name, value)`` - one copy per profiled
+    column, like an exact distinct count - and counted per value with
+    map-side partial aggregation; the per-value counts are reduced to
+    (count, multiplicity) pairs per column, and the only ordered window runs
+    per column over those pairs (at most sqrt(2 * rows) each). Output: one
+    row per column with ``groups``, ``gini`` and ``gini_normalised``.
+    """
+    cols = list(columns)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v"))
+                      for c in cols])
+    stacked = df.select(F.explode(pairs).alias("s")).select("s.column_name", "s.v")
+    counts = stacked.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("c"))
+    freq = counts.groupBy("column_name", "c").agg(F.count(F.lit(1)).alias("m"))
+    w = Window.partitionBy("column_name").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = freq.withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0)))
+    m, a, v = F.col("m").cast("double"), F.col("before").cast("double"), F.col("c").cast("double")
+    tot = ranked.groupBy("column_name").agg(F.sum(v * (m * a + m * (m + 1) / 2)).alias("weighted"),
+                                            F.sum(m).cast("bigint").alias("n"),
+                                            F.sum(v * m).alias("total"))
+    n = F.col("n").cast("double")
+    g = F.abs(2 * F.col("weighted") / (n * F.col("total")) - (n + 1) / n)
+    g = F.when((F.col("n") > 0) & (F.col("total") > 0), g).otherwise(F.lit(0.0))
+    return tot.select("column_name", F.col("n").alias("groups"), g.alias("gini"),
+                      F.when(F.col("n") > 1, g * n / (n - 1)).alias("gini_normalised"))
+
+
 def histogram_gini(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Gini of the bin counts of a numeric column (all bins)."""
     return gini_of_counts(histogram(df, column, bins), "count")
@@ -220,10 +249,20 @@ def invalidate_profile(spark, path: str) -> None:
 
 
 def cached_profile(df: DataFrame, path: str, now: _dt.datetime | None = None,
-                   ttl_seconds: int = PROFILE_TTL_SECONDS, **kw) -> DataFrame:
-    """Profile from the snapshot when fresh, otherwise profile and save."""
+                   ttl_seconds: int = PROFILE_TTL_SECONDS, skew_columns: Sequence[str] = (),
+                   **kw) -> DataFrame:
+    """Profile from the snapshot when fresh, otherwise profile and save.
+
+    ``skew_columns`` (typically the GROUP BY candidates) get their frequency
+    Gini stored with the profile, so the planner never recomputes it.
+    """
     snap = load_profile(df.sparkSession, path, now, ttl_seconds)
     if snap is not None:
         return snap
-    save_profile(profile_table(df, **kw), path, now)
+    prof = profile_table(df, **kw)
+    if skew_columns:
+        skew = profile_skew(df, skew_columns).select(
+            "column_name", F.col("gini_normalised").alias("group_gini_normalised"))
+        prof = prof.join(F.broadcast(skew), "column_name", "left")  # one row per column
+    save_profile(prof, path, now)
     return df.sparkSession.read.parquet(path)

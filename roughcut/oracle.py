@@ -357,6 +357,14 @@ gg AS (SELECT count(*) AS n, abs(2 * sum(i * c) / (count(*) * sum(c)) - (count(*
 
 Q["profile_gini"] = _gini(_HIST + ",\ncnts AS (SELECT count AS c FROM hist)")
 Q["profile_gini_category"] = _gini("cnts AS (SELECT count(*) AS c FROM sales GROUP BY region)", skewed=True)
+Q["profile_skew"] = w("""g AS (SELECT 'region' AS column_name, count(*) AS c FROM sales GROUP BY region
+  UNION ALL SELECT 'user_id', count(*) FROM sales GROUP BY user_id)""",
+                      """rk AS (SELECT column_name, CAST(c AS DOUBLE) AS c,
+  CAST(row_number() OVER (PARTITION BY column_name ORDER BY c) AS DOUBLE) AS i FROM g)""",
+                      """gg AS (SELECT column_name, count(*) AS n,
+  abs(2 * sum(i * c) / (count(*) * sum(c)) - (count(*) + 1.0) / count(*)) AS g FROM rk GROUP BY column_name)""") + \
+    f"""SELECT column_name, CAST(n AS BIGINT) AS groups, {r6('g')} AS gini,
+  {r6('CASE WHEN n > 1 THEN g * n / (n - 1) END')} AS gini_normalised FROM gg"""
 Q["profile_gini_users"] = _gini("cnts AS (SELECT count(*) AS c FROM orders GROUP BY o_custkey)")
 
 # ======================================================================== H

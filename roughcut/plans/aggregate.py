@@ -104,8 +104,14 @@ def choose_plan(df: DataFrame, aggs: list[Agg], group_by: list[str], accuracy: f
         if store is not None and table is not None and tuple(group_by) in store.stratified_groups(table):
             return Plan("materialized_stratified", reason="stored stratified sample")
         tiers = store.available_tiers(table) if store is not None and table is not None else []
+        stored_skew = None
+        if profile is not None and len(group_by) == 1 and "group_gini_normalised" in profile.columns:
+            row = profile.filter(F.col("column_name") == group_by[0]).first()
+            stored_skew = row["group_gini_normalised"] if row is not None else None
         if profile_row is not None and profile_row.get("group_gini_normalised") is not None:
             gn = profile_row["group_gini_normalised"]
+        elif stored_skew is not None:
+            gn = stored_skew
         elif tiers:
             # group frequencies of the stored sample stand in for the table's
             gn = prof.frequency_gini(store.tier(table, max(tiers)), group_by).first()["gini_normalised"]

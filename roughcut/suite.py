@@ -666,6 +666,15 @@ def profile_gini_category(spark, d):
                     (F.col("gini_normalised") > prof.SKEW_GINI).alias("skewed"))
 
 
+@query
+def profile_skew(spark, d):
+    """Frequency Gini of several columns in one plan (stored with a profile
+    for the planner)."""
+    g = prof.profile_skew(load_sales(spark, d), ["region", "user_id"])
+    return g.select("column_name", "groups", r6("gini").alias("gini"),
+                    r6("gini_normalised").alias("gini_normalised"))
+
+
 @query
 def profile_gini_users(spark, d):
     """Frequency Gini of a high-cardinality column (one group per user)."""

@@ -134,3 +134,15 @@ def test_runtime_sampling_with_xxhash(spark):
     exact = {r[0]: r[1] for r in li.groupBy("l_returnflag").count().collect()}
     for r in res.collect():
         assert abs(r["cnt"] - exact[r["l_returnflag"]]) / exact[r["l_returnflag"]] < 0.1
+
+
+def test_planner_takes_skew_from_stored_profile(spark, sales):
+    """A profile built with skew columns answers the planner's skew question:
+    with it, grouping a poisoned table plans without scanning it."""
+    path = shared_dir(spark, "test", "skew-profile")
+    p = prof.cached_profile(sales.drop("h"), path, skew_columns=["region"])
+    assert round(p.filter("column_name = 'region'").first()["group_gini_normalised"], 3) == 0.898
+    poisoned = sales.withColumn("amount", F.expr("raise_error('table scanned')"))
+    _, plan = approx_aggregate(poisoned, AGGS, ["region"], small_table_rows=0, profile=p,
+                               return_plan=True)
+    assert plan.strategy == "stratified" and plan.rate == 0.05
