@@ -2,13 +2,19 @@
 
 Layout under the store root (a folder in the shared checkpoint location)::
 
-    <root>/<table>/tiers/data/tier_ppm=10000/...   rows with h < thr(1 %)
-    <root>/<table>/tiers/data/tier_ppm=100000/...  rows with thr(1 %) <= h < thr(10 %)
-    <root>/<table>/tiers/data/tier_ppm=200000/...  rows with thr(10 %) <= h < thr(20 %)
-    <root>/<table>/tiers/meta                      one row per tier
-    <root>/<table>/strat__<cols>/data              stratified sample rows
-    <root>/<table>/strat__<cols>/strata            N_g, n_g, min_h per stratum
-    <root>/<table>/strat__<cols>/meta              one row
+    <root>/<table>/tiers/v<id>/data/tier_ppm=10000/...   rows with h < thr(1 %)
+    <root>/<table>/tiers/v<id>/data/tier_ppm=100000/...  thr(1 %) <= h < thr(10 %)
+    <root>/<table>/tiers/v<id>/data/tier_ppm=200000/...  thr(10 %) <= h < thr(20 %)
+    <root>/<table>/tiers/meta/v<id>                      one row per tier
+    <root>/<table>/strat__<cols>/v<id>/data              stratified sample rows
+    <root>/<table>/strat__<cols>/v<id>/strata            N_g, n_g, min_h per stratum
+    <root>/<table>/strat__<cols>/meta/v<id>              one row
+
+Every build writes a new version and adds its metadata row last, so readers
+always see the newest *complete* build: a build or refresh that dies part
+way leaves the previous version in place (an in-place overwrite would
+have deleted it first). :meth:`SampleStore.vacuum` removes superseded
+versions; :meth:`SampleStore.refresh` does so after it succeeds.
 
 Because the hash tiers nest, all tiers are written in **one** scan and
 stored once: the storage overhead is the largest rate (20 %), not the sum
@@ -21,9 +27,11 @@ tier with a plain (and row-group-prunable) filter.
 from __future__ import annotations
 
 import datetime as _dt
+import time
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,9 +54,15 @@ META_SCHEMA = T.StructType([
     T.StructField("key_cols", T.StringType()),
     T.StructField("built_at", T.TimestampType()),
     T.StructField("hash_method", T.StringType()),
+    T.StructField("data_path", T.StringType()),
 ])
 
 
+def _version() -> str:
+    """A sortable, unique build id."""
+    return f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
 def ppm(rate: float) -> int:
     return int(round(rate * 1_000_000))
 
@@ -105,26 +119,25 @@ class SampleStore:
         for r in rates:
             band = (F.when(h < threshold(r), F.lit(ppm(r))) if band is None
                     else band.when(h < threshold(r), F.lit(ppm(r))))
-        path = self._tiers(table)
+        base, ver = self._tiers(table), _version()
+        data = f"{base}/{ver}/data"
         # REBALANCE lets AQE cut each band into advisory-size files (instead
         # of one small file per band from every scan task), and sorting by h
         # inside the files makes any sub-sample of a tier row-group-prunable.
         (dfh.filter(h < threshold(rates[-1])).withColumn("tier_ppm", band)
             .hint("rebalance", "tier_ppm").sortWithinPartitions("h")
-            .write.mode("overwrite").partitionBy("tier_ppm").parquet(f"{path}/data"))
+            .write.partitionBy("tier_ppm").parquet(data))
         # Sizes without hashing the base again: the population is a
         # column-less count (the hash projection is pruned away), the tier
         # sizes a count over the written rows grouped by partition value.
         population = df.count()
-        per_band = dict(self.spark.read.parquet(f"{path}/data").groupBy("tier_ppm").count()
+        per_band = dict(self.spark.read.parquet(data).groupBy("tier_ppm").count()
                         .select("tier_ppm", "count").collect())
         cum = [sum(per_band.get(ppm(x), 0) for x in rates if x <= r) for r in rates]
         built = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         rows = [(table, tier_name(r), r, None, cum[i], population, cum[-1],
-                 ",".join(key), built, hash_method) for i, r in enumerate(rates)]
-        meta = self.spark.createDataFrame(rows, META_SCHEMA)
-        meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-        return self.spark.read.parquet(f"{path}/meta")
+                 ",".join(key), built, hash_method, data) for i, r in enumerate(rates)]
+        return self._publish(rows, f"{base}/meta/{ver}")
 
     def build_stratified(self, df: DataFrame, table: str, group_by, key,
                          rate: float = 0.10, hash_method: str = "md5") -> DataFrame:
@@ -133,35 +146,46 @@ class SampleStore:
         key = [key] if isinstance(key, str) else list(key)
         self._invalidate()
         dfh = with_row_hash(df, key, method=hash_method)
-        path = self._strat(table, g)
+        base, ver = self._strat(table, g), _version()
         # the written strata table cuts the lineage; the sample is then one
         # scan joined to the (counted, broadcast) empty strata
-        stratified.strata_table(dfh, g, rate).write.mode("overwrite").parquet(f"{path}/strata")
-        strata = self.spark.read.parquet(f"{path}/strata")
+        stratified.strata_table(dfh, g, rate).write.parquet(f"{base}/{ver}/strata")
+        strata = self.spark.read.parquet(f"{base}/{ver}/strata")
         rows = stratified.stratified_sample(dfh, g, rate, strata=strata)
-        rows.hint("rebalance").write.mode("overwrite").parquet(f"{path}/data")
+        rows.hint("rebalance").write.parquet(f"{base}/{ver}/data")
         sizes = strata.agg(F.sum("sample_count").alias("s"),
                            F.sum("population_count").alias("n")).first()
         built = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        meta = self.spark.createDataFrame(
+        return self._publish(
             [(table, "stratified", float(rate), ",".join(g), sizes["s"], sizes["n"], sizes["s"],
-              ",".join(key), built, hash_method)], META_SCHEMA)
-        meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-        return self.spark.read.parquet(f"{path}/meta")
+              ",".join(key), built, hash_method, f"{base}/{ver}/data")], f"{base}/meta/{ver}")
+
+    def _publish(self, rows: list, meta_path: str) -> DataFrame:
+        """Write a build's metadata - the last step, which makes it visible."""
+        self.spark.createDataFrame(rows, META_SCHEMA).coalesce(1).write.parquet(meta_path)
+        self._invalidate()
+        return self.spark.read.parquet(meta_path)
 
     # ---------------------------------------------------------------- read
     def registry(self) -> DataFrame:
         """Every stored sample with its size and realised rate."""
-        try:
-            meta = self.spark.read.schema(META_SCHEMA).parquet(f"{self.root}/*/*/meta")
-        except Exception:  # nothing stored yet
-            meta = self.spark.createDataFrame([], META_SCHEMA)
+        meta = self._all_meta()
+        # the newest published build of each sample (a few rows per version)
+        w = Window.partitionBy("table_name", "sample_type", "group_cols").orderBy(
+            F.desc("built_at"), F.desc("data_path"))
+        meta = meta.withColumn("__rk", F.row_number().over(w)).filter("__rk = 1").drop("__rk")
         # storage_overhead: rows physically stored for this sample over the
         # population (all nested tiers share one dataset, so they report the
         # same overhead: the largest rate)
         return (meta.withColumn("realised_rate", F.col("sample_rows") / F.col("population_rows"))
                 .withColumn("storage_overhead", F.col("stored_rows") / F.col("population_rows")))
 
+    def _all_meta(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(META_SCHEMA).parquet(f"{self.root}/*/*/meta/*")
+        except Exception:  # nothing stored yet
+            return self.spark.createDataFrame([], META_SCHEMA)
+
     def _registry_rows(self) -> list:
         # a few rows per stored sample: catalog metadata, safe on the driver
         if self._meta_rows is None:
@@ -191,17 +215,31 @@ class SampleStore:
                 if r["table_name"] == table and r["sample_type"] == "stratified"]
 
     def tier(self, table: str, rate: float) -> DataFrame:
-        """Rows of one stored tier (partition-pruned read)."""
-        data = self._read(f"{self._tiers(table)}/data")
-        return data.filter(F.col("tier_ppm") <= F.lit(ppm(rate))).drop("tier_ppm")
+        """Rows of a uniform sample at ``rate`` from the newest tier build.
 
-    def stratified_rows(self, table: str, group_by) -> DataFrame:
+        A stored tier is a partition-pruned read; any smaller rate is cut
+        from the smallest stored tier above it by the (pushed-down) hash
+        filter, since the tiers nest.
+        """
+        tiers = [r for r in self.available_tiers(table) if r >= rate]
+        if not tiers:
+            raise LookupError(f"no stored tier of {table} at or above {rate}")
+        meta = self._meta_row(table, tier_name(min(tiers)))
+        data = self._read(meta["data_path"]).filter(F.col("tier_ppm") <= F.lit(ppm(min(tiers))))
+        if min(tiers) != rate:
+            data = data.filter(F.col("h") < F.lit(threshold(rate)))
+        return data.drop("tier_ppm")
+
+    def _strat_meta(self, table: str, group_by):
         g = [group_by] if isinstance(group_by, str) else list(group_by)
-        return self._read(f"{self._strat(table, g)}/data")
+        return self._meta_row(table, "stratified", ",".join(g))
+
+    def stratified_rows(self, table: str, group_by) -> DataFrame:
+        return self._read(self._strat_meta(table, group_by)["data_path"])
 
     def strata(self, table: str, group_by) -> DataFrame:
-        g = [group_by] if isinstance(group_by, str) else list(group_by)
-        return self._read(f"{self._strat(table, g)}/strata")
+        data = self._strat_meta(table, group_by)["data_path"]
+        return self._read(data.rsplit("/", 1)[0] + "/strata")
 
     # ---------------------------------------------------------------- answer
     def tier_aggregate(self, table: str, aggs, rate: float | None = None,
@@ -282,4 +320,27 @@ class SampleStore:
             if r["sample_type"] == "stratified":
                 self.build_stratified(df, table, r["group_cols"].split(","), key, r["rate"],
                                       hash_method=method)
+        self.vacuum(table)
         return self.registry().filter(F.col("table_name") == table)
+
+    def vacuum(self, table: str | None = None) -> list[str]:
+        """Delete superseded versions (data and metadata); returns them.
+
+        Only versions older than the newest published build of the same
+        sample are removed, so a reader of the current version is never
+        affected.
+        """
+        current = {r["data_path"] for r in self._registry_rows()}
+        old = (self._all_meta().select("table_name", "data_path").distinct().collect())
+        gone = sorted({r["data_path"] for r in old
+                       if r["data_path"] not in current and (table is None or r["table_name"] == table)})
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for data in gone:
+            version_dir = data.rsplit("/", 1)[0]
+            base, ver = version_dir.rsplit("/", 1)
+            for p in (version_dir, f"{base}/meta/{ver}"):
+                path = jvm.org.apache.hadoop.fs.Path(p)
+                path.getFileSystem(conf).delete(path, True)
+        self._invalidate()
+        return gone

@@ -380,7 +380,7 @@ def _registry(st: SampleStore) -> DataFrame:
 @query
 def sample_tiers_build(spark, d):
     st, _ = _built(spark, d, "tiers", strat=False)
-    data = spark.read.parquet(f"{st.root}/sales/tiers/data")
+    data = spark.read.parquet(st._meta_row("sales", "20pct")["data_path"])
     return data.select("event_id", "region", r6("amount").alias("amount"), "h", "tier_ppm")
 
 

@@ -91,3 +91,36 @@ def test_grouped_parts_join_null_safely(sales):
     assert len(rows) == 4 and sum(1 for r in rows if r["region"] is None) == 1
     r = approx_aggregate(s, [("count", "*", "cnt"), ("count_distinct", "user_id", "u")], ["region"]).collect()
     assert len(r) == 4
+
+
+def test_failed_rebuild_keeps_previous_version(spark, sales):
+    """A build that dies mid-write publishes nothing: readers keep the
+    previous version (an in-place overwrite would have deleted it)."""
+    st = SampleStore(spark, shared_dir(spark, "test", "edges-version"))
+    st.build_tiers(sales, "sales", "event_id")
+    before = st.tier("sales", 0.1).count()
+    broken = sales.withColumn("amount", F.expr("raise_error('executor lost')"))
+    try:
+        st.build_tiers(broken, "sales", "event_id")
+    except Exception:
+        pass
+    assert st.tier("sales", 0.1).count() == before
+    assert st.registry().count() == 3
+
+
+def test_refresh_vacuums_old_versions(spark, sales):
+    st = SampleStore(spark, shared_dir(spark, "test", "edges-vacuum"))
+    st.build_tiers(sales, "sales", "event_id")
+    first = {r["data_path"] for r in st.registry().collect()}
+    st.refresh("sales", sales)
+    now = {r["data_path"] for r in st.registry().collect()}
+    assert first.isdisjoint(now) and len(now) == 1
+    assert {r["data_path"] for r in st._all_meta().collect()} == now  # old metadata gone
+    assert st.tier("sales", 0.01).count() > 0
+
+
+def test_tier_subsample_below_stored_rates(spark, sales):
+    from roughcut.functions.hashing import threshold
+    st = SampleStore(spark, shared_dir(spark, "test", "edges-sub"))
+    st.build_tiers(sales, "sales", "event_id")
+    assert st.tier("sales", 0.05).count() == sales.filter(F.col("h") < threshold(0.05)).count()
