@@ -258,11 +258,11 @@ def sample_filter_group(spark, d):
 
 @query
 def sample_count_error(spark, d):
-    res = _sample_agg(spark, d, [CNT], ["region"], with_bounds=True)
-    return res.select("region", F.col("cnt_sample").alias("count_sample"),
-                      F.col("cnt").alias("estimated_total"),
-                      F.col("cnt_error_pct").alias("error_pct"),
-                      F.col("cnt_ci_low").alias("ci_low"), F.col("cnt_ci_high").alias("ci_high"))
+    """A COUNT bound attached to every row of a grouped sample result."""
+    counts = _sample_agg(spark, d, [CNT], ["region"]).select(
+        "region", F.col("cnt_sample").alias("count_sample"))
+    res = sampling.count_with_error(counts, "count_sample", UNIFORM_RATE)
+    return res.select("region", "count_sample", "estimated_total", "error_pct", "ci_low", "ci_high")
 
 
 # ======================================================================== S
