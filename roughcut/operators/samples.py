@@ -323,24 +323,49 @@ class SampleStore:
         self.vacuum(table)
         return self.registry().filter(F.col("table_name") == table)
 
-    def vacuum(self, table: str | None = None) -> list[str]:
-        """Delete superseded versions (data and metadata); returns them.
-
-        Only versions older than the newest published build of the same
-        sample are removed, so a reader of the current version is never
-        affected.
+    def vacuum(self, table: str | None = None, abandoned_after_hours: float = 24.0) -> list[str]:
+        """Delete superseded versions and abandoned builds; returns what went.
+
+        Superseded: published builds older than the newest one of the same
+        sample (readers only ever follow the newest, so none is affected).
+        Abandoned: version folders that were never published (their build
+        died) and are older than ``abandoned_after_hours`` - a younger one
+        may be a build still running.
         """
-        current = {r["data_path"] for r in self._registry_rows()}
-        old = (self._all_meta().select("table_name", "data_path").distinct().collect())
-        gone = sorted({r["data_path"] for r in old
-                       if r["data_path"] not in current and (table is None or r["table_name"] == table)})
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for data in gone:
-            version_dir = data.rsplit("/", 1)[0]
+        Path = jvm.org.apache.hadoop.fs.Path
+
+        def delete(p: str) -> None:
+            path = Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+        current = {r["data_path"] for r in self._registry_rows()}
+        metas = self._all_meta().select("table_name", "data_path").distinct().collect()
+        published = {r["data_path"].rsplit("/", 1)[0] for r in metas}
+        gone = sorted({r["data_path"].rsplit("/", 1)[0] for r in metas
+                       if r["data_path"] not in current and (table is None or r["table_name"] == table)})
+        for version_dir in gone:
             base, ver = version_dir.rsplit("/", 1)
-            for p in (version_dir, f"{base}/meta/{ver}"):
-                path = jvm.org.apache.hadoop.fs.Path(p)
-                path.getFileSystem(conf).delete(path, True)
+            delete(version_dir)
+            delete(f"{base}/meta/{ver}")
+
+        cutoff_ms = (time.time() - abandoned_after_hours * 3600) * 1000
+        root = Path(self.root)
+        fs = root.getFileSystem(conf)
+        if fs.exists(root):
+            for t in fs.listStatus(root):
+                if not t.isDirectory() or (table is not None and t.getPath().getName() != table):
+                    continue
+                for sample in fs.listStatus(t.getPath()):
+                    if not sample.isDirectory():
+                        continue
+                    for child in fs.listStatus(sample.getPath()):
+                        name = child.getPath().getName()
+                        full = f"{self.root}/{t.getPath().getName()}/{sample.getPath().getName()}/{name}"
+                        if (name.startswith("v") and full not in published
+                                and child.getModificationTime() < cutoff_ms):
+                            delete(full)
+                            gone.append(full)
         self._invalidate()
         return gone

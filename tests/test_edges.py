@@ -124,3 +124,16 @@ def test_tier_subsample_below_stored_rates(spark, sales):
     st = SampleStore(spark, shared_dir(spark, "test", "edges-sub"))
     st.build_tiers(sales, "sales", "event_id")
     assert st.tier("sales", 0.05).count() == sales.filter(F.col("h") < threshold(0.05)).count()
+
+
+def test_vacuum_removes_abandoned_builds(spark, sales):
+    """A driver that dies mid-build leaves an unpublished version folder
+    (a failed *job* is cleaned by Spark's committer, so the folder is made
+    here directly); vacuum removes it once old enough."""
+    st = SampleStore(spark, shared_dir(spark, "test", "edges-abandoned"))
+    st.build_tiers(sales, "sales", "event_id")
+    sales.limit(10).write.parquet(f"{st.root}/sales/tiers/v00000000000000000001-dead/data")
+    assert st.vacuum(abandoned_after_hours=24) == []  # too young to call abandoned
+    gone = st.vacuum(abandoned_after_hours=0)
+    assert gone == [f"{st.root}/sales/tiers/v00000000000000000001-dead"]
+    assert st.tier("sales", 0.1).count() > 0  # the published build is untouched
