@@ -8,8 +8,21 @@ compares every approximate answer with the exact one. Everything is a lazy
 DataFrame plan that runs on the executors.
 """
 
+from roughcut.functions.hashing import hash60, threshold, with_row_hash  # noqa: F401
 from roughcut.operators.aggspec import Agg  # noqa: F401
+from roughcut.operators.profile import (  # noqa: F401
+    cached_profile, frequency_gini, group_distribution, histogram, histogram_gini,
+    profile_skew, profile_table,
+)
+from roughcut.operators.quantile import exact_quantile, exact_quantile_grouped  # noqa: F401
 from roughcut.operators.samples import SampleStore  # noqa: F401
+from roughcut.operators.sampling import sample_aggregate, uniform_sample  # noqa: F401
+from roughcut.operators.sketches import (  # noqa: F401
+    approx_distinct, approx_quantiles, hll_distinct, kll_quantiles,
+)
+from roughcut.operators.stratified import (  # noqa: F401
+    strata_table, stratified_aggregate, stratified_sample,
+)
 from roughcut.plans.aggregate import approx_aggregate, exact_aggregate  # noqa: F401
 from roughcut.plans.compare import (  # noqa: F401
     accuracy_sweep, compare_exact_approx, compare_strategies,
