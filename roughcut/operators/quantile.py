@@ -157,6 +157,7 @@ def exact_quantile(df: DataFrame, column: str, p: float, kind: str = "cont",
 
 
 BROADCAST_GROUPS = 1_000_000
+GRID_G = 200  # per-group grid (kept small: it lives in the per-group state)
 
 
 def _maybe_broadcast(state: DataFrame) -> DataFrame:
@@ -164,82 +165,113 @@ def _maybe_broadcast(state: DataFrame) -> DataFrame:
     return F.broadcast(state) if state.count() <= BROADCAST_GROUPS else state
 
 
+def _null_safe(left: DataFrame, right: DataFrame, g: list[str], how: str = "inner") -> DataFrame:
+    """Join rows to per-group state on the group key, NULL being a group."""
+    r = right.select(*[F.col(c).alias(f"__k_{c}") for c in g], *[c for c in right.columns if c not in g])
+    cond = None
+    for c in g:
+        eq = F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+        cond = eq if cond is None else cond & eq
+    return left.join(r, cond, how).drop(*[f"__k_{c}" for c in g])
+
+
+def _grouped_pass(vals: DataFrame, brackets: DataFrame, g: list[str], k: int) -> DataFrame:
+    """One pass for all narrowing groups: rows of each group inside its
+    current bracket ``[lo, hi]`` are counted below / inside the new bracket
+    ``[nlo, nhi]``, and the rows inside are sketched (two-level KLL) into
+    the next grid. NULL bounds are open."""
+    x = F.col("x")
+
+    def within(lo, hi):
+        return ((F.col(lo).isNull() | (x >= F.col(lo))) & (F.col(hi).isNull() | (x <= F.col(hi))))
+
+    cand = _null_safe(vals, _maybe_broadcast(brackets), g).filter(within("lo", "hi"))
+    new_in = within("nlo", "nhi")
+    under = F.col("nlo").isNotNull() & (x < F.col("nlo"))
+    salted = cand.withColumn("__b", F.pmod(F.spark_partition_id(), F.lit(TREE_FANIN)))
+    level1 = salted.groupBy(*g, "__b").agg(
+        F.count_if(under).alias("lt"), F.count_if(new_in).alias("ins"),
+        F.kll_sketch_agg_double(F.when(new_in, x), k).alias("sk"))
+    level2 = level1.groupBy(*g).agg(F.sum("lt").alias("lt"), F.sum("ins").alias("ins"),
+                                    F.kll_merge_agg_double("sk").alias("sk"))
+    grid = F.array(*[F.lit(i / GRID_G) for i in range(GRID_G + 1)])
+    return level2.select(*g, "lt", "ins", F.when(F.col("ins") > 0, F.kll_sketch_get_quantile_double(
+        "sk", grid)).alias("qs"))
+
+
 def exact_quantile_grouped(df: DataFrame, group_by, column: str, p: float,
                            kind: str = "cont", alias: str | None = None,
                            small: int = SMALL, k: int = KLL_K) -> DataFrame:
     """Exact quantile per group without holding a hot group in one task.
 
-    Same selection as :func:`exact_quantile`, run for all groups at once:
-    per round one grouped two-level sketch pass (a fixed grid of ranks read
-    from each group's merged KLL sketch, since the rank argument must be a
-    constant) and one grouped counting pass over the rows still inside each
-    group's bracket. The per-group state is joined to the rows by group key -
-    broadcast when the number of groups is bounded, otherwise a shuffle join
-    whose hot keys AQE's skew handling splits. A group whose bracket missed
-    doubles its own margin; the last step ranks at most ``small`` candidates
-    per group.
+    Same selection as :func:`exact_quantile`, run for all groups at once
+    with one pass per round: the pass that counts each group's rows below
+    and inside its new bracket also sketches the rows inside (two-level
+    KLL), whose grid of quantiles - kept in the per-group state only while
+    the group still narrows - gives the next bracket. Rows meet the
+    per-group brackets by a null-safe join on the group key, broadcast when
+    the number of groups is bounded, otherwise a shuffle join whose hot keys
+    AQE's skew handling splits. A group whose bracket missed doubles its own
+    margin; the last step ranks at most ``small`` candidates per group.
     """
     from roughcut.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)  # state tables are checkpointed per round
     g = [group_by] if isinstance(group_by, str) else list(group_by)
     name = alias or f"{kind}_{column}"
     vals = df.select(*g, F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    n = F.col("n")
+    open_ = vals.select(*g).distinct().select(*g, *[F.lit(None).cast("double").alias(c)
+                                                   for c in ("lo", "hi", "nlo", "nhi")])
+    first = _grouped_pass(vals, open_, g, k)
+    n = F.col("ins")
     if kind == "disc":
         k_lo = F.greatest(F.lit(1), F.ceil(F.lit(p) * n))
         k_hi, pos = k_lo, (k_lo - 1).cast("double")
     else:
         pos = F.lit(p) * (n - 1)
         k_lo, k_hi = F.floor(pos) + 1, F.ceil(pos) + 1
-    state = (vals.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
-             .select(*g, "n", k_lo.cast("bigint").alias("k_lo"), k_hi.cast("bigint").alias("k_hi"),
-                     pos.alias("pos"), F.lit(0).cast("bigint").alias("below"),
-                     n.alias("size"), F.lit(None).cast("double").alias("lo"),
-                     F.lit(None).cast("double").alias("hi"),
-                     F.lit(kll_rank_error(k)).alias("margin")))
-    state = state.checkpoint()
-    inside = ((F.col("lo").isNull() | (F.col("x") >= F.col("lo"))) &
-              (F.col("hi").isNull() | (F.col("x") <= F.col("hi"))))
-    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    state = first.select(
+        *g, k_lo.cast("bigint").alias("k_lo"), k_hi.cast("bigint").alias("k_hi"),
+        pos.alias("pos"), F.lit(0).cast("bigint").alias("below"), n.alias("size"),
+        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
+        F.lit(kll_rank_error(k)).alias("margin"),
+        F.when(n > small, F.col("qs")).alias("qs")).checkpoint()
+    step = F.lit(float(GRID_G))
     for _ in range(MAX_ROUNDS):
         if state.filter(F.col("size") > small).limit(1).count() == 0:
             break
-        st = _maybe_broadcast(state)
-        cand = vals.join(st.filter(F.col("size") > small), g).filter(inside).select(*g, "x")
-        sk = _merged_sketch(cand, g, k).select(
-            *g, F.kll_sketch_get_quantile_double("__sk", grid).alias("qs"))
-        # grid cells that bracket the target ranks with the group's margin
-        step = F.lit(float(GRID))
         q_lo = (F.col("k_lo") - F.col("below")) / F.col("size") - F.col("margin")
         q_hi = (F.col("k_hi") - F.col("below")) / F.col("size") + F.col("margin")
         j_lo = F.greatest(F.lit(0), F.floor(q_lo * step)).cast("int")
-        j_hi = F.least(F.lit(GRID), F.ceil(q_hi * step)).cast("int")
-        br = (state.join(sk, g).select(*g, F.element_at("qs", j_lo + 1).alias("nlo"),
-                                       F.element_at("qs", j_hi + 1).alias("nhi")))
-        br = _maybe_broadcast(br.checkpoint())
-        cnt = (cand.join(br, g)
-               .groupBy(*g).agg(F.count_if(F.col("x") < F.col("nlo")).alias("lt"),
-                                F.count_if(F.col("x").between(F.col("nlo"), F.col("nhi"))).alias("ins"),
-                                F.first("nlo").alias("nlo"), F.first("nhi").alias("nhi")))
+        j_hi = F.least(F.lit(GRID_G), F.ceil(q_hi * step)).cast("int")
+        brackets = (state.filter(F.col("size") > small)
+                    .select(*g, "lo", "hi", F.element_at("qs", j_lo + 1).alias("nlo"),
+                            F.element_at("qs", j_hi + 1).alias("nhi")).checkpoint())
+        res = _grouped_pass(vals, brackets, g, k).withColumnRenamed("qs", "nqs")
+        res = _null_safe(res, brackets.select(*g, "nlo", "nhi"), g)
+        j = _null_safe(state, res, g, "left")
         hit = ((F.col("below") + F.col("lt") < F.col("k_lo")) &
                (F.col("k_hi") <= F.col("below") + F.col("lt") + F.col("ins")))
         ok = hit & (F.col("ins") < F.col("size"))
         missed = F.col("lt").isNotNull() & ~hit & (F.col("margin") < MAX_MARGIN)
-        nxt = state.join(cnt, g, "left").select(
-            *g, "n", "k_lo", "k_hi", "pos",
+        size = (F.when(ok, F.col("ins")).when(missed, F.col("size"))
+                .when(F.col("size") > small, F.lit(small)).otherwise(F.col("size")))
+        state = j.select(
+            *g, "k_lo", "k_hi", "pos",
             F.when(ok, F.col("below") + F.col("lt")).otherwise(F.col("below")).alias("below"),
             # a group that cannot narrow further (ties, or misses at the widest
             # margin) is parked at size `small`; a missed bracket is retried
-            F.when(ok, F.col("ins")).when(missed, F.col("size"))
-             .when(F.col("size") > small, F.lit(small)).otherwise(F.col("size")).alias("size"),
+            size.alias("size"),
             F.when(ok, F.col("nlo")).otherwise(F.col("lo")).alias("lo"),
             F.when(ok, F.col("nhi")).otherwise(F.col("hi")).alias("hi"),
             F.when(missed, F.least(F.lit(MAX_MARGIN), F.col("margin") * 2))
-             .otherwise(F.col("margin")).alias("margin"))
-        state = nxt.checkpoint()
-
-    st = _maybe_broadcast(state)
-    cand = (vals.join(st, g).filter(inside)
+             .otherwise(F.col("margin")).alias("margin"),
+            F.when(size > small, F.when(ok, F.col("nqs")).otherwise(F.col("qs"))).alias("qs"),
+        ).checkpoint()
+
+    st = _maybe_broadcast(state.drop("qs"))
+    cand = (_null_safe(vals, st, g)
+            .filter((F.col("lo").isNull() | (F.col("x") >= F.col("lo"))) &
+                    (F.col("hi").isNull() | (F.col("x") <= F.col("hi"))))
             .select(*g, "x", (F.col("k_lo") - F.col("below")).alias("__lo_r"),
                     (F.col("k_hi") - F.col("below")).alias("__hi_r"), F.col("pos").alias("__pos")))
     return _final(cand, g, F.col("__lo_r"), F.col("__hi_r"), F.col("__pos"), kind, name)

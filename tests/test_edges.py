@@ -89,6 +89,9 @@ def test_grouped_parts_join_null_safely(sales):
     s = sales.withColumn("region", F.when(F.col("event_id") % 500 == 7, None).otherwise(F.col("region")))
     rows = exact_aggregate(s, [("count", "*", "cnt"), ("median", "amount", "med")], ["region"]).collect()
     assert len(rows) == 4 and sum(1 for r in rows if r["region"] is None) == 1
+    want = {r[0]: r[1] for r in s.groupBy("region").agg(
+        F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY CAST(amount AS DOUBLE))")).collect()}
+    assert all(abs(r["med"] - want[r["region"]]) < 1e-9 for r in rows)  # NULL group included
     r = approx_aggregate(s, [("count", "*", "cnt"), ("count_distinct", "user_id", "u")], ["region"]).collect()
     assert len(r) == 4
 
@@ -137,3 +140,13 @@ def test_vacuum_removes_abandoned_builds(spark, sales):
     gone = st.vacuum(abandoned_after_hours=0)
     assert gone == [f"{st.root}/sales/tiers/v00000000000000000001-dead"]
     assert st.tier("sales", 0.1).count() > 0  # the published build is untouched
+
+
+def test_grouped_selection_null_group_forced_rounds(sales):
+    s = sales.withColumn("region", F.when(F.col("event_id") % 50 == 7, None).otherwise(F.col("region")))
+    got = {r["region"]: r["q"] for r in
+           exact_quantile_grouped(s, "region", "amount", 0.3, alias="q", small=20, k=20).collect()}
+    want = {r[0]: r[1] for r in s.groupBy("region").agg(
+        F.expr("percentile_cont(0.3) WITHIN GROUP (ORDER BY CAST(amount AS DOUBLE))")).collect()}
+    assert got.keys() == want.keys() and None in got
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
