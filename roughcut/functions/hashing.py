@@ -34,11 +34,15 @@ def threshold(rate: float) -> int:
     return int(math.floor(rate * float(HASH_SPACE)))
 
 
+NULL_PART = "\\N"  # stands for a NULL part of a composite key
+
+
 def _key_string(key: str | Sequence[str]) -> Column:
     cols = [key] if isinstance(key, str) else list(key)
     if len(cols) == 1:
         return F.col(cols[0]).cast("string")
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    # NULL parts are marked, not skipped: (1, NULL, 2) and (1, 2, NULL) differ
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_PART)) for c in cols])
 
 
 def hash60(key: str | Sequence[str], method: str = "md5") -> Column:

@@ -82,7 +82,9 @@ def strat_err(n: str, N: str) -> str:
 
 
 def hsql(cols: list[str]) -> str:
-    keys = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    if len(cols) == 1:
+        return f"CAST(('0x' || substr(md5(CAST({cols[0]} AS VARCHAR)), 1, 15)) AS BIGINT)"
+    keys = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in cols)
     return f"CAST(('0x' || substr(md5({keys}), 1, 15)) AS BIGINT)"
 
 

@@ -150,3 +150,10 @@ def test_grouped_selection_null_group_forced_rounds(sales):
         F.expr("percentile_cont(0.3) WITHIN GROUP (ORDER BY CAST(amount AS DOUBLE))")).collect()}
     assert got.keys() == want.keys() and None in got
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_composite_key_null_parts_differ(spark):
+    from roughcut.functions.hashing import hash60
+    df = spark.createDataFrame([(1, None, 2), (1, 2, None)], "a int, b int, c int")
+    hs = [r[0] for r in df.select(hash60(["a", "b", "c"])).collect()]
+    assert hs[0] != hs[1]
