@@ -52,7 +52,12 @@ def hash60(key: str | Sequence[str], method: str = "md5") -> Column:
         return F.conv(hexd, 16, 10).cast("bigint")
     if method == "xxhash":
         cols = [key] if isinstance(key, str) else list(key)
-        return F.xxhash64(*[F.col(c) for c in cols]).bitwiseAND(F.lit(_MASK60))
+        parts = [F.col(c) for c in cols]
+        if len(cols) > 1:
+            # xxhash64 skips NULL inputs; hashing the NULL flags too keeps
+            # (1, NULL, 2) and (1, 2, NULL) apart
+            parts += [F.col(c).isNull() for c in cols]
+        return F.xxhash64(*parts).bitwiseAND(F.lit(_MASK60))
     raise ValueError(f"unknown hash method {method!r}")
 
 
