@@ -165,6 +165,21 @@ def stratum_error_pct_sql(sample_count: Operand, population_count: Operand) -> s
     return f"round(CASE WHEN {n} > 0 THEN {sql(Z_95)} * sqrt({p} * (1.0D - {p}) / {n}) * 100 END, 2)"
 
 
+def domain_count_error_pct_sql(hits: Operand, sample_count: Operand, population_count: Operand,
+                               confidence: float = 0.95) -> str:
+    """Relative error of a stratum COUNT estimated as ``hits * N / n``.
+
+    The estimated share ``p = hits / n`` has standard error
+    ``sqrt(p (1 - p) / n) * fpc``; relative to ``p`` that is
+    ``sqrt((1 - p) / (p n)) * fpc`` - zero when every sampled row counts
+    (an unfiltered COUNT(*) of a stratum is exact by construction).
+    """
+    v, n, N, z = sql(hits), sql(sample_count), sql(population_count), sql(z_value(confidence))
+    p = f"({v} / {n})"
+    return (f"round(CASE WHEN {v} > 0 THEN {z} * sqrt((1.0D - {p}) / ({p} * {n})) * "
+            f"{_fpc(N, n)} * 100 END, 2)")
+
+
 def stratum_error_pct(sample_count: Operand, population_count: Operand) -> Column:
     return F.expr(stratum_error_pct_sql(sample_count, population_count))
 

@@ -278,7 +278,10 @@ class SampleStore:
         rows = self.stratified_rows(table, g)
         if where is not None:
             rows = rows.filter(where)
-        agg = rows.groupBy(*g).agg(*[F.expr(f"{agg_sql(a)} AS {q(a.name + '__s')}") for a in aggs])
+        stats = ["count(1) AS __nd"] + [f"{agg_sql(a)} AS {q(a.name + '__s')}" for a in aggs]
+        stats += [f"stddev_samp({q(a.column)}) AS {q(a.name + '__sd')}" for a in aggs
+                  if a.func in ("sum", "avg")]
+        agg = rows.groupBy(*g).agg(*[F.expr(x) for x in stats])
         strata = self.strata(table, g).select(*[F.col(c).alias(f"__s_{c}") for c in g],
                                               "sample_count", "population_count")
         # null-safe: a NULL group value is a stratum like any other
@@ -288,15 +291,24 @@ class SampleStore:
             cond = eq if cond is None else cond & eq
         j = agg.join(strata, cond, "inner")
         n, N = "sample_count", "population_count"
+        n_d, N_d = "__nd", f"(__nd * {N} / {n})"  # sampled rows of the (filtered) domain
         out = [q(c) for c in g]
         for a in aggs:
             v = q(a.name + "__s")
             if a.func == "count":
                 out += [f"CAST(floor({v} * {N} / {n}) AS BIGINT) AS {q(a.name)}",
-                        f"{v} AS {q(a.name + '_sample')}"]
+                        f"{v} AS {q(a.name + '_sample')}",
+                        f"{bounds.domain_count_error_pct_sql(v, n, N)} AS {q(a.name + '_error_pct')}"]
             elif a.func == "sum":
-                out += [f"CAST({v} AS DOUBLE) * {N} / {n} AS {q(a.name)}",
-                        f"CAST({v} AS DOUBLE) AS {q(a.name + '_sample')}"]
+                d = f"CAST({v} AS DOUBLE)"
+                b = bounds.sum_bound_sql(d, q(a.name + "__sd"), n_d, N_d)
+                out += [f"{d} * {N} / {n} AS {q(a.name)}", f"{d} AS {q(a.name + '_sample')}",
+                        f"{b['error_pct']} AS {q(a.name + '_error_pct')}"]
+            elif a.func == "avg":
+                d = f"CAST({v} AS DOUBLE)"
+                m = bounds.avg_bound_sql(q(a.name + "__sd"), n_d, N_d)["margin"]
+                out += [f"{d} AS {q(a.name)}",
+                        f"CASE WHEN {d} != 0 THEN round({m} / abs({d}) * 100, 2) END AS {q(a.name + '_error_pct')}"]
             else:
                 out.append(f"CAST({v} AS DOUBLE) AS {q(a.name)}")
         out += [n, N, f"{bounds.stratum_error_pct_sql(n, N)} AS error_pct"]

@@ -134,8 +134,9 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
     ``x_sample`` for COUNT/SUM, ``x_ci_low``/``x_ci_high`` for SUM and AVG
     (normal interval from the spread of the sampled values within the
     stratum, with finite-population correction; NULL when fewer than two
-    rows were sampled), ``sample_count``, ``population_count`` and the
-    stratum's ``error_pct``. With ``where``, strata with no matching sampled
+    rows were sampled), ``x_error_pct`` per COUNT/SUM/AVG (relative margin
+    of that estimate), ``sample_count``, ``population_count`` and the
+    reference's per-stratum ``error_pct``. With ``where``, strata with no matching sampled
     row drop out, as they would after ``WHERE ... GROUP BY`` on the sample
     rows.
     """
@@ -169,15 +170,18 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
         v = f"(CASE WHEN {has_below} THEN {q(a.name + '__b')} ELSE {q(a.name + '__f')} END)"
         name = q(a.name)
         if a.func == "count":
-            out += [f"CAST(floor({v} * {N} / {n}) AS BIGINT) AS {name}", f"{v} AS {q(a.name + '_sample')}"]
+            out += [f"CAST(floor({v} * {N} / {n}) AS BIGINT) AS {name}", f"{v} AS {q(a.name + '_sample')}",
+                    f"{bounds.domain_count_error_pct_sql(v, n, N)} AS {q(a.name + '_error_pct')}"]
         elif a.func == "sum":
             b = bounds.sum_bound_sql(v, q(a.name + "__sd"), n_d, N_d)
             out += [f"{v} * {N} / {n} AS {name}", f"{v} AS {q(a.name + '_sample')}",
-                    f"{b['ci_low']} AS {q(a.name + '_ci_low')}", f"{b['ci_high']} AS {q(a.name + '_ci_high')}"]
+                    f"{b['ci_low']} AS {q(a.name + '_ci_low')}", f"{b['ci_high']} AS {q(a.name + '_ci_high')}",
+                    f"{b['error_pct']} AS {q(a.name + '_error_pct')}"]
         elif a.func == "avg":
             m = bounds.avg_bound_sql(q(a.name + "__sd"), n_d, N_d)["margin"]
             out += [f"{v} AS {name}", f"round({v} - {m}, 4) AS {q(a.name + '_ci_low')}",
-                    f"round({v} + {m}, 4) AS {q(a.name + '_ci_high')}"]
+                    f"round({v} + {m}, 4) AS {q(a.name + '_ci_high')}",
+                    f"CASE WHEN {v} != 0 THEN round({m} / abs({v}) * 100, 2) END AS {q(a.name + '_error_pct')}"]
         else:
             out.append(f"{v} AS {name}")
     out += [f"CAST({n} AS BIGINT) AS sample_count", f"{N} AS population_count",

@@ -491,11 +491,20 @@ _SKEW_CTES = [f"st0 AS (SELECT count(*) AS n, avg(amount) AS m, stddev_samp(amou
   FROM sales GROUP BY region)""",
               """samp AS (SELECT s.* FROM sales s JOIN strata t ON s.region IS NOT DISTINCT FROM t.region
   WHERE s.h < (SELECT thr FROM th2) OR (t.below_count = 0 AND s.h = t.min_h))""",
-              f"""a AS (SELECT region, count(*) AS cnt_s, {SUM_AMT} AS sum_s, {AVG_AMT} AS avg_s
+              f"""a AS (SELECT region, count(*) AS cnt_s, {SUM_AMT} AS sum_s, {AVG_AMT} AS avg_s,
+    stddev_samp(amount) FILTER (WHERE h < (SELECT thr FROM th2)) AS sd_s
   FROM samp GROUP BY region)"""]
-_SKEW_BODY = f"""SELECT a.region, {r6(_CNT_EST)} AS cnt, {r6(_ERR)} AS cnt_error_pct,
-  {r6(_SUM_EST)} AS total_revenue, {r6(_ERR)} AS total_revenue_error_pct,
-  {r6('a.avg_s')} AS avg_amount, {r6(_ERR)} AS avg_amount_error_pct,
+# the planner states each stratified estimate's own margin (HT default)
+_n, _N = "t.sample_count", "t.population_count"
+_p = f"(a.cnt_s / {_n})"
+_SK_CNT_ERR = (f"round(CASE WHEN a.cnt_s > 0 THEN 1.96 * sqrt((1.0 - {_p}) / ({_p} * {_n})) * "
+               f"{fpc(_N, _n)} * 100 END, 2)")
+_SK_SUM_ERR = sum_bound("a.sum_s", "a.sd_s", _n, _N)["error_pct"]
+_SK_AVG_ERR = (f"(CASE WHEN a.avg_s <> 0 THEN round(round(1.96 * {avg_sem('a.sd_s', _n, _N)}, 4) "
+               f"/ abs(a.avg_s) * 100, 2) END)")
+_SKEW_BODY = f"""SELECT a.region, {r6(_CNT_EST)} AS cnt, {r6(_SK_CNT_ERR)} AS cnt_error_pct,
+  {r6(_SUM_EST)} AS total_revenue, {r6(_SK_SUM_ERR)} AS total_revenue_error_pct,
+  {r6('a.avg_s')} AS avg_amount, {r6(_SK_AVG_ERR)} AS avg_amount_error_pct,
   'stratified' AS strategy, {r6('(SELECT rate FROM th2)')} AS sample_rate
 FROM a JOIN strata t ON a.region = t.region"""
 Q["approx_aggregate_skewed"] = w(*_SKEW_CTES) + _SKEW_BODY

@@ -292,5 +292,8 @@ def _run(df, aggs, group_by, where, key, table, store, plan: Plan, confidence,
         plan.rate = meta["rate"]
     else:
         raise ValueError(f"unknown strategy {s!r}")
-    err = {a.name: F.col("error_pct") for a in aggs if a.func in ("count", "sum", "avg")}
+    if bound_method == "proportion":  # the reference's per-stratum figure for every aggregate
+        err = {a.name: F.col("error_pct") for a in aggs if a.func in ("count", "sum", "avg")}
+    else:  # each estimate's own relative margin
+        err = {a.name: F.col(f"{a.name}_error_pct") for a in aggs if a.func in ("count", "sum", "avg")}
     return _finish(res, group_by, aggs, err, s, plan.rate)

@@ -146,3 +146,18 @@ def test_planner_takes_skew_from_stored_profile(spark, sales):
     _, plan = approx_aggregate(poisoned, AGGS, ["region"], small_table_rows=0, profile=p,
                                return_plan=True)
     assert plan.strategy == "stratified" and plan.rate == 0.05
+
+
+def test_stratified_errors_are_per_estimate(sales, store):
+    """Under the sound default, an unfiltered stratified COUNT is exact
+    (error 0) and SUM/AVG report their own interval margins; the parity
+    option reports the reference's per-stratum figure for all three."""
+    for kw in (dict(), dict(table="sales", store=store)):
+        rows = approx_aggregate(sales, AGGS, ["region"], small_table_rows=0, **kw).collect()
+        for r in rows:
+            assert r["cnt_error_pct"] == 0.0
+            if r["region"] != "Antarctica":
+                assert 0 < r["total_error_pct"] < 30 and 0 < r["avg_amount_error_pct"] < 30
+    par = approx_aggregate(sales, AGGS, ["region"], small_table_rows=0,
+                           bound_method="proportion").collect()
+    assert all(r["cnt_error_pct"] == r["total_error_pct"] == r["avg_amount_error_pct"] for r in par)
