@@ -147,9 +147,13 @@ def main() -> None:
              ("lineitem_distinct", "exact_distinct_lineitem", "approx_distinct_lineitem")]
     speedups = {k: ratio(e, a) for k, e, a in pairs}
 
+    stated = {"within": 0, "total": 0}
+
     def max_rel_error(e_name, a_name):
         """Largest relative error of the approximate answer over the values
-        both results share (matched by group key), outside the timings."""
+        both results share (matched by group key), outside the timings; also
+        tallies how often the error is within the answer's stated
+        ``<value>_error_pct``."""
         ex, ap = queries[e_name](), queries[a_name]()
         keys = [f.name for f in ex.schema.fields if f.dataType.simpleString() == "string"]
         vals = [c for c in ex.columns if c in ap.columns and c not in keys]
@@ -161,7 +165,12 @@ def main() -> None:
                 if other is None or other[c] is None:
                     return None
                 if r[c]:
-                    worst = max(worst, abs(float(other[c]) - float(r[c])) / abs(float(r[c])))
+                    rel = abs(float(other[c]) - float(r[c])) / abs(float(r[c]))
+                    worst = max(worst, rel)
+                    err = other[f"{c}_error_pct"] if f"{c}_error_pct" in other else None
+                    if err is not None:
+                        stated["total"] += 1
+                        stated["within"] += rel * 100 <= err + 1e-9
         return round(worst, 6)
 
     accuracy = {k: max_rel_error(e, a) for k, e, a in pairs}
@@ -175,6 +184,7 @@ def main() -> None:
         "setup": setup,
         "speedup_exact_over_approx": speedups,
         "approx_max_rel_error": accuracy,
+        "approx_within_stated_error": stated,
         "rows": rows,
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
