@@ -5,5 +5,6 @@ watermarks, windows or state); a stream reservoir appears only on its wish
 list. Nothing here is needed for parity. Note that the hash sampler
 (:func:`roughcut.operators.sampling.uniform_sample` with ``method="hash"``)
 is a stateless row predicate, so it already applies unchanged to a
-``readStream`` DataFrame.
+``readStream`` DataFrame and keeps exactly the rows the batch sample keeps
+(``tests/test_streaming.py``).
 """
