@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from roughcut.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from roughcut.llm.html_text import extract_pages
+from roughcut.llm.langid import identify_languages
 from roughcut.llm.mixing import cube_mix
+from roughcut.llm.near_dedup import near_duplicates
+from roughcut.llm.secrets import scan_secrets
 from roughcut.llm.sharding import rendezvous_shards, sharding_sql
 from roughcut.sources.tables import read_table
 
@@ -41,3 +45,27 @@ def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op7_exact_dedup"] = EXACT_DEDUP_SQL
 ORACLE_SQL["op8_rendezvous_sharding"] = sharding_sql()
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, by compression."""
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text."""
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
