@@ -144,7 +144,7 @@ def cube_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "chunks", F.ceil(F.col("n") / chunk_rows)), "targets")
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     rows = (sizes.withColumn("order", F.xxhash64("doc_id", "size", "crc"))
-            .join(F.broadcast(targets.select(F.col("source").alias("s"), "source_size", "target", "chunks")),
+            .join(targets.select(F.col("source").alias("s"), "source_size", "target", "chunks"),
                   F.col("source").eqNullSafe(F.col("s")))
             .withColumn("base", F.floor(ratio).cast("long"))
             .withColumn("p", ratio - F.floor(ratio))

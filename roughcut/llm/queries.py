@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from roughcut.llm.decontaminate import contaminated
 from roughcut.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from roughcut.llm.html_text import extract_pages
 from roughcut.llm.langid import identify_languages
+from roughcut.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 from roughcut.llm.mixing import cube_mix
 from roughcut.llm.near_dedup import near_duplicates
 from roughcut.llm.secrets import scan_secrets
@@ -69,3 +72,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that repeated runs leave of every document."""
+    return dedup_lines(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")) \
+        .withColumn("similarity", F.round("similarity", 6))
+
+
+ORACLE_SQL["op4_line_dedup"] = LINE_DEDUP_SQL
