@@ -16,6 +16,7 @@ from roughcut.llm.mixing import cube_mix
 from roughcut.llm.near_dedup import near_duplicates
 from roughcut.llm.secrets import scan_secrets
 from roughcut.llm.sharding import rendezvous_shards, sharding_sql
+from roughcut.llm.substring_dedup import dedup_substrings
 from roughcut.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +90,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op4_line_dedup"] = LINE_DEDUP_SQL
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that strings repeated from earlier leave of every document."""
+    return dedup_substrings(read_table(spark, sf_dir, "documents"))

@@ -36,7 +36,7 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 
 def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       shards: int = SHARDS, weights: Sequence[float] | None = None,
-                      new_weight: float = 1.0) -> DataFrame:
+                      new_weight: float = 1.0, keep: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     The key alone decides the shard: the shard whose score for the key is the
@@ -48,22 +48,25 @@ def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A null id is one key of its own (the empty string); repeated keys go to one
     shard and get slots of their own. A null text has no bytes and checksum 0.
-    An empty table gives an empty result. Other columns are not read.
+    An empty table gives an empty result. The columns named in ``keep`` follow as they
+    are (one whose name is taken gives way); others are not read.
     """
     weights = list(weights) if weights is not None else [1.0] * shards
     if len(weights) != shards or any(w <= 0 for w in weights):
         raise ValueError("one positive weight for each shard")
     text = text_or_empty(text_col).cast("binary")
+    taken = {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    kept = [F.col(c).alias(f"__keep_{c}") for c in keep if c not in taken]
     slim = docs.select(F.col(id_col).alias("doc_id"),
                        (F.octet_length(text) + 8).cast("long").alias("size"),
-                       F.crc32(text).alias("text_crc32"))
+                       F.crc32(text).alias("text_crc32"), *kept)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     best = slim.withColumn("best", _best(key, weights)).withColumn("new", _score(key, shards, new_weight))
     placed = stored(best.select(
         "doc_id", "size", "text_crc32", (-F.col("best.neg")).cast("int").alias("shard"),
         F.when(F.col("new") > F.col("best.score"), F.lit(shards)).otherwise(-F.col("best.neg"))
         .cast("int").alias("grown_shard"),
-        hash60(key).alias("kh"))
+        hash60(key).alias("kh"), *[c for c in slim.columns if c.startswith("__keep_")])
         .withColumn("bucket", F.floor(F.col("kh") / ((1 << 60) // KEY_BUCKETS)).cast("int"))
         .withColumn("part", (F.col("text_crc32") % SPLITS).cast("int")), "placed")
 
@@ -75,7 +78,8 @@ def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return (placed.withColumn("rn", F.row_number().over(inside) - 1)
             .join(starts, group)
             .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-                    (F.col("start") + F.col("rn")).cast("long").alias("slot"), "grown_shard"))
+                    (F.col("start") + F.col("rn")).cast("long").alias("slot"), "grown_shard",
+                    *[F.col(f"__keep_{c}").alias(c) for c in keep if c not in taken]))
 
 
 def sharding_sql(source: str = "documents", shards: int = SHARDS) -> str:
