@@ -180,6 +180,26 @@ def domain_count_error_pct_sql(hits: Operand, sample_count: Operand, population_
             f"{_fpc(N, n)} * 100 END, 2)")
 
 
+def domain_count_interval_sql(hits: Operand, sample_count: Operand, population_count: Operand,
+                              confidence: float = 0.95) -> dict[str, str]:
+    """Interval of a filtered stratum COUNT: Wilson's, on the share of sampled rows that match.
+
+    It stays open at both ends - no sampled match leaves an upper bound, and all
+    sampled rows matching leaves a lower bound below the stratum's size - and is
+    cut to what the sample proves: at least the matches seen, at most all rows
+    but the misses seen (so it is exact when the whole stratum was sampled).
+    """
+    v, n, N, z = sql(hits), sql(sample_count), sql(population_count), sql(z_value(confidence))
+    p, z2 = f"({v} / {n})", f"({z} * {z})"
+    centre = f"(({p} + {z2} / (2 * {n})) / (1 + {z2} / {n}))"
+    half = f"({z} / (1 + {z2} / {n}) * sqrt({p} * (1.0D - {p}) / {n} + {z2} / (4.0D * {n} * {n})))"
+    low = f"greatest(CAST({v} AS BIGINT), CAST(floor({N} * ({centre} - {half})) AS BIGINT))"
+    high = f"least(CAST({N} - {n} + {v} AS BIGINT), CAST(ceil({N} * ({centre} + {half})) AS BIGINT))"
+    est = f"({v} * {N} / {n})"
+    return {"ci_low": low, "ci_high": high,
+            "error_pct": f"round(CASE WHEN {v} > 0 THEN greatest({high} - {est}, {est} - {low}) / {est} * 100 END, 2)"}
+
+
 def stratum_error_pct(sample_count: Operand, population_count: Operand) -> Column:
     return F.expr(stratum_error_pct_sql(sample_count, population_count))
 
@@ -187,11 +207,12 @@ def stratum_error_pct(sample_count: Operand, population_count: Operand) -> Colum
 # ------------------------------------------------------------------ accuracy maps
 def accuracy_to_rate_sql(accuracy: Operand, mean: Operand, stddev: Operand,
                          total_rows: Operand, confidence: float = 0.95) -> str:
-    """Sample rate needed for a mean within ``(1-accuracy)*2`` relative margin."""
+    """Sample rate needed for a mean within ``(1-accuracy)*2`` relative margin; the
+    default rate where mean or spread is unknown."""
     a, m, sd, N, z = sql(accuracy), sql(mean), sql(stddev), sql(total_rows), sql(z_value(confidence))
     margin = f"((1.0D - {a}) * {m} * 2)"
     clamped = f"greatest({sql(RATE_MIN)}, least({sql(RATE_MAX)}, pow({z} * {sd} / {margin}, 2) / {N}))"
-    return (f"CASE WHEN {margin} = 0 OR {m} = 0 OR {m} IS NULL OR {N} <= 0 "
+    return (f"CASE WHEN {margin} = 0 OR {m} = 0 OR {m} IS NULL OR {sd} IS NULL OR {N} <= 0 "
             f"THEN {sql(RATE_DEFAULT)} ELSE {clamped} END")
 
 
@@ -200,17 +221,31 @@ def accuracy_to_rate(accuracy: Operand, mean: Operand, stddev: Operand,
     return F.expr(accuracy_to_rate_sql(accuracy, mean, stddev, total_rows, confidence))
 
 
+def accuracy_to_rate_need(accuracy: float, mean: float | None, stddev: float | None,
+                          total_rows: int, confidence: float = 0.95) -> float:
+    """The sample rate that the target needs, before it is cut to the rates offered
+    (unknown mean or spread: the default rate)."""
+    margin = (1.0 - accuracy) * (mean or 0.0) * 2
+    if not margin or stddev is None or total_rows <= 0:
+        return RATE_DEFAULT
+    return (z_value(confidence) * stddev / margin) ** 2 / total_rows
+
+
+def count_error_pct_py(n: int, rate: float, confidence: float = 0.95, method: str = "ht") -> float:
+    """Driver-side twin of the COUNT error of :func:`count_bound`."""
+    core = (rate * (1 - rate) / n) ** 0.5 if method == "proportion" else ((1 - rate) / n) ** 0.5
+    N = int(n // rate)
+    fpc = ((N - n) / (N - 1)) ** 0.5 if N > 1 else 1.0
+    return round(z_value(confidence) * core * fpc * 100, 2)
+
+
 def accuracy_to_rate_py(accuracy: float, mean: float | None, stddev: float | None,
                         total_rows: int, confidence: float = 0.95) -> float:
     """Driver-side twin of :func:`accuracy_to_rate` for choosing a plan."""
-    z = z_value(confidence)
-    if not mean:
-        return RATE_DEFAULT
-    margin = (1.0 - accuracy) * mean * 2
-    if margin == 0:
+    if not mean or stddev is None or total_rows <= 0 or accuracy == 1.0:
         return RATE_DEFAULT
-    need = (z * (stddev or 0.0) / margin) ** 2
-    return max(RATE_MIN, min(RATE_MAX, need / max(total_rows, 1)))
+    need = accuracy_to_rate_need(accuracy, mean, stddev, total_rows, confidence)
+    return max(RATE_MIN, min(RATE_MAX, need))
 
 
 def accuracy_to_hll_precision_sql(accuracy: Operand) -> str:

@@ -34,15 +34,15 @@ def threshold(rate: float) -> int:
     return int(math.floor(rate * float(HASH_SPACE)))
 
 
-NULL_PART = "\\N"  # stands for a NULL part of a composite key
+NULL_PART = "\\N"  # stands for a NULL key, or a NULL part of a composite key
 
 
 def _key_string(key: str | Sequence[str]) -> Column:
     cols = [key] if isinstance(key, str) else list(key)
-    if len(cols) == 1:
-        return F.col(cols[0]).cast("string")
-    # NULL parts are marked, not skipped: (1, NULL, 2) and (1, 2, NULL) differ
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_PART)) for c in cols])
+    # NULLs are marked, not skipped: a row without a key keeps a hash (and so a chance to
+    # be sampled), and (1, NULL, 2) differs from (1, 2, NULL)
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_PART)) for c in cols]
+    return parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
 
 
 def hash60(key: str | Sequence[str], method: str = "md5") -> Column:
@@ -52,20 +52,20 @@ def hash60(key: str | Sequence[str], method: str = "md5") -> Column:
         return F.conv(hexd, 16, 10).cast("bigint")
     if method == "xxhash":
         cols = [key] if isinstance(key, str) else list(key)
-        parts = [F.col(c) for c in cols]
-        if len(cols) > 1:
-            # xxhash64 skips NULL inputs; hashing the NULL flags too keeps
-            # (1, NULL, 2) and (1, 2, NULL) apart
-            parts += [F.col(c).isNull() for c in cols]
-        return F.xxhash64(*parts).bitwiseAND(F.lit(_MASK60))
+        # xxhash64 skips NULL inputs; hashing the NULL flags too keeps (1, NULL, 2)
+        # and (1, 2, NULL) apart and gives a NULL key a hash like any other
+        flags = [F.col(c).isNull() for c in cols]
+        return F.xxhash64(*[F.col(c) for c in cols], *flags).bitwiseAND(F.lit(_MASK60))
     raise ValueError(f"unknown hash method {method!r}")
 
 
-def with_row_hash(df: DataFrame, key: str | Sequence[str], out: str = "h",
+def with_row_hash(df: DataFrame, key: str | Sequence[str] | None, out: str = "h",
                   method: str = "md5") -> DataFrame:
     """Add the row hash column unless the frame already carries it."""
     if out in df.columns:
         return df
+    if key is None:
+        raise ValueError(f"hash sampling needs the row key (or a stored {out!r} column)")
     return df.withColumn(out, hash60(key, method))
 
 

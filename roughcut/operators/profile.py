@@ -11,10 +11,13 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roughcut.session import is_missing_path
+
 PROFILE_TTL_SECONDS = 20 * 60  # fixed value: profiles are fresh for 20 minutes
 HISTOGRAM_BINS = 20  # fixed value: bins of the skew histogram
 SKEW_GINI = 0.6  # fixed value: Gini above which a group column counts as skewed
@@ -28,15 +31,23 @@ PROFILE_HLL_LGK = 12  # HLL registers 2^12: about 1.6 % relative error
 TREE_FANIN = 1024
 
 
+def _merge_moments(a: Column, b: Column) -> Column:
+    """Count, mean and M2 of two disjoint sets of rows together."""
+    n, d = a["n"] + b["n"], b["m"] - a["m"]
+    return F.struct(n.alias("n"), (a["m"] + d * b["n"] / n).alias("m"),
+                    (a["q"] + b["q"] + d * d * a["n"] * b["n"] / n).alias("q"))
+
+
 def _profile_tree(df: DataFrame, fields) -> DataFrame:
     """One wide row of profile statistics, merged in two levels.
 
     Level 1 aggregates per ``partition id mod TREE_FANIN`` (constant inside a
     map task): row count, a mergeable HLL sketch per column and, for numeric
     columns, ``n``, mean and ``M2`` (sum of squared deviations). Level 2
-    unions the sketches and combines the moments with the parallel-variance
-    rule ``M2 = sum(M2_i) + sum(n_i * mean_i^2) - N * mean^2``, so no task
-    ever merges more than TREE_FANIN partial rows.
+    unions the sketches and folds the moments one bucket at a time with the
+    pairwise rule ``M2 = M2_a + M2_b + d^2 n_a n_b / (n_a + n_b)`` (d: the
+    difference of the means), which loses nothing when the mean is large. No
+    task ever merges more than TREE_FANIN partial rows.
     """
     salted = df.withColumn("__b", F.pmod(F.spark_partition_id(), F.lit(TREE_FANIN)))
     l1 = [F.count(F.lit(1)).alias("__rows")]
@@ -52,18 +63,18 @@ def _profile_tree(df: DataFrame, fields) -> DataFrame:
     for i, f in enumerate(fields):
         l2.append(F.hll_sketch_estimate(F.hll_union_agg(f"__hll{i}", True)).alias(f"__card{i}"))
         if is_numeric(f.dataType):
-            n, m = F.col(f"__n{i}"), F.col(f"__m{i}")
-            l2 += [F.sum(n).alias(f"__N{i}"), F.sum(n * m).alias(f"__S{i}"),
-                   F.sum(n * m * m).alias(f"__SS{i}"), F.sum(f"__q{i}").alias(f"__Q{i}")]
+            part = F.struct(F.col(f"__n{i}").cast("double").alias("n"), F.col(f"__m{i}").alias("m"),
+                            F.col(f"__q{i}").alias("q"))
+            parts = F.collect_list(F.when(F.col(f"__n{i}") > 0, part))  # at most TREE_FANIN
+            l2.append(F.aggregate(parts, F.struct(*[F.lit(0.0).alias(k) for k in "nmq"]),
+                                  _merge_moments).alias(f"__M{i}"))
     one = level1.agg(*l2)
     out = [F.col("__rows")]
     for i, f in enumerate(fields):
         out.append(F.col(f"__card{i}"))
         if is_numeric(f.dataType):
-            N, S, SS, Q = (F.col(f"__{k}{i}") for k in ("N", "S", "SS", "Q"))
-            mean = F.when(N > 0, S / N)
-            m2 = F.greatest(Q + SS - N * mean * mean, F.lit(0.0))
-            out += [mean.alias(f"__mean{i}"), F.when(N > 1, F.sqrt(m2 / (N - 1))).alias(f"__sd{i}")]
+            n, m, q = (F.col(f"__M{i}")[k] for k in "nmq")
+            out += [F.when(n > 0, m).alias(f"__mean{i}"), F.when(n > 1, F.sqrt(q / (n - 1))).alias(f"__sd{i}")]
     return one.select(*out)
 
 
@@ -114,27 +125,32 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
 
     Bin ``i`` covers ``[lo + i*w, lo + (i+1)*w)``; the maximum falls into the
     last bin. Empty bins are kept with count 0 (dropping them changes the
-    Gini). The two bounds are fetched as scalars; the bin counts are a hash
+    Gini). Bounds and bins are those of the finite values; ``non_finite`` (the
+    same in every row) counts NaN and the infinities, which have no bin. The
+    bounds and that count are fetched as scalars; the bin counts are a hash
     aggregate with at most ``bins`` groups.
     """
     x = F.col(column).cast("double")
-    lo, hi = df.agg(F.min(x), F.max(x)).first()
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    fx = F.when(finite, x)
+    lo, hi, other = df.agg(F.min(fx), F.max(fx), F.count(x) - F.count(fx)).first()
+    other = F.lit(other).cast("bigint").alias("non_finite")
     spark = df.sparkSession
     ids = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     if lo is None:
         return ids.select("bin", F.lit(None).cast("double").alias("bin_lo"),
-                          F.lit(None).cast("double").alias("bin_hi"), F.lit(0).cast("bigint").alias("count"))
+                          F.lit(None).cast("double").alias("bin_hi"), F.lit(0).cast("bigint").alias("count"), other)
     width = (hi - lo) / bins
     if width > 0:
         b = F.least(F.lit(bins - 1), F.floor((x - F.lit(lo)) / F.lit(width))).cast("int")
     else:
         b = F.lit(0)
-    counts = df.filter(x.isNotNull()).select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    counts = df.filter(finite).select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     return (ids.join(F.broadcast(counts), "bin", "left")
             .select("bin",
                     (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_lo"),
                     (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"),
-                    F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
+                    F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"), other))
 
 
 def gini_of_counts(counts: DataFrame, count_col: str = "count") -> DataFrame:
@@ -233,8 +249,10 @@ def load_profile(spark, path: str, now: _dt.datetime | None = None,
     """The stored profile if it is fresh, else ``None``."""
     try:
         snap = spark.read.parquet(path)
-    except Exception:
-        return None
+    except AnalysisException as e:
+        if not is_missing_path(e):
+            raise
+        return None  # nothing stored
     now = now or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     cutoff = now - _dt.timedelta(seconds=ttl_seconds)
     fresh = snap.filter(F.col("profiled_at") >= F.lit(cutoff).cast("timestamp_ntz"))

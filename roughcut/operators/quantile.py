@@ -2,39 +2,45 @@
 
 Spark's exact ``percentile``/``median`` keeps a map of every distinct value
 and merges it in a single final task; on a 100 TB column that task holds the
-column. Here the exact order statistic is found by distributed selection:
-
-1. count the non-null values (target ranks follow from N and p);
-2. build a KLL sketch of the candidates - merged in two levels, so no task
-   merges more than a bounded number of partial sketches - and read two
-   values that bracket the target ranks with a safety margin;
-3. count, in one pass, the values below the bracket and inside it - the
-   same pass sketches the rows inside, ready for the next round; the
-   candidates shrink by roughly ``1 / (2 * margin)`` per round;
-4. once at most ``small`` candidates remain, rank their distinct values in
-   one window over that bounded set and read the answer.
-
-The KLL bound holds with high probability, not always: every bracket is
-verified by exact counts, and a missed one is retried with a doubled margin,
-so the answer is always exact. Every pass reads one pruned column; the
-driver only sees a few scalars per round. Ranks follow the SQL definitions:
-``cont`` interpolates linearly at ``p * (N - 1)``, ``disc`` returns the value
-of rank ``max(1, ceil(p * N))``.
+column. Here the exact order statistics are found by distributed selection,
+for any number of probabilities at once:
+
+1. count the values (target ranks follow from N and p) and build a KLL sketch
+   of them - merged in two levels, so no task merges more than a bounded
+   number of partial sketches;
+2. read two pivots around each target rank from the sketch, with a safety
+   margin, and count in one pass the values below, equal to, between and
+   equal to the pivots; the same pass sketches the values strictly between;
+3. a rank that falls on a pivot is resolved, whatever the size of that run of
+   ties; any other goes on strictly between two known values, with exact
+   counts on both sides - also when the sketch missed. Every round takes the
+   pivots' own rows away, so it always gets on;
+4. once at most ``small`` rows are left between the bounds of a rank, rank
+   them in one window over that bounded set.
+
+NaN is counted apart and ranked last, as SQL orders it. Ranks follow the SQL
+definitions: ``cont`` interpolates linearly at ``p * (N - 1)``, ``disc``
+returns the value of rank ``max(1, ceil(p * N))``. Every pass reads one pruned
+column; ungrouped, the driver sees a few scalars per round and target.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roughcut.operators.sketches import TREE_FANIN, kll_sketch
+from roughcut.operators.sketches import TREE_FANIN
+from roughcut.session import stored
 
 SMALL = 100_000
 KLL_K = 2000
-MAX_ROUNDS = 16
 MAX_MARGIN = 0.25
+GRID = 1000  # sketch quantiles at ranks 0, 1/GRID, ..., 1
+GRID_G = 200  # per-group grid (kept small: it lives in the per-group state)
 
 
 def kll_rank_error(k: int) -> float:
@@ -52,226 +58,293 @@ def _ranks(n: int, p: float, kind: str) -> tuple[int, int, float]:
     return math.floor(pos) + 1, math.ceil(pos) + 1, pos
 
 
-def _merged_sketch(df: DataFrame, group_by: list[str], k: int) -> DataFrame:
-    """KLL sketch of ``x`` per group, merged in two levels (bucket = task)."""
-    salted = df.withColumn("__b", F.pmod(F.spark_partition_id(), F.lit(TREE_FANIN)))
-    level1 = salted.groupBy(*group_by, "__b").agg(kll_sketch("x", k).alias("__sk"))
-    merged = F.kll_merge_agg_double(F.col("__sk")).alias("__sk")
-    return level1.groupBy(*group_by).agg(merged) if group_by else level1.agg(merged)
-
-
-def _final(cand: DataFrame, group_by: list[str], lo_r, hi_r, pos, kind: str, name: str) -> DataFrame:
-    """Rank the distinct candidate values (with counts) in one ordered window
-    per group and read the target ranks. When heavy ties stop the narrowing
-    early the candidates are few distinct values, so the window stays small."""
-    carry = [c for c in ("__lo_r", "__hi_r", "__pos") if c in cand.columns]
-    vc = cand.groupBy(*group_by, "x", *carry).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*group_by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    runs = vc.withColumn("last", F.sum("c").over(w)).withColumn("first", F.col("last") - F.col("c") + 1)
-
-    def at(rank):
-        return F.max(F.when((F.col("first") <= rank) & (F.col("last") >= rank), F.col("x")))
-
-    aggs = [at(lo_r).alias("v1"), at(hi_r).alias("v2"), F.first(pos).alias("pos")]
-    res = runs.groupBy(*group_by).agg(*aggs) if group_by else runs.agg(*aggs)
-    if kind == "disc":
-        value = F.col("v1")
-    else:
-        lower, higher = F.floor("pos"), F.ceil("pos")
-        value = F.when(lower == higher, F.col("v1")).otherwise(
-            (higher - F.col("pos")) * F.col("v1") + (F.col("pos") - lower) * F.col("v2"))
-    return res.select(*group_by, value.alias(name))
-
-
-GRID = 1000  # bracket grid: sketch quantiles at ranks 0, 1/GRID, ..., 1
-_GRID_RANKS = [i / GRID for i in range(GRID + 1)]
+def _check(probs: Sequence[float], kind: str) -> None:
+    if not all(0.0 <= p <= 1.0 for p in probs):
+        raise ValueError("p must be in [0, 1]")
+    if kind not in ("cont", "disc"):
+        raise ValueError("kind is 'cont' or 'disc'")
 
 
-def _pass(cand: DataFrame, lo: float | None, hi: float | None, k: int):
-    """One pass over the candidates (a two-level aggregate): rows below the
-    bracket ``[lo, hi]``, rows inside it, and the grid of quantiles of the
-    rows inside - the next round's candidates - from their merged KLL
-    sketch. ``None`` leaves a side of the bracket open."""
-    x = F.col("x")
-    inside = F.lit(True)
+def _between(lo: float | None, hi: float | None) -> Column:
+    x, c = F.col("x"), F.lit(True)
     if lo is not None:
-        inside = inside & (x >= F.lit(lo))
-    if hi is not None:
-        inside = inside & (x <= F.lit(hi))
-    under = x < F.lit(lo) if lo is not None else F.lit(False)
-    salted = cand.withColumn("__b", F.pmod(F.spark_partition_id(), F.lit(TREE_FANIN)))
-    level1 = salted.groupBy("__b").agg(
-        F.count_if(under).alias("lt"), F.count_if(inside).alias("ins"),
-        F.kll_sketch_agg_double(F.when(inside, x), k).alias("sk"))
-    level2 = level1.agg(F.sum("lt").alias("lt"), F.sum("ins").alias("ins"),
-                        F.kll_merge_agg_double("sk").alias("sk"))
-    grid = F.array(*[F.lit(r) for r in _GRID_RANKS])
-    row = level2.select(F.coalesce("lt", F.lit(0)).alias("lt"), F.coalesce("ins", F.lit(0)).alias("ins"),
-                        F.when(F.col("ins") > 0, F.kll_sketch_get_quantile_double("sk", grid))
-                        .alias("qs")).first()
-    return row["lt"], row["ins"], row["qs"]
+        c = c & (x > F.lit(lo))
+    return c if hi is None else c & (x < F.lit(hi))
+
+
+@dataclass
+class _Bracket:
+    """Target ranks strictly between two values: ``below`` rows are at most ``lo``, ``size``
+    rows lie between; ``grid`` are sketch quantiles of those, when known."""
+    lo: float | None
+    hi: float | None
+    below: int
+    size: int
+    ranks: list[int]
+    margin: float
+    grid: list[float] | None = None
+    pivots: list[tuple[float | None, float | None, list[int]]] = field(default_factory=list)
+
+    def choose(self) -> None:
+        """Pivots for each rank; ranks with equal pivots share them."""
+        if self.grid is None:  # sketch first
+            self.pivots = [(self.lo, self.hi, self.ranks)]
+            return
+        by: dict[tuple, list[int]] = {}
+        for r in self.ranks:
+            at = (r - self.below) / self.size
+            low = self.grid[max(0, math.floor((at - self.margin) * GRID))]
+            high = self.grid[min(GRID, math.ceil((at + self.margin) * GRID))]
+            by.setdefault((low, high), []).append(r)
+        self.pivots = [(low, high, ranks) for (low, high), ranks in by.items()]
+
+
+def _pass(vals: DataFrame, requests: list[tuple[_Bracket, float | None, float | None]], k: int) -> list:
+    """One pass for all requests: rows of the bracket below the first pivot, equal to it,
+    strictly between the pivots, and equal to the second; and the grid of those between.
+    A pivot that is the bracket's own bound has nothing below or equal to it inside."""
+    x = F.col("x")
+    salted = vals.withColumn("__b", F.pmod(F.spark_partition_id(), F.lit(TREE_FANIN)))
+    one, two, out = [], [], []
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    for i, (b, low, high) in enumerate(requests):
+        inside, mid = _between(b.lo, b.hi), _between(low, high)
+        none = F.lit(False)
+        parts = {"lt": none if low == b.lo else inside & (x < F.lit(low)),
+                 "el": none if low == b.lo else inside & (x == F.lit(low)),
+                 "mid": inside & mid,
+                 "eh": none if high == b.hi or high == low else inside & (x == F.lit(high))}
+        for name, c in parts.items():
+            one.append(F.count_if(c).alias(f"{name}{i}"))
+            two.append(F.coalesce(F.sum(f"{name}{i}"), F.lit(0)).alias(f"{name}{i}"))
+        one.append(F.kll_sketch_agg_double(F.when(parts["mid"], x), k).alias(f"sk{i}"))
+        two.append(F.kll_merge_agg_double(F.when(F.col(f"mid{i}") > 0, F.col(f"sk{i}"))).alias(f"sk{i}"))
+        out += [*[F.col(f"{name}{i}") for name in parts], F.when(
+            F.col(f"mid{i}") > 0, F.kll_sketch_get_quantile_double(f"sk{i}", grid)).alias(f"qs{i}")]
+    row = salted.groupBy("__b").agg(*one).agg(*two).select(*out).first()
+    return [tuple(row[f"{n}{i}"] for n in ("lt", "el", "mid", "eh", "qs")) for i in range(len(requests))]
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], kind: str = "cont",
+                    names: Sequence[str] | None = None, small: int = SMALL,
+                    k: int = KLL_K) -> DataFrame:
+    """One-row DataFrame with the exact quantiles ``probs`` of ``column``.
+
+    All probabilities share every pass. A column without values gives NULLs.
+    """
+    probs = list(probs)
+    _check(probs, kind)
+    names = list(names) if names else [f"{kind}_{column}_{i}" for i in range(len(probs))]
+    spark = df.sparkSession
+    every = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    vals = every.filter(~F.isnan("x"))
+    rows, nans = every.agg(F.count("x"), F.count_if(F.isnan("x"))).first()
+    if rows == 0:
+        return spark.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
+    targets = [_ranks(rows, p, kind) for p in probs]
+    wanted = sorted({r for lo, hi, _ in targets for r in (lo, hi)})
+    value = {r: float("nan") for r in wanted if r > rows - nans}
+    first = [r for r in wanted if r not in value]
+    brackets = [_Bracket(None, None, 0, rows - nans, first, kll_rank_error(k))] if first else []
+
+    while any(b.size > small for b in brackets):
+        wide = [b for b in brackets if b.size > small]
+        for b in wide:
+            b.choose()
+        requests = [(b, low, high, ranks) for b in wide for low, high, ranks in b.pivots]
+        counted = _pass(vals, [q[:3] for q in requests], k)
+        after: dict[tuple, _Bracket] = {(b.lo, b.hi): b for b in brackets if b.size <= small}
+
+        def go_on(lo, hi, below, size, rank, margin, grid=None):
+            b = after.setdefault((lo, hi), _Bracket(lo, hi, below, size, [], margin, grid))
+            b.ranks.append(rank)
+
+        for (b, low, high, ranks), (lt, el, mid, eh, grid) in zip(requests, counted):
+            wider = min(MAX_MARGIN, 2 * b.margin)
+            for r in ranks:
+                at = r - b.below
+                if at <= lt:
+                    go_on(b.lo, low, b.below, lt, r, wider)
+                elif at <= lt + el:
+                    value[r] = low
+                elif at <= lt + el + mid:
+                    go_on(low, high, b.below + lt + el, mid, r, b.margin, grid)
+                elif at <= lt + el + mid + eh:
+                    value[r] = high
+                else:
+                    done = lt + el + mid + eh
+                    go_on(high, b.hi, b.below + done, b.size - done, r, wider)
+        brackets = list(after.values())
+
+    if brackets:
+        value |= _read(vals, brackets)
+
+    def result(lo: int, hi: int, pos: float) -> float:
+        if lo == hi or value[lo] == value[hi]:
+            return value[lo]
+        return (math.ceil(pos) - pos) * value[lo] + (pos - math.floor(pos)) * value[hi]
+    return spark.range(1).select(*[F.lit(result(*t)).cast("double").alias(n) for t, n in zip(targets, names)])
+
+
+def _read(vals: DataFrame, brackets: list[_Bracket]) -> dict[int, float]:
+    """Values of the ranks that are left, from at most ``small`` rows per bracket."""
+    which = F.array_compact(F.array(*[F.when(_between(b.lo, b.hi), F.lit(i)) for i, b in enumerate(brackets)]))
+    runs = vals.select("x", F.explode(which).alias("b")).groupBy("b", "x").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    runs = runs.withColumn("last", upto)
+    hit = F.lit(False)
+    for i, b in enumerate(brackets):
+        for r in b.ranks:
+            at = r - b.below
+            hit = hit | ((F.col("b") == i) & (F.col("last") >= at) & (F.col("last") - F.col("c") < at))
+    found = runs.filter(hit).collect()  # at most one row per target rank
+    return {r: row["x"] for i, b in enumerate(brackets) for r in b.ranks for row in found
+            if row["b"] == i and row["last"] - row["c"] < r - b.below <= row["last"]}
 
 
 def exact_quantile(df: DataFrame, column: str, p: float, kind: str = "cont",
                    alias: str | None = None, small: int = SMALL, k: int = KLL_K) -> DataFrame:
-    """One-row DataFrame holding the exact quantile ``p`` of ``column``.
-
-    One pass per round: the pass that counts the rows below and inside the
-    new bracket also sketches the rows inside it, which gives the next
-    round's bracket.
-    """
-    if not 0.0 <= p <= 1.0:
-        raise ValueError("p must be in [0, 1]")
-    if kind not in ("cont", "disc"):
-        raise ValueError("kind is 'cont' or 'disc'")
-    name = alias or f"{kind}_{column}"
-    vals = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    _, n, grid = _pass(vals, None, None, k)
-    if n == 0:
-        return vals.agg(F.max("x").alias(name))
-    k_lo, k_hi, pos = _ranks(n, p, kind)
-
-    cand, size, below = vals, n, 0
-    margin = kll_rank_error(k)
-    for _ in range(MAX_ROUNDS):
-        if size <= small:
-            break
-        q_lo = (k_lo - below) / size - margin
-        q_hi = (k_hi - below) / size + margin
-        v_lo = grid[max(0, math.floor(q_lo * GRID))]
-        v_hi = grid[min(GRID, math.ceil(q_hi * GRID))]
-        lt, inside, nxt = _pass(cand, v_lo, v_hi, k)
-        if not (below + lt < k_lo and k_hi <= below + lt + inside):
-            if margin >= MAX_MARGIN:
-                break
-            margin = min(MAX_MARGIN, 2 * margin)  # the sketch missed: widen and retry
-            continue
-        if v_lo == v_hi:
-            # every target rank sits in one run of equal values
-            return cand.filter(F.col("x") == v_lo).agg(F.max("x").alias(name))
-        if inside >= size:
-            break  # no progress (heavy ties at the edges)
-        cand = cand.filter(F.col("x").between(v_lo, v_hi))
-        size, below, grid = inside, below + lt, nxt
-    return _final(cand, [], F.lit(k_lo - below), F.lit(k_hi - below), F.lit(float(pos)), kind, name)
-
-
-BROADCAST_GROUPS = 1_000_000
-GRID_G = 200  # per-group grid (kept small: it lives in the per-group state)
-
-
-def _maybe_broadcast(state: DataFrame) -> DataFrame:
-    # one row per group; broadcast only when the counted size is bounded
-    return F.broadcast(state) if state.count() <= BROADCAST_GROUPS else state
+    """One-row DataFrame holding the exact quantile ``p`` of ``column``."""
+    return exact_quantiles(df, column, [p], kind, [alias or f"{kind}_{column}"], small, k)
 
 
-def _null_safe(left: DataFrame, right: DataFrame, g: list[str], how: str = "inner") -> DataFrame:
-    """Join rows to per-group state on the group key, NULL being a group."""
-    r = right.select(*[F.col(c).alias(f"__k_{c}") for c in g], *[c for c in right.columns if c not in g])
+# ------------------------------------------------------------------ grouped
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL is a value like any other."""
+    r = right.select(*[F.col(c).alias(f"__k_{c}") for c in keys], *[c for c in right.columns if c not in keys])
     cond = None
-    for c in g:
+    for c in keys:
         eq = F.col(c).eqNullSafe(F.col(f"__k_{c}"))
         cond = eq if cond is None else cond & eq
-    return left.join(r, cond, how).drop(*[f"__k_{c}" for c in g])
+    return left.join(r, cond, how).drop(*[f"__k_{c}" for c in keys])
 
 
-def _grouped_pass(vals: DataFrame, brackets: DataFrame, g: list[str], k: int) -> DataFrame:
-    """One pass for all narrowing groups: rows of each group inside its
-    current bracket ``[lo, hi]`` are counted below / inside the new bracket
-    ``[nlo, nhi]``, and the rows inside are sketched (two-level KLL) into
-    the next grid. NULL bounds are open."""
-    x = F.col("x")
+_BOUNDS = ("lo", "hi")
+_PIVOTS = ("nlo", "nhi")
+
+
+def _grouped_pass(vals: DataFrame, requests: DataFrame, g: list[str], k: int) -> DataFrame:
+    """The pass of :func:`_pass` for a table of requests: a row per group, bracket and pivots."""
+    x, low, high = F.col("x"), F.col("nlo"), F.col("nhi")
+
+    def above(c: str) -> Column:
+        return F.col(c).isNull() | (x > F.col(c))
 
-    def within(lo, hi):
-        return ((F.col(lo).isNull() | (x >= F.col(lo))) & (F.col(hi).isNull() | (x <= F.col(hi))))
-
-    cand = _null_safe(vals, _maybe_broadcast(brackets), g).filter(within("lo", "hi"))
-    new_in = within("nlo", "nhi")
-    under = F.col("nlo").isNotNull() & (x < F.col("nlo"))
-    salted = cand.withColumn("__b", F.pmod(F.spark_partition_id(), F.lit(TREE_FANIN)))
-    level1 = salted.groupBy(*g, "__b").agg(
-        F.count_if(under).alias("lt"), F.count_if(new_in).alias("ins"),
-        F.kll_sketch_agg_double(F.when(new_in, x), k).alias("sk"))
-    level2 = level1.groupBy(*g).agg(F.sum("lt").alias("lt"), F.sum("ins").alias("ins"),
-                                    F.kll_merge_agg_double("sk").alias("sk"))
+    def under(c: str) -> Column:
+        return F.col(c).isNull() | (x < F.col(c))
+    rows = _null_safe(vals, requests, g).filter(above("lo") & under("hi"))
+    mid = above("nlo") & under("nhi")
+    keys = [*g, *_BOUNDS, *_PIVOTS]
+    level1 = rows.withColumn("__b", F.pmod(F.spark_partition_id(), F.lit(TREE_FANIN))) \
+        .groupBy(*keys, "__b").agg(
+            F.count_if(x < low).alias("lt"), F.count_if(x == low).alias("el"),
+            F.count_if(mid).alias("mid"), F.count_if((x == high) & ~low.eqNullSafe(high)).alias("eh"),
+            F.kll_sketch_agg_double(F.when(mid, x), k).alias("sk"))
+    level2 = level1.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("lt", "el", "mid", "eh")],
+        F.kll_merge_agg_double(F.when(F.col("mid") > 0, F.col("sk"))).alias("sk"))
     grid = F.array(*[F.lit(i / GRID_G) for i in range(GRID_G + 1)])
-    return level2.select(*g, "lt", "ins", F.when(F.col("ins") > 0, F.kll_sketch_get_quantile_double(
-        "sk", grid)).alias("qs"))
+    return level2.select(*keys, "lt", "el", "mid", "eh", F.when(
+        F.col("mid") > 0, F.kll_sketch_get_quantile_double("sk", grid)).alias("mgrid"))
 
 
-def exact_quantile_grouped(df: DataFrame, group_by, column: str, p: float,
-                           kind: str = "cont", alias: str | None = None,
-                           small: int = SMALL, k: int = KLL_K) -> DataFrame:
-    """Exact quantile per group without holding a hot group in one task.
-
-    Same selection as :func:`exact_quantile`, run for all groups at once
-    with one pass per round: the pass that counts each group's rows below
-    and inside its new bracket also sketches the rows inside (two-level
-    KLL), whose grid of quantiles - kept in the per-group state only while
-    the group still narrows - gives the next bracket. Rows meet the
-    per-group brackets by a null-safe join on the group key, broadcast when
-    the number of groups is bounded, otherwise a shuffle join whose hot keys
-    AQE's skew handling splits. A group whose bracket missed doubles its own
-    margin; the last step ranks at most ``small`` candidates per group.
+def exact_quantiles_grouped(df: DataFrame, group_by, column: str, probs: Sequence[float],
+                            kind: str = "cont", names: Sequence[str] | None = None,
+                            small: int = SMALL, k: int = KLL_K) -> DataFrame:
+    """Exact quantiles per group, without holding a hot group in one task.
+
+    The selection of :func:`exact_quantiles` for all groups at once: the state
+    is a table with a row per group and target rank, stored after each round.
+    Groups of at most ``small`` values skip the rounds, so the table that rows
+    meet in a round has at most N / ``small`` groups; it is joined by its size.
+    A group whose values are all NULL has no row in the result.
     """
-    from roughcut.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)  # state tables are checkpointed per round
     g = [group_by] if isinstance(group_by, str) else list(group_by)
-    name = alias or f"{kind}_{column}"
-    vals = df.select(*g, F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    open_ = vals.select(*g).distinct().select(*g, *[F.lit(None).cast("double").alias(c)
-                                                   for c in ("lo", "hi", "nlo", "nhi")])
-    first = _grouped_pass(vals, open_, g, k)
-    n = F.col("ins")
+    probs = list(probs)
+    _check(probs, kind)
+    names = list(names) if names else [f"{kind}_{column}_{i}" for i in range(len(probs))]
+    every = df.select(*g, F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    vals = every.filter(~F.isnan("x"))
+    sizes = stored(every.groupBy(*g).agg(F.count("x").alias("n"), F.count_if(F.isnan("x")).alias("nans")),
+                   "quantiles", "sizes")
+    n = F.col("n")
     if kind == "disc":
-        k_lo = F.greatest(F.lit(1), F.ceil(F.lit(p) * n))
-        k_hi, pos = k_lo, (k_lo - 1).cast("double")
+        def ranks(p: float) -> tuple[Column, Column, Column]:
+            r = F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * n)).cast("bigint")
+            return r, r, (r - 1).cast("double")
     else:
-        pos = F.lit(p) * (n - 1)
-        k_lo, k_hi = F.floor(pos) + 1, F.ceil(pos) + 1
-    state = first.select(
-        *g, k_lo.cast("bigint").alias("k_lo"), k_hi.cast("bigint").alias("k_hi"),
-        pos.alias("pos"), F.lit(0).cast("bigint").alias("below"), n.alias("size"),
-        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
-        F.lit(kll_rank_error(k)).alias("margin"),
-        F.when(n > small, F.col("qs")).alias("qs")).checkpoint()
+        def ranks(p: float) -> tuple[Column, Column, Column]:
+            pos = F.lit(float(p)) * (n - 1)
+            return (F.floor(pos) + 1).cast("bigint"), (F.ceil(pos) + 1).cast("bigint"), pos.cast("double")
+    targets = sizes.select(*g, "n", "nans", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), *[c.alias(a) for c, a in zip(ranks(p), ("r1", "r2", "pos"))])
+        for i, p in enumerate(probs)])).alias("t")).select(*g, "n", "nans", "t.*")
+    none = F.lit(None).cast("double")
+    state = targets.select(*g, "n", "nans", F.explode(F.array("r1", "r2")).alias("rank")).distinct().select(
+        *g, "rank", none.alias("lo"), none.alias("hi"), F.lit(0).cast("bigint").alias("below"),
+        (F.col("n") - F.col("nans")).alias("size"), F.lit(kll_rank_error(k)).alias("margin"),
+        F.array().cast("array<double>").alias("grid"),
+        F.when(F.col("rank") > F.col("n") - F.col("nans"), F.lit(float("nan"))).alias("value"))
+    state = stored(state, "quantiles", "state")
     step = F.lit(float(GRID_G))
-    for _ in range(MAX_ROUNDS):
-        if state.filter(F.col("size") > small).limit(1).count() == 0:
-            break
-        q_lo = (F.col("k_lo") - F.col("below")) / F.col("size") - F.col("margin")
-        q_hi = (F.col("k_hi") - F.col("below")) / F.col("size") + F.col("margin")
-        j_lo = F.greatest(F.lit(0), F.floor(q_lo * step)).cast("int")
-        j_hi = F.least(F.lit(GRID_G), F.ceil(q_hi * step)).cast("int")
-        brackets = (state.filter(F.col("size") > small)
-                    .select(*g, "lo", "hi", F.element_at("qs", j_lo + 1).alias("nlo"),
-                            F.element_at("qs", j_hi + 1).alias("nhi")).checkpoint())
-        res = _grouped_pass(vals, brackets, g, k).withColumnRenamed("qs", "nqs")
-        res = _null_safe(res, brackets.select(*g, "nlo", "nhi"), g)
-        j = _null_safe(state, res, g, "left")
-        hit = ((F.col("below") + F.col("lt") < F.col("k_lo")) &
-               (F.col("k_hi") <= F.col("below") + F.col("lt") + F.col("ins")))
-        ok = hit & (F.col("ins") < F.col("size"))
-        missed = F.col("lt").isNotNull() & ~hit & (F.col("margin") < MAX_MARGIN)
-        size = (F.when(ok, F.col("ins")).when(missed, F.col("size"))
-                .when(F.col("size") > small, F.lit(small)).otherwise(F.col("size")))
-        state = j.select(
-            *g, "k_lo", "k_hi", "pos",
-            F.when(ok, F.col("below") + F.col("lt")).otherwise(F.col("below")).alias("below"),
-            # a group that cannot narrow further (ties, or misses at the widest
-            # margin) is parked at size `small`; a missed bracket is retried
-            size.alias("size"),
-            F.when(ok, F.col("nlo")).otherwise(F.col("lo")).alias("lo"),
-            F.when(ok, F.col("nhi")).otherwise(F.col("hi")).alias("hi"),
-            F.when(missed, F.least(F.lit(MAX_MARGIN), F.col("margin") * 2))
-             .otherwise(F.col("margin")).alias("margin"),
-            F.when(size > small, F.when(ok, F.col("nqs")).otherwise(F.col("qs"))).alias("qs"),
-        ).checkpoint()
-
-    st = _maybe_broadcast(state.drop("qs"))
-    cand = (_null_safe(vals, st, g)
-            .filter((F.col("lo").isNull() | (F.col("x") >= F.col("lo"))) &
-                    (F.col("hi").isNull() | (F.col("x") <= F.col("hi"))))
-            .select(*g, "x", (F.col("k_lo") - F.col("below")).alias("__lo_r"),
-                    (F.col("k_hi") - F.col("below")).alias("__hi_r"), F.col("pos").alias("__pos")))
-    return _final(cand, g, F.col("__lo_r"), F.col("__hi_r"), F.col("__pos"), kind, name)
+    wide = F.col("value").isNull() & (F.col("size") > small)
+    while not state.filter(wide).isEmpty():
+        at = (F.col("rank") - F.col("below")) / F.col("size")
+        j_lo = F.greatest(F.lit(0), F.floor((at - F.col("margin")) * step)).cast("int")
+        j_hi = F.least(F.lit(GRID_G), F.ceil((at + F.col("margin")) * step)).cast("int")
+        known = F.size("grid") > 0
+        asked = state.filter(wide).withColumn("nlo", F.when(known, F.get("grid", j_lo)).otherwise(F.col("lo"))) \
+            .withColumn("nhi", F.when(known, F.get("grid", j_hi)).otherwise(F.col("hi")))
+        asked = stored(asked, "quantiles", "asked")
+        counted = _grouped_pass(vals, asked.select(*g, *_BOUNDS, *_PIVOTS).distinct(), g, k)
+        j = _null_safe(asked, counted, [*g, *_BOUNDS, *_PIVOTS])
+        t = F.col("rank") - F.col("below")
+        upto = [F.col("lt"), F.col("lt") + F.col("el"), F.col("lt") + F.col("el") + F.col("mid"),
+                F.col("lt") + F.col("el") + F.col("mid") + F.col("eh")]
+        left, on_lo, between, on_hi = (t <= u for u in upto)
+        wider = F.least(F.lit(MAX_MARGIN), F.col("margin") * 2)
+        empty = F.array().cast("array<double>")
+
+        def by(a, b, c, d, e) -> Column:
+            """Pick by where the rank fell: below, on the first pivot, between, on the second, above."""
+            return F.when(left, a).when(on_lo, b).when(between, c).when(on_hi, d).otherwise(e)
+        moved = j.select(
+            *g, "rank",
+            by(F.col("lo"), F.col("lo"), F.col("nlo"), F.col("lo"), F.col("nhi")).alias("lo"),
+            by(F.col("nlo"), F.col("hi"), F.col("nhi"), F.col("hi"), F.col("hi")).alias("hi"),
+            by(F.col("below"), F.col("below"), F.col("below") + upto[1], F.col("below"),
+               F.col("below") + upto[3]).cast("bigint").alias("below"),
+            by(F.col("lt"), F.col("size"), F.col("mid"), F.col("size"), F.col("size") - upto[3])
+            .cast("bigint").alias("size"),
+            by(wider, F.col("margin"), F.col("margin"), F.col("margin"), wider).alias("margin"),
+            by(empty, empty, F.coalesce("mgrid", empty), empty, empty).alias("grid"),
+            F.when(left, none).when(on_lo, F.col("nlo")).when(between, none).when(on_hi, F.col("nhi"))
+            .alias("value"))
+        state = stored(state.filter(~wide).unionByName(moved), "quantiles", "state")
+
+    # what is left: at most `small` rows per group and bracket
+    left_over = state.filter(F.col("value").isNull())
+    spans = left_over.select(*g, *_BOUNDS).distinct()
+    inside = _null_safe(vals, spans, g).filter(
+        (F.col("lo").isNull() | (F.col("x") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("x") < F.col("hi"))))
+    runs = inside.groupBy(*g, *_BOUNDS, "x").agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*g, *_BOUNDS).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("last", F.sum("c").over(w))
+    read = _null_safe(runs, left_over.select(*g, *_BOUNDS, "rank", "below"), [*g, *_BOUNDS]).filter(
+        (F.col("last") >= F.col("rank") - F.col("below"))
+        & (F.col("last") - F.col("c") < F.col("rank") - F.col("below"))).select(*g, "rank", F.col("x").alias("value"))
+    values = state.filter(F.col("value").isNotNull()).select(*g, "rank", "value").unionByName(read)
+    both = _null_safe(targets, values.withColumnRenamed("rank", "r1").withColumnRenamed("value", "v1"), [*g, "r1"])
+    both = _null_safe(both, values.withColumnRenamed("rank", "r2").withColumnRenamed("value", "v2"), [*g, "r2"])
+    lower, higher, pos = F.floor("pos"), F.ceil("pos"), F.col("pos")
+    result = F.when((F.col("r1") == F.col("r2")) | (F.col("v1") == F.col("v2")), F.col("v1")).otherwise(
+        (higher - pos) * F.col("v1") + (pos - lower) * F.col("v2"))
+    return both.withColumn("q", result).groupBy(*g).agg(
+        *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(names)])
+
+
+def exact_quantile_grouped(df: DataFrame, group_by, column: str, p: float,
+                           kind: str = "cont", alias: str | None = None,
+                           small: int = SMALL, k: int = KLL_K) -> DataFrame:
+    """One exact quantile per group (see :func:`exact_quantiles_grouped`)."""
+    return exact_quantiles_grouped(df, group_by, column, [p], kind, [alias or f"{kind}_{column}"], small, k)

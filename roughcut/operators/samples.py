@@ -31,14 +31,16 @@ import time
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roughcut.functions.hashing import threshold, with_row_hash
 from roughcut.operators import sampling, stratified
 from roughcut.operators.aggspec import as_aggs
-from roughcut.session import shared_dir
+from roughcut.operators.profile import invalidate_profile
+from roughcut.session import is_missing_path, shared_dir
 
 # The default tiers of the reference (1 %, 10 %, 20 %)
 DEFAULT_TIERS = (0.01, 0.10, 0.20)
@@ -124,13 +126,15 @@ class SampleStore:
         # REBALANCE lets AQE cut each band into advisory-size files (instead
         # of one small file per band from every scan task), and sorting by h
         # inside the files makes any sub-sample of a tier row-group-prunable.
-        (dfh.filter(h < threshold(rates[-1])).withColumn("tier_ppm", band)
+        seen = Observation()
+        (dfh.observe(seen, F.count(F.lit(1)).alias("rows"))
+            .filter(h < threshold(rates[-1])).withColumn("tier_ppm", band)
             .hint("rebalance", "tier_ppm").sortWithinPartitions("h")
             .write.partitionBy("tier_ppm").parquet(data))
-        # Sizes without hashing the base again: the population is a
-        # column-less count (the hash projection is pruned away), the tier
-        # sizes a count over the written rows grouped by partition value.
-        population = df.count()
+        # The population is counted in the pass that writes, so n and N belong
+        # to the same rows even when the input moves; the tier sizes are a
+        # count over the written rows grouped by partition value.
+        population = seen.get["rows"]
         per_band = dict(self.spark.read.parquet(data).groupBy("tier_ppm").count()
                         .select("tier_ppm", "count").collect())
         cum = [sum(per_band.get(ppm(x), 0) for x in rates if x <= r) for r in rates]
@@ -169,11 +173,11 @@ class SampleStore:
     # ---------------------------------------------------------------- read
     def registry(self) -> DataFrame:
         """Every stored sample with its size and realised rate."""
-        meta = self._all_meta()
-        # the newest published build of each sample (a few rows per version)
-        w = Window.partitionBy("table_name", "sample_type", "group_cols").orderBy(
-            F.desc("built_at"), F.desc("data_path"))
-        meta = meta.withColumn("__rk", F.row_number().over(w)).filter("__rk = 1").drop("__rk")
+        # the newest published build of a table's tiers, which replaces all tiers of older
+        # ones, and of each stratified sample (a few rows per version; paths sort by build time)
+        build = Window.partitionBy("table_name", F.col("sample_type") == "stratified", "group_cols")
+        meta = (self._all_meta().withColumn("__newest", F.max("data_path").over(build))
+                .filter(F.col("data_path") == F.col("__newest")).drop("__newest"))
         # storage_overhead: rows physically stored for this sample over the
         # population (all nested tiers share one dataset, so they report the
         # same overhead: the largest rate)
@@ -183,8 +187,10 @@ class SampleStore:
     def _all_meta(self) -> DataFrame:
         try:
             return self.spark.read.schema(META_SCHEMA).parquet(f"{self.root}/*/*/meta/*")
-        except Exception:  # nothing stored yet
-            return self.spark.createDataFrame([], META_SCHEMA)
+        except AnalysisException as e:
+            if not is_missing_path(e):
+                raise
+            return self.spark.createDataFrame([], META_SCHEMA)  # nothing stored yet
 
     def _registry_rows(self) -> list:
         # a few rows per stored sample: catalog metadata, safe on the driver
@@ -244,8 +250,10 @@ class SampleStore:
     # ---------------------------------------------------------------- answer
     def tier_aggregate(self, table: str, aggs, rate: float | None = None,
                        accuracy: float | None = None, where=None,
-                       confidence: float = 0.95, bound_method: str = "proportion") -> DataFrame:
-        """Ungrouped aggregate answered from a stored tier.
+                       confidence: float = 0.95, bound_method: str = "proportion",
+                       group_by: Sequence[str] = ()) -> DataFrame:
+        """Aggregate answered from a stored tier (groups that the tier has no
+        row of are missing; see :meth:`stratified_aggregate` for all groups).
 
         COUNT/SUM are scaled by the tier's realised rate ``n/N`` read from
         the tier metadata, so the estimate is unbiased even though the tier
@@ -257,7 +265,7 @@ class SampleStore:
         meta = self._meta_row(table, tier_name(rate))
         realised = meta["sample_rows"] / meta["population_rows"]
         res = sampling.aggregate_sample(self.tier(table, rate), as_aggs(aggs), realised,
-                                        where=where, confidence=confidence,
+                                        group_by=group_by, where=where, confidence=confidence,
                                         bound_method=bound_method,
                                         population=meta["population_rows"],
                                         sample_size=meta["sample_rows"])
@@ -284,23 +292,26 @@ class SampleStore:
         agg = rows.groupBy(*g).agg(*[F.expr(x) for x in stats])
         strata = self.strata(table, g).select(*[F.col(c).alias(f"__s_{c}") for c in g],
                                               "sample_count", "population_count")
-        # null-safe: a NULL group value is a stratum like any other
+        # null-safe: a NULL group value is a stratum like any other; a stratum without a
+        # matching sampled row stays, with COUNT and SUM 0 and an upper bound
         cond = None
         for c in g:
             eq = F.col(c).eqNullSafe(F.col(f"__s_{c}"))
             cond = eq if cond is None else cond & eq
-        j = agg.join(strata, cond, "inner")
+        j = strata.join(agg, cond, "left")
         n, N = "sample_count", "population_count"
-        n_d, N_d = "__nd", f"(__nd * {N} / {n})"  # sampled rows of the (filtered) domain
-        out = [q(c) for c in g]
+        n_d = "coalesce(__nd, 0)"
+        N_d = f"({n_d} * {N} / {n})"  # sampled rows of the (filtered) domain
+        out = [f"{q('__s_' + c)} AS {q(c)}" for c in g]
         for a in aggs:
             v = q(a.name + "__s")
             if a.func == "count":
+                v = f"coalesce({v}, 0)"
                 out += [f"CAST(floor({v} * {N} / {n}) AS BIGINT) AS {q(a.name)}",
-                        f"{v} AS {q(a.name + '_sample')}",
-                        f"{bounds.domain_count_error_pct_sql(v, n, N)} AS {q(a.name + '_error_pct')}"]
+                        f"{v} AS {q(a.name + '_sample')}"]
+                out += stratified.count_interval(a, v, n, N, where is not None)
             elif a.func == "sum":
-                d = f"CAST({v} AS DOUBLE)"
+                d = f"CAST({v} AS DOUBLE)" if where is None else f"coalesce(CAST({v} AS DOUBLE), 0.0D)"
                 b = bounds.sum_bound_sql(d, q(a.name + "__sd"), n_d, N_d)
                 out += [f"{d} * {N} / {n} AS {q(a.name)}", f"{d} AS {q(a.name + '_sample')}",
                         f"{b['error_pct']} AS {q(a.name + '_error_pct')}"]
@@ -315,8 +326,16 @@ class SampleStore:
         return j.selectExpr(*out)
 
     # ---------------------------------------------------------------- refresh
-    def refresh(self, table: str, df: DataFrame) -> DataFrame:
-        """Rebuild every sample stored for ``table`` from current data."""
+    def refresh(self, table: str, df: DataFrame, profile_path: str | None = None) -> DataFrame:
+        """Rebuild every sample stored for ``table`` from current data.
+
+        Also makes the profile snapshot at ``profile_path`` stale, since it
+        described the old data. Returns what happened, one row per version
+        folder: ``action`` (``created`` or ``dropped``) and ``path``. The
+        versions just superseded stay until the next refresh: a query planned
+        on them can finish.
+        """
+        before = {r["data_path"] for r in self._registry_rows()}
         reg = (self.registry().filter(F.col("table_name") == table)
                .select("sample_type", "rate", "group_cols", "key_cols", "hash_method").collect())
         tiers = sorted({r["rate"] for r in reg if r["sample_type"] != "stratified"})
@@ -332,14 +351,23 @@ class SampleStore:
             if r["sample_type"] == "stratified":
                 self.build_stratified(df, table, r["group_cols"].split(","), key, r["rate"],
                                       hash_method=method)
-        self.vacuum(table)
-        return self.registry().filter(F.col("table_name") == table)
-
-    def vacuum(self, table: str | None = None, abandoned_after_hours: float = 24.0) -> list[str]:
+        if profile_path is not None:
+            invalidate_profile(self.spark, profile_path)
+        dropped = self.vacuum(table, keep_superseded=1)
+        created = sorted({r["data_path"].rsplit("/", 1)[0] for r in self._registry_rows()
+                          if r["data_path"] not in before})
+        return self.spark.createDataFrame(
+            [("created", p) for p in created] + [("dropped", p) for p in dropped],
+            "action string, path string")
+
+    def vacuum(self, table: str | None = None, abandoned_after_hours: float = 24.0,
+               keep_superseded: int = 0) -> list[str]:
         """Delete superseded versions and abandoned builds; returns what went.
 
         Superseded: published builds older than the newest one of the same
-        sample (readers only ever follow the newest, so none is affected).
+        sample, but for the ``keep_superseded`` newest of them (new readers
+        follow the newest build; queries planned before may still read the
+        one it replaced).
         Abandoned: version folders that were never published (their build
         died) and are older than ``abandoned_after_hours`` - a younger one
         may be a build still running.
@@ -355,8 +383,13 @@ class SampleStore:
         current = {r["data_path"] for r in self._registry_rows()}
         metas = self._all_meta().select("table_name", "data_path").distinct().collect()
         published = {r["data_path"].rsplit("/", 1)[0] for r in metas}
-        gone = sorted({r["data_path"].rsplit("/", 1)[0] for r in metas
-                       if r["data_path"] not in current and (table is None or r["table_name"] == table)})
+        old: dict[str, list[str]] = {}  # superseded versions by sample folder
+        for r in metas:
+            if r["data_path"] not in current and (table is None or r["table_name"] == table):
+                version_dir = r["data_path"].rsplit("/", 1)[0]
+                old.setdefault(version_dir.rsplit("/", 1)[0], []).append(version_dir)
+        gone = sorted(v for versions in old.values()
+                      for v in sorted(set(versions), reverse=True)[keep_superseded:])
         for version_dir in gone:
             base, ver = version_dir.rsplit("/", 1)
             delete(version_dir)

@@ -31,14 +31,11 @@ def uniform_sample(df: DataFrame, rate: float, key: str | Sequence[str] | None =
                    hash_method: str = "md5") -> DataFrame:
     """Uniform row sample at ``rate``.
 
-    Hash sampling needs the row key (or a stored ``h``); without either the
-    call falls back to Spark's Bernoulli sampler.
+    Hash sampling needs the row key (or a stored ``h``, without NULLs) and
+    raises without either; Spark's Bernoulli sampler is used on request only.
     """
-    if method == "hash" and h not in df.columns and key is None:
-        method = "bernoulli"
     if method == "hash":
-        if h not in df.columns:
-            df = with_row_hash(df, key, h, hash_method)
+        df = with_row_hash(df, key, h, hash_method)
         return df.filter(F.col(h) < F.lit(threshold(rate)))
     if method == "bernoulli":
         return df.sample(withReplacement=False, fraction=float(rate), seed=seed)

@@ -10,7 +10,8 @@ later: sketch per day / region / file, union at query time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 DEFAULT_RSD = 0.04  # nominal relative error of the engine's distinct counter
 DEFAULT_HLL_P = 14
 DEFAULT_KLL_K = 200
-DEFAULT_PCT_ACCURACY = 10_000
+DEFAULT_PCT_ACCURACY = 1_000  # rank error at most 1 / accuracy of the rows (99 % confidence)
+MAX_KLL_K = 65_535
 TREE_FANIN = 1024  # partial sketches merged by one task, at most
 
 
@@ -39,10 +41,24 @@ def _tree(df: DataFrame, group_by: Sequence[str], sketch: Column, merge) -> Data
     group. The salt is the partition id, so a retried task lands in the
     same bucket.
     """
+    return tree_aggregate(df, group_by, {"__sk": (sketch, merge)})
+
+
+def tree_aggregate(df: DataFrame, group_by: Sequence[str],
+                   parts: dict[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
+    """Several two-level aggregates (see :func:`_tree`) in one pass over ``df``.
+
+    ``parts`` maps an output name to the aggregate of a bucket and the function
+    that merges the buckets' results.
+    """
     g = list(group_by)
     salted = df.withColumn("__bucket", F.pmod(F.spark_partition_id(), F.lit(TREE_FANIN)))
-    level1 = salted.groupBy(*g, "__bucket").agg(sketch.alias("__sk"))
-    return _agg(level1, g, merge(F.col("__sk")).alias("__sk"))
+    level1 = salted.groupBy(*g, "__bucket").agg(*[c.alias(n) for n, (c, _) in parts.items()])
+    return _agg(level1, g, *[merge(F.col(n)).alias(n) for n, (_, merge) in parts.items()])
+
+
+def hll_merged(c: Column) -> Column:
+    return F.hll_union_agg(c, True)
 
 
 def quantile_name(p: float) -> str:
@@ -60,8 +76,14 @@ def quantile_name(p: float) -> str:
 # ------------------------------------------------------------------ distinct
 def approx_distinct(df: DataFrame, column: str, group_by: Sequence[str] = (),
                     rsd: float = DEFAULT_RSD, alias: str = "approx_distinct") -> DataFrame:
-    """HyperLogLog++ distinct count (any filter is applied to ``df``)."""
-    return _agg(df, list(group_by), F.approx_count_distinct(column, rsd).alias(alias))
+    """Distinct count within a relative standard deviation ``rsd`` (any filter is
+    applied to ``df``): an HLL sketch of the smallest precision that promises it."""
+    return hll_distinct(df, column, precision_for(rsd), group_by, alias)
+
+
+def precision_for(rsd: float) -> int:
+    """Smallest HLL precision whose error ``1.04 / 2^(p/2)`` is at most ``rsd``."""
+    return min(21, max(4, math.ceil(2 * math.log2(1.04 / rsd))))
 
 
 def hll_sketch(column: str, precision: int = DEFAULT_HLL_P) -> Column:
@@ -80,7 +102,7 @@ def hll_distinct(df: DataFrame, column: str, precision: int = DEFAULT_HLL_P,
     g = list(group_by)
     if not tree:
         return _agg(df, g, F.hll_sketch_estimate(hll_sketch(column, precision)).alias(alias))
-    merged = _tree(df, g, hll_sketch(column, precision), lambda c: F.hll_union_agg(c, True))
+    merged = _tree(df, g, hll_sketch(column, precision), hll_merged)
     return merged.select(*g, F.hll_sketch_estimate("__sk").alias(alias))
 
 
@@ -91,8 +113,16 @@ def hll_error_pct(precision: int) -> float:
 
 def hll_sketches(df: DataFrame, column: str, group_by: Sequence[str],
                  precision: int = DEFAULT_HLL_P, alias: str = "sketch") -> DataFrame:
-    """one sketch per group (storable)."""
-    return df.groupBy(*group_by).agg(hll_sketch(column, precision).alias(alias))
+    """one sketch per group (storable), merged in two levels: a hot group's partial
+    sketches do not meet in one task."""
+    res = _tree(df, group_by, hll_sketch(column, precision), hll_merged)
+    return res.withColumnRenamed("__sk", alias)
+
+
+def hll_sweep(df: DataFrame, column: str, precisions: Sequence[int]) -> DataFrame:
+    """estimates ``e<p>`` at several precisions, from one pass."""
+    res = tree_aggregate(df, [], {f"e{p}": (hll_sketch(column, p), hll_merged) for p in precisions})
+    return res.select(*[F.hll_sketch_estimate(f"e{p}").alias(f"e{p}") for p in precisions])
 
 
 def merge_hll(sketches: DataFrame, group_by: Sequence[str] = (), sketch: str = "sketch",
@@ -106,19 +136,20 @@ def merge_hll(sketches: DataFrame, group_by: Sequence[str] = (), sketch: str = "
 def approx_quantiles(df: DataFrame, column: str, probs: Sequence[float] = (0.5,),
                      group_by: Sequence[str] = (), accuracy: int = DEFAULT_PCT_ACCURACY
                      ) -> DataFrame:
-    """Q1/Q2/Q6: Greenwald-Khanna quantiles, all probabilities in one pass.
+    """Q1/Q2/Q6: quantiles with a rank error of at most ``1/accuracy`` of the row count
+    (99 % confidence), all probabilities in one pass.
 
-    Rank error is at most ``1/accuracy`` of the row count. Output columns
-    are named by :func:`quantile_name` and typed double. The GK summary
-    has no public merge function, so its partials meet in one task per
-    group; on very many input splits prefer :func:`kll_quantiles`, whose
-    sketches merge in two levels.
+    Output columns are named by :func:`quantile_name` and typed double. The
+    summary is a KLL sketch of the size that the accuracy needs, because its
+    partials merge in two levels (those of ``percentile_approx`` cannot be
+    merged in SQL and all meet in one task per group).
     """
-    probs = list(probs)
-    arr = F.percentile_approx(F.col(column).cast("double"), [float(p) for p in probs], accuracy)
-    res = _agg(df, list(group_by), arr.alias("__q"))
-    return res.select(*group_by, *[F.col("__q")[i].alias(quantile_name(p))
-                                   for i, p in enumerate(probs)])
+    return kll_quantiles(df, column, probs, group_by, k_for(accuracy))
+
+
+def k_for(accuracy: float) -> int:
+    """KLL size whose rank error ``2.446 / k^0.9433`` is at most ``1 / accuracy``."""
+    return min(MAX_KLL_K, max(8, math.ceil((2.446 * accuracy) ** (1 / 0.9433))))
 
 
 def kll_sketch(column: str, k: int = DEFAULT_KLL_K) -> Column:
@@ -144,8 +175,8 @@ def kll_quantiles(df: DataFrame, column: str, probs: Sequence[float] = (0.5,),
 
 def kll_sketches(df: DataFrame, column: str, group_by: Sequence[str],
                  k: int = DEFAULT_KLL_K, alias: str = "sketch") -> DataFrame:
-    """Q5: one KLL sketch per group (storable)."""
-    return df.groupBy(*group_by).agg(kll_sketch(column, k).alias(alias))
+    """Q5: one KLL sketch per group (storable), merged in two levels."""
+    return _tree(df, group_by, kll_sketch(column, k), F.kll_merge_agg_double).withColumnRenamed("__sk", alias)
 
 
 def merge_kll(sketches: DataFrame, probs: Sequence[float] = (0.5,),

@@ -14,14 +14,14 @@ Plans, and why they hold at scale:
   the **same single pass** as the population counts: the sampled values are
   conditional aggregates, and the forced minimum-hash row comes from
   ``min_by(value, h)``. No join, no second scan.
-* :func:`stratified_sample` materialises sample rows in one scan: a row is
-  kept when its hash is under the threshold or when it is the minimum-hash
-  row of a stratum left empty. The empty strata (key and ``min_h``, from
-  the numeric strata aggregate) are broadcast once their counted number is
-  under ``broadcast_strata``; the base rows are then only filtered, never
-  shuffled. Beyond that bound each empty stratum's row is carried out of an
-  aggregate as ``min_by(struct(row), h)`` instead: still no shuffle of base
-  rows, at the price of a sort-based aggregate.
+* :func:`stratified_sample` filters the base rows by the hash threshold and
+  adds one minimum-hash row for every stratum left empty. The empty strata
+  (key and ``min_h``, from the numeric strata aggregate) are broadcast once
+  their counted number is under ``broadcast_strata``; the base rows are then
+  only filtered, and rows that tie for a stratum are reduced to one map-side.
+  Beyond that bound each empty stratum's row is carried out of an aggregate
+  as ``min_by(struct(row), h)`` instead: still no shuffle of base rows, at
+  the price of a sort-based aggregate.
 """
 
 from __future__ import annotations
@@ -32,9 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roughcut.functions import bounds
-from roughcut.functions.hashing import threshold, with_row_hash
+from roughcut.functions.hashing import HASH_SPACE, threshold, with_row_hash
 from roughcut.operators.aggspec import Agg, as_aggs
 from roughcut.operators.sampling import q
+from roughcut.session import ensure_checkpoint_dir
+
+
+def _hash_sql(h: str) -> str:
+    """The row hash; a NULL in a stored hash column counts as the largest, so that the row
+    still belongs to the whole (rate 1) and can represent its stratum."""
+    return f"coalesce({q(h)}, {bounds.sql(HASH_SPACE - 1)})"
 
 
 def _groups(group_by: str | Sequence[str]) -> list[str]:
@@ -58,12 +65,13 @@ def strata_table(df: DataFrame, group_by, rate: float, key=None, h: str = "h",
     g = _groups(group_by)
     if h not in df.columns:
         df = with_row_hash(df, key, h, hash_method)
-    below = F.col(h) < F.lit(threshold(rate))
+    hash_ = F.expr(_hash_sql(h))
+    below = hash_ < F.lit(threshold(rate))
     aggs = [F.count(F.lit(1)).alias("population_count"),
             F.count_if(below).alias("below_count"),
-            F.min(h).alias("min_h")]
+            F.min(hash_).alias("min_h")]
     if with_rows:
-        aggs.append(F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.col(h)).alias("forced_row"))
+        aggs.append(F.min_by(F.struct(*[F.col(c) for c in df.columns]), hash_).alias("forced_row"))
     return (df.groupBy(*g).agg(*aggs)
             .withColumn("sample_count", F.greatest(F.col("below_count"), F.lit(1)).cast("bigint")))
 
@@ -78,26 +86,33 @@ def stratified_sample(df: DataFrame, group_by, rate: float, key=None, h: str = "
 
     ``strata`` may be a stored strata table (see :func:`strata_table`);
     otherwise it is computed and checkpointed to the shared checkpoint
-    folder, which cuts its lineage before it is counted and joined.
+    folder, which cuts its lineage before it is counted and joined. When
+    several rows share the smallest hash of an empty stratum (rows of one key,
+    or without a key), one of them represents it.
     """
     g = _groups(group_by)
     if h not in df.columns:
         df = with_row_hash(df, key, h, hash_method)
     thr = F.lit(threshold(rate))
     if strata is None:
+        ensure_checkpoint_dir(df.sparkSession)
         strata = strata_table(df, g, rate, h=h).checkpoint(eager=True)
     empty = strata.filter(F.col("below_count") == 0)
-    if empty.count() <= broadcast_strata:
+    hash_ = F.expr(_hash_sql(h))
+    n_empty = empty.count()
+    if n_empty == 0:
+        return df.filter(hash_ < thr)
+    if n_empty <= broadcast_strata:
         e = F.broadcast(empty.select(*[F.col(c).alias(f"__e_{c}") for c in g],
                                      F.col("min_h").alias("__e_h")))
-        cond = F.col(h) == F.col("__e_h")
+        cond = hash_ == F.col("__e_h")
         for c in g:
             cond = cond & F.col(c).eqNullSafe(F.col(f"__e_{c}"))
-        kept = df.join(e, cond, "left").filter((F.col(h) < thr) | F.col("__e_h").isNotNull())
-        return kept.select(*df.columns)
+        forced = df.join(e, cond).select(*df.columns).dropDuplicates(g)
+        return df.filter(hash_ < thr).unionByName(forced)
     forced = (strata_table(df, g, rate, h=h, with_rows=True)
               .filter(F.col("below_count") == 0).select("forced_row.*"))
-    return df.filter(F.col(h) < thr).unionByName(forced.select(*df.columns))
+    return df.filter(hash_ < thr).unionByName(forced.select(*df.columns))
 
 
 def _sampled(a: Agg, sel: str, w: str, h: str) -> list[str]:
@@ -124,6 +139,17 @@ def _sampled(a: Agg, sel: str, w: str, h: str) -> list[str]:
     return out
 
 
+def count_interval(a: Agg, hits: str, n: str, N: str, filtered: bool) -> list[str]:
+    """``x_error_pct``, ``x_ci_low`` and ``x_ci_high`` of a stratum COUNT: without a filter
+    a COUNT(*) is the known size of the stratum, anything else is a share of it."""
+    if filtered or a.column != "*":
+        b = bounds.domain_count_interval_sql(hits, n, N)
+    else:
+        exact = f"CAST({hits} * {N} / {n} AS BIGINT)"
+        b = {"error_pct": "0.0D", "ci_low": exact, "ci_high": exact}
+    return [f"{b[k]} AS {q(a.name + '_' + k)}" for k in ("error_pct", "ci_low", "ci_high")]
+
+
 def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
                          where: Column | str | None = None, h: str = "h",
                          hash_method: str = "md5") -> DataFrame:
@@ -131,14 +157,15 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
 
     Output: group columns, one column per aggregate (COUNT and SUM scaled by
     ``N_g / n_g`` of the **unfiltered** stratum, AVG/MIN/MAX as sampled),
-    ``x_sample`` for COUNT/SUM, ``x_ci_low``/``x_ci_high`` for SUM and AVG
-    (normal interval from the spread of the sampled values within the
-    stratum, with finite-population correction; NULL when fewer than two
-    rows were sampled), ``x_error_pct`` per COUNT/SUM/AVG (relative margin
-    of that estimate), ``sample_count``, ``population_count`` and the
-    reference's per-stratum ``error_pct``. With ``where``, strata with no matching sampled
-    row drop out, as they would after ``WHERE ... GROUP BY`` on the sample
-    rows.
+    ``x_sample`` for COUNT/SUM, ``x_ci_low``/``x_ci_high`` for COUNT (exact
+    without a filter, Wilson's interval with one), SUM and AVG (normal
+    interval from the spread of the sampled values within the stratum, with
+    finite-population correction; NULL when fewer than two rows were
+    sampled), ``x_error_pct`` per COUNT/SUM/AVG (relative margin of that
+    estimate), ``sample_count``, ``population_count`` and the reference's
+    per-stratum ``error_pct``. With ``where`` every stratum stays in the
+    result: one without a matching sampled row has COUNT and SUM 0, and its
+    COUNT an upper bound, since unsampled rows may match.
     """
     g = _groups(group_by)
     aggs = as_aggs(aggs)
@@ -149,7 +176,7 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
         # the predicate becomes a named boolean column so the text can refer to it
         df = df.withColumn("__w", where if isinstance(where, Column) else F.expr(where))
         w = "__w"
-    hq = q(h)
+    hq = _hash_sql(h)
     below = f"{hq} < {bounds.sql(threshold(rate))}"
     sel = f"({below}) AND {w}"
     stats = ["count(1) AS population_count", f"count_if({below}) AS below_count",
@@ -170,9 +197,11 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
         v = f"(CASE WHEN {has_below} THEN {q(a.name + '__b')} ELSE {q(a.name + '__f')} END)"
         name = q(a.name)
         if a.func == "count":
-            out += [f"CAST(floor({v} * {N} / {n}) AS BIGINT) AS {name}", f"{v} AS {q(a.name + '_sample')}",
-                    f"{bounds.domain_count_error_pct_sql(v, n, N)} AS {q(a.name + '_error_pct')}"]
+            out += [f"CAST(floor({v} * {N} / {n}) AS BIGINT) AS {name}", f"{v} AS {q(a.name + '_sample')}"]
+            out += count_interval(a, v, n, N, where is not None)
         elif a.func == "sum":
+            if where is not None:
+                v = f"coalesce({v}, 0.0D)"
             b = bounds.sum_bound_sql(v, q(a.name + "__sd"), n_d, N_d)
             out += [f"{v} * {N} / {n} AS {name}", f"{v} AS {q(a.name + '_sample')}",
                     f"{b['ci_low']} AS {q(a.name + '_ci_low')}", f"{b['ci_high']} AS {q(a.name + '_ci_high')}",
@@ -186,6 +215,4 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
             out.append(f"{v} AS {name}")
     out += [f"CAST({n} AS BIGINT) AS sample_count", f"{N} AS population_count",
             f"{bounds.stratum_error_pct_sql(n, N)} AS error_pct"]
-    if where is not None:
-        agg = agg.filter(F.expr(f"{n_d} > 0"))
     return agg.selectExpr(*out)

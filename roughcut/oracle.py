@@ -155,6 +155,15 @@ Q["exact_count_distinct"] = w() + "SELECT count(DISTINCT user_id) AS distinct_us
 Q["exact_median"] = w() + f"SELECT {r6('median(CAST(amount AS DOUBLE))')} AS median_amount FROM sales"
 Q["exact_p95"] = w() + f"SELECT {r6('quantile_cont(CAST(amount AS DOUBLE), 0.95)')} AS p95 FROM sales"
 Q["exact_percentile_disc"] = w() + f"SELECT {r6('quantile_disc(amount, 0.95)')} AS p95_disc FROM sales"
+_NARROWED = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
+Q["exact_quantiles_narrowed"] = w("""nx AS (SELECT CASE WHEN event_id % 3 = 0 THEN 0.0
+  WHEN event_id % 10 = 1 THEN CAST('nan' AS DOUBLE) ELSE CAST(amount AS DOUBLE) END AS x FROM sales)""",
+  "nq AS (SELECT " + ", ".join(f"quantile_cont(x, {p}) AS q{i}" for i, p in enumerate(_NARROWED)) + " FROM nx)") + \
+    "SELECT " + ", ".join(f"CASE WHEN isnan(q{i}) THEN -1.0 ELSE {r6(f'q{i}')} END AS q{i}"
+                          for i in range(len(_NARROWED))) + " FROM nq"
+Q["exact_quantiles_narrowed_grouped"] = w("""nx AS (SELECT region, CASE WHEN event_id % 3 = 0 THEN 0.0
+  ELSE CAST(amount AS DOUBLE) END AS x FROM sales)""") + "SELECT region, " + ", ".join(
+    f"{r6(f'quantile_cont(x, {p})')} AS q{i}" for i, p in enumerate(_NARROWED)) + " FROM nx GROUP BY region"
 Q["exact_filter_numeric"] = w() + "SELECT count(*) AS cnt FROM sales WHERE amount > 50"
 Q["exact_filter_equality"] = w() + f"SELECT count(*) AS cnt, {r6(AVG_AMT)} AS avg_amount FROM sales WHERE region = 'US'"
 Q["exact_filter_group"] = w() + "SELECT region, count(*) AS cnt FROM sales WHERE amount > 50 GROUP BY region"
@@ -187,12 +196,25 @@ Q["strata_population"] = w(strata(T1)) + \
     "SELECT region, population_count, below_count, sample_count, min_h FROM strata"
 
 
-def _strat_agg(body_cols: str, where: str = "", thr: int = T1, src_samp: str | None = None) -> str:
-    ctes = [strata(thr), samp(thr)] if src_samp is None else [strata(thr)]
-    src = "samp" if src_samp is None else src_samp
+def _strat_agg(body_cols: str, where: str = "", thr: int = T1) -> str:
+    """Estimates per stratum; under a filter every stratum stays."""
+    src, ctes = "samp", [strata(thr), samp(thr)]
+    join = "strata t LEFT JOIN a" if where else "a JOIN strata t"
     return w(*ctes, f"""a AS (SELECT region, count(*) AS cnt_s, {SUM_AMT} AS sum_s,
     {AVG_AMT} AS avg_s, CAST(min(amount) AS DOUBLE) AS min_s, CAST(max(amount) AS DOUBLE) AS max_s
-  FROM {src} {where} GROUP BY region)""") + f"SELECT {body_cols} FROM a JOIN strata t ON a.region = t.region"
+  FROM {src} {where} GROUP BY region)""") + f"SELECT {body_cols} FROM {join} ON a.region = t.region"
+
+
+def _wilson(v: str, n: str, N: str) -> tuple[str, str, str]:
+    """Interval and relative error of a filtered stratum count: Wilson's, cut to what the
+    sample proves (the matches and the misses it holds)."""
+    p = f"(CAST({v} AS DOUBLE) / {n})"
+    centre = f"(({p} + 3.8416 / (2 * {n})) / (1 + 3.8416 / {n}))"
+    half = f"(1.96 / (1 + 3.8416 / {n}) * sqrt({p} * (1 - {p}) / {n} + 3.8416 / (4.0 * {n} * {n})))"
+    low = f"greatest({v}, CAST(floor({N} * ({centre} - {half})) AS BIGINT))"
+    high = f"least({N} - {n} + {v}, CAST(ceil({N} * ({centre} + {half})) AS BIGINT))"
+    est = f"(CAST({v} AS DOUBLE) * {N} / {n})"
+    return low, high, f"round(CASE WHEN {v} > 0 THEN greatest({high} - {est}, {est} - {low}) / {est} * 100 END, 2)"
 
 
 _CNT_EST = "CAST(floor(a.cnt_s * t.population_count / t.sample_count) AS BIGINT)"
@@ -215,9 +237,23 @@ Q["stratified_bounds"] = w(strata(T10), samp(T10), f"""a AS (SELECT region, {SUM
   round(a.avg_s - round(1.96 * {_sem_b}, 4), 4) AS avg_amount_ci_low,
   round(a.avg_s + round(1.96 * {_sem_b}, 4), 4) AS avg_amount_ci_high, t.sample_count
 FROM a JOIN strata t ON a.region = t.region"""
+_V = "coalesce(a.cnt_s, 0)"
+_W_LOW, _W_HIGH, _W_ERR = _wilson(_V, "t.sample_count", "t.population_count")
+_FILTERED = (f"t.region, CAST(floor({_V} * t.population_count / t.sample_count) AS BIGINT) AS cnt, "
+             f"{_V} AS cnt_sample, {r6(f'coalesce({_SUM_EST}, 0)')} AS total_revenue, "
+             f"{_W_LOW} AS cnt_ci_low, {_W_HIGH} AS cnt_ci_high")
 Q["stratified_filtered"] = _strat_agg(
-    f"a.region, {_CNT_EST} AS cnt, a.cnt_s AS cnt_sample, {r6(_SUM_EST)} AS total_revenue, "
-    "t.sample_count, t.population_count", where="WHERE amount > 50")
+    f"{_FILTERED}, t.sample_count, t.population_count, {_W_ERR} AS cnt_error_pct", where="WHERE amount > 50")
+Q["stratified_filtered_rare"] = _strat_agg(_FILTERED, where="WHERE user_id < 2")
+
+_KEYLESS = """nk AS (SELECT CASE WHEN event_id % 2 = 0 AND event_id % 97 <> 0 THEN event_id END AS k,
+  CASE WHEN event_id % 97 = 0 THEN 'keyless' ELSE region END AS stratum, amount FROM sales)"""
+Q["sample_null_keys"] = w(_KEYLESS) + f"""SELECT stratum, count(*) AS cnt, {r6(SUM_AMT)} AS total_revenue
+FROM nk GROUP BY stratum"""
+Q["stratified_null_keys"] = w(_KEYLESS, r"""nh AS (SELECT *,
+  CAST(('0x' || substr(md5(coalesce(CAST(k AS VARCHAR), '\N')), 1, 15)) AS BIGINT) AS kh FROM nk)""") + f"""SELECT stratum,
+  count(*) AS cnt, CAST(greatest(count(*) FILTER (WHERE kh < {T1}), 1) AS BIGINT) AS sample_count,
+  count(*) AS population_count, TRUE AS rows_agree FROM nh GROUP BY stratum"""
 
 _LI_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 Q["stratified_count_lineitem"] = f"""WITH li AS (SELECT *, {hsql(_LI_KEY)} AS h FROM lineitem),
@@ -278,6 +314,11 @@ def _registry_sql(strat: bool = True) -> str:
 
 Q["sample_registry"] = _registry_sql()
 Q["sample_refresh"] = _registry_sql()
+Q["sample_rebuild_rates"] = w(f"""ev AS (SELECT count(*) AS n, count(*) FILTER (WHERE h < {T5}) AS n5,
+  count(*) FILTER (WHERE h < {threshold(0.25)}) AS n25 FROM sales WHERE event_id % 2 = 0)""") + "\nUNION ALL ".join(
+    f"SELECT '{nm}' AS sample_type, {r6(d(r))} AS rate, {c} AS sample_rows, n AS population_rows, "
+    "n AS cnt_estimate FROM ev" for nm, r, c in (("5pct", 0.05, "n5"), ("25pct", 0.25, "n25")))
+Q["profile_invalidate"] = "SELECT CAST(2 AS BIGINT) AS created, TRUE AS fresh_before, TRUE AS stale_after"
 Q["sample_tier_choice"] = w(_SIZES) + "\nUNION ALL ".join(
     f"SELECT {r6(d(a))} AS accuracy, '{nm}' AS sample_type, {r6(d(r))} AS rate, {n} AS sample_rows FROM sz"
     for a, (r, nm, n) in zip(ACC, [(0.01, "1pct", "n1"), (0.1, "10pct", "n10"),
@@ -302,6 +343,8 @@ Q["materialized_filter"] = w(_SIZES, f"""a AS (SELECT count(*) AS c, {SUM_AMT} A
 Q["approx_distinct"] = w() + "SELECT count(DISTINCT user_id) AS distinct_users, TRUE AS within_tolerance FROM sales"
 Q["approx_distinct_filtered"] = w() + \
     "SELECT count(DISTINCT user_id) AS distinct_users, TRUE AS within_tolerance FROM sales WHERE amount > 50"
+Q["approx_distinct_keys"] = """SELECT count(DISTINCT l_orderkey) AS distinct_keys, TRUE AS within_0,
+  TRUE AS within_1, TRUE AS within_2 FROM lineitem"""
 Q["approx_distinct_grouped"] = w() + \
     "SELECT region, count(DISTINCT user_id) AS distinct_users, TRUE AS within_tolerance FROM sales GROUP BY region"
 Q["approx_distinct_orders"] = """SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers,
@@ -328,7 +371,7 @@ def _quantiles(probs, src: str = "sales", where: str = "", group: str | None = N
 Q["approx_median"] = w() + _quantiles([0.5])
 Q["approx_percentiles"] = w() + _quantiles(PCTS)
 Q["kll_quantile"] = w() + "SELECT *, CAST(0.005 AS DOUBLE) AS error_estimate FROM (" + _quantiles(PCTS) + ")"
-Q["sampled_quantile"] = w() + _quantiles([0.5, 0.95], where=f"WHERE h < {T10}")
+Q["sampled_quantile"] = w() + _quantiles([0.5, 0.95])
 Q["kll_merge"] = w() + _quantiles(PCTS)
 Q["approx_median_grouped"] = w() + _quantiles([0.5], group="region")
 
@@ -337,6 +380,8 @@ Q["profile_table"] = w() + _profile_rows()
 Q["profile_cardinality"] = w() + "SELECT column_name, cardinality, TRUE AS approx_within_tolerance FROM (" + \
     _profile_rows() + ")"
 Q["profile_numeric"] = w() + _profile_rows(numeric_only=True, with_meta=False)
+Q["profile_large_mean"] = w("lm AS (SELECT CAST(amount AS DOUBLE) + 1e9 AS x FROM sales)") + \
+    "SELECT 'x' AS column_name, count(*) AS row_count, round(avg(x), 2) AS mean, round(stddev_samp(x), 3) AS stddev FROM lm"
 
 _HIST = f"""b AS (SELECT min(CAST(amount AS DOUBLE)) AS lo, max(CAST(amount AS DOUBLE)) AS hi FROM sales),
 binned AS (SELECT least(19, CAST(floor((CAST(amount AS DOUBLE) - lo) / ((hi - lo) / 20.0)) AS INTEGER)) AS bin
@@ -458,20 +503,44 @@ def _uniform_unified(src: str, rate: str, thr: str, group: str | None, val: str,
             f"FROM ({inner}) q {', sz' if exact_ratio else ''}")
 
 
-def _tier_unified(rate: float, thr: int, n: str, acc: float | None = None) -> str:
+def _tier_unified(rate: float, thr: int, n: str, where: str = "") -> str:
     rr = f"(CAST(sz.{n} AS DOUBLE) / sz.n_all)"
     body = _uniform_unified("sales", rr, str(thr), None, "amount", exact_ratio=("sz.n_all", f"sz.{n}"),
-                            strategy="materialized_tier", rate_out=d(rate))
+                            strategy="materialized_tier", rate_out=d(rate), where=where)
     # the realised-rate expression refers to sz, which is joined in the outer FROM
-    if acc is not None:
-        body = f"SELECT *, {r6(d(acc))} AS accuracy_target FROM ({body})"
     return body
 
 
-Q["approx_aggregate"] = w(_SIZES) + _tier_unified(0.2, T20, "n20")
+_STEPS = ((0.01, T1, "n1"), (0.1, T10, "n10"), (0.2, T20, "n20"))
+
+
+def _exact_unified(group: str = "", where: str = "") -> str:
+    g = f"{group}, " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    return (f"SELECT {g}{r6('count(*)')} AS cnt, {d(0.0)} AS cnt_error_pct, {r6(SUM_AMT)} AS total_revenue, "
+            f"{d(0.0)} AS total_revenue_error_pct, {r6(AVG_AMT)} AS avg_amount, {d(0.0)} AS avg_amount_error_pct, "
+            f"'exact' AS strategy, {d(1.0)} AS sample_rate FROM sales WHERE TRUE {where}{gb}")
+
+
+def _targeted(accuracy: float, where: str = "") -> str:
+    """The smallest offered tier whose stated errors keep the target, else the exact answer."""
+    first = 0.2 if accuracy >= 0.95 else 0.1 if accuracy >= 0.9 else 0.01
+    steps = [_tier_unified(r, t, n, where) for r, t, n in _STEPS if r >= first] + [_exact_unified(where=where)]
+    union = "\nUNION ALL ".join(f"SELECT {i} AS step, * FROM ({s})" for i, s in enumerate(steps))
+    errors = ", ".join(f"coalesce({c}_error_pct, 1e300)" for c in ("cnt", "total_revenue", "avg_amount"))
+    return (f"SELECT * EXCLUDE (step) FROM ({union}) WHERE greatest({errors}) <= {round((1.0 - accuracy) * 100, 6)} "
+            "QUALIFY row_number() OVER (ORDER BY step) = 1")
+
+
+Q["approx_aggregate"] = w(_SIZES) + _targeted(0.95)
+Q["approx_aggregate_filtered"] = w(_SIZES) + _targeted(0.90, "AND user_id < 75")
+Q["approx_aggregate_default"] = w() + _exact_unified("region")
+Q["approx_aggregate_sketch"] = w() + f"""SELECT {r6(SUM_AMT)} AS total_revenue,
+  {r6('quantile_cont(CAST(amount AS DOUBLE), 0.5)')} AS p50, {r6('quantile_cont(CAST(amount AS DOUBLE), 0.95)')} AS p95,
+  count(DISTINCT user_id) AS users, 'sketch' AS strategy, TRUE AS p50_within, TRUE AS p95_within,
+  TRUE AS users_within FROM sales"""
 Q["accuracy_sweep"] = w(_SIZES) + "\nUNION ALL ".join(
-    _tier_unified(r, t, n, a) for a, (r, t, n) in zip(ACC, [(0.01, T1, "n1"), (0.1, T10, "n10"),
-                                                          (0.2, T20, "n20"), (0.2, T20, "n20")]))
+    f"SELECT *, {r6(d(a))} AS accuracy_target FROM ({_targeted(a)})" for a in ACC)
 
 _EV_RATE = _rate_sql(d(0.95), "m", "sd", "n")
 Q["approx_aggregate_grouped"] = f"""WITH ev AS (SELECT *, {hsql(['event_id'])} AS h FROM events),

@@ -1,25 +1,29 @@
 """Aggregation with an accuracy target (inventory R1-R3, H7).
 
-``approx_aggregate`` picks one of the sampling/sketch operators from a few
-profile numbers and returns one lazy DataFrame. The driver reads only the
-fixed-size facts it needs to choose (row count, mean and standard deviation
-of one column, the Gini of one group column, the list of stored samples);
-all row work runs on the executors.
+``approx_aggregate`` picks one of the sampling/sketch operators and returns
+one lazy DataFrame. The driver reads only fixed-size facts: the list of stored
+samples, the stated error of an answer from a stored sample, and - for runtime
+sampling, on request - a few profile numbers.
 
 Rules, in order:
 
-1. a quantile or distinct aggregate -> ``sketch``: quantiles from
-   ``percentile_approx``, distinct counts from an HLL sketch whose precision
-   follows the accuracy target; the other aggregates of the request are
-   exact in the same single pass (the scan happens anyway);
-2. fewer rows than ``small_table_rows`` -> ``exact``;
+1. a quantile or distinct aggregate -> ``sketch``: one pass with a KLL sketch
+   per quantile column (its size follows the accuracy target) and an HLL
+   sketch per distinct column (its precision follows the target); the other
+   aggregates of the request are exact in the same pass;
+2. fewer rows than ``small_table_rows``, where that is given -> ``exact``;
 3. grouped, with a stored stratified sample on these columns ->
    ``materialized_stratified``;
-4. grouped, group column skewed (normalised Gini > 0.6) -> ``stratified``
-   at the rate the accuracy target needs for the aggregated column;
-5. grouped otherwise -> ``uniform`` at that rate;
-6. ungrouped with stored tiers -> ``materialized_tier`` (tier by accuracy);
-7. otherwise -> ``uniform`` at the rate for the aggregated column.
+4. stored tiers, and not grouped by a skewed column (normalised Gini > 0.6) ->
+   ``materialized_tier`` (tier by accuracy);
+5. without ``runtime_sampling`` -> ``exact``: a sample drawn at query time
+   reads the same bytes as the answer it estimates;
+6. grouped by a skewed column -> ``stratified``, otherwise ``uniform``, at the
+   rate that the accuracy target needs for the aggregated column; a need
+   above the largest rate -> ``exact``.
+
+An answer from a stored sample whose stated error exceeds the target goes to
+the next larger tier, and from the last to ``exact``.
 
 Every strategy returns the same columns: the group columns, one estimate
 per aggregate, ``<agg>_error_pct`` (NULL where no bound is defined),
@@ -41,13 +45,13 @@ from roughcut.operators import quantile, sampling, sketches, stratified
 from roughcut.operators.aggspec import Agg, as_aggs
 from roughcut.operators.samples import SampleStore, tier_name
 
-SMALL_TABLE_ROWS = 100_000  # fixed value: below this many rows answer exactly
 STRATEGIES = ("exact", "uniform", "stratified", "materialized_tier", "materialized_stratified",
               "sketch")
-# KLL k for quantiles in the sketch strategy: normalised rank error about
-# 0.2 % (DataSketches' bound 1.65 % at k=200 shrinks roughly as 1/k)
-QUANTILE_KLL_K = 2000
-QUANTILE_RANK_ERROR_PCT = 0.2
+
+
+def quantile_rank_error(accuracy: float) -> float:
+    """Rank error of quantiles at an accuracy target: 0.2 % of the rows at 0.95."""
+    return (1.0 - accuracy) / 25
 
 
 @dataclass
@@ -55,6 +59,8 @@ class Plan:
     strategy: str
     rate: float | None = None
     hll_precision: int | None = None
+    quantile_k: int | None = None
+    rank_error_pct: float | None = None
     reason: str = ""
 
 
@@ -75,8 +81,10 @@ def _planning_stats(df, value_col, table, store, profile_row, profile):
     sample), or - only without any of these - one pass over ``df``."""
     if profile_row is not None:
         return profile_row["row_count"], profile_row.get("mean"), profile_row.get("stddev"), "profile"
-    if profile is not None and value_col is not None:
-        row = profile.filter(F.col("column_name") == value_col).first()
+    if profile is not None:
+        row = (profile if value_col is None else profile.filter(F.col("column_name") == value_col)).first()
+        if row is not None and value_col is None:
+            return row["row_count"], None, None, "profile"
         if row is not None:
             return row["row_count"], row["mean"], row["stddev"], "profile"
     tiers = store.available_tiers(table) if store is not None and table is not None else []
@@ -88,47 +96,77 @@ def _planning_stats(df, value_col, table, store, profile_row, profile):
     return n, m, sd, "table scan"
 
 
+def _table_rows(df, table, store, profile_row, profile) -> tuple[int, str]:
+    """Row count from the cheapest source."""
+    if profile_row is not None:
+        return profile_row["row_count"], "profile"
+    if profile is not None and (row := profile.first()) is not None:
+        return row["row_count"], "profile"
+    tiers = store.available_tiers(table) if store is not None and table is not None else []
+    if tiers:
+        return store._meta_row(table, tier_name(max(tiers)))["population_rows"], "stored sample"
+    return df.count(), "table scan"
+
+
+def _skew(df, group_by, table, store, tiers, profile_row, profile) -> float:
+    """Normalised frequency Gini of the group columns, from the cheapest source."""
+    if profile_row is not None and profile_row.get("group_gini_normalised") is not None:
+        return profile_row["group_gini_normalised"]
+    if profile is not None and len(group_by) == 1 and "group_gini_normalised" in profile.columns:
+        row = profile.filter(F.col("column_name") == group_by[0]).first()
+        if row is not None and row["group_gini_normalised"] is not None:
+            return row["group_gini_normalised"]
+    # group frequencies of a stored sample stand in for the table's
+    rows = store.tier(table, max(tiers)) if tiers else df
+    return prof.frequency_gini(rows, group_by).first()["gini_normalised"] or 0.0
+
+
 def choose_plan(df: DataFrame, aggs: list[Agg], group_by: list[str], accuracy: float,
                 table: str | None, store: SampleStore | None,
-                small_table_rows: int, confidence: float,
-                profile_row: dict | None = None, profile: DataFrame | None = None) -> Plan:
+                small_table_rows: int | None, confidence: float,
+                profile_row: dict | None = None, profile: DataFrame | None = None,
+                runtime_sampling: bool = False, has_key: bool = True) -> Plan:
     if any(a.is_quantile for a in aggs) or any(a.func == "count_distinct" for a in aggs):
-        return Plan("sketch", hll_precision=bounds.accuracy_to_hll_precision_py(accuracy),
-                    reason="quantile or distinct aggregate")
+        return sketch_plan(accuracy, reason="quantile or distinct aggregate")
+    stored_here = store is not None and table is not None
+    if small_table_rows:
+        n, source = _table_rows(df, table, store, profile_row, profile)
+        if n < small_table_rows:
+            return Plan("exact", rate=1.0, reason=f"{n} rows < {small_table_rows} ({source})")
+    if group_by and stored_here and tuple(group_by) in store.stratified_groups(table):
+        return Plan("materialized_stratified", reason="stored stratified sample")
+    tiers = store.available_tiers(table) if stored_here else []
+    skew = None
+    if group_by and (tiers or runtime_sampling):
+        skew = _skew(df, group_by, table, store, tiers, profile_row, profile)
+    if tiers and (skew is None or skew <= prof.SKEW_GINI):
+        want = bounds.tier_for_accuracy_py(accuracy)
+        return Plan("materialized_tier", rate=want if want in tiers else max(tiers), reason="stored tier")
+    if not runtime_sampling:
+        return Plan("exact", rate=1.0, reason="a runtime sample reads the same bytes")
+    if not has_key:
+        raise ValueError("runtime sampling needs the row key (or a stored 'h' column)")
     value_col = next((a.column for a in aggs if a.column != "*"), None)
     n, mean, sd, source = _planning_stats(df, value_col, table, store, profile_row, profile)
-    if n < small_table_rows:
-        return Plan("exact", rate=1.0, reason=f"{n} rows < {small_table_rows} ({source})")
+    if bounds.accuracy_to_rate_need(accuracy, mean, sd, n, confidence) > bounds.RATE_MAX:
+        return Plan("exact", rate=1.0, reason=f"the target needs more than a {bounds.RATE_MAX:.0%} sample ({source})")
     rate = bounds.accuracy_to_rate_py(accuracy, mean, sd, n, confidence)
     if group_by:
-        if store is not None and table is not None and tuple(group_by) in store.stratified_groups(table):
-            return Plan("materialized_stratified", reason="stored stratified sample")
-        tiers = store.available_tiers(table) if store is not None and table is not None else []
-        stored_skew = None
-        if profile is not None and len(group_by) == 1 and "group_gini_normalised" in profile.columns:
-            row = profile.filter(F.col("column_name") == group_by[0]).first()
-            stored_skew = row["group_gini_normalised"] if row is not None else None
-        if profile_row is not None and profile_row.get("group_gini_normalised") is not None:
-            gn = profile_row["group_gini_normalised"]
-        elif stored_skew is not None:
-            gn = stored_skew
-        elif tiers:
-            # group frequencies of the stored sample stand in for the table's
-            gn = prof.frequency_gini(store.tier(table, max(tiers)), group_by).first()["gini_normalised"]
-        else:
-            gn = prof.frequency_gini(df, group_by).first()["gini_normalised"]
-        skewed = (gn or 0.0) > prof.SKEW_GINI
-        return Plan("stratified" if skewed else "uniform", rate=rate,
-                    reason=f"normalised gini {gn}")
-    if store is not None and table is not None:
-        tiers = store.available_tiers(table)
-        if tiers:
-            want = bounds.tier_for_accuracy_py(accuracy)
-            pick = want if want in tiers else max(tiers)
-            return Plan("materialized_tier", rate=pick, reason="stored tier")
+        return Plan("stratified" if skew > prof.SKEW_GINI else "uniform", rate=rate,
+                    reason=f"normalised gini {skew}")
     return Plan("uniform", rate=rate, reason="rate from accuracy target")
 
 
+def sketch_plan(accuracy: float, hll_precision: int | None = None, quantile_k: int | None = None,
+                reason: str = "") -> Plan:
+    """Sketch sizes for an accuracy target, or as asked for."""
+    err = quantile_rank_error(accuracy)
+    k = quantile_k or sketches.k_for(1 / max(err, 1e-6))
+    pct = 100 * quantile.kll_rank_error(k) if quantile_k else 100 * err
+    return Plan("sketch", hll_precision=hll_precision or bounds.accuracy_to_hll_precision_py(accuracy),
+                quantile_k=k, rank_error_pct=round(pct, 4), reason=reason)
+
+
 def _exact_expr(a: Agg) -> Column:
     c = None if a.column == "*" else F.col(a.column)
     if a.func == "count":
@@ -162,10 +200,11 @@ def exact_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
     if plain or not aggs:
         cols = [_exact_expr(a).alias(a.name) for a in plain]
         parts.append(df.groupBy(*group_by).agg(*cols) if group_by else df.agg(*cols))
-    for a in aggs:
-        if a.is_quantile:
-            parts.append(quantile.exact_quantile_grouped(df, group_by, a.column, a.prob, alias=a.name)
-                         if group_by else quantile.exact_quantile(df, a.column, a.prob, alias=a.name))
+    for column in dict.fromkeys(a.column for a in aggs if a.is_quantile):
+        own = [a for a in aggs if a.is_quantile and a.column == column]
+        probs, names = [a.prob for a in own], [a.name for a in own]
+        parts.append(quantile.exact_quantiles_grouped(df, group_by, column, probs, names=names)
+                     if group_by else quantile.exact_quantiles(df, column, probs, names=names))
     res = parts[0]
     if not group_by:  # one row each: attach as scalars
         res = with_scalars(res, *parts[1:])
@@ -190,24 +229,25 @@ def approx_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
                      accuracy: float = 0.95, where: Column | None = None,
                      key: str | Sequence[str] | None = None, table: str | None = None,
                      store: SampleStore | None = None,
-                     small_table_rows: int = SMALL_TABLE_ROWS,
+                     small_table_rows: int | None = None,
                      confidence: float = 0.95, profile_row: dict | None = None,
                      profile: DataFrame | None = None, strategy: str | None = None,
                      sample_rate: float | None = None, hll_precision: int | None = None,
-                     bound_method: str = "ht", hash_method: str = "md5",
-                     return_plan: bool = False):
+                     bound_method: str = "ht", hash_method: str = "xxhash",
+                     return_plan: bool = False, runtime_sampling: bool = False,
+                     quantile_k: int | None = None):
     """Answer ``aggs`` (grouped by ``group_by``) within an accuracy target,
     or with an explicitly requested ``strategy`` (and ``sample_rate`` /
-    ``hll_precision``).
+    ``hll_precision`` / ``quantile_k``), which is taken as it is.
 
-    Runtime samples hash ``key`` with ``hash_method`` (``"md5"`` for SQL
-    parity, ``"xxhash"`` for speed) unless ``df`` already carries ``h``.
-    Stated COUNT and SUM errors of the sampling strategies are
-    Horvitz-Thompson bounds by default (``bound_method="ht"``); pass
-    ``"proportion"`` for the reference's narrower formulas.
+    Runtime samples (``runtime_sampling=True``, or requested) hash ``key`` with
+    ``hash_method`` (``"xxhash"`` for speed, ``"md5"`` for SQL parity) unless
+    ``df`` already carries ``h``. Stated COUNT and SUM errors of the sampling
+    strategies are Horvitz-Thompson bounds by default (``bound_method="ht"``);
+    pass ``"proportion"`` for the reference's narrower formulas.
 
-    Planning needs the row count and the aggregated column's mean and
-    spread (and, grouped, the group column's skew). They come from
+    Planning a runtime sample needs the row count and the aggregated column's
+    mean and spread (and, grouped, the group column's skew). They come from
     ``profile_row`` (``row_count``, ``mean``, ``stddev``, optionally
     ``group_gini_normalised``) or a stored ``profile`` DataFrame
     (:func:`roughcut.operators.profile.cached_profile`); failing that from
@@ -216,6 +256,10 @@ def approx_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
     """
     aggs = as_aggs(aggs)
     group_by = list(group_by)
+
+    def run(plan: Plan) -> DataFrame:
+        return _run(df, aggs, group_by, where, key, table, store, plan, confidence, bound_method,
+                    hash_method)
     if strategy is not None:
         # explicit request: skip the rules (``exact``, ``uniform``, ``stratified``,
         # ``materialized_tier``, ``materialized_stratified`` or ``sketch``)
@@ -223,49 +267,98 @@ def approx_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
             raise ValueError(f"unknown strategy {strategy!r}; use one of {STRATEGIES}")
         rate = sample_rate if sample_rate is not None else (
             1.0 if strategy == "exact" else bounds.RATE_DEFAULT)
-        plan = Plan(strategy, rate=rate,
-                    hll_precision=hll_precision or bounds.accuracy_to_hll_precision_py(accuracy),
-                    reason="requested")
+        plan = sketch_plan(accuracy, hll_precision, quantile_k, "requested")
+        plan.strategy, plan.rate = strategy, rate
+        res = run(plan)
     else:
         plan = choose_plan(df, aggs, group_by, accuracy, table, store, small_table_rows,
-                           confidence, profile_row, profile)
-    res = _run(df, aggs, group_by, where, key, table, store, plan, confidence, bound_method,
-               hash_method)
+                           confidence, profile_row, profile, runtime_sampling,
+                           key is not None or "h" in df.columns)
+        if plan.strategy == "sketch" and (hll_precision or quantile_k):
+            plan = sketch_plan(accuracy, hll_precision, quantile_k, plan.reason)
+        plan, res = _within_target(run, plan, aggs, group_by, accuracy, where, table, store,
+                                   confidence, bound_method)
     return (res, plan) if return_plan else res
 
 
+def _within_target(run, plan: Plan, aggs: list[Agg], group_by: list[str], accuracy: float,
+                   where, table, store, confidence: float, bound_method: str):
+    """Take an answer from a stored sample only if its stated error keeps the target;
+    else the next larger tier's, and at last the exact one."""
+    if not plan.strategy.startswith("materialized"):
+        return plan, run(plan)
+    target = round((1.0 - accuracy) * 100, 6)
+    steps = [plan]
+    if plan.strategy == "materialized_tier":
+        steps += [Plan("materialized_tier", rate=r, reason="larger tier for the target")
+                  for r in store.available_tiers(table) if r > plan.rate]
+    for step in steps:
+        res = run(step)
+        if _stated_error(res, step, aggs, group_by, where, table, store, confidence, bound_method) <= target:
+            return step, res
+    exact = Plan("exact", rate=1.0, reason="no stored sample keeps the target")
+    return exact, run(exact)
+
+
+def _stated_error(res: DataFrame, step: Plan, aggs: list[Agg], group_by: list[str], where, table, store,
+                  confidence: float, bound_method: str) -> float:
+    """Largest stated error of an answer, in percent; unknown errors count as infinite. A
+    COUNT(*) of a whole tier has its error from the registry alone."""
+    bounded = [a for a in aggs if a.func in ("count", "sum", "avg")]
+    if not bounded:
+        return 0.0
+    if (step.strategy == "materialized_tier" and not group_by and where is None
+            and all(a.func == "count" and a.column == "*" for a in aggs)):
+        meta = store._meta_row(table, tier_name(step.rate))
+        n, N = meta["sample_rows"], meta["population_rows"]
+        return bounds.count_error_pct_py(n, n / N, confidence, bound_method) if n and N else float("inf")
+    errors = [F.coalesce(F.abs(F.col(f"{a.name}_error_pct")), F.lit(float("inf"))) for a in bounded]
+    worst = F.greatest(*errors) if len(errors) > 1 else errors[0]
+    found = res.agg(F.max(worst)).first()[0]
+    return float("inf") if found is None else found
+
+
+def _sketch_answer(rows: DataFrame, aggs: list[Agg], group_by: list[str], plan: Plan):
+    """All sketches and plain aggregates of a request in one two-level pass."""
+    kll = F.kll_merge_agg_double
+    parts, out, err = {}, [], {}
+    for i, a in enumerate(aggs):
+        c = F.lit(1) if a.column == "*" else F.col(a.column)
+        err[a.name] = F.lit(0.0)
+        if a.func == "count_distinct":
+            parts[f"__p{i}"] = (sketches.hll_sketch(a.column, plan.hll_precision), sketches.hll_merged)
+            out.append(F.hll_sketch_estimate(f"__p{i}").alias(a.name))
+            err[a.name] = F.round(bounds.hll_error_pct(plan.hll_precision), 4)
+        elif a.is_quantile:
+            # one sketch for all probabilities of a column
+            parts.setdefault(f"__kll_{a.column}", (sketches.kll_sketch(a.column, plan.quantile_k), kll))
+            out.append(F.kll_sketch_get_quantile_double(F.col(f"`__kll_{a.column}`"), F.lit(float(a.prob))).alias(a.name))
+            err[a.name] = F.lit(plan.rank_error_pct)
+        elif a.func == "count":
+            parts[f"__p{i}"] = (F.count(c), F.sum)
+            out.append(F.coalesce(f"__p{i}", F.lit(0)).alias(a.name))
+        elif a.func == "sum":
+            parts[f"__p{i}"] = (F.sum(c), F.sum)
+            out.append(F.col(f"__p{i}").cast("double").alias(a.name))
+        elif a.func == "avg":
+            parts[f"__p{i}"] = (F.sum(c), F.sum)
+            parts[f"__n{i}"] = (F.count(c), F.sum)
+            out.append(F.try_divide(F.col(f"__p{i}").cast("double"), F.col(f"__n{i}")).alias(a.name))
+        else:
+            fn = getattr(F, a.func)
+            parts[f"__p{i}"] = (fn(c), fn)
+            out.append(F.col(f"__p{i}").cast("double").alias(a.name))
+    return sketches.tree_aggregate(rows, group_by, parts).select(*group_by, *out), err
+
+
 def _run(df, aggs, group_by, where, key, table, store, plan: Plan, confidence,
-         bound_method: str = "proportion", hash_method: str = "md5") -> DataFrame:
+         bound_method: str = "proportion", hash_method: str = "xxhash") -> DataFrame:
     s = plan.strategy
     if s == "exact":
         res = exact_aggregate(df, aggs, group_by, where)
         return _finish(res, group_by, aggs, {a.name: F.lit(0.0) for a in aggs}, s, 1.0)
     if s == "sketch":
-        # Distinct counts (HLL) and quantiles (KLL) come from mergeable
-        # sketches merged in two levels; other aggregates of the request are
-        # exact. Each part has one row per group and joins on the group key.
-        p = plan.hll_precision
-        rows = df if where is None else df.filter(where)
-        parts, err = [], {}
-        plain = [a for a in aggs if not a.is_quantile and a.func != "count_distinct"]
-        if plain:
-            cols = [_exact_expr(a).alias(a.name) for a in plain]
-            parts.append(rows.groupBy(*group_by).agg(*cols) if group_by else rows.agg(*cols))
-            err.update({a.name: F.lit(0.0) for a in plain})
-        for a in aggs:
-            if a.func == "count_distinct":
-                parts.append(sketches.hll_distinct(rows, a.column, p, group_by, alias=a.name))
-                err[a.name] = F.round(bounds.hll_error_pct(p), 4)
-            elif a.is_quantile:
-                q = sketches.kll_quantiles(rows, a.column, [a.prob], group_by, k=QUANTILE_KLL_K)
-                parts.append(q.withColumnRenamed(sketches.quantile_name(a.prob), a.name))
-                err[a.name] = F.lit(QUANTILE_RANK_ERROR_PCT)
-        res = parts[0]
-        if group_by:
-            for nxt in parts[1:]:
-                res = join_on_groups(res, nxt, group_by)
-        else:
-            res = with_scalars(res, *parts[1:])
+        res, err = _sketch_answer(df if where is None else df.filter(where), aggs, group_by, plan)
         return _finish(res, group_by, aggs, err, s, None)
     if s in ("uniform", "materialized_tier"):
         if s == "uniform":
@@ -274,7 +367,8 @@ def _run(df, aggs, group_by, where, key, table, store, plan: Plan, confidence,
                                             hash_method=hash_method)
         else:
             res = store.tier_aggregate(table, aggs, rate=plan.rate, where=where,
-                                       confidence=confidence, bound_method=bound_method)
+                                       confidence=confidence, bound_method=bound_method,
+                                       group_by=group_by)
         err = {}
         for a in aggs:
             if a.func in ("count", "sum"):

@@ -8,10 +8,11 @@ happens in local runs and tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -58,8 +59,9 @@ def shuffle_partitions_for(input_bytes: int, cores: int,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder, setting one only if unset.
 
-    The configured value is always preferred; the temporary folder fallback is
-    for local runs where nobody configured a shared location.
+    The configured value is always preferred. Without one, a ``local`` master
+    gets a temporary folder (its executors are this machine); on any other
+    master that folder would be invisible to the executors, so the call raises.
     """
     sc = spark.sparkContext
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
@@ -71,11 +73,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         # setCheckpointDir appends a UUID folder; its parent is the shared root
         return current.rstrip("/").rsplit("/", 1)[0]
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that the executors of {sc.master} share")
     root = tempfile.mkdtemp(prefix="roughcut-ckpt-")
     sc.setCheckpointDir(root)
     return root
 
 
+def is_missing_path(error: AnalysisException) -> bool:
+    """Whether a read failed because there is nothing at its path."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def shared_dir(spark: SparkSession, *parts: str, per_app: bool = True) -> str:
     """A folder below the shared root, e.g. ``shared_dir(spark, "samples")``.
 
@@ -85,7 +94,17 @@ def shared_dir(spark: SparkSession, *parts: str, per_app: bool = True) -> str:
     """
     root = ensure_checkpoint_dir(spark)
     scope = [spark.sparkContext.applicationId] if per_app else ["shared"]
-    path = "/".join([root, "roughcut", *scope, *parts])
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.removeprefix("file:"), exist_ok=True)
-    return path
+    return "/".join([root, "roughcut", *scope, *parts])
+
+
+def stored(df: DataFrame, *name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    Cuts the lineage the way a checkpoint does, in compressed columns whose
+    size Catalyst knows: a lost executor costs a reread, not a recomputation,
+    and several consumers share one computation.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, *name[:-1], f"{name[-1]}-{uuid.uuid4().hex}") + "/t"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

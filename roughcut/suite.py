@@ -12,35 +12,37 @@ guarantee is comparable).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roughcut.functions import bounds
-from roughcut.functions.frames import with_scalars
+from roughcut.functions.frames import join_on_groups, with_scalars
 from roughcut.functions.hashing import threshold
 from roughcut.operators import profile as prof
 from roughcut.operators import sampling, sketches, stratified
-from roughcut.operators.quantile import exact_quantile, exact_quantile_grouped
+from roughcut.operators.quantile import exact_quantiles, exact_quantiles_grouped
 from roughcut.operators.samples import DEFAULT_TIERS, SampleStore
 from roughcut.plans.aggregate import approx_aggregate, exact_aggregate
 from roughcut.plans.compare import (ACCURACY_LEVELS, accuracy_sweep, compare_exact_approx,
                                     compare_strategies)
 from roughcut.session import shared_dir
-from roughcut.sources.tables import derive_sales, load_sales, read_table, sales_with_hash
+from roughcut.sources.tables import (derive_sales, load_sales, read_table, register_tables,
+                                     sales_with_hash, write_parquet)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+KEY_RSD = (0.04, 0.01, 0.005)
 STRAT_RATE = 0.01  # stratified queries use 1 % so the guarantee matters (Antarctica)
 UNIFORM_RATE = 0.10
 HLL_PRECISIONS = (10, 12, 14, 16)
 PERCENTILES = (0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
-GK_EPS = 0.01  # rank tolerance for percentile_approx(accuracy=10000)
+RANK_EPS = 1.5 / sketches.DEFAULT_PCT_ACCURACY  # 1.5 times the promised rank error
 KLL_EPS = 0.05  # rank tolerance for KLL k=200 (about 3x its normalised rank error)
 KLL_K = 200
+NARROWED = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
 def query(fn: Query) -> Query:
@@ -57,8 +59,21 @@ def _sales(spark, d):
     return sales_with_hash(spark, d)
 
 
-def _store(spark: SparkSession, name: str) -> SampleStore:
-    return SampleStore(spark, shared_dir(spark, "suite", name, uuid.uuid4().hex))
+_WRITTEN: dict[tuple, str] = {}  # (application, table folder, name) -> path already written
+
+
+def _once(spark: SparkSession, d: str, name: str, write: Callable[[str], object]) -> str:
+    """Path of a data set that is written by the first call of a session and reused by later ones."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _WRITTEN:
+        path = shared_dir(spark, "suite", f"{name}-{len(_WRITTEN)}")
+        write(path)
+        _WRITTEN[at] = path
+    return _WRITTEN[at]
+
+
+def _store(spark: SparkSession, d: str, name: str, build: Callable[[SampleStore], object]) -> SampleStore:
+    return SampleStore(spark, _once(spark, d, name, lambda path: build(SampleStore(spark, path))))
 
 
 def _rows(df: DataFrame) -> DataFrame:
@@ -68,14 +83,14 @@ def _rows(df: DataFrame) -> DataFrame:
 # ======================================================================== A
 @query
 def scan_parquet(spark, d):
-    s = load_sales(spark, d)
+    register_tables(spark, d, ("events",))
+    s = spark.sql("SELECT * FROM sales")
     return s.select("event_id", "user_id", "region", r6("amount").alias("amount"), "date")
 
 
 @query
 def gen_skewed_sales(spark, d):
-    path = shared_dir(spark, "suite", "gen", uuid.uuid4().hex)
-    derive_sales(read_table(spark, d, "events")).write.mode("overwrite").parquet(path)
+    path = _once(spark, d, "gen", lambda p: write_parquet(derive_sales(read_table(spark, d, "events")), p))
     g = spark.read.parquet(path)
     return g.groupBy("region").agg(F.count(F.lit(1)).alias("rows"),
                                    r6(F.sum("amount")).alias("sum_amount"),
@@ -86,8 +101,7 @@ def gen_skewed_sales(spark, d):
 
 @query
 def parquet_roundtrip(spark, d):
-    path = shared_dir(spark, "suite", "roundtrip", uuid.uuid4().hex)
-    _sales(spark, d).write.mode("overwrite").parquet(path)
+    path = _once(spark, d, "roundtrip", lambda p: write_parquet(_sales(spark, d), p))
     return _rows(spark.read.parquet(path))
 
 
@@ -100,10 +114,9 @@ def group_distribution(spark, d):
 @query
 def profile_snapshot(spark, d):
     import datetime as dt
-    path = shared_dir(spark, "suite", "profile", uuid.uuid4().hex)
-    p = prof.profile_table(load_sales(spark, d), exact_cardinality=True)
     t0 = dt.datetime(2026, 1, 1, 12, 0, 0)
-    prof.save_profile(p, path, profiled_at=t0)
+    path = _once(spark, d, "profile", lambda p: prof.save_profile(
+        prof.profile_table(load_sales(spark, d), exact_cardinality=True), p, profiled_at=t0))
     fresh = prof.load_profile(spark, path, now=t0 + dt.timedelta(minutes=5))
     stale = prof.load_profile(spark, path, now=t0 + dt.timedelta(minutes=25))
     return fresh.select("column_name", "data_type", "row_count", "cardinality",
@@ -163,22 +176,43 @@ def exact_count_distinct(spark, d):
 
 @query
 def exact_median(spark, d):
-    q = exact_quantile(load_sales(spark, d), "amount", 0.5, "cont", alias="median_amount")
+    q = exact_quantiles(load_sales(spark, d), "amount", [0.5], "cont", ["median_amount"])
     return q.select(r6("median_amount").alias("median_amount"))
 
 
 @query
 def exact_p95(spark, d):
-    q = exact_quantile(load_sales(spark, d), "amount", 0.95, "cont", alias="p95")
+    q = exact_quantiles(load_sales(spark, d), "amount", [0.95], "cont", ["p95"])
     return q.select(r6("p95").alias("p95"))
 
 
 @query
 def exact_percentile_disc(spark, d):
-    q = exact_quantile(load_sales(spark, d), "amount", 0.95, "disc", alias="p95_disc")
+    q = exact_quantiles(load_sales(spark, d), "amount", [0.95], "disc", ["p95_disc"])
     return q.select(r6("p95_disc").alias("p95_disc"))
 
 
+@query
+def exact_quantiles_narrowed(spark, d):
+    """Six exact percentiles of a column of which a third is one value and a tenth NaN (SQL
+    ranks NaN last), by narrowing rounds: at most 500 rows are left for the last step."""
+    x = (F.when(F.col("event_id") % 3 == 0, F.lit(0.0)).when(F.col("event_id") % 10 == 1, F.lit(float("nan")))
+         .otherwise(F.col("amount").cast("double"))).alias("x")
+    q = exact_quantiles(load_sales(spark, d).select(x), "x", NARROWED, names=[f"q{i}" for i in range(len(NARROWED))],
+                        small=500)
+    return q.select(*[r6(F.nanvl(c, F.lit(-1.0))).alias(c) for c in q.columns])  # -1 stands for NaN
+
+
+@query
+def exact_quantiles_narrowed_grouped(spark, d):
+    """The same per region, where one region holds most rows."""
+    x = F.when(F.col("event_id") % 3 == 0, F.lit(0.0)).otherwise(F.col("amount").cast("double")).alias("x")
+    names = [f"q{i}" for i in range(len(NARROWED))]
+    q = exact_quantiles_grouped(load_sales(spark, d).select("region", x), "region", "x", NARROWED, names=names,
+                                small=500)
+    return q.select("region", *[r6(c).alias(c) for c in names])
+
+
 @query
 def exact_filter_numeric(spark, d):
     return _exact(spark, d, [CNT], where=F.col("amount") > 50)
@@ -216,6 +250,33 @@ def sample_native(spark, d):
     return j.select("population_rows", ok.alias("within_tolerance"))
 
 
+def _null_keyed(spark, d) -> DataFrame:
+    """Sales by a key that half of all rows lack, in strata of which one has no key at all."""
+    e = F.col("event_id")
+    return load_sales(spark, d).select(
+        F.when((e % 2 == 0) & (e % 97 != 0), e).alias("k"),
+        F.when(e % 97 == 0, F.lit("keyless")).otherwise(F.col("region")).alias("stratum"), "amount")
+
+
+@query
+def sample_null_keys(spark, d):
+    """A 100 % sample has all rows, those without a key too."""
+    res = sampling.sample_aggregate(_null_keyed(spark, d), [CNT, SUM], 1.0, ["stratum"], key="k", with_bounds=False)
+    return res.select("stratum", "cnt", r6("total_revenue").alias("total_revenue"))
+
+
+@query
+def stratified_null_keys(spark, d):
+    """A stratum without any key is represented like every other."""
+    s = _null_keyed(spark, d)
+    est = stratified.stratified_aggregate(s, "stratum", [CNT], STRAT_RATE, key="k")
+    rows = stratified.stratified_sample(s, "stratum", STRAT_RATE, key="k").groupBy(F.col("stratum").alias("s")) \
+        .agg(F.count("*").alias("rows"))
+    j = est.join(rows, est["stratum"].eqNullSafe(rows["s"]))
+    return j.select("stratum", "cnt", "sample_count", "population_count",
+                    (F.col("rows") == F.col("sample_count")).alias("rows_agree"))
+
+
 def _sample_agg(spark, d, aggs, group_by=(), where=None, with_bounds=False):
     return sampling.sample_aggregate(_sales(spark, d), aggs, UNIFORM_RATE, group_by, where,
                                      with_bounds=with_bounds)
@@ -329,7 +390,15 @@ def stratified_filtered(spark, d):
     """Filter on a stratified sample: COUNT scales by N_g/n_g of the unfiltered stratum."""
     res = _strat(spark, d, [CNT, SUM], where=F.col("amount") > 50)
     return res.select("region", "cnt", "cnt_sample", r6("total_revenue").alias("total_revenue"),
-                      "sample_count", "population_count")
+                      "sample_count", "population_count", "cnt_ci_low", "cnt_ci_high", "cnt_error_pct")
+
+
+@query
+def stratified_filtered_rare(spark, d):
+    """A selective filter: strata without a sampled match stay, with an upper bound."""
+    res = _strat(spark, d, [CNT, SUM], where=F.col("user_id") < 2)
+    return res.select("region", "cnt", "cnt_sample", r6("total_revenue").alias("total_revenue"),
+                      "cnt_ci_low", "cnt_ci_high")
 
 
 @query
@@ -360,14 +429,14 @@ def stratified_documents_lang(spark, d):
 
 
 # ======================================================================== E
-def _built(spark, d, name, tiers=True, strat=True):
-    st = _store(spark, name)
+def _built(spark, d, name="samples"):
+    """The stored samples of the sales table (built once a session) and the table."""
     s = _sales(spark, d)
-    if tiers:
+
+    def build(st: SampleStore) -> None:
         st.build_tiers(s, "sales", "event_id", DEFAULT_TIERS)
-    if strat:
         st.build_stratified(s, "sales", "region", "event_id", UNIFORM_RATE)
-    return st, s
+    return _store(spark, d, name, build), s
 
 
 def _registry(st: SampleStore) -> DataFrame:
@@ -379,26 +448,26 @@ def _registry(st: SampleStore) -> DataFrame:
 
 @query
 def sample_tiers_build(spark, d):
-    st, _ = _built(spark, d, "tiers", strat=False)
+    st, _ = _built(spark, d)
     data = spark.read.parquet(st._meta_row("sales", "20pct")["data_path"])
     return data.select("event_id", "region", r6("amount").alias("amount"), "h", "tier_ppm")
 
 
 @query
 def sample_stratified_build(spark, d):
-    st, _ = _built(spark, d, "strat", tiers=False)
+    st, _ = _built(spark, d)
     return _rows(st.stratified_rows("sales", "region"))
 
 
 @query
 def sample_registry(spark, d):
-    st, _ = _built(spark, d, "registry")
+    st, _ = _built(spark, d)
     return _registry(st)
 
 
 @query
 def sample_tier_choice(spark, d):
-    st, _ = _built(spark, d, "choice", strat=False)
+    st, _ = _built(spark, d)
     reg = st.registry().filter(F.col("sample_type") != "stratified")
     lv = reg.withColumn("accuracy", F.explode(F.array(*[F.lit(a) for a in ACCURACY_LEVELS])))
     return (lv.filter(F.abs(bounds.tier_for_accuracy("accuracy") - F.col("rate")) < 1e-12)
@@ -408,7 +477,7 @@ def sample_tier_choice(spark, d):
 
 @query
 def materialized_agg(spark, d):
-    st, _ = _built(spark, d, "magg", strat=False)
+    st, _ = _built(spark, d)
     res = st.tier_aggregate("sales", [CNT, SUM, AVG], accuracy=0.90)
     return res.select("cnt", "cnt_sample", "cnt_error_pct", r6("total_revenue").alias("total_revenue"),
                       r6("avg_amount").alias("avg_amount"), r6("sample_rate").alias("sample_rate"),
@@ -417,7 +486,7 @@ def materialized_agg(spark, d):
 
 @query
 def materialized_group(spark, d):
-    st, _ = _built(spark, d, "mgroup", tiers=False)
+    st, _ = _built(spark, d)
     res = st.stratified_aggregate("sales", "region", [CNT, SUM])
     return res.select("region", "cnt", "cnt_sample", r6("total_revenue").alias("total_revenue"),
                       "sample_count", "population_count", "error_pct")
@@ -425,7 +494,7 @@ def materialized_group(spark, d):
 
 @query
 def materialized_filter(spark, d):
-    st, _ = _built(spark, d, "mfilter", strat=False)
+    st, _ = _built(spark, d)
     res = st.tier_aggregate("sales", [CNT, SUM], rate=0.10, where=F.col("amount") > 50)
     return res.select("cnt", "cnt_sample", r6("total_revenue").alias("total_revenue"),
                       r6("sample_rate").alias("sample_rate"))
@@ -438,6 +507,35 @@ def sample_refresh(spark, d):
     return _registry(st)
 
 
+@query
+def sample_rebuild_rates(spark, d):
+    """Tiers rebuilt at other rates from changed data replace all tiers of the older
+    build; registry and answers know the new data only."""
+    s = _sales(spark, d)
+
+    def build(st: SampleStore) -> None:
+        st.build_tiers(s, "sales", "event_id", DEFAULT_TIERS)
+        st.build_tiers(s.filter("event_id % 2 = 0"), "sales", "event_id", (0.05, 0.25))
+    st = _store(spark, d, "rebuild", build)
+    reg = _registry(st).select("sample_type", "rate", "sample_rows", "population_rows")
+    est = st.tier_aggregate("sales", [CNT], rate=0.05).select(F.col("cnt").alias("cnt_estimate"))
+    return with_scalars(reg, est)
+
+
+@query
+def profile_invalidate(spark, d):
+    """A refresh makes the table's profile stale; it keeps the version it replaced and
+    says what it created."""
+    st, s = _built(spark, d, "refresh")
+    path = shared_dir(spark, "suite", "profile-to-refresh")
+    prof.cached_profile(load_sales(spark, d), path)
+    fresh = prof.load_profile(spark, path) is not None
+    done = st.refresh("sales", s, profile_path=path)
+    stale = prof.load_profile(spark, path) is None
+    created = done.agg(F.count_if(F.col("action") == "created").alias("created"))
+    return created.select("created", F.lit(fresh).alias("fresh_before"), F.lit(stale).alias("stale_after"))
+
+
 # ======================================================================== F
 def _within(est: Column, exact: Column, rel: float) -> Column:
     return F.abs(est - exact) <= F.lit(rel) * exact
@@ -446,8 +544,8 @@ def _within(est: Column, exact: Column, rel: float) -> Column:
 @query
 def approx_distinct(spark, d):
     s = load_sales(spark, d)
-    r = s.agg(F.approx_count_distinct("user_id", sketches.DEFAULT_RSD).alias("e"),
-              F.count_distinct("user_id").alias("distinct_users"))
+    r = with_scalars(s.agg(F.count_distinct("user_id").alias("distinct_users")),
+                     sketches.approx_distinct(s, "user_id", alias="e"))
     return r.select("distinct_users",
                     _within(F.col("e"), F.col("distinct_users"), 3 * sketches.DEFAULT_RSD)
                     .alias("within_tolerance"))
@@ -456,18 +554,30 @@ def approx_distinct(spark, d):
 @query
 def approx_distinct_filtered(spark, d):
     s = load_sales(spark, d).filter(F.col("amount") > 50)
-    r = s.agg(F.approx_count_distinct("user_id", sketches.DEFAULT_RSD).alias("e"),
-              F.count_distinct("user_id").alias("distinct_users"))
+    r = with_scalars(s.agg(F.count_distinct("user_id").alias("distinct_users")),
+                     sketches.approx_distinct(s, "user_id", alias="e"))
     return r.select("distinct_users",
                     _within(F.col("e"), F.col("distinct_users"), 3 * sketches.DEFAULT_RSD)
                     .alias("within_tolerance"))
 
 
+@query
+def approx_distinct_keys(spark, d):
+    """A column of as many values as orders, at three precisions: within three times the
+    stated error of each."""
+    li = read_table(spark, d, "lineitem")
+    exact = li.agg(F.count_distinct("l_orderkey").alias("distinct_keys"))
+    r = with_scalars(exact, *[sketches.approx_distinct(li, "l_orderkey", rsd=e, alias=f"e{i}")
+                              for i, e in enumerate(KEY_RSD)])
+    return r.select("distinct_keys", *[_within(F.col(f"e{i}"), F.col("distinct_keys"), 3 * e).alias(f"within_{i}")
+                                       for i, e in enumerate(KEY_RSD)])
+
+
 @query
 def approx_distinct_grouped(spark, d):
     s = load_sales(spark, d)
-    r = s.groupBy("region").agg(F.approx_count_distinct("user_id", sketches.DEFAULT_RSD).alias("e"),
-                                F.count_distinct("user_id").alias("distinct_users"))
+    r = join_on_groups(s.groupBy("region").agg(F.count_distinct("user_id").alias("distinct_users")),
+                       sketches.approx_distinct(s, "user_id", ["region"], alias="e"), ["region"])
     return r.select("region", "distinct_users",
                     _within(F.col("e"), F.col("distinct_users"), 3 * sketches.DEFAULT_RSD)
                     .alias("within_tolerance"))
@@ -477,9 +587,8 @@ def approx_distinct_grouped(spark, d):
 def approx_distinct_orders(spark, d):
     """Distinct customers with orders, per order status (HLL, tolerance)."""
     o = read_table(spark, d, "orders")
-    r = o.groupBy("o_orderstatus").agg(
-        F.approx_count_distinct("o_custkey", sketches.DEFAULT_RSD).alias("e"),
-        F.count_distinct("o_custkey").alias("customers"))
+    r = join_on_groups(o.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("customers")),
+                       sketches.approx_distinct(o, "o_custkey", ["o_orderstatus"], alias="e"), ["o_orderstatus"])
     return r.select("o_orderstatus", "customers",
                     _within(F.col("e"), F.col("customers"), 3 * sketches.DEFAULT_RSD)
                     .alias("within_tolerance"))
@@ -499,9 +608,8 @@ def hll_distinct(spark, d):
 @query
 def hll_precision_sweep(spark, d):
     s = load_sales(spark, d)
-    r = s.agg(F.count_distinct("user_id").alias("distinct_users"),
-              *[F.hll_sketch_estimate(sketches.hll_sketch("user_id", p)).alias(f"e{p}")
-                for p in HLL_PRECISIONS])
+    r = with_scalars(s.agg(F.count_distinct("user_id").alias("distinct_users")),
+                     sketches.hll_sweep(s, "user_id", HLL_PRECISIONS))
     rows = F.explode(F.array(*[F.struct(F.lit(p).alias("precision"), F.col(f"e{p}").alias("e"))
                                for p in HLL_PRECISIONS])).alias("x")
     x = r.select("distinct_users", rows)
@@ -521,9 +629,8 @@ def hll_merge(spark, d):
     s = load_sales(spark, d)
     per = sketches.hll_sketches(s, "user_id", ["region"], p)
     merged = sketches.merge_hll(per, alias="merged")
-    direct = s.agg(F.hll_sketch_estimate(sketches.hll_sketch("user_id", p)).alias("direct"),
-                   F.count_distinct("user_id").alias("distinct_users"))
-    j = with_scalars(merged, direct)
+    j = with_scalars(s.agg(F.count_distinct("user_id").alias("distinct_users")), merged,
+                     sketches.hll_distinct(s, "user_id", p, alias="direct"))
     tol = 3 * sketches.hll_error_pct(p) / 100
     return j.select("distinct_users",
                     _within(F.col("merged"), F.col("direct"), tol).alias("merge_agrees_with_direct"),
@@ -531,77 +638,73 @@ def hll_merge(spark, d):
 
 
 # ======================================================================== Q
-def _quantile_check(df: DataFrame, col: str, probs, est_fn, eps: float, group_by=(),
-                    est_frame: DataFrame | None = None):
+def _quantile_check(df: DataFrame, col: str, probs, est: DataFrame, eps, group_by=()):
     """Exact quantile per probability plus a rank check of the estimate.
 
-    The estimate passes when the share of rows at or below it reaches
-    ``p - eps`` and the share strictly below it stays under ``p + eps``.
-    Estimates (one row per group) are joined back to the rows by group key
-    (broadcast behind a count), or attached as scalars when ungrouped; exact
-    values come from distributed selection.
+    ``est`` has one column per probability, named by ``quantile_name``, and one
+    row (per group). An estimate passes when the share of rows at or below it
+    reaches ``p - eps`` and the share strictly below it stays under ``p + eps``.
+    ``eps`` is a number, or a function of the probability and the row count. All
+    probabilities share one pass each for the ranks and for every round of the
+    exact selection.
     """
-    g = list(group_by)
-    probs = list(probs)
+    g, probs = list(group_by), list(probs)
+    names = [sketches.quantile_name(p) for p in probs]
     x = F.col(col).cast("double")
-    if est_frame is not None:  # precomputed estimates e0, e1, ... (one row, ungrouped)
-        j = with_scalars(df, est_frame)
-    elif g:
-        est = df.groupBy(*g).agg(*[est_fn(p).alias(f"e{i}") for i, p in enumerate(probs)])
-        j = df.join(F.broadcast(est) if est.count() <= 1_000_000 else est, g)
-    else:
-        j = with_scalars(df, df.agg(*[est_fn(p).alias(f"e{i}") for i, p in enumerate(probs)]))
+    est = est.select(*g, *[F.col(n).alias(f"e{i}") for i, n in enumerate(names)])
+    j = df.join(est, g) if g else with_scalars(df, est)
     cnt = [F.count(x).alias("n")]
     for i in range(len(probs)):
         e = F.col(f"e{i}")
         cnt += [F.count_if(x < e).alias(f"lt{i}"), F.count_if(x <= e).alias(f"le{i}")]
     ranks = j.groupBy(*g).agg(*cnt) if g else j.agg(*cnt)
+    own = [f"x{i}" for i in range(len(probs))]
     if g:
-        both = ranks
-        for i, p in enumerate(probs):
-            both = both.join(exact_quantile_grouped(df, g, col, p, alias=f"x{i}"), g)
+        both = ranks.join(exact_quantiles_grouped(df, g, col, probs, names=own), g)
     else:
-        both = with_scalars(ranks, *[exact_quantile(df, col, p, alias=f"x{i}")
-                                     for i, p in enumerate(probs)])
+        both = with_scalars(ranks, exact_quantiles(df, col, probs, names=own))
     n = F.col("n")
+
+    def ok(i: int, p: float) -> Column:
+        tol = eps(p, n) if callable(eps) else F.lit(eps)
+        return (F.col(f"le{i}") / n >= p - tol) & (F.col(f"lt{i}") / n <= p + tol)
     rows = F.explode(F.array(*[F.struct(
-        F.lit(sketches.quantile_name(p)).alias("quantile"), F.lit(float(p)).alias("p"),
-        F.col(f"x{i}").alias("exact"),
-        ((F.col(f"le{i}") / n >= p - eps) & (F.col(f"lt{i}") / n <= p + eps)).alias("ok"))
-        for i, p in enumerate(probs)])).alias("q")
+        F.lit(name).alias("quantile"), F.lit(float(p)).alias("p"),
+        F.col(f"x{i}").alias("exact"), ok(i, p).alias("ok"))
+        for i, (p, name) in enumerate(zip(probs, names))])).alias("q")
     return both.select(*g, rows).select(
         *g, "q.quantile", r6("q.p").alias("p"), r6("q.exact").alias("exact_value"),
         F.col("q.ok").alias("within_rank_tolerance"))
 
 
-def _gk(col):
-    return lambda p: F.percentile_approx(F.col(col).cast("double"), F.lit(float(p)),
-                                         sketches.DEFAULT_PCT_ACCURACY)
-
-
 @query
 def approx_median(spark, d):
-    return _quantile_check(load_sales(spark, d), "amount", [0.5], _gk("amount"), GK_EPS)
+    s = load_sales(spark, d)
+    return _quantile_check(s, "amount", [0.5], sketches.approx_quantiles(s, "amount", [0.5]), RANK_EPS)
 
 
 @query
 def approx_percentiles(spark, d):
-    return _quantile_check(load_sales(spark, d), "amount", PERCENTILES, _gk("amount"), GK_EPS)
+    s = load_sales(spark, d)
+    return _quantile_check(s, "amount", PERCENTILES, sketches.approx_quantiles(s, "amount", PERCENTILES), RANK_EPS)
 
 
 @query
 def kll_quantile(spark, d):
     s = load_sales(spark, d)
-    est = sketches.kll_quantiles(s, "amount", PERCENTILES, k=KLL_K)  # two-level merge
-    est = est.select(*[F.col(sketches.quantile_name(p)).alias(f"e{i}") for i, p in enumerate(PERCENTILES)])
-    res = _quantile_check(s, "amount", PERCENTILES, None, KLL_EPS, est_frame=est)
+    est = sketches.kll_quantiles(s, "amount", PERCENTILES, k=KLL_K)
+    res = _quantile_check(s, "amount", PERCENTILES, est, KLL_EPS)
     return res.withColumn("error_estimate", F.lit(sketches.kll_error_estimate(KLL_K)))
 
 
 @query
 def sampled_quantile(spark, d):
-    sample = sampling.uniform_sample(_sales(spark, d), UNIFORM_RATE)
-    return _quantile_check(sample, "amount", [0.5, 0.95], _gk("amount"), GK_EPS)
+    """Q4: quantiles of a 10 % sample against the whole table; the tolerance adds four
+    standard errors of the sampled share."""
+    s = _sales(spark, d)
+    est = sketches.approx_quantiles(sampling.uniform_sample(s, UNIFORM_RATE), "amount", [0.5, 0.95])
+    return _quantile_check(s, "amount", [0.5, 0.95], est, lambda p, n: RANK_EPS + 4 * F.sqrt(
+        F.lit(p * (1 - p) / UNIFORM_RATE) / n))
 
 
 @query
@@ -609,15 +712,14 @@ def kll_merge(spark, d):
     """Per-region KLL sketches merged, checked against the whole table."""
     s = load_sales(spark, d)
     merged = sketches.merge_kll(sketches.kll_sketches(s, "amount", ["region"], KLL_K), PERCENTILES)
-    est = merged.select(*[F.col(sketches.quantile_name(p)).alias(f"e{i}")
-                          for i, p in enumerate(PERCENTILES)])
-    return _quantile_check(s, "amount", PERCENTILES, None, KLL_EPS, est_frame=est)
+    return _quantile_check(s, "amount", PERCENTILES, merged, KLL_EPS)
 
 
 @query
 def approx_median_grouped(spark, d):
-    return _quantile_check(load_sales(spark, d), "amount", [0.5], _gk("amount"), GK_EPS,
-                           group_by=["region"])
+    s = load_sales(spark, d)
+    est = sketches.approx_quantiles(s, "amount", [0.5], ["region"])
+    return _quantile_check(s, "amount", [0.5], est, RANK_EPS, group_by=["region"])
 
 
 # ======================================================================== P
@@ -627,7 +729,9 @@ def _profile(spark, d, exact=True):
 
 @query
 def profile_table(spark, d):
-    return _profile(spark, d).select("ordinal", "column_name", "data_type", "is_numeric", "row_count",
+    """The default (mergeable) profile; only the cardinality column comes from the exact one."""
+    exact = _profile(spark, d, True).select("ordinal", "cardinality")
+    return _profile(spark, d, False).drop("cardinality").join(exact, "ordinal").select("ordinal", "column_name", "data_type", "is_numeric", "row_count",
                                      "cardinality", r6("mean").alias("mean"), r6("stddev").alias("stddev"))
 
 
@@ -643,10 +747,19 @@ def profile_cardinality(spark, d):
 
 @query
 def profile_numeric(spark, d):
-    return _profile(spark, d).filter("is_numeric").select(
+    return _profile(spark, d, False).filter("is_numeric").select(
         "column_name", r6("mean").alias("mean"), r6("stddev").alias("stddev"))
 
 
+@query
+def profile_large_mean(spark, d):
+    """The spread survives a mean that is ten million times as large."""
+    s = load_sales(spark, d).select((F.col("amount").cast("double") + F.lit(1e9)).alias("x"))
+    p = prof.profile_table(s).select("column_name", "row_count", F.round("mean", 2).alias("mean"),
+                                     F.round("stddev", 3).alias("stddev"))
+    return p
+
+
 @query
 def profile_histogram(spark, d):
     h = prof.histogram(load_sales(spark, d), "amount")
@@ -741,7 +854,7 @@ def sample_stats(spark, d):
 
 @query
 def accuracy_sample_rate(spark, d):
-    p = _profile(spark, d).filter("is_numeric")
+    p = _profile(spark, d, False).filter("is_numeric")
     x = p.withColumn("accuracy", F.explode(F.array(*[F.lit(a) for a in ACCURACY_LEVELS])))
     rate = bounds.accuracy_to_rate("accuracy", "mean", "stddev", "row_count")
     return x.select("column_name", r6("accuracy").alias("accuracy"), r6(rate).alias("sample_rate"))
@@ -750,9 +863,8 @@ def accuracy_sample_rate(spark, d):
 @query
 def accuracy_hll_precision(spark, d):
     s = load_sales(spark, d)
-    r = s.agg(F.count_distinct("user_id").alias("distinct_users"),
-              *[F.hll_sketch_estimate(sketches.hll_sketch("user_id", p)).alias(f"e{p}")
-                for p in HLL_PRECISIONS])
+    r = with_scalars(s.agg(F.count_distinct("user_id").alias("distinct_users")),
+                     sketches.hll_sweep(s, "user_id", HLL_PRECISIONS))
     x = r.withColumn("accuracy", F.explode(F.array(*[F.lit(a) for a in ACCURACY_LEVELS])))
     p = bounds.accuracy_to_hll_precision("accuracy")
     est = F.coalesce(*[F.when(p == q, F.col(f"e{q}")) for q in HLL_PRECISIONS])
@@ -790,9 +902,15 @@ def _unified(df: DataFrame, group_by=()) -> DataFrame:
 
 @query
 def approx_aggregate_q(spark, d):
-    st, s = _built(spark, d, "approx", strat=False)
-    res = approx_aggregate(s, UNIFIED_AGGS, accuracy=0.95, table="sales", store=st,
-                           small_table_rows=0)
+    st, s = _built(spark, d)
+    return _unified(approx_aggregate(s, UNIFIED_AGGS, accuracy=0.95, table="sales", store=st))
+
+
+@query
+def approx_aggregate_filtered(spark, d):
+    """Under a selective filter the answer keeps the target or is exact."""
+    st, s = _built(spark, d)
+    res = approx_aggregate(s, UNIFIED_AGGS, accuracy=0.90, where=F.col("user_id") < 75, table="sales", store=st)
     return _unified(res)
 
 
@@ -801,27 +919,56 @@ def approx_aggregate_grouped(spark, d):
     ev = read_table(spark, d, "events")
     aggs = [("count", "*", "cnt"), ("sum", "value", "total_revenue"), ("avg", "value", "avg_amount")]
     res = approx_aggregate(ev, aggs, ["event_type"], accuracy=0.95, key="event_id",
-                           small_table_rows=0)
+                           hash_method="md5", runtime_sampling=True)
     return _unified(res, ["event_type"])
 
 
 @query
 def approx_aggregate_skewed(spark, d):
     res = approx_aggregate(_sales(spark, d), UNIFIED_AGGS, ["region"], accuracy=0.95,
-                           small_table_rows=0)
+                           runtime_sampling=True)
     return _unified(res, ["region"])
 
 
 @query
 def approx_aggregate_small(spark, d):
-    res = approx_aggregate(_sales(spark, d), UNIFIED_AGGS, ["region"], accuracy=0.95)
+    res = approx_aggregate(_sales(spark, d), UNIFIED_AGGS, ["region"], accuracy=0.95,
+                           small_table_rows=100_000, runtime_sampling=True)
     return _unified(res, ["region"])
 
 
+@query
+def approx_aggregate_default(spark, d):
+    """Without a stored sample the answer is exact, for a runtime sample reads the same."""
+    return _unified(approx_aggregate(_sales(spark, d), UNIFIED_AGGS, ["region"], accuracy=0.95), ["region"])
+
+
+@query
+def approx_aggregate_sketch(spark, d):
+    """SUM, two percentiles and a distinct count in one pass; the plain aggregate exact, the
+    others within three times their stated error."""
+    s = load_sales(spark, d)
+    aggs = [SUM, ("percentile", "amount", "p50", 0.5), ("percentile", "amount", "p95", 0.95),
+            ("count_distinct", "user_id", "users")]
+    res = approx_aggregate(s, aggs, accuracy=0.95)
+    exact = exact_aggregate(s, aggs).select(*[F.col(n).alias(f"x_{n}") for n in ("p50", "p95", "users")])
+    x = F.col("amount").cast("double")
+    j = with_scalars(s, res.select("p50", "p95")).agg(*[
+        (F.count_if(x <= F.col(n)) / F.count(x)).alias(f"le_{n}") for n in ("p50", "p95")],
+        *[(F.count_if(x < F.col(n)) / F.count(x)).alias(f"lt_{n}") for n in ("p50", "p95")])
+    k = with_scalars(res, exact, j)
+    tol = {n: 3 * F.col(f"{n}_error_pct") / 100 for n in ("p50", "p95", "users")}
+    return k.select(r6("total_revenue").alias("total_revenue"), r6("x_p50").alias("p50"), r6("x_p95").alias("p95"),
+                    F.col("x_users").alias("users"), "strategy", *[
+        ((F.col(f"le_{n}") >= p - tol[n]) & (F.col(f"lt_{n}") <= p + tol[n])).alias(f"{n}_within")
+        for n, p in (("p50", 0.5), ("p95", 0.95))],
+        (F.abs(F.col("users") - F.col("x_users")) <= tol["users"] * F.col("x_users")).alias("users_within"))
+
+
 @query
 def compare_exact_approx_q(spark, d):
     res = compare_exact_approx(_sales(spark, d), [CNT, SUM], ["region"], accuracy=0.95,
-                               small_table_rows=0)
+                               runtime_sampling=True)
     cols = ["region"]
     for n in ("cnt", "total_revenue"):
         cols += [r6(f"{p}_{n}").alias(f"{p}_{n}") for p in ("exact", "approx", "rel_error", "accuracy")]
@@ -830,7 +977,7 @@ def compare_exact_approx_q(spark, d):
 
 @query
 def compare_strategies_q(spark, d):
-    st, s = _built(spark, d, "strategies")
+    st, s = _built(spark, d)
     res = compare_strategies(s, [CNT, SUM], ["region"], rate=UNIFORM_RATE, key="event_id",
                              table="sales", store=st)
     cols = ["strategy", "supported", "region"]
@@ -841,8 +988,8 @@ def compare_strategies_q(spark, d):
 
 @query
 def accuracy_sweep_q(spark, d):
-    st, s = _built(spark, d, "sweep", strat=False)
-    res = accuracy_sweep(s, UNIFIED_AGGS, table="sales", store=st, small_table_rows=0)
+    st, s = _built(spark, d)
+    res = accuracy_sweep(s, UNIFIED_AGGS, table="sales", store=st)
     return _unified(res)
 
 

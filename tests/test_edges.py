@@ -78,7 +78,8 @@ def test_refresh_keeps_hash_method(spark, sales):
     base = sales.drop("h")
     st.build_tiers(base, "sales", "event_id", hash_method="xxhash")
     before = {r["sample_type"]: r["sample_rows"] for r in st.registry().collect()}
-    after = {r["sample_type"]: (r["sample_rows"], r["hash_method"]) for r in st.refresh("sales", base).collect()}
+    st.refresh("sales", base)
+    after = {r["sample_type"]: (r["sample_rows"], r["hash_method"]) for r in st.registry().collect()}
     assert {k: v[0] for k, v in after.items()} == before
     assert {v[1] for v in after.values()} == {"xxhash"}
 
@@ -115,10 +116,15 @@ def test_refresh_vacuums_old_versions(spark, sales):
     st = SampleStore(spark, shared_dir(spark, "test", "edges-vacuum"))
     st.build_tiers(sales, "sales", "event_id")
     first = {r["data_path"] for r in st.registry().collect()}
-    st.refresh("sales", sales)
+    planned = st.tier("sales", 0.1)  # a reader that planned before the refresh
+    one = st.refresh("sales", sales).collect()
+    second = {r["data_path"] for r in st.registry().collect()}
+    assert first.isdisjoint(second) and len(second) == 1
+    assert [r["action"] for r in one] == ["created"] and planned.count() > 0  # the replaced build stays
+    two = {r["action"]: r["path"] for r in st.refresh("sales", sales).collect()}
     now = {r["data_path"] for r in st.registry().collect()}
-    assert first.isdisjoint(now) and len(now) == 1
-    assert {r["data_path"] for r in st._all_meta().collect()} == now  # old metadata gone
+    assert two["dropped"] + "/data" in first and two["created"] + "/data" in now
+    assert {r["data_path"] for r in st._all_meta().collect()} == now | second  # older metadata gone
     assert st.tier("sales", 0.01).count() > 0
 
 
