@@ -49,6 +49,9 @@ STRATEGIES = ("exact", "uniform", "stratified", "materialized_tier", "materializ
               "sketch")
 
 
+ANSWER_ROWS = 10_000  # an answer of at most so many groups may pass through the driver
+
+
 def quantile_rank_error(accuracy: float) -> float:
     """Rank error of quantiles at an accuracy target: 0.2 % of the rows at 0.95."""
     return (1.0 - accuracy) / 25
@@ -288,34 +291,47 @@ def _within_target(run, plan: Plan, aggs: list[Agg], group_by: list[str], accura
     if not plan.strategy.startswith("materialized"):
         return plan, run(plan)
     target = round((1.0 - accuracy) * 100, 6)
+    names = [a.name for a in aggs if a.func in ("count", "sum", "avg")]
     steps = [plan]
     if plan.strategy == "materialized_tier":
         steps += [Plan("materialized_tier", rate=r, reason="larger tier for the target")
                   for r in store.available_tiers(table) if r > plan.rate]
     for step in steps:
         res = run(step)
-        if _stated_error(res, step, aggs, group_by, where, table, store, confidence, bound_method) <= target:
+        error = _known_error(step, aggs, group_by, where, table, store, confidence, bound_method)
+        if error is None:
+            # the answer is computed here; a small one is handed on, not computed again
+            rows = res.limit(ANSWER_ROWS + 1).collect()
+            if len(rows) <= ANSWER_ROWS:
+                error = max((_worst(r, names) for r in rows), default=float("inf"))
+                res = res.sparkSession.createDataFrame(rows, res.schema)
+            else:
+                errors = [F.coalesce(F.abs(F.col(f"{n}_error_pct")), F.lit(float("inf"))) for n in names]
+                error = res.agg(F.max(F.greatest(F.lit(0.0), F.lit(0.0), *errors))).first()[0]
+        if error <= target:
             return step, res
     exact = Plan("exact", rate=1.0, reason="no stored sample keeps the target")
     return exact, run(exact)
 
 
-def _stated_error(res: DataFrame, step: Plan, aggs: list[Agg], group_by: list[str], where, table, store,
-                  confidence: float, bound_method: str) -> float:
-    """Largest stated error of an answer, in percent; unknown errors count as infinite. A
-    COUNT(*) of a whole tier has its error from the registry alone."""
-    bounded = [a for a in aggs if a.func in ("count", "sum", "avg")]
-    if not bounded:
+def _worst(row, names: list[str]) -> float:
+    """Largest stated error of a result row; an unknown one counts as infinite."""
+    errors = [row[f"{n}_error_pct"] for n in names]
+    return max((float("inf") if e is None else abs(e) for e in errors), default=0.0)
+
+
+def _known_error(step: Plan, aggs: list[Agg], group_by: list[str], where, table, store,
+                 confidence: float, bound_method: str) -> float | None:
+    """The stated error where no data has to be read for it: that of a COUNT(*) of a whole
+    tier follows from the registry. None: look at the answer."""
+    if not any(a.func in ("count", "sum", "avg") for a in aggs):
         return 0.0
     if (step.strategy == "materialized_tier" and not group_by and where is None
             and all(a.func == "count" and a.column == "*" for a in aggs)):
         meta = store._meta_row(table, tier_name(step.rate))
         n, N = meta["sample_rows"], meta["population_rows"]
         return bounds.count_error_pct_py(n, n / N, confidence, bound_method) if n and N else float("inf")
-    errors = [F.coalesce(F.abs(F.col(f"{a.name}_error_pct")), F.lit(float("inf"))) for a in bounded]
-    worst = F.greatest(*errors) if len(errors) > 1 else errors[0]
-    found = res.agg(F.max(worst)).first()[0]
-    return float("inf") if found is None else found
+    return None
 
 
 def _sketch_answer(rows: DataFrame, aggs: list[Agg], group_by: list[str], plan: Plan):
