@@ -19,6 +19,14 @@ from roughcut.llm.shingles import chunks, jaccard, mix, shingles, weighted
 #: 32 bands of 4 coordinates: a pair of similarity 0.8 shares no band in 5 of 10**8 cases.
 BANDS = 32
 ROWS = 4
+#: What is left of a bucket is finished within one task once it has this many members, and
+#: this many shingles in them, at most.
+LOCAL_MEMBERS = 2000
+LOCAL_SHINGLES = 4_000_000
+#: Larger rests are banded again, by other coordinates: 64 bands of 6 lose one pair of
+#: similarity 0.8 in 10**8, and part contents that share half their shingles 64 times finer.
+AGAIN_BANDS = 64
+AGAIN_ROWS = 6
 
 _U = np.uint64
 
@@ -84,6 +92,14 @@ def dart_signatures(hashes: np.ndarray, owner: np.ndarray, weight: np.ndarray, n
     return value, defined
 
 
+def _band_keys(h: np.ndarray, o: np.ndarray, c: np.ndarray, n: int, bands: int,
+               rows: int) -> tuple[np.ndarray, np.ndarray]:
+    value, defined = dart_signatures(h, o, c.astype(np.float64), n, bands * rows)
+    power = np.cumprod(np.full(rows, 0x2545F4914F6CDD1D, np.uint64))
+    keys = (value.reshape(n, bands, rows) * power).sum(axis=2, dtype=_U) + np.arange(bands, dtype=_U)
+    return mix(keys).astype(np.int64), defined
+
+
 def _sketch(bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -92,37 +108,81 @@ def _sketch(bands: int, rows: int):
             for part in chunks(texts):
                 some = [texts[i] for i in part]
                 h, o, c = weighted(*shingles(some))
-                value, defined = dart_signatures(h, o, c.astype(np.float64), len(some), bands * rows)
-                power = np.cumprod(np.full(rows, 0x2545F4914F6CDD1D, np.uint64))
-                keys = mix((value.reshape(len(some), bands, rows) * power).sum(axis=2, dtype=_U)
-                           + np.arange(bands, dtype=_U)).astype(np.int64)
+                keys, defined = _band_keys(h, o, c, len(some), bands, rows)
+                total = np.bincount(o, weights=c, minlength=len(some)).astype(np.int64)
                 content = [np.zeros(len(some), _U) for _ in range(2)]
-                for salt, total in enumerate(content):
-                    np.add.at(total, o, mix(mix(h + _U(salt)) + c.astype(_U)))
+                for salt, sums in enumerate(content):
+                    np.add.at(sums, o, mix(mix(h + _U(salt)) + c.astype(_U)))
                 nodes = np.stack(content, axis=1)
                 yield pd.DataFrame({
                     "doc_id": pdf["doc_id"].iloc[part].to_numpy(),
                     "node": [nodes[j].tobytes() if defined[j] else None for j in range(len(some))],
+                    "weight": total,
                     "keys": [list(keys[j]) if defined[j] else None for j in range(len(some))],
                     "blob": [pack.compress(t.encode("utf-8", "surrogatepass")) if d else None
                              for t, d in zip(some, defined)]})
     return run
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    unpack = zstandard.ZstdDecompressor()
+def _band_again(level: int):
+    """Band keys of contents by the coordinates of another level."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor()
+        for pdf in batches:
+            texts = [unpack.decompress(bytes(b)).decode("utf-8", "surrogatepass") for b in pdf["blob"]]
+            for part in chunks(texts):
+                h, o, c = weighted(*shingles([texts[i] for i in part]))
+                keys, _ = _band_keys(mix(h + _U(level)), o, c, len(part), AGAIN_BANDS, AGAIN_ROWS)
+                yield pd.DataFrame({"node": pdf["node"].iloc[part].to_numpy(), "keys": [list(k) for k in keys]})
+    return run
 
-    @lru_cache(maxsize=256)
+
+def _bag_of(unpack: zstandard.ZstdDecompressor):
+    @lru_cache(maxsize=512)
     def bag(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-        text = unpack.decompress(blob).decode("utf-8", "surrogatepass")
-        h, _, c = weighted(*shingles([text]))
+        h, _, c = weighted(*shingles([unpack.decompress(blob).decode("utf-8", "surrogatepass")]))
         return h, c
+    return bag
+
 
+def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bag = _bag_of(zstandard.ZstdDecompressor())
     for pdf in batches:
         sim = [jaccard(*bag(bytes(x)), *bag(bytes(y))) for x, y in zip(pdf["blob_a"], pdf["blob_b"])]
         yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "sim": np.array(sim, np.float64)})
 
 
+def _finish(similarity: float):
+    """Links between the classes that meet in one small bucket."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bag = _bag_of(zstandard.ZstdDecompressor())
+        # the largest class first: a member of another one looks for its first link in it
+        size = pdf.groupby("component")["node"].transform("count")
+        pdf = pdf.assign(size=-size).sort_values(["size", "component", "node"])
+        nodes, blobs = pdf["node"].tolist(), [bytes(b) for b in pdf["blob"]]
+        root = {c: c for c in pdf["component"]}
+
+        def find(x: bytes) -> bytes:
+            while root[x] != x:
+                x = root[x]
+            return x
+        bags, classes, out = [bag(b) for b in blobs], pdf["component"].tolist(), []
+        weights = pdf["weight"].tolist()
+        for i in range(len(nodes)):
+            mine = find(classes[i])
+            for j in range(i):
+                if classes[j] == classes[i] or find(classes[j]) == mine:
+                    continue
+                if min(weights[i], weights[j]) < similarity * max(weights[i], weights[j]):
+                    continue
+                if jaccard(*bags[i], *bags[j]) >= similarity:
+                    out.append((nodes[j], nodes[i]))
+                    root[mine] = find(classes[j])
+                    mine = root[mine]
+        return pd.DataFrame(out, columns=["a", "b"])
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     similarity: float = SIMILARITY, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
@@ -135,13 +195,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least joins every member of a class of differing contents).
 
     Contents with the same shingles (exact copies among them) count once from the
-    sketch on. Distinct contents that share a band meet in a bucket. Per round each
-    bucket compares its least member with all others - never all pairs - and drops
-    it; the similarity is a metric, so members whose distances to that one differ
-    by more than ``1 - similarity`` cannot be linked, and the bucket splits there;
-    buckets whose members are in one class already are done. The rounds end when
-    no bucket is left, so no link between classes among the banded pairs is lost,
-    however large a bucket is.
+    sketch on. Distinct contents that share a band and are of similar length (others
+    cannot be linked) meet in a bucket. Per round each bucket compares one member
+    with all others - never all pairs - and drops it; one minus the similarity is a
+    metric, so members whose distances to that one differ by more than
+    ``1 - similarity`` cannot be linked, and the bucket splits there; buckets whose
+    members are in one class already are done. What is left of a bucket, once it has
+    at most :data:`LOCAL_MEMBERS` members, is finished in one task; larger rests are
+    banded again by other coordinates for the next round. So the only links between
+    classes that can be lost are those the bands miss, however large a bucket is.
 
     Texts without words, null ones included, are each a class of their own (their
     ids as class). Rows with one id are one document and stay or go together; null
@@ -150,49 +212,84 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     sketch = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-                    .mapInPandas(_sketch(bands, rows),
-                                 f"doc_id {id_type}, node binary, keys array<long>, blob binary"), "sketch")
+                    .mapInPandas(_sketch(bands, rows), f"doc_id {id_type}, node binary, weight long, "
+                                 "keys array<long>, blob binary"), "sketch")
     contents = stored(sketch.where("node IS NOT NULL").groupBy("node")
                       .agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("copies"),
-                           F.min("keys").alias("keys")), "contents")
-    each = contents.select("node", F.posexplode("keys").alias("band", "key")) \
-        .select("node", F.xxhash64("band", "key").alias("key"))
+                           F.min("weight").alias("weight"), F.min("keys").alias("keys")), "contents")
+    each = contents.select("node", "weight", F.posexplode("keys").alias("band", "key")) \
+        .select("node", "weight", F.xxhash64("band", "key").alias("key"))
     shared = stored(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    members = stored(each.join(shared, "key"), "members")
+    # weights in a ratio of at most 1 / similarity share a step or the next
+    step = F.floor(F.log(F.col("weight").cast("double")) / -math.log(similarity))
+    sized = stored(each.join(shared, "key").withColumn("step", F.explode(F.array(step, step + 1)))
+                   .select("node", "weight", F.xxhash64("key", "step").alias("key")), "sized")
+    again = sized.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(sized.join(again, "key"), "members")
+    # a content that meets many others is close to most of its family: the best centre
+    rank = members.groupBy("node").agg(F.sum("n").alias("rank"))
+    members = stored(members.drop("n").join(rank, "node"), "ranked")
     firsts = members.select("node").distinct().join(contents.select("node", "first.doc_id"), "node")
-    # a text for each content that has a bucket partner: the copies of one row id agree in content
+    # a text for each content with a bucket partner; rows of one id and content agree in it
     texts = stored(sketch.where("node IS NOT NULL").select("doc_id", "node", "blob").join(
         firsts.select(F.col("node").alias("fn"), F.col("doc_id").alias("fd")),
         (F.col("node") == F.col("fn")) & F.col("doc_id").eqNullSafe(F.col("fd")))
         .groupBy("node").agg(F.min("blob").alias("blob")), "texts")
 
-    links = None
-    component = None
-    while not members.isEmpty():
-        centers = members.groupBy("key").agg(F.min("node").alias("a"))
-        rows_now = stored(members.join(centers, "key").where("node <> a")
-                          .select("key", "a", F.col("node").alias("b")), "rows")
-        pairs = stored(rows_now.select("a", "b").distinct(), "pairs")
+    centers = members.groupBy("key").agg(F.max(F.struct("rank", "node"))["node"].alias("a"))
+    links = component = None
+    level = 0
+    while True:
+        rows_now = stored(members.select("key", "node", "weight", "rank").join(centers, "key")
+                          .where("node <> a").withColumnRenamed("node", "b"), "rows")
+        pairs = rows_now.select("a", "b").distinct()
         sims = stored(pairs.join(texts.select(F.col("node").alias("a"), F.col("blob").alias("blob_a")), "a")
                       .join(texts.select(F.col("node").alias("b"), F.col("blob").alias("blob_b")), "b")
                       .select("a", "b", "blob_a", "blob_b")
                       .mapInPandas(_verify, "a binary, b binary, sim double"), "sims")
         found = sims.where(F.col("sim") >= similarity).select("a", "b")
         links = stored(found if links is None else links.unionByName(found).distinct(), "alllinks")
-        component = stored(connected_components(links), "component")
+        component = connected_components(links)
         members = stored(_open_buckets(rows_now, sims, component, 1.0 - similarity), "members")
+        large = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("weight").alias("w")) \
+            .where((F.col("n") > LOCAL_MEMBERS) | (F.col("w") > LOCAL_SHINGLES))
+        large = stored(large.select("key"), "large")
+        # equal rests of several bands are finished once
+        rests = members.join(large, "key", "left_anti").groupBy("key").agg(
+            F.array_sort(F.collect_list(F.struct("node", "component", "weight"))).alias("rest"))
+        rests = rests.select("rest").distinct().select(
+            F.xxhash64("rest").alias("key"), F.inline("rest"))
+        last = stored(rests.join(texts, "node").groupBy("key")
+                      .applyInPandas(_finish(similarity), "a binary, b binary"), "finished")
+        links = links.unionByName(last).distinct()
+        if large.isEmpty():
+            break
+        level += 1
+        rest = members.join(large, "key", "left_semi")
+        keys = stored(rest.select("node").distinct().join(texts, "node")
+                      .mapInPandas(_band_again(level), "node binary, keys array<long>"), "keys")
+        finer = stored(rest.join(keys, "node").select(
+            "node", "component", "weight", "rank", "key", F.posexplode("keys").alias("band", "part"))
+            .select("node", "component", "weight", "rank", F.xxhash64("key", "band", "part").alias("key")), "finer")
+        mixed = finer.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+            .where("lo <> hi").select("key")
+        members = stored(finer.join(mixed, "key"), "members")
+        if members.isEmpty():
+            break
+        # on from the best centre of a bucket's smallest class
+        centers = members.groupBy("key", "component").agg(
+            F.count("*").alias("n"), F.max(F.struct("rank", "node"))["node"].alias("a")) \
+            .groupBy("key").agg(F.min(F.struct("n", "a"))["a"].alias("a"))
 
-    if links is None:
-        linked = contents.select("node", F.col("node").alias("component"), F.lit(0).alias("n_links"))
-    else:
-        degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) \
-            .groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-        linked = contents.select("node").join(component, "node", "left").join(degree, "node", "left") \
-            .select("node", F.coalesce("component", "node").alias("component"),
-                    F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    linked = stored(linked, "linked")
-    classes = contents.join(linked, "node").groupBy("component").agg(
-        F.min("first").alias("c"), F.sum("copies").alias("class_size"))
+    links = stored(links, "links")
+    component = connected_components(links)
+    degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) \
+        .groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
+    linked = stored(contents.select("node", "first", "copies").join(component, "node", "left")
+                    .join(degree, "node", "left")
+                    .select("node", "first", "copies", F.coalesce("component", "node").alias("component"),
+                            F.coalesce("n_links", F.lit(0)).alias("n_links")), "linked")
+    classes = linked.groupBy("component").agg(F.min("first").alias("c"), F.sum("copies").alias("class_size"))
     named = stored(linked.join(classes, "component").select("node", "c", "class_size", "n_links"), "named")
     out = sketch.select("doc_id", "node").join(named, "node", "left")
     return out.select(
@@ -207,10 +304,10 @@ def _open_buckets(rows: DataFrame, sims: DataFrame, component: DataFrame, reach:
     to the centre leave a gap wider than ``reach``, and only where two classes meet."""
     from pyspark.sql import Window as W
 
-    known = rows.join(sims, ["a", "b"]).select("key", F.col("b").alias("node"),
+    known = rows.join(sims, ["a", "b"]).select("key", F.col("b").alias("node"), "weight", "rank",
                                                (1.0 - F.col("sim")).alias("far"))
-    with_class = known.join(component, "node", "left") \
-        .select("key", "node", "far", F.coalesce("component", "node").alias("component"))
+    with_class = known.join(component, "node", "left").select(
+        "key", "node", "weight", "rank", "far", F.coalesce("component", "node").alias("component"))
     # most buckets hold one class now and are done before anything is sorted
     mixed = with_class.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .where("lo <> hi").select("key")
@@ -218,7 +315,8 @@ def _open_buckets(rows: DataFrame, sims: DataFrame, component: DataFrame, reach:
     gap = F.col("far") - F.lag("far").over(by_far) > reach + 1e-9
     split = with_class.join(mixed, "key").withColumn("gap", F.coalesce(gap, F.lit(False)).cast("int")) \
         .withColumn("part", F.sum("gap").over(by_far.rowsBetween(W.unboundedPreceding, 0)))
-    parts = stored(split.select(F.xxhash64("key", "part").alias("key"), "node", "component"), "parts")
+    parts = stored(split.select(F.xxhash64("key", "part").alias("key"), "node", "component", "weight", "rank"),
+                   "parts")
     still = parts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .where("lo <> hi").select("key")
-    return parts.join(still, "key").select("node", "key")
+    return parts.join(still, "key")

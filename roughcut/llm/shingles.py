@@ -109,6 +109,9 @@ def jaccard(ha: np.ndarray, ca: np.ndarray, hb: np.ndarray, cb: np.ndarray) -> f
     total = int(ca.sum()) + int(cb.sum())
     if not total:
         return 0.0
-    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    both = int(np.minimum(ca[ia], cb[ib]).sum())
+    if len(ha) > len(hb):
+        ha, ca, hb, cb = hb, cb, ha, ca
+    at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
+    same = hb[at] == ha
+    both = int(np.minimum(ca[same], cb[at[same]]).sum())
     return both / (total - both)
