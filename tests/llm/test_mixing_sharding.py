@@ -9,10 +9,11 @@ import corpus_pipeline
 from roughcut.llm import mixing
 from roughcut.llm.common import stored
 from roughcut.llm.mixing import cube_mix, flight
-from roughcut.llm.queries import QUERIES
+from roughcut.llm.queries import ORACLE_SQL, QUERIES
 from roughcut.llm.sharding import rendezvous_shards
-from tests.conftest import SF01
+from tests.conftest import SF001, SF01
 from tests.llm.conftest import table
+from tests.oracle_check import compare, duck
 
 
 def brute_targets(sizes, budget=1.5, cap=2.0):
@@ -150,3 +151,12 @@ def test_pipeline_of_odd_documents(spark, odd, tmp_path):
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= {5, 8, 9}
+
+
+# ------------------------------------------------------------------- SQL
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_its_sql(spark, name):
+    con = duck(SF001)
+    status, message, _ = compare(spark, con, name, QUERIES[name], ORACLE_SQL[name], SF001,
+                                 df=QUERIES[name](spark, SF001))
+    assert status == "ok", message
