@@ -10,11 +10,14 @@ DataFrame plan that runs on the executors.
 
 from roughcut.functions.hashing import hash60, threshold, with_row_hash  # noqa: F401
 from roughcut.operators.aggspec import Agg  # noqa: F401
+from roughcut.operators.blocks import BlockSample, block_aggregate, block_sample  # noqa: F401
 from roughcut.operators.profile import (  # noqa: F401
     cached_profile, frequency_gini, group_distribution, histogram, histogram_gini,
     profile_skew, profile_table,
 )
-from roughcut.operators.quantile import exact_quantile, exact_quantile_grouped  # noqa: F401
+from roughcut.operators.quantile import (  # noqa: F401
+    exact_quantile, exact_quantile_grouped, exact_quantiles, exact_quantiles_grouped,
+)
 from roughcut.operators.samples import SampleStore  # noqa: F401
 from roughcut.operators.sampling import sample_aggregate, uniform_sample  # noqa: F401
 from roughcut.operators.sketches import (  # noqa: F401

@@ -246,6 +246,10 @@ Q["stratified_filtered"] = _strat_agg(
     f"{_FILTERED}, t.sample_count, t.population_count, {_W_ERR} AS cnt_error_pct", where="WHERE amount > 50")
 Q["stratified_filtered_rare"] = _strat_agg(_FILTERED, where="WHERE user_id < 2")
 
+Q["sample_blocks"] = w() + f"""SELECT count(*) AS cnt, {r6(SUM_AMT)} AS total_revenue, {r6(AVG_AMT)} AS avg_amount,
+  12 AS sample_blocks, 48 AS blocks, TRUE AS cnt_within, TRUE AS total_revenue_within, TRUE AS avg_amount_within,
+  12 AS files_read FROM sales"""
+
 _KEYLESS = """nk AS (SELECT CASE WHEN event_id % 2 = 0 AND event_id % 97 <> 0 THEN event_id END AS k,
   CASE WHEN event_id % 97 = 0 THEN 'keyless' ELSE region END AS stratum, amount FROM sales)"""
 Q["sample_null_keys"] = w(_KEYLESS) + f"""SELECT stratum, count(*) AS cnt, {r6(SUM_AMT)} AS total_revenue

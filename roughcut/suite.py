@@ -22,6 +22,7 @@ from roughcut.functions.frames import join_on_groups, with_scalars
 from roughcut.functions.hashing import threshold
 from roughcut.operators import profile as prof
 from roughcut.operators import sampling, sketches, stratified
+from roughcut.operators.blocks import block_aggregate, block_sample
 from roughcut.operators.quantile import exact_quantiles, exact_quantiles_grouped
 from roughcut.operators.samples import DEFAULT_TIERS, SampleStore
 from roughcut.plans.aggregate import approx_aggregate, exact_aggregate
@@ -250,6 +251,23 @@ def sample_native(spark, d):
     return j.select("population_rows", ok.alias("within_tolerance"))
 
 
+@query
+def sample_blocks(spark, d):
+    """A quarter of the files instead of a quarter of the rows. Tolerance: COUNT, SUM and
+    AVG within twice the stated margin; only the chosen files are read."""
+    path = _once(spark, d, "many-files", lambda p: write_parquet(load_sales(spark, d).repartition(48, "event_id"), p))
+    picked = block_sample(spark, path, 0.25)
+    est = block_aggregate(picked, [CNT, SUM, AVG])
+    exact = exact_aggregate(load_sales(spark, d), [CNT, SUM, AVG]).select(
+        "cnt", r6("total_revenue").alias("total_revenue"), r6("avg_amount").alias("avg_amount"))
+    names = ("cnt", "total_revenue", "avg_amount")
+    j = with_scalars(exact, est.select(*[F.col(n).alias(f"e_{n}") for n in names],
+                                       *[F.col(f"{n}_ci_high").alias(f"h_{n}") for n in names], "sample_blocks", "blocks"))
+    return j.select(*names, "sample_blocks", "blocks", *[
+        (F.abs(F.col(f"e_{n}") - F.col(n)) <= 2 * (F.col(f"h_{n}") - F.col(f"e_{n}"))).alias(f"{n}_within")
+        for n in names], F.lit(len(picked.rows.inputFiles())).alias("files_read"))
+
+
 def _null_keyed(spark, d) -> DataFrame:
     """Sales by a key that half of all rows lack, in strata of which one has no key at all."""
     e = F.col("event_id")

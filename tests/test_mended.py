@@ -288,3 +288,36 @@ def test_exact_quantiles_of_several_columns(spark, store):
     _, base = store
     r = exact_aggregate(base, [("median", "v", "a"), ("percentile", "v", "b", 0.9), ("median", "id", "c")]).first()
     assert (r["a"], r["c"]) == (48.0, 29_999.5) and r["b"] == pytest.approx(87.0, abs=1)
+
+
+# ------------------------------------------------------------------ block samples
+def test_block_sample_reads_only_its_files(spark):
+    from roughcut.operators.blocks import block_aggregate, block_sample
+    path = shared_dir(spark, "test", "mended-blocks")
+    spark.range(0, 40_000, 1, 40).select("id", (F.col("id") % 7).cast("double").alias("v"),
+                                         F.when(F.col("id") < 10, "rare").otherwise("big").alias("g")) \
+        .write.mode("overwrite").parquet(path)
+    s = block_sample(spark, path, 0.1)
+    assert (s.chosen, s.files) == (4, 40) and len(s.rows.inputFiles()) == 4 and s.rows.count() == 4000
+    again = block_sample(spark, path, 0.1)
+    assert sorted(again.rows.inputFiles()) == sorted(s.rows.inputFiles())
+    r = block_aggregate(s, [CNT, ("sum", "v", "s"), ("avg", "v", "m")]).first()
+    assert r["cnt"] == 40_000 and abs(r["m"] - 3) < 0.01 and abs(r["s"] - 120_000) < 500
+    whole = block_aggregate(block_sample(spark, path, 1.0), [CNT], ["g"]).collect()
+    assert {x["g"]: (x["cnt"], x["cnt_error_pct"]) for x in whole} == {"rare": (10, 0.0), "big": (39_990, 0.0)}
+
+
+def test_block_intervals_cover(spark):
+    from roughcut.operators.blocks import block_aggregate, block_sample
+    path = shared_dir(spark, "test", "mended-clusters")
+    df = spark.range(0, 20_000, 1, 50).select("id", (F.col("id") % 400 + F.rand(3)).alias("v"))
+    df.write.mode("overwrite").parquet(path)
+    truth = spark.read.parquet(path).agg(F.sum("v"), F.avg("v"), F.count_if(F.col("v") < 100)).first()
+    hit = 0
+    for salt in range(20):
+        s = block_sample(spark, path, 0.3, salt=str(salt))
+        r = block_aggregate(s, [("sum", "v", "s"), ("avg", "v", "m")]).first()
+        c = block_aggregate(s, [CNT], where=F.col("v") < 100).first()
+        hit += (r["s_ci_low"] <= truth[0] <= r["s_ci_high"]) + (r["m_ci_low"] <= truth[1] <= r["m_ci_high"]) \
+            + (c["cnt_ci_low"] <= truth[2] <= c["cnt_ci_high"])
+    assert hit >= 50  # 95 % of 60, with room for small samples
