@@ -285,10 +285,12 @@ def exact_quantiles_grouped(df: DataFrame, group_by, column: str, probs: Sequenc
         (F.col("n") - F.col("nans")).alias("size"), F.lit(kll_rank_error(k)).alias("margin"),
         F.array().cast("array<double>").alias("grid"),
         F.when(F.col("rank") > F.col("n") - F.col("nans"), F.lit(float("nan"))).alias("value"))
-    state = stored(state, "quantiles", "state")
     step = F.lit(float(GRID_G))
     wide = F.col("value").isNull() & (F.col("size") > small)
-    while not state.filter(wide).isEmpty():
+    largest = sizes.agg(F.max(F.col("n") - F.col("nans"))).first()[0]
+    if largest is not None and largest > small:
+        state = stored(state, "quantiles", "state")
+    while largest is not None and largest > small and not state.filter(wide).isEmpty():
         at = (F.col("rank") - F.col("below")) / F.col("size")
         j_lo = F.greatest(F.lit(0), F.floor((at - F.col("margin")) * step)).cast("int")
         j_hi = F.least(F.lit(GRID_G), F.ceil((at + F.col("margin")) * step)).cast("int")

@@ -97,6 +97,14 @@ def shared_dir(spark: SparkSession, *parts: str, per_app: bool = True) -> str:
     return "/".join([root, "roughcut", *scope, *parts])
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written below the shared folder (stable locations,
+    such as stored samples of ``per_app=False``, stay). Call it when no result that reads
+    those tables is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, *name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 

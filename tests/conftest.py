@@ -14,6 +14,8 @@ def spark():
     from roughcut.session import local_session
     s = local_session("*", shuffle_partitions=8)
     yield s
+    from roughcut.session import drop_scratch
+    drop_scratch(s)
     s.stop()
 
 
