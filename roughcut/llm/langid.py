@@ -86,7 +86,7 @@ def predict(text: str | None, compressors: list) -> tuple[str, float]:
     """Language and score; the score is the best size's distance to the runner-up,
     as a share of the latter (one language only: 1)."""
     clean = letters(text) if text else ""
-    if not clean or not compressors:
+    if not compressors or not any(map(str.isalpha, clean)):
         return UNKNOWN, 0.0
     blocks = [f" {clean[i:i + BLOCK_CHARS]}{FILLER}".encode() for i in range(0, len(clean), BLOCK_CHARS)]
     sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in compressors)

@@ -10,7 +10,7 @@ import duckdb
 
 from roughcut.llm.decontaminate import contaminated
 from roughcut.llm.html_text import HIDDEN, extract_pages, render
-from roughcut.llm.langid import identify_languages
+from roughcut.llm.langid import identify_languages, predict
 from roughcut.llm.queries import QUERIES
 from roughcut.llm.secrets import find_secrets, guess_cost, is_guarded, scan_secrets
 from tests.conftest import SF001, SF01
@@ -36,6 +36,7 @@ def test_language_cases(spark, odd):
     for d in (1, 2, 3, 4):
         assert (by[d].lang_pred, by[d].score, by[d].rejected) == ("und", 0.0, True)
     assert {r.lang_pred for r in got} <= {"und", "en", "de", "fr"}
+    assert predict("² ½ 12", [("en", None)]) == ("und", 0.0)  # numerals, but no letter
     unlabelled = identify_languages(odd.drop("lang").withColumnRenamed("node", "lang").replace("x", None, "lang"))
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
     assert identify_languages(odd.limit(0)).collect() == []
