@@ -17,7 +17,7 @@ Plans, and why they hold at scale:
 * :func:`stratified_sample` filters the base rows by the hash threshold and
   adds one minimum-hash row for every stratum left empty. The empty strata
   (key and ``min_h``, from the numeric strata aggregate) are broadcast once
-  their counted number is under ``broadcast_strata``; the base rows are then
+  their measured size is under ``broadcast_bytes``; the base rows are then
   only filtered, and rows that tie for a stratum are reduced to one map-side.
   Beyond that bound each empty stratum's row is carried out of an aggregate
   as ``min_by(struct(row), h)`` instead: still no shuffle of base rows, at
@@ -76,12 +76,12 @@ def strata_table(df: DataFrame, group_by, rate: float, key=None, h: str = "h",
             .withColumn("sample_count", F.greatest(F.col("below_count"), F.lit(1)).cast("bigint")))
 
 
-DEFAULT_BROADCAST_STRATA = 2_000_000
+DEFAULT_BROADCAST_BYTES = 32 << 20  # of empty strata, keys and hashes
 
 
 def stratified_sample(df: DataFrame, group_by, rate: float, key=None, h: str = "h",
                       strata: DataFrame | None = None, hash_method: str = "md5",
-                      broadcast_strata: int = DEFAULT_BROADCAST_STRATA) -> DataFrame:
+                      broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Sample rows, ``rate`` per stratum, at least one row per stratum.
 
     ``strata`` may be a stored strata table (see :func:`strata_table`);
@@ -99,10 +99,11 @@ def stratified_sample(df: DataFrame, group_by, rate: float, key=None, h: str = "
         strata = strata_table(df, g, rate, h=h).checkpoint(eager=True)
     empty = strata.filter(F.col("below_count") == 0)
     hash_ = F.expr(_hash_sql(h))
-    n_empty = empty.count()
+    width = F.lit(32) + sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in g), F.lit(0))
+    n_empty, size = empty.agg(F.count(F.lit(1)), F.sum(width)).first()
     if n_empty == 0:
         return df.filter(hash_ < thr)
-    if n_empty <= broadcast_strata:
+    if size <= broadcast_bytes:
         e = F.broadcast(empty.select(*[F.col(c).alias(f"__e_{c}") for c in g],
                                      F.col("min_h").alias("__e_h")))
         cond = hash_ == F.col("__e_h")

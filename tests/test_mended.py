@@ -55,8 +55,8 @@ def test_hash_sampling_without_key_raises(spark):
 def test_stratum_of_null_keys_is_represented_once(spark):
     df = spark.range(2000).select(F.when(F.col("id") >= 100, F.col("id")).alias("k"),
                                   F.when(F.col("id") < 100, "none").otherwise("some").alias("g"))
-    for limit in (10, 0):  # empty strata broadcast, or carried by the aggregate
-        rows = stratified.stratified_sample(df, "g", 0.01, key="k", broadcast_strata=limit)
+    for limit in (1000, 0):  # empty strata broadcast, or carried by the aggregate
+        rows = stratified.stratified_sample(df, "g", 0.01, key="k", broadcast_bytes=limit)
         assert rows.filter("g = 'none'").count() in (1, 100)
     r = {x["g"]: x for x in stratified.stratified_aggregate(df, "g", [CNT], 0.01, key="k").collect()}
     assert r["none"]["cnt"] == 100 and r["none"]["sample_count"] >= 1

@@ -51,7 +51,7 @@ def test_stratified_sample_filters_base_rows_in_place(spark, sales):
 def test_stratified_sample_many_strata_fallback(sales):
     """Past the broadcast bound the forced rows come out of an aggregate."""
     small = stratified.stratified_sample(sales, "region", 0.01)
-    big = stratified.stratified_sample(sales, "region", 0.01, broadcast_strata=0)
+    big = stratified.stratified_sample(sales, "region", 0.01, broadcast_bytes=0)
     assert "Join" not in _plan(big)
     key = lambda df: sorted(r["event_id"] for r in df.select("event_id").collect())
     assert key(small) == key(big)
