@@ -86,10 +86,12 @@ class SampleStore:
         # readers (their file listing); dropped whenever a sample is rebuilt
         self._meta_rows: list | None = None
         self._frames: dict[str, DataFrame] = {}
+        self.decisions: dict[tuple, object] = {}  # plans of requests already checked against their target
 
     def _invalidate(self) -> None:
         self._meta_rows = None
         self._frames.clear()
+        self.decisions.clear()
 
     def _read(self, path: str) -> DataFrame:
         if path not in self._frames:

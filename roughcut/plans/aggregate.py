@@ -33,7 +33,7 @@ per aggregate, ``<agg>_error_pct`` (NULL where no bound is defined),
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -287,9 +287,16 @@ def approx_aggregate(df: DataFrame, aggs, group_by: Sequence[str] = (),
 def _within_target(run, plan: Plan, aggs: list[Agg], group_by: list[str], accuracy: float,
                    where, table, store, confidence: float, bound_method: str):
     """Take an answer from a stored sample only if its stated error keeps the target;
-    else the next larger tier's, and at last the exact one."""
+    else the next larger tier's, and at last the exact one. The store remembers which step
+    a request took until its samples are built anew, so that a repeated request is planned
+    without looking at data."""
     if not plan.strategy.startswith("materialized"):
         return plan, run(plan)
+    request = (table, tuple(aggs), tuple(group_by), str(where), accuracy, confidence, bound_method,
+               plan.strategy, plan.rate)
+    if request in store.decisions:
+        known = replace(store.decisions[request])
+        return known, run(known)
     target = round((1.0 - accuracy) * 100, 6)
     names = [a.name for a in aggs if a.func in ("count", "sum", "avg")]
     steps = [plan]
@@ -309,8 +316,10 @@ def _within_target(run, plan: Plan, aggs: list[Agg], group_by: list[str], accura
                 errors = [F.coalesce(F.abs(F.col(f"{n}_error_pct")), F.lit(float("inf"))) for n in names]
                 error = res.agg(F.max(F.greatest(F.lit(0.0), F.lit(0.0), *errors))).first()[0]
         if error <= target:
+            store.decisions[request] = replace(step)
             return step, res
     exact = Plan("exact", rate=1.0, reason="no stored sample keeps the target")
+    store.decisions[request] = replace(exact)
     return exact, run(exact)
 
 

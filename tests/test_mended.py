@@ -321,3 +321,14 @@ def test_block_intervals_cover(spark):
         hit += (r["s_ci_low"] <= truth[0] <= r["s_ci_high"]) + (r["m_ci_low"] <= truth[1] <= r["m_ci_high"]) \
             + (c["cnt_ci_low"] <= truth[2] <= c["cnt_ci_high"])
     assert hit >= 50  # 95 % of 60, with room for small samples
+
+
+def test_repeated_request_is_planned_without_data(spark, store):
+    st, base = store
+    ask = dict(accuracy=0.9, table="t", store=st, return_plan=True)
+    first, plan = approx_aggregate(base, [("avg", "v", "m")], **ask)
+    (again, same_plan), jobs = jobs_of(spark, lambda: approx_aggregate(base, [("avg", "v", "m")], **ask))
+    assert jobs == 0 and same_plan.strategy == plan.strategy
+    assert again.first()["m"] == first.first()["m"]
+    st._invalidate()  # as a rebuild does
+    assert not st.decisions
