@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roughcut.session import shared_dir
+from roughcut import session
 
 # A word is a maximal run of ASCII letters, digits and underscores or of any
 # characters beyond ASCII, in lower case. This pattern matches what separates words.
@@ -17,24 +15,9 @@ SIMILARITY = 0.8
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the cluster's shared folder and read it back.
-
-    Cuts the lineage the way a checkpoint does, in compressed columns: a lost
-    executor costs a reread, not a recomputation, and several consumers share
-    one computation. The folder belongs to the application (see
-    :func:`clear_scratch`).
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, "llm", f"{name}-{uuid.uuid4().hex}") + "/t"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables; call it after the last
-    result that reads them has been written."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "llm"))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    """An intermediate table of these operators, in the application's part of the shared
+    folder (see :func:`roughcut.session.stored` and ``drop_scratch``)."""
+    return session.stored(df, "llm", name)
 
 
 def text_or_empty(col: str) -> Column:
@@ -43,8 +26,7 @@ def text_or_empty(col: str) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words of ``text`` (null text: empty array)."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP)
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP), "")
 
 
 def hash60(key: Column) -> Column:

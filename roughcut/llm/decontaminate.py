@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roughcut.llm.common import SHINGLE_WORDS, SIMILARITY, stored, words
+from roughcut.llm.common import SHINGLE_WORDS, SIMILARITY, stored, text_or_empty, words
 
 #: Fingerprints of 64 bits within this Hamming distance are candidates. Windows of
 #: similarity 0.8 differ in a few words at their ends: about 8 bits, rarely over 15.
@@ -22,8 +22,12 @@ BLOCK_BITS = 8
 BROADCAST_SHINGLES = 1_000_000
 
 
-def _hash_words(w: Column, k: int) -> Column:
-    """Hashes of all runs of ``k`` words of an array (fewer words: none)."""
+def _word_hashes(text: str) -> Column:
+    return F.transform(words(F.col(text)), lambda w: F.xxhash64(w))
+
+
+def _runs(w: Column, k: int) -> Column:
+    """Hashes of all runs of ``k`` words of an array of word hashes (fewer words: none)."""
     run = F.transform(F.sequence(F.lit(0), F.size(w) - k),
                       lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
     return F.when(F.size(w) >= k, run).otherwise(F.array().cast("array<bigint>"))
@@ -81,11 +85,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     per_block = radius // BLOCKS
     if per_block > 2:
         raise ValueError("the radius is too large for an index of 8 blocks")
-    item = stored(items.select(F.col(item_id_col).alias("item_id"), words(F.col(item_text_col)).alias("w"))
+    item = stored(items.select(F.col(item_id_col).alias("item_id"), _word_hashes(item_text_col).alias("w"))
                   .where(F.size("w") > 0)
                   .select(F.monotonically_increasing_id().alias("item"), "item_id", "w",
                           F.size("w").alias("len")), "items")
-    text = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
+    text = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
+    text = text.withColumn("version", F.xxhash64("t"))  # rows of one id are told apart by it
     short = item.where(F.col("len") < SHINGLE_WORDS).select("len").distinct().orderBy("len").collect()
     found = [_of_size(text, item.where(F.col("len") == r["len"]), r["len"], similarity, radius)
              for r in short]  # at most four lengths below five
@@ -97,15 +102,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def _of_size(text: DataFrame, item: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
-    item = item.withColumn("sh", _hash_words(F.col("w"), k)).withColumn("n", F.size("sh"))
+    item = item.withColumn("sh", _runs(F.col("w"), k)).withColumn("n", F.size("sh"))
     owned = item.select("item", "len", "n", F.explode(F.array_distinct("sh")).alias("h"))
     count = owned.count()
     hint = F.broadcast if count <= BROADCAST_SHINGLES else (lambda df: df)
 
     # places of item shingles in the texts: only these leave the scan
-    places = text.where(F.size("w") >= k) \
-        .select("doc_id", F.size("w").alias("total"), F.xxhash64("w").alias("version"),
-                F.posexplode(_hash_words(F.col("w"), k)).alias("pos", "h")) \
+    hashed = text.select("doc_id", "version", _word_hashes("t").alias("w")) \
+        .select("doc_id", "version", "w", F.size("w").alias("total"))
+    places = hashed.select("doc_id", "total", "version", F.posexplode(_runs(F.col("w"), k)).alias("pos", "h")) \
         .join(hint(owned), "h")
     places = places.groupBy("doc_id", "version", "item", "len", "n", "total").agg(
         F.array_sort(F.collect_set("pos")).alias("at"))
@@ -124,23 +129,22 @@ def _of_size(text: DataFrame, item: DataFrame, k: int, similarity: float, radius
     spots = stored(spots.groupBy("doc_id", "version").agg(
         F.collect_list(F.struct("len", "start")).alias("spots")), "spots")
 
-    # the windows themselves, from their texts
+    # the windows themselves, from their texts (only texts travel; they are cut after the join)
     cut = F.transform("spots", lambda s: F.struct(
         s["len"].alias("len"), s["start"].alias("start"),
         F.slice("w", s["start"] + 1, s["len"]).alias("ww")))
-    windows = text.withColumn("version", F.xxhash64("w")) \
+    windows = text \
         .join(spots.withColumnRenamed("doc_id", "spot_doc").withColumnRenamed("version", "spot_version"),
               F.col("doc_id").eqNullSafe(F.col("spot_doc")) & (F.col("version") == F.col("spot_version"))) \
+        .select("doc_id", "version", "spots", _word_hashes("t").alias("w")) \
         .select("doc_id", "version", F.inline(cut)).dropDuplicates(["doc_id", "version", "len", "start"])
-    marked = stored(windows.withColumn("hw", F.transform("ww", lambda x: F.xxhash64(x)))
-                    .withColumn("fp", simhash(F.col("hw")))
+    marked = stored(windows.withColumn("fp", simhash(F.col("ww")))
                     .select("doc_id", "len", "start", F.size("ww").alias("n_words"), "fp",
-                            _hash_words(F.col("ww"), k).alias("sh")), "windows")
+                            _runs(F.col("ww"), k).alias("sh")), "windows")
 
     # multi-index search: items under every block value within reach, windows under their own
     flips = _flips(radius // BLOCKS)
-    index = item.withColumn("hw", F.transform("w", lambda x: F.xxhash64(x))) \
-        .withColumn("item_fp", simhash(F.col("hw"))) \
+    index = item.withColumn("item_fp", simhash(F.col("w"))) \
         .select("item", "item_id", "len", "item_fp", F.col("sh").alias("item_sh"),
                 F.posexplode(_blocks(F.col("item_fp"))).alias("block", "v")) \
         .withColumn("flip", F.explode(F.array(*[F.lit(x) for x in flips]))) \
