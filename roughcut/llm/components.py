@@ -21,6 +21,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                    .where("u <> v").distinct(), "links")
+    before = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m"))
@@ -31,9 +32,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .unionByName(low.select("u", F.col("m").alias("v")))
         nxt = stored(small.where("u <> v").distinct(), "small")
-        if _mark(nxt) == _mark(edges):
+        after = _mark(nxt)
+        if after == before:
             break
-        edges = nxt
+        edges, before = nxt, after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
