@@ -29,6 +29,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP), "")
 
 
+def words_sql(text: str) -> str:
+    """DuckDB SQL for :func:`words`."""
+    return f"list_filter(string_split_regex(lower(coalesce({text}, '')), '{WORD_GAP}'), lambda x: x <> '')"
+
+
 def hash60(key: Column) -> Column:
     """A 60-bit integer from the md5 of a string; any SQL engine can repeat it."""
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")

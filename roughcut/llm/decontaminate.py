@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roughcut.llm.common import SHINGLE_WORDS, SIMILARITY, stored, text_or_empty, words
+from roughcut.llm.common import SHINGLE_WORDS, SIMILARITY, stored, text_or_empty, words, words_sql
 
 #: Fingerprints of 64 bits within this Hamming distance are candidates. Windows of
 #: similarity 0.8 differ in a few words at their ends: about 8 bits, rarely over 15.
@@ -168,3 +168,26 @@ def _of_size(text: DataFrame, item: DataFrame, k: int, similarity: float, radius
 
 def _flips(bits: int) -> Sequence[int]:
     return [x for x in range(1 << BLOCK_BITS) if x.bit_count() <= bits]
+
+
+#: DuckDB SQL for the query (items of five words or more): every window that holds a place
+#: of an item shingle, without fingerprints.
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {words_sql("text")} AS w FROM documents),
+i AS (SELECT item_id, {words_sql("text")} AS w FROM benchmark),
+ip AS (SELECT item_id, len(w) AS words, len(w) - 4 AS n, w, unnest(range(len(w) - 4)) AS pos FROM i WHERE len(w) >= 5),
+s AS (SELECT item_id, words, n, w[pos + 1:pos + 5] AS sh, count(*) AS c FROM ip GROUP BY ALL),
+dp AS (SELECT doc_id, len(w) AS total, w, unnest(range(len(w) - 4)) AS pos FROM d WHERE len(w) >= 5),
+ds AS (SELECT doc_id, total, pos, w[pos + 1:pos + 5] AS sh FROM dp),
+h AS (SELECT doc_id, total, pos, sh, item_id, words, n, c, least(n, total - 4) AS m FROM ds JOIN s USING (sh)),
+o AS (SELECT DISTINCT doc_id, item_id, words, total, n, m,
+             unnest(range(greatest(0, pos - m + 1), least(pos, total - 4 - m) + 1)) AS start FROM h),
+k AS (SELECT o.doc_id, o.item_id, o.words, o.total, o.n, o.m, o.start, h.sh, least(count(*), any_value(h.c)) AS common
+      FROM o JOIN h ON o.doc_id = h.doc_id AND o.item_id = h.item_id AND h.pos BETWEEN o.start AND o.start + o.m - 1
+      GROUP BY ALL),
+z AS (SELECT doc_id, item_id, words, total, start, sum(common) / (n + m - sum(common)) AS similarity
+      FROM k GROUP BY doc_id, item_id, words, total, start, n, m)
+SELECT doc_id, item_id, round(similarity, 6) AS similarity, start AS first_word, least(words, total) AS n_words
+FROM z WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY z.similarity DESC, start) = 1
+"""

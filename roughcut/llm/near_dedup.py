@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roughcut.llm.common import SIMILARITY, stored
+from roughcut.llm.common import SIMILARITY, stored, words_sql
 from roughcut.llm.components import connected_components
 from roughcut.llm.shingles import chunks, jaccard, mix, shingles, weighted
 
@@ -320,3 +320,19 @@ def _open_buckets(rows: DataFrame, sims: DataFrame, component: DataFrame, reach:
     still = parts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .where("lo <> hi").select("key")
     return parts.join(still, "key")
+
+
+#: DuckDB SQL for the query: all pairs of texts that share a shingle, and their closure.
+NEAR_DEDUP_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words_sql("text")} AS w FROM documents),
+q AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS pos FROM d WHERE len(w) > 0),
+s AS (SELECT doc_id, w[pos + 1:pos + 5] AS sh, count(*) AS c FROM q GROUP BY ALL),
+t AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS k FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id
+      GROUP BY ALL),
+l AS (SELECT a, b FROM b JOIN t u ON u.doc_id = a JOIN t v ON v.doc_id = b WHERE k / (u.n + v.n - k) >= 0.8),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, e.b FROM reach JOIN e ON reach.y = e.a),
+m AS (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM m
+"""

@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roughcut.llm.decontaminate import contaminated
+from roughcut.llm.decontaminate import DECONTAMINATION_SQL, contaminated
 from roughcut.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from roughcut.llm.html_text import extract_pages
 from roughcut.llm.langid import identify_languages
 from roughcut.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 from roughcut.llm.mixing import cube_mix
-from roughcut.llm.near_dedup import near_duplicates
+from roughcut.llm.near_dedup import NEAR_DEDUP_SQL, near_duplicates
 from roughcut.llm.secrets import scan_secrets
 from roughcut.llm.sharding import rendezvous_shards, sharding_sql
-from roughcut.llm.substring_dedup import dedup_substrings
+from roughcut.llm.substring_dedup import SUBSTRING_DEDUP_SQL, dedup_substrings
 from roughcut.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,26 +29,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 @query
-def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words each document gives to the mix."""
-    return cube_mix(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken", "copies")
-
-
-@query
-def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of the equal texts stays."""
-    return exact_dedup(read_table(spark, sf_dir, "documents"))
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "class_size", "kept")
 
 
 @query
-def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document."""
-    return rendezvous_shards(read_table(spark, sf_dir, "documents"))
-
-
-ORACLE_SQL["op7_exact_dedup"] = EXACT_DEDUP_SQL
-ORACLE_SQL["op8_rendezvous_sharding"] = sharding_sql()
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that strings repeated from earlier leave of every document."""
+    return dedup_substrings(read_table(spark, sf_dir, "documents"))
 
 
 @query
@@ -57,6 +47,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that repeated runs leave of every document."""
+    return dedup_lines(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text."""
@@ -64,22 +61,22 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visible text of every page."""
-    return extract_pages(read_table(spark, sf_dir, "pages"))
+def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words each document gives to the mix."""
+    return cube_mix(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 @query
-def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate class of every document."""
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the equal texts stays."""
+    return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
 @query
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that repeated runs leave of every document."""
-    return dedup_lines(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+def op8_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return rendezvous_shards(read_table(spark, sf_dir, "documents"))
 
 
 @query
@@ -89,10 +86,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("similarity", F.round("similarity", 6))
 
 
-ORACLE_SQL["op4_line_dedup"] = LINE_DEDUP_SQL
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return extract_pages(read_table(spark, sf_dir, "pages"))
 
 
-@query
-def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes that strings repeated from earlier leave of every document."""
-    return dedup_substrings(read_table(spark, sf_dir, "documents"))
+ORACLE_SQL |= {
+    "op1_minhash_near_dedup": NEAR_DEDUP_SQL,
+    "op2_substring_dedup": SUBSTRING_DEDUP_SQL,
+    "op4_line_dedup": LINE_DEDUP_SQL,
+    "op7_exact_dedup": EXACT_DEDUP_SQL,
+    "op8_rendezvous_sharding": sharding_sql(),
+    "op9_decontamination": DECONTAMINATION_SQL,
+}
