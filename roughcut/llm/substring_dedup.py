@@ -16,9 +16,11 @@ from roughcut.llm.substrings import Rolling, repeated_classes, segments
 #: Length in bytes of the strings that may occur once only.
 LENGTH = 100
 #: Texts are cut into segments together until they hold so many bytes (a longer one alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 128 << 10
 #: Equal segments are combined in a task before the shuffle, so many segments at a time.
-COMBINE_SEGMENTS = 1 << 20
+COMBINE_SEGMENTS = 1 << 17
+#: Segments with their bytes leave a task so many at a time.
+PIECES = 20_000
 #: Bytes of segments that meet in one transform, on average.
 BLOCK_BYTES = 1 << 20
 #: An anchor with more differing segments than this has its windows compared by hash, one
@@ -131,27 +133,36 @@ def _sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _bytes_of(length: int):
-    """Bytes of the wanted segments of each text; the windows of ``crowded`` anchors one by one."""
+    """Bytes of the wanted segments of each text; the windows of crowded anchors (whose
+    number of windows comes negative) one by one, by hash."""
+    names = ["anchor", "doc", "start", "windows", "raw"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc, text, wanted in zip(pdf["doc"], pdf["text"], pdf["wanted"]):
+            out: list[tuple] = []
+            for doc, text, anchors, starts, counts in zip(
+                    pdf["doc"], pdf["text"], pdf["anchors"], pdf["starts"], pdf["counts"]):
                 raw = _encode(text)
-                rows, single = [], []
-                for w in wanted:
-                    start = int(w["start"])
-                    # another row of the id may be shorter than the one the segment is from
-                    windows = min(int(w["windows"]), len(raw) - length + 1 - start)
-                    if windows <= 0:
-                        continue
-                    if w["crowded"]:
-                        single += range(start, start + windows)
-                    else:
-                        rows.append((int(w["anchor"]), doc, start, windows,
-                                     raw[start:start + windows + length - 1]))
-                if single:
-                    hashes = Rolling(np.frombuffer(raw, np.uint8))(np.array(single), length)
-                    rows += [(h, doc, a, 1, None) for a, h in zip(single, hashes.astype(np.int64).tolist())]
-                yield pd.DataFrame(rows, columns=["anchor", "doc", "start", "windows", "raw"])
+                # another row of the id may be shorter than the one the segment is from
+                room = len(raw) - length + 1 - starts
+                windows = np.minimum(np.abs(counts), room)
+                single = counts < 0
+                for a, s, w in zip(anchors[~single].tolist(), starts[~single].tolist(), windows[~single].tolist()):
+                    if w > 0:
+                        out.append((a, doc, s, w, raw[s:s + w + length - 1]))
+                if single.any():
+                    at = np.concatenate([np.arange(s, s + w) for s, w in zip(
+                        starts[single].tolist(), windows[single].tolist())])
+                    # only the bytes from the first to the last of these windows are hashed
+                    if len(at):
+                        first = int(at.min())
+                        buf = np.frombuffer(raw[first:int(at.max()) + length], np.uint8)
+                        hashes = Rolling(buf)(at - first, length).astype(np.int64)
+                        out += [(h, doc, a, 1, None) for h, a in zip(hashes.tolist(), at.tolist())]
+                if len(out) >= PIECES:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
     return run
 
 
@@ -182,13 +193,13 @@ def _without(length: int, with_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for text, runs in zip(pdf["text"], pdf["runs"]):
+            none = np.empty(0, np.int64)
+            for text, begin, size in zip(pdf["text"], pdf["starts"], pdf["counts"]):
                 raw = _encode(text)
-                n = 0 if runs is None else len(runs)
-                begin = np.fromiter((r["start"] for r in runs), np.int64, n) if n else np.empty(0, np.int64)
-                size = np.fromiter((r["windows"] for r in runs), np.int64, n) if n else begin
-                # touching byte runs join; a run of windows covers length - 1 bytes more
-                _, begin, size = _merged(np.zeros(n, np.int64), begin, size + (length - 1))
+                begin, size = (none, none) if begin is None else (begin, size)
+                if len(begin):
+                    # touching byte runs join; a run of windows covers length - 1 bytes more
+                    _, begin, size = _merged(np.zeros(len(begin), np.int64), begin, size + (length - 1))
                 parts, at = [], 0
                 for b, s in zip(begin.tolist(), size.tolist()):
                     parts.append(raw[at:b])
@@ -244,13 +255,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reps = sifted.where("anchor IS NOT NULL")
     crowded = reps.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > ANCHOR_SEGMENTS) \
         .select("anchor", F.lit(True).alias("crowded"))
-    wanted = reps.join(crowded, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))) \
-        .groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows", "crowded")).alias("wanted"))
+    count = F.when(F.col("crowded"), -F.col("windows")).otherwise(F.col("windows"))
+    wanted = reps.join(crowded, "anchor", "left").select("anchor", "doc", "start", count.alias("count")) \
+        .groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("w")) \
+        .select("doc", F.col("w.anchor").alias("anchors"), F.col("w.start").alias("starts"),
+                F.col("w.count").alias("counts"))
     volume = reps.agg(F.sum(F.col("windows") + length).alias("n")).first()["n"] or 0
     blocks = max(1, -(-volume // BLOCK_BYTES))
 
     texts = rows.select("doc_id", "doc", "text")
-    pieces = stored(texts.join(wanted, "doc").select("doc", "text", "wanted").mapInPandas(
+    pieces = stored(texts.join(wanted, "doc").select("doc", "text", "anchors", "starts", "counts").mapInPandas(
         _bytes_of(length), "anchor long, doc long, start long, windows long, raw binary"), "pieces")
     in_blocks = pieces.where("raw IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks))) \
         .groupBy("block").applyInPandas(_block(length), _SPAN)
@@ -261,8 +275,29 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         (F.col("doc") != F.col("f.doc")) | (F.col("start") != F.col("f.start"))) \
         .select("doc", "start", F.lit(1).cast("long").alias("windows"))
     removed = sifted.where("anchor IS NULL").drop("anchor").unionByName(in_blocks).unionByName(one_by_one)
-    runs = removed.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    runs = removed.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("start", "windows")).alias("r")) \
+        .select("of", F.col("r.start").alias("starts"), F.col("r.windows").alias("counts"))
     kept = ", kept binary" if with_text else ""
     id_type = docs.schema[id_col].dataType.simpleString()
-    return texts.join(runs, F.col("doc") == F.col("of"), "left").select("doc_id", "text", "runs").mapInPandas(
+    return texts.join(runs, F.col("doc") == F.col("of"), "left").select("doc_id", "text", "starts", "counts").mapInPandas(
         _without(length, with_text), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}")
+
+
+#: DuckDB SQL for the query: every window of 100 bytes, by its md5.
+SUBSTRING_DEDUP_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n, hex(coalesce(text, '')) AS hx
+           FROM documents),
+p AS (SELECT r, doc_id, unnest(list_transform(range(n - 99),
+             lambda i: {'i': i, 'm': md5(substr(hx, 2 * i + 1, 200))})) AS u FROM d WHERE n >= 100),
+w AS (SELECT r, u.i AS i, row_number() OVER (PARTITION BY u.m ORDER BY doc_id NULLS LAST, u.i) AS nth FROM p),
+x AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 100, true) AS fresh FROM w WHERE nth > 1),
+g AS (SELECT r, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY i) AS run FROM x),
+runs AS (SELECT r, run, min(i) AS lo, max(i) + 100 AS hi FROM g GROUP BY r, run),
+cuts AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM runs),
+kept AS (SELECT cuts.r, string_agg(substr(hx, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head,
+                max(hi) AS last, sum(hi - lo) AS gone, count(*) AS spans
+         FROM cuts JOIN d USING (r) GROUP BY cuts.r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head || substr(hx, 2 * last + 1), hx))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

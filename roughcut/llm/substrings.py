@@ -16,25 +16,43 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUE = mix(np.arange(1, 257, dtype=_U))
 
 
+_KEPT: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse; kept up to a million of them."""
+    if len(_KEPT.get("power", ())) >= n:
+        return _KEPT["power"], _KEPT["inverse"]
+    both = []
+    for factor in (_BASE, _INVERSE):
+        x = np.full(max(n, 1 << 19), factor, _U)
+        x[0] = 1
+        both.append(np.cumprod(x))
+    if n <= 1 << 20:
+        _KEPT["power"], _KEPT["inverse"] = both
+    return both[0], both[1]
+
+
 class Rolling:
     """Hashes of any byte ranges of one buffer, from prefix sums modulo 2**64."""
 
     def __init__(self, buf: np.ndarray) -> None:
         n = len(buf)
-        power = np.full(n, _BASE, _U)
-        if n:
-            power[0] = 1
-        power = np.cumprod(power)
-        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(_VALUE[buf] * power)])
-        inverse = np.full(n + 1, _INVERSE, _U)
-        inverse[0] = 1
-        self.inverse = np.cumprod(inverse)
+        power, self.inverse = _powers(n + 1)
+        self.sums = np.zeros(n + 1, _U)
+        np.cumsum(_VALUE[buf] * power[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return mix((self.sums[start + length] - self.sums[start]) * self.inverse[start]
                    + np.asarray(length).astype(_U))
 
 
+    def everywhere(self, length: int) -> np.ndarray:
+        """The hash of ``length`` bytes from each place that has so many."""
+        n = len(self.sums) - length
+        return mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n] + _U(length))
+
+
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     """Least of every ``w`` consecutive values."""
     span, out = 1, x
@@ -63,14 +81,14 @@ def segments(buf: np.ndarray, ends: np.ndarray, length: int,
         return none, none, none, none, none
     roll = Rolling(buf)
     # the low bits hold the place, so that the least value is unique and the first of equal strings
-    at = np.arange(len(buf) - anchor + 1)
-    hashes = roll(at, anchor)
+    hashes = roll.everywhere(anchor)
+    at = np.arange(len(hashes))
     bits = max(1, int(len(buf)).bit_length())
     order = (hashes >> _U(bits) << _U(bits)) | at.astype(_U)
     least = _sliding_least(order, length - anchor + 1)
     place = (least & _U((1 << bits) - 1)).astype(np.int64)
-    start = np.arange(len(place))
-    owner = np.searchsorted(ends, start, side="right")
+    start = at[:len(place)]
+    owner = np.repeat(np.arange(len(ends)), ends - begins)[:len(place)]
     ok = start + length <= ends[owner]
     start, place, owner = start[ok], place[ok], owner[ok]
     if not len(start):
