@@ -265,8 +265,7 @@ def exact_quantiles_grouped(df: DataFrame, group_by, column: str, probs: Sequenc
     names = list(names) if names else [f"{kind}_{column}_{i}" for i in range(len(probs))]
     every = df.select(*g, F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
     vals = every.filter(~F.isnan("x"))
-    sizes = stored(every.groupBy(*g).agg(F.count("x").alias("n"), F.count_if(F.isnan("x")).alias("nans")),
-                   "quantiles", "sizes")
+    sizes = every.groupBy(*g).agg(F.count("x").alias("n"), F.count_if(F.isnan("x")).alias("nans"))
     n = F.col("n")
     if kind == "disc":
         def ranks(p: float) -> tuple[Column, Column, Column]:
@@ -276,6 +275,9 @@ def exact_quantiles_grouped(df: DataFrame, group_by, column: str, probs: Sequenc
         def ranks(p: float) -> tuple[Column, Column, Column]:
             pos = F.lit(float(p)) * (n - 1)
             return (F.floor(pos) + 1).cast("bigint"), (F.ceil(pos) + 1).cast("bigint"), pos.cast("double")
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= small:
+        return _small_groups(every, g, [ranks(p) for p in probs], names)
+    sizes = stored(sizes, "quantiles", "sizes")
     targets = sizes.select(*g, "n", "nans", F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), *[c.alias(a) for c, a in zip(ranks(p), ("r1", "r2", "pos"))])
         for i, p in enumerate(probs)])).alias("t")).select(*g, "n", "nans", "t.*")
@@ -287,10 +289,8 @@ def exact_quantiles_grouped(df: DataFrame, group_by, column: str, probs: Sequenc
         F.when(F.col("rank") > F.col("n") - F.col("nans"), F.lit(float("nan"))).alias("value"))
     step = F.lit(float(GRID_G))
     wide = F.col("value").isNull() & (F.col("size") > small)
-    largest = sizes.agg(F.max(F.col("n") - F.col("nans"))).first()[0]
-    if largest is not None and largest > small:
-        state = stored(state, "quantiles", "state")
-    while largest is not None and largest > small and not state.filter(wide).isEmpty():
+    state = stored(state, "quantiles", "state")
+    while not state.filter(wide).isEmpty():
         at = (F.col("rank") - F.col("below")) / F.col("size")
         j_lo = F.greatest(F.lit(0), F.floor((at - F.col("margin")) * step)).cast("int")
         j_hi = F.least(F.lit(GRID_G), F.ceil((at + F.col("margin")) * step)).cast("int")
@@ -345,6 +345,26 @@ def exact_quantiles_grouped(df: DataFrame, group_by, column: str, probs: Sequenc
         *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(names)])
 
 
+def _small_groups(every: DataFrame, g: list[str], targets: list[tuple[Column, Column, Column]],
+                  names: list[str]) -> DataFrame:
+    """Quantiles of groups that each fit the last step: one window over a group's distinct
+    values (NaN last) and their counts."""
+    runs = every.groupBy(*g, "x").agg(F.count("*").alias("c"))
+    group = Window.partitionBy(*g)
+    runs = runs.withColumn("last", F.sum("c").over(group.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))) \
+        .withColumn("n", F.sum("c").over(group))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("last") >= rank) & (F.col("last") - F.col("c") < rank), F.col("x")))
+    out = runs.groupBy(*g).agg(*[c for i, (r1, r2, pos) in enumerate(targets) for c in (
+        at(r1).alias(f"__a{i}"), at(r2).alias(f"__b{i}"), F.max(pos).alias(f"__p{i}"))])
+
+    def result(i: int) -> Column:
+        a, b, pos = F.col(f"__a{i}"), F.col(f"__b{i}"), F.col(f"__p{i}")
+        return F.when(a == b, a).otherwise((F.ceil(pos) - pos) * a + (pos - F.floor(pos)) * b)
+    return out.select(*g, *[result(i).alias(name) for i, name in enumerate(names)])
+
+
 def exact_quantile_grouped(df: DataFrame, group_by, column: str, p: float,
                            kind: str = "cont", alias: str | None = None,
                            small: int = SMALL, k: int = KLL_K) -> DataFrame:

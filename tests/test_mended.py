@@ -130,15 +130,17 @@ def test_selection_with_ties_nan_and_infinities(spark, monkeypatch):
     assert max(left) <= 100  # rows, not only distinct values, that the last window may see
 
 
-def test_grouped_selection_with_ties_and_nan(spark):
+@pytest.mark.parametrize("small", [100, 100_000])  # by rounds, and in one step
+@pytest.mark.parametrize("kind", ["cont", "disc"])
+def test_grouped_selection_with_ties_and_nan(spark, small, kind):
     for name, x, df in frames(spark):
-        got = exact_quantiles_grouped(df, "g", "x", PROBS, names=[f"q{i}" for i in range(len(PROBS))],
-                                      small=100, k=200).collect()
+        got = exact_quantiles_grouped(df, "g", "x", PROBS, kind, names=[f"q{i}" for i in range(len(PROBS))],
+                                      small=small, k=200).collect()
         group = np.array([i % 3 if i % 50 else -1 for i in range(len(x))])
         assert len(got) == len(set(group))
         for r in got:
             own = x[group == (-1 if r["g"] is None else r["g"])]
-            assert all(same(r[f"q{i}"], expected(own, p, "cont")) for i, p in enumerate(PROBS)), (name, r)
+            assert all(same(r[f"q{i}"], expected(own, p, kind)) for i, p in enumerate(PROBS)), (name, r)
 
 
 def test_no_values(spark):
