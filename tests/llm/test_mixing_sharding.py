@@ -153,6 +153,20 @@ def test_pipeline_of_odd_documents(spark, odd, tmp_path):
     assert {r.doc_id for r in out} <= {5, 8, 9}
 
 
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_stages_with_clashing_columns_and_empty_tables(spark, odd, rows, tmp_path):
+    docs = odd if rows == "odd" else odd.limit(0)
+    items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    (items if rows == "odd" else items.limit(0)).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stored(stage(spark, docs, str(tmp_path)), name)
+        if name != "sharding":
+            assert out.columns == odd.columns and out.schema.simpleString() == odd.schema.simpleString()
+        assert rows == "odd" or out.isEmpty()
+        # every stage must cope with all rows, so the next one gets them again
+        assert {"doc_id", "text"} <= set(out.columns)
+
+
 # ------------------------------------------------------------------- SQL
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_its_sql(spark, name):
