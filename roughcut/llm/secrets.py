@@ -80,12 +80,13 @@ def guess_cost(value: str, words: Sequence[str] = COMMON_WORDS) -> float:
         relax(i + 1, base + _BRUTE + (0.0 if brute[i] or i == 0 else _SPLIT), True)
         joint = _SPLIT if i else 0.0
         for end in range(i + 3, min(n, i + longest) + 1):
-            r = rank.get(plain[i:end])
+            word = low[i:end] if low[i:end] in rank else plain[i:end]  # as it is, or with look-alikes
+            r = rank.get(word)
             if r:
                 piece = value[i:end]
                 cost = math.log10(r) + 0.3
                 cost += 0.0 if piece == low[i:end] else 0.3 if piece[1:] == low[i + 1:end] else 1.0
-                cost += 0.3 * sum(a != b for a, b in zip(low[i:end], plain[i:end]))
+                cost += 0.3 * sum(a != b for a, b in zip(low[i:end], word))
                 relax(end, base + joint + cost)
         for end in dates.get(i, ()):
             relax(end, base + joint + (2.1 if end - i == 4 else 4.3))
