@@ -54,8 +54,10 @@ def guess_cost(value: str, words: Sequence[str] = COMMON_WORDS) -> float:
     Segments are words (by rank, with letter case and look-alike digits at a
     surcharge), dates, repeats of one character or of a short block, keyboard or
     alphabet walks, and brute-force characters. ``best[i]`` is the least cost of
-    the first i characters; every rule adds edges into later positions, so the
-    time is linear in the length for a given word list.
+    the first i characters, ``forced[i]`` the least of those that end in brute
+    force (which the next character continues without a split); every rule adds
+    edges into later positions, so the time is linear in the length for a given
+    word list.
     """
     n = len(value)
     low = value.lower()
@@ -67,17 +69,18 @@ def guess_cost(value: str, words: Sequence[str] = COMMON_WORDS) -> float:
         if low[i] in "0123" and (m := _DATE.match(low, i)):
             dates.setdefault(i, []).append(m.end())
     best = [0.0] + [math.inf] * n
-    brute = [False] * (n + 1)  # whether the best way into a position ends in brute force
+    forced = [math.inf] * (n + 1)
 
-    def relax(at: int, cost: float, by_brute: bool = False) -> None:
+    def relax(at: int, cost: float) -> None:
         if cost < best[at]:
-            best[at], brute[at] = cost, by_brute
+            best[at] = cost
 
     run = 1  # length of the run of one character that ends here, and of the walk
     walk = 1
     for i in range(n):
         base = best[i]
-        relax(i + 1, base + _BRUTE + (0.0 if brute[i] or i == 0 else _SPLIT), True)
+        forced[i + 1] = _BRUTE + min(forced[i], base + (_SPLIT if i else 0.0))
+        relax(i + 1, forced[i + 1])
         joint = _SPLIT if i else 0.0
         for end in range(i + 3, min(n, i + longest) + 1):
             word = low[i:end] if low[i:end] in rank else plain[i:end]  # as it is, or with look-alikes
