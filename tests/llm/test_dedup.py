@@ -234,6 +234,27 @@ def test_substrings_cases(spark, odd):
     assert dedup_substrings(odd.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("crowd", [2000, 1])
+@pytest.mark.parametrize("parts", [1, 7])
+def test_substrings_of_repeated_and_null_ids(spark, monkeypatch, parts, crowd):
+    monkeypatch.setattr(substring_dedup, "ANCHOR_SEGMENTS", crowd)
+    rng = random.Random(6)
+    a, b, c, d, e, f = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(6))
+    rows = [(1, a), (1, a), (2, b), (2, c), (3, c), (4, d), (5, a[50:200] + e),  # 1 twice, 2 with two texts
+            (None, f), (None, f), (None, e + "x" * 40 + d), (None, "y" * 60 + f[:150])]
+    got = dedup_substrings(table(spark, rows).repartition(parts, "lang" if parts == 1 else "text"), with_text=True).collect()
+    kept = defaultdict(list)
+    for r in got:
+        kept[r.doc_id].append(bytes(r.kept).decode())
+    assert [kept[i] for i in (1, 3, 4, 5)] == [[a, a], [""], [d], [e]]
+    assert sorted(kept[2]) == sorted([b, c])  # no text of an id takes the other's cuts
+    # which of the null ids comes first follows the order of the rows; nothing is lost
+    null = sorted(kept[None], key=len)
+    assert len(null) == 4 and null[0] == "" and "x" * 40 in null and e not in "".join(null) and d not in "".join(null)
+    assert sum(map(len, null)) == 40 + 60 + 300
+    assert f in null or f[:150] in "".join(null) and f[150:] in "".join(null)
+
+
 def test_substrings_of_the_given_table(spark):
     got = dedup_substrings(spark.read.parquet(f"{SF001}/documents.parquet")).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} \
