@@ -1,7 +1,7 @@
 """The corpus pipeline: documents in, a mixed and sharded training set out.
 
 Each stage calls one operator of :mod:`roughcut.llm` on all that the stage
-before kept, and applies its decisions. Stages return the columns of
+before kept, and applies its decisions, row by row: ids may repeat or be null. Stages return the columns of
 ``documents``; the last adds the shard and the slot of every row.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roughcut.llm.common import stored
@@ -21,10 +22,29 @@ from roughcut.llm.sharding import rendezvous_shards
 from roughcut.sources.tables import read_table
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not in the column ``doc_id`` of ``ids``."""
-    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of its own for every row, ``__row``: in the order of the ids
+    (null last), then of a hash of all columns. Equal rows cannot be told apart, so they
+    are numbered; the keys are the same however often and from wherever the rows are read."""
+    number = F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    key = F.concat(F.coalesce(F.lpad(F.hex(number), 16, "0"), F.lit("null")),
+                   F.lit(" "), F.lpad(F.hex(F.xxhash64(*docs.columns)), 16, "0"))
+    keyed = docs.withColumn("__row", key)
+    equal = stored(keyed.groupBy("__row").agg(F.count("*").alias("__n")).where("__n > 1")
+                   .select(F.col("__row").alias("__equal")), "equal")
+    if equal.isEmpty():
+        return keyed
+    same = F.col("__row") == F.col("__equal")
+    order = F.row_number().over(W.partitionBy("__row").orderBy("__row"))
+    numbered = keyed.join(equal, same, "left_semi").withColumn("__n", order) \
+        .withColumn("__row", F.concat("__row", F.lit(" "), F.lpad(F.hex("__n"), 16, "0"))).drop("__n")
+    return keyed.join(equal, same, "left_anti").unionByName(numbered)
+
+
+def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key is not in the column ``doc_id`` of ``rows``, without it."""
+    gone = rows.select(F.col("doc_id").alias("__gone")).distinct()
+    return keyed.join(gone, keyed["__row"] == gone["__gone"], "left_anti").drop("__row")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,20 +55,22 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: one document of each class stays."""
-    return _without(docs, near_duplicates(docs).where("NOT kept"))
+    keyed = _keyed(docs)
+    return _without(keyed, near_duplicates(keyed, id_col="__row").where("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a benchmark item go."""
-    return _without(docs, contaminated(docs, read_table(spark, sf_dir, "benchmark")))
+    keyed = _keyed(docs)
+    return _without(keyed, contaminated(keyed, read_table(spark, sf_dir, "benchmark"), id_col="__row"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing sources to target weights: each document appears as often as it is taken
-    (rows of one id equally often)."""
-    copies = cube_mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")) \
-        .agg(F.max("copies").cast("int").alias("__copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
+    """Mixing sources to target weights: each document appears as often as it is taken."""
+    keyed = _keyed(docs)
+    copies = cube_mix(keyed, id_col="__row").where("copies > 0") \
+        .select(F.col("doc_id").alias("__id"), F.col("copies").cast("int").alias("__copies"))
+    taken = keyed.join(copies, keyed["__row"] == copies["__id"])
     return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))) \
         .select(*docs.columns)
 

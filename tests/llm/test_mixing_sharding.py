@@ -167,6 +167,39 @@ def test_stages_with_clashing_columns_and_empty_tables(spark, odd, rows, tmp_pat
         assert {"doc_id", "text"} <= set(out.columns)
 
 
+def test_stages_decide_row_by_row(spark, tmp_path):
+    def text(k, n=60):
+        return " ".join(f"w{k}x{i}" for i in range(n))
+    item = text("item", 12)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(None, text("a")), (None, text("b")), (None, text("c") + " " + item), (1, text("d")), (1, text("e") + " " + item)]
+    left = stages["decontamination"](spark, table(spark, rows), str(tmp_path)).collect()
+    assert sorted(r.text for r in left) == [text(k) for k in "abd"]
+
+    rows = [(None, text("a")), (None, text("a")), (None, text("b")), (2, text("b") + " end"),
+            (3, text("d")), (3, text("d")), (4, text("d") + " end"), (4, text("e"))]
+    left = stages["near_dedup"](spark, table(spark, rows).repartition(3), str(tmp_path)).collect()
+    assert sorted(r.text.split()[0][1] for r in left) == list("abde")
+    assert {(r.doc_id, r.text) for r in left} == {
+        (None, text("a")), (2, text("b") + " end"), (3, text("d")), (4, text("e"))}
+
+    # a third of the rows without an id, and equal rows of an id in two sources
+    rng = np.random.default_rng(4)
+    rows = [(i if i % 3 else None, " ".join(["w"] * int(rng.integers(1, 40))), None, "abc"[i % 2 + (i % 5 == 0)])
+            for i in range(900)] + [(5000, "w w w", None, s) for s in "aabb" for _ in range(9)]
+    docs = table(spark, rows)
+    sizes, taken = Counter(), Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+    mixed = [stages["mixing"](spark, d, str(tmp_path)).collect() for d in (docs, docs.repartition(7))]
+    for r in mixed[0]:
+        taken[r.source] += len(r.text.split())
+    want = brute_targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 80 for s in sizes)
+    assert Counter(map(tuple, mixed[0])) == Counter(map(tuple, mixed[1]))
+
+
 # ------------------------------------------------------------------- SQL
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_its_sql(spark, name):
