@@ -20,7 +20,15 @@ BLOCK = frozenset(
     "optgroup option p pre section summary table tbody td tfoot th thead tr ul xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure article section".split())
 HIDDEN = frozenset("head script style template title iframe noembed noframes datalist audio video "
-                   "canvas object svg math meta link".split())
+                   "canvas object meta link".split())
+#: Never shown inside SVG and inside MathML, and the start tags that end both.
+HIDDEN_IN = {"svg": frozenset({"title", "desc", "defs", "metadata"}),
+             "math": frozenset({"annotation", "annotation-xml"})}
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+    "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Elements of SVG and MathML that stand apart from what is beside them.
+APART = frozenset("text foreignobject mfrac mtr mtd".split())
 CLOSES_P = BLOCK - {"html", "body", "caption", "dd", "dt", "legend", "li", "optgroup", "option",
                     "tbody", "td", "tfoot", "th", "thead", "tr"} | {"li", "dd", "dt"}
 #: An open element of the first set is closed by the start of the named one, unless
@@ -45,19 +53,22 @@ SPAN_LIMIT = 100
 
 _TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
 _ATTR = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
-_NOT_SHOWN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_NOT_SHOWN = re.compile(r"(?<![\w-])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|initial|hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _RAW_END = {name: re.compile(f"</{name}(?=[\\s/>]|$)", re.I | re.A) for name in RAW}
 
 
 def tokens(page: str) -> Iterator[tuple]:
-    """``("text", s)``, ``("start", name, attributes)`` and ``("end", name)`` in page order.
+    """``("text", s)``, ``("start", name, attributes, closed)`` and ``("end", name)`` in page order.
 
     Comments, doctypes and processing instructions give nothing; an unclosed
     comment runs to the end. Raw elements give their content as one text token
-    (entities stay as they are, but for textarea and title).
+    (entities stay as they are, but for textarea and title). ``closed`` says that a start
+    tag inside SVG or MathML closes itself; elsewhere the slash means nothing.
     """
     at, n = 0, len(page)
+    foreign = 0  # open svg and math elements
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
@@ -78,22 +89,26 @@ def tokens(page: str) -> Iterator[tuple]:
             stop = page.find(">", at)
             at = n if stop < 0 else stop + 1
             continue
-        name, attributes = m[2].lower(), {}
+        name, attributes, slash = m[2].lower(), {}, False
         while at < n and page[at] != ">":
             a = _ATTR.match(page, at)
             if a and a.end() > at:
                 attributes.setdefault(a[1].lower(), next((v for v in a.groups()[1:] if v is not None), ""))
-                at = a.end()
+                at, slash = a.end(), False
             else:
+                slash = page[at] == "/"
                 at += 1
         if at >= n:
             return  # a tag that the page ends in
         at += 1
         if m[1]:
+            foreign -= name in HIDDEN_IN and foreign > 0
             yield "end", name
             continue
-        yield "start", name, attributes
-        if name in RAW:
+        closed = slash and (foreign > 0 or name in HIDDEN_IN)
+        foreign += name in HIDDEN_IN and not closed
+        yield "start", name, attributes, closed
+        if name in RAW and not closed:
             end = None if name == "plaintext" else _RAW_END[name].search(page, at)
             stop = end.start() if end else n
             raw = page[at:stop]
@@ -108,6 +123,12 @@ def _hidden(name: str, attributes: dict[str, str]) -> bool:
     return bool(style and _NOT_SHOWN.search(style))
 
 
+def _visible(attributes: dict[str, str], inherited: bool) -> bool:
+    """The visibility that an element sets, or else inherits."""
+    said = _VISIBILITY.findall(attributes.get("style") or "")
+    return said[-1].lower() in ("visible", "initial") if said else inherited
+
+
 class _Flow:
     """Lines of text being laid out: collapses white space, keeps block distances."""
 
@@ -223,8 +244,11 @@ def render(page: str | None) -> str:
     Start tags close what they imply (paragraphs, items, cells, rows); end tags
     close what is open inside them and are ignored when nothing matches. Hidden
     are the head, scripts, styles, templates, embedded documents, and elements
-    with the ``hidden`` attribute or an inline ``display:none`` or
-    ``visibility:hidden``, each with all it holds. Paragraphs, headings, lists and
+    with the ``hidden`` attribute or an inline ``display:none``, each with all it
+    holds; an inline ``visibility`` holds for what is inside until it is set again.
+    Formulas (MathML) and the ``text`` and ``foreignObject`` elements of SVG show
+    their text; titles, descriptions, definitions, metadata and annotations in them
+    do not. Paragraphs, headings, lists and
     tables stand apart by an empty line, other blocks begin lines, items are
     marked and indented, preformatted text keeps its white space, and the cells
     of a table are aligned in columns. A null or empty page gives the empty string.
@@ -232,15 +256,20 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     flow = _Flow()
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each hides its content
+    # open elements, whether each hides its content, and what was visible and in force around it
+    stack: list[tuple[str, bool, bool, str]] = []
     tables: list[_Table] = []
     counters: list[int | None] = []  # open lists: next number, None if without
     hidden = pre = 0
+    visible = True
+    inside = ""  # "svg", "text" (of it) or "math"; empty in HTML
     where: dict[str, int] = {}  # how many of each name are open
 
     def pop() -> None:
-        nonlocal flow, hidden, pre
-        name, hides = stack.pop()
+        nonlocal flow, hidden, pre, visible, inside
+        name, hides, visible, inside = stack.pop()
+        if inside and name in APART and not hidden:
+            flow.text(" ")
         where[name] -= 1
         hidden -= hides
         if name == "pre":
@@ -278,7 +307,7 @@ def render(page: str | None) -> str:
 
     for token in tokens(page):
         if token[0] == "text":
-            if not hidden:
+            if not hidden and visible and inside != "svg":
                 if pre:
                     flow.verbatim(token[1])
                 else:
@@ -300,6 +329,10 @@ def render(page: str | None) -> str:
                     if stack[depth][0] in stop:
                         break
             continue
+        if inside and (name in BREAKS_OUT or name == "font" and not token[2].keys().isdisjoint(
+                ("color", "face", "size"))):
+            while inside:
+                pop()
         if name in IMPLIED_END:
             close(*IMPLIED_END[name])
         if name in CLOSES_P:
@@ -307,7 +340,7 @@ def render(page: str | None) -> str:
         if name in BLOCK and where.get("head") and not where.get("body") and name != "html":
             close({"head"}, frozenset())
         if name in VOID:
-            if not hidden and not _hidden(name, token[2]):
+            if not hidden and visible and not _hidden(name, token[2]):
                 if name == "br":
                     flow.line()
                 elif name == "hr":
@@ -321,8 +354,20 @@ def render(page: str | None) -> str:
             tables[-1].rows.append([])
         elif name in BLOCK and name not in ("td", "th", "html", "body"):
             flow.block(2 if name in SPACED and not (name in ("ul", "ol") and counters) else 1)
-        hides = _hidden(name, token[2])
-        stack.append((name, hides))
+        if inside and not hidden and (name in APART or stack[-1][0] == "mfrac"):
+            flow.text(" ")
+        if token[3]:
+            continue
+        kind = "svg" if inside == "text" else inside
+        hides = _hidden(name, token[2]) or name in HIDDEN_IN.get(kind, ())
+        stack.append((name, hides, visible, inside))
+        visible = _visible(token[2], visible)
+        if name in HIDDEN_IN:
+            inside = name
+        elif inside == "svg" and name == "text":
+            inside = "text"
+        elif (kind, name) in (("svg", "foreignobject"), ("svg", "desc"), ("math", "annotation-xml")):
+            inside = ""  # HTML again
         where[name] = where.get(name, 0) + 1
         hidden += hides
         if name == "table":
@@ -346,6 +391,8 @@ def render(page: str | None) -> str:
                 counters[-1] += 1
             else:
                 flow.marker = "- "
+            if not visible:
+                flow.marker = ""
         elif name == "pre":
             pre += 1
     while stack:

@@ -158,6 +158,22 @@ def test_visibility_and_broken_markup():
     assert render("<table><tr><td colspan=99999999999>w" + "x" * 5000 + "</table>").endswith("x" * 5000)
 
 
+def test_svg_math_and_inherited_visibility():
+    assert render("<p>x <svg><title>t</title><desc>d</desc><defs><text>no</text></defs><metadata>m</metadata>g"
+                  "<path d='M0'/><g><text x=1>Sales<tspan> 2024</tspan></text><text/><defs/><text>Cost</text></g>"
+                  "<foreignObject>box<p>more</p></foreignObject></svg> y") == "x Sales 2024 Cost box\n\nmore\n\ny"
+    assert render("a<svg><style/><script/><title/><text>b</text></svg>c") == "a b c"
+    assert render("<svg><g>no<p>out of an open svg") == "out of an open svg"
+    assert render("So <math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow>"
+                  "<annotation>x=\\frac12</annotation><annotation-xml><b>no</b></annotation-xml></semantics></math>.") \
+        == "So x= 1 2 ."
+    assert render("<div style='visibility:hidden'>no<b style='visibility: visible'>yes<i>too</i></b>no"
+                  "<b style='visibility:inherit'>no</b></div>z") == "yestoo\nz"
+    assert render("<div style='display:none'>no<b style='visibility:visible'>no</b></div>z") == "z"
+    assert render("<ol><li style='visibility:hidden'>no<li>b</ol>") == "  2. b"
+    assert render("<p style='backface-visibility:hidden'>shown") == "shown"
+
+
 def test_page_cases(spark):
     df = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (2, None), (None, ""), (3, "plain")], "page_id long, html string")
     got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in extract_pages(df).collect()))
