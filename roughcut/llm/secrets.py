@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,50 @@ COMMON_WORDS = (
     "pass", "pwd", "your", "my", "the", "here", "none", "null", "true", "false", "value",
     "string", "required", "public", "private", "local", "host", "summer", "winter", "spring",
     "autumn", "january", "monday", "company", "office", "money", "secure", "security", "super")
+#: Words of prose after a credential name; shorter ones are cheap by brute force as they are.
+PROSE_WORDS = tuple("""
+    important incorrect automatic available different necessary encrypted protected generated mandatory
+    sensitive forgotten temporary permanent something everything important recommended automatically
+    immediately correctly previously completely currently definitely deliberately especially essentially
+    eventually exclusively explicitly extremely frequently generally identical implicitly impossible
+    inaccessible incomplete increasingly independent insensitive insufficient intentionally internally
+    invalidated irrelevant meaningless necessarily nonexistent normalized occasionally originally
+    overwritten particularly permanently personally predictable presumably randomized reasonably
+    recoverable refreshed registered regularly reinforced remembered repeatedly reportedly restricted
+    retrieved sensitive separately sequential shareable simultaneously sometimes somewhere specifically
+    straightforward subsequently successful successfully supposedly synchronized technically temporarily
+    transferred transmitted transparent ultimately unacceptable unauthorized unavailable unchanged
+    undefined understood unencrypted unfortunately universally unnecessary unpredictable unprotected
+    unrestricted unsuccessful unsupported vulnerable worthless acceptable accessible accidentally
+    accompanied according accordingly additionally alphanumeric alternatively anonymously appropriate
+    approximately associated authenticated authentication authenticating authorization authorized
+    basically certificate character characters communicated compromised concatenated conditional
+    confidential configurable configuration configured confirmation confirmed considered consistent
+    constantly controlled conveniently credential credentials cryptographic cryptographically customized
+    deactivated decrypted dependent deprecated description determined developers development
+    disappointing disclosed discovered displayed distributed documentation documented downloaded
+    duplicated dynamically electronic embedded employees environment environments established exchanged
+    expiration expiring following forbidden functional fundamental guaranteed hardcoded identified
+    implemented including information initialized inherently instructions integrated interactive
+    interesting introduced invalidation knowledge legitimate management manually maintained managed
+    misconfigured misspelled nevertheless nonetheless notoriously obligatory obviously operational
+    organization overridden passphrase performing physically possession potentially preconfigured
+    preferably primarily privileged production programmatically provisioned publicly punctuation
+    questionable recognized redirected referenced regenerated relatively replacement represented
+    reproducible requirement requirements responsibility responsible retrievable satisfactory scheduled
+    significant significantly standardized statically strengthened strictly substituted sufficiently
+    suspicious terminated theoretical traditionally triggered troublesome typically unavoidable
+    undisclosed unexpectedly unfamiliar uniquely unlikely unreadable unspecified untouched username
+    validated validation variously verification voluntarily whatsoever whitespace widespread
+    administrator administrators application applications permission permissions
+    notwendig erforderlich geheim geschützt unterschiedlich verschlüsselt automatisch wahrscheinlich
+    selbstverständlich ausschließlich grundsätzlich zurückgesetzt vertraulich gespeichert ungültig
+    abgelaufen verantwortlich wiederhergestellt unverschlüsselt beispielsweise möglicherweise
+    nécessaire obligatoire indispensable confidentiel automatiquement différent incorrecte disponible
+    personnelle réinitialisé généralement actuellement malheureusement probablement seulement
+    necesario obligatoria confidencial automáticamente diferente incorrecta importante contraseña
+    generalmente actualmente desafortunadamente probablemente solamente restablecida""".split())
+WORDS = COMMON_WORDS + tuple(dict.fromkeys(PROSE_WORDS))
 WALKS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz",
          "qazwsxedcrfvtgbyhnujmikolp", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik9ol0p")
 LEET = str.maketrans("4@8301!|5$7+2", "aabeoiiisstt" + "z")
@@ -48,7 +93,13 @@ _SPLIT = 0.7  # log10 of the guesses that each further segment costs
 _PAIRS = {w[i:i + 2] for walk in WALKS for w in (walk, walk[::-1]) for i in range(len(walk) - 1)}
 
 
-def guess_cost(value: str, words: Sequence[str] = COMMON_WORDS) -> float:
+@lru_cache(maxsize=8)
+def _ranks(words: tuple[str, ...]) -> tuple[dict[str, int], int]:
+    """Rank of every word, and the length of the longest."""
+    return {w: i + 1 for i, w in enumerate(words)}, max(map(len, words), default=0)
+
+
+def guess_cost(value: str, words: Sequence[str] = WORDS) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` takes.
 
     Segments are words (by rank, with letter case and look-alike digits at a
@@ -62,8 +113,7 @@ def guess_cost(value: str, words: Sequence[str] = COMMON_WORDS) -> float:
     n = len(value)
     low = value.lower()
     plain = low.translate(LEET)
-    longest = max(map(len, words), default=0)
-    rank = {w: i + 1 for i, w in enumerate(words)}
+    rank, longest = _ranks(tuple(words))
     dates: dict[int, list[int]] = {}
     for i in range(n):
         if low[i] in "0123" and (m := _DATE.match(low, i)):
@@ -107,15 +157,14 @@ def guess_cost(value: str, words: Sequence[str] = COMMON_WORDS) -> float:
     return best[n]
 
 
-def is_guarded(value: str, words: Sequence[str] = COMMON_WORDS,
+def is_guarded(value: str, words: Sequence[str] = WORDS,
                min_guesses: float = MIN_GUESSES) -> bool:
-    """Whether a value in credential context is hard to guess. Letters of one case
-    alone count as prose, whatever their cost."""
-    prose = value.isalpha() and value[1:] == value[1:].lower()
-    return not prose and guess_cost(value, words) >= min_guesses
+    """Whether a value in credential context is hard to guess, words of prose included:
+    what is not in ``words`` is dear, in letters of one case as well."""
+    return guess_cost(value, words) >= min_guesses
 
 
-def find_secrets(text: str | None, words: Sequence[str] = COMMON_WORDS,
+def find_secrets(text: str | None, words: Sequence[str] = WORDS,
                  min_guesses: float = MIN_GUESSES) -> list[tuple[int, int, str]]:
     """Spans ``(start, end, kind)`` in code points, end exclusive, by start and kind order."""
     if not text:
@@ -139,7 +188,7 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def secret_spans(text: Column, words: Sequence[str] = COMMON_WORDS,
+def secret_spans(text: Column, words: Sequence[str] = WORDS,
                  min_guesses: float = MIN_GUESSES) -> Column:
     """Struct of counts, the digest of the base spans and all spans for a text column."""
     @F.pandas_udf("n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
@@ -157,14 +206,16 @@ def secret_spans(text: Column, words: Sequence[str] = COMMON_WORDS,
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 words: Sequence[str] = COMMON_WORDS,
+                 words: Sequence[str] = WORDS,
                  min_guesses: float = MIN_GUESSES) -> DataFrame:
     """One row per row of ``docs``:
     ``doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans``.
 
     ``spans`` lists ``kind:start:end`` of every match over the whole text. The
     base kinds are fixed patterns; ``guess`` is the value after a credential name
-    ("password is ...") whose guess cost is at least ``10**min_guesses``. Spans
+    ("password is ...") whose guess cost is at least ``10**min_guesses``, whatever
+    letters it has; a word of prose that ``words`` lacks counts as well from ten
+    letters on. Spans
     of different kinds may overlap. A null or empty text has no spans (the digest
     is that of the empty string). No shuffle; repeated rows get equal answers; an
     empty table gives an empty result; other columns are not read.

@@ -86,6 +86,14 @@ def test_guess_costs_rank_values():
     assert guess_cost("") == 0 and guess_cost("x" * 5000) < 10
 
 
+def test_lower_case_values_are_guessed_like_others():
+    for value in ("xkqjzvbnwpqrtymlkd", "Xkqjzvbnwpqrtymlkd", "vostrimulakpen", "brontelquifasdrum"):
+        for text in (f"my password is {value}.", f"pwd: {value}", f"login -> {value}", f"the passphrase was '{value}'"):
+            assert [text[s:e] for s, e, k in find_secrets(text) if k == "guess"] == [value], text
+    for word in ("important", "straightforward", "automatically", "Required", "unencrypted", "confidential", "wahrscheinlich"):
+        assert not find_secrets(f"The password is {word}, and the login was {word}."), word
+
+
 def test_guess_cost_is_the_least_over_all_segmentations():
     words, pieces = ("abc", "cd1"), {"abc": 0, "cd1": 1}
     from math import log10
