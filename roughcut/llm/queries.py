@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roughcut.llm.common import stored
+from roughcut.llm.conversation_trie import CONVERSATION_TRIE_SQL, ordered_turns, prefix_trie, rebuilt
 from roughcut.llm.decontaminate import DECONTAMINATION_SQL, contaminated
 from roughcut.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from roughcut.llm.html_text import extract_pages
@@ -14,6 +16,7 @@ from roughcut.llm.langid import identify_languages
 from roughcut.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 from roughcut.llm.mixing import cube_mix
 from roughcut.llm.near_dedup import NEAR_DEDUP_SQL, near_duplicates
+from roughcut.llm.periodic import periodic_runs, strongest, with_repeated_tail
 from roughcut.llm.secrets import scan_secrets
 from roughcut.llm.sharding import rendezvous_shards, sharding_sql
 from roughcut.llm.substring_dedup import SUBSTRING_DEDUP_SQL, dedup_substrings
@@ -92,6 +95,29 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, each begun with turns of the first of five."""
+    turns = stored(ordered_turns(read_table(spark, sf_dir, "conversations")), "turns")
+    conv = F.col("conv_id")
+    head = F.crc32(conv.cast("string").cast("binary")) % 9
+    convs, again = rebuilt(turns, head, conv - conv % 5, 8)
+    return prefix_trie(convs, stored(again, "rebuilt"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every text, a tenth of the texts with a repeated tail."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = periodic_runs(docs, text_col=with_repeated_tail(F.col("text"), F.col("doc_id")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    digest = [F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256)
+              .alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")]
+    return found.withColumn("best", strongest()).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), *digest)
+
+
 ORACLE_SQL |= {
     "op1_minhash_near_dedup": NEAR_DEDUP_SQL,
     "op2_substring_dedup": SUBSTRING_DEDUP_SQL,
@@ -99,4 +125,5 @@ ORACLE_SQL |= {
     "op7_exact_dedup": EXACT_DEDUP_SQL,
     "op8_rendezvous_sharding": sharding_sql(),
     "op9_decontamination": DECONTAMINATION_SQL,
+    "op12_conversation_trie": CONVERSATION_TRIE_SQL,
 }
