@@ -17,6 +17,7 @@ from roughcut.llm.line_dedup import LINE_DEDUP_SQL, dedup_lines
 from roughcut.llm.mixing import cube_mix
 from roughcut.llm.near_dedup import NEAR_DEDUP_SQL, near_duplicates
 from roughcut.llm.periodic import periodic_runs, strongest, with_repeated_tail
+from roughcut.llm.quality import quality_rules
 from roughcut.llm.secrets import scan_secrets
 from roughcut.llm.sharding import rendezvous_shards, sharding_sql
 from roughcut.llm.substring_dedup import SUBSTRING_DEDUP_SQL, dedup_substrings
@@ -95,6 +96,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text and whether the base rule and the learned rules keep it."""
+    rows, _ = quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       "base_failed", "kept", "rule")
+
+
 @query
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix trie of all conversations, each begun with turns of the first of five."""
