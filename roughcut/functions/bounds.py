@@ -139,6 +139,43 @@ def sum_bound_ht_sql(sample_sum: Operand, sample_sumsq: Operand, rate: Operand,
     }
 
 
+def domain_spread_sql(total: Operand, spread: Operand, hits: Operand, sample_count: Operand) -> str:
+    """Standard deviation of ``y`` over all ``sample_count`` sampled rows of a stratum, where
+    the rows that do not match (or have no value) count as 0: from the ``hits`` values that do,
+    their ``total`` and their own standard deviation ``spread``."""
+    s, sd, k, n = sql(total), sql(spread), sql(hits), sql(sample_count)
+    inner = f"coalesce({sd} * {sd} * ({k} - 1), 0.0D)"
+    between = f"({s} / {k}) * ({s} / {k}) * {k} * ({n} - {k}) / {n}"
+    return (f"(CASE WHEN {n} <= 1 THEN NULL WHEN {k} = {n} THEN {sd} WHEN {k} > 0 "
+            f"THEN sqrt(({inner} + {between}) / ({n} - 1)) ELSE 0.0D END)")
+
+
+def domain_sum_sql(total: Operand, spread: Operand, hits: Operand, sample_count: Operand,
+                   population_count: Operand, least: Operand, most: Operand,
+                   confidence: float = 0.95) -> dict[str, str]:
+    """Interval of a stratum SUM over the rows that match a filter: ``total * N / n`` with the
+    spread of ``y * matches`` over all sampled rows, so that not knowing how many rows match
+    counts too.
+
+    Where no sampled row matches, the SUM is 0 with an unknown relative error, and the most
+    rows that can match (Wilson) times the ``least`` and ``most`` value of the stratum bound it.
+    A stratum sampled as a whole is exact.
+    """
+    s, k, n, N = sql(total), sql(hits), sql(sample_count), sql(population_count)
+    b = sum_bound_sql(total, domain_spread_sql(total, spread, hits, sample_count), sample_count,
+                      population_count, confidence)
+    rows = domain_count_interval_sql("0L", sample_count, population_count, confidence)["ci_high"]
+    none = f"({k} = 0 AND {n} < {N})"
+    whole = f"{n} >= {N}"
+    low = f"round({rows} * least(coalesce({sql(least)}, 0.0D), 0.0D), 2)"
+    high = f"round({rows} * greatest(coalesce({sql(most)}, 0.0D), 0.0D), 2)"
+    return {
+        "error_pct": f"CASE WHEN {none} THEN NULL WHEN {whole} THEN 0.0D ELSE abs({b['error_pct']}) END",
+        "ci_low": f"CASE WHEN {none} THEN {low} WHEN {whole} THEN round({s}, 2) ELSE {b['ci_low']} END",
+        "ci_high": f"CASE WHEN {none} THEN {high} WHEN {whole} THEN round({s}, 2) ELSE {b['ci_high']} END",
+    }
+
+
 def avg_sem_sql(sample_std: Operand, n: Operand, N: Operand) -> str:
     sd, n, N = sql(sample_std), sql(n), sql(N)
     return f"(CASE WHEN {n} > 1 AND {N} > 1 THEN ({sd} / sqrt({n})) * {_fpc(N, n)} END)"

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roughcut.functions import bounds
+from roughcut.functions.frames import join_on_groups
 from roughcut.operators.aggspec import as_aggs
 from roughcut.operators.sampling import q
 
@@ -54,7 +55,8 @@ def block_sample(spark: SparkSession, path: str, rate: float, salt: str = "") ->
 
 
 def block_aggregate(sample: BlockSample, aggs, group_by: Sequence[str] = (),
-                    where: Column | None = None, confidence: float = 0.95) -> DataFrame:
+                    where: Column | None = None, confidence: float = 0.95,
+                    groups: DataFrame | None = None) -> DataFrame:
     """COUNT, SUM and AVG over a block sample, with cluster-sampling intervals.
 
     With m of M files and the file totals t: a total is ``M / m * sum(t)`` with
@@ -63,6 +65,10 @@ def block_aggregate(sample: BlockSample, aggs, group_by: Sequence[str] = (),
     total of 0. Output per aggregate ``x``: ``x``, ``x_ci_low``, ``x_ci_high``
     and ``x_error_pct``; then ``sample_blocks`` and ``blocks``. With all files
     chosen the answer is exact; with fewer than two files there is no interval.
+
+    A group that lies in no chosen file (or matches there nowhere) is missing, unless
+    ``groups`` (the group columns of all groups, see ``SampleStore.known_groups``) names
+    it: then its COUNT and SUM are 0, with unknown bounds unless all files were chosen.
     """
     aggs = as_aggs(aggs)
     if any(a.func not in ("count", "sum", "avg") for a in aggs):
@@ -80,6 +86,8 @@ def block_aggregate(sample: BlockSample, aggs, group_by: Sequence[str] = (),
                  F.sum(c * c).alias(f"__nn{i}"), F.sum(t * c).alias(f"__tn{i}")]
     files = rows.groupBy(*g, F.input_file_name().alias("__file")).agg(*per_file)
     total = files.groupBy(*g).agg(*sums[1:]) if g else files.agg(*sums[1:])
+    if g and groups is not None:
+        total = join_on_groups(total, groups.select(*g), g)
     m, M, z = float(sample.chosen), float(sample.files), bounds.z_value(confidence)
     rest = 1.0 - m / M
     out = [q(c) for c in g]
@@ -94,7 +102,7 @@ def block_aggregate(sample: BlockSample, aggs, group_by: Sequence[str] = (),
             est = f"coalesce({st}, 0D) * {M}D / {m}D"
             ss = f"greatest({tt} - {st} * {st} / {m}D, 0D)"
             sd = f"{M}D * sqrt({rest}D * {ss} / ({m}D - 1) / {m}D)"
-        margin = "0D" if m == M else f"{z}D * {sd}" if m > 1 else "CAST(NULL AS DOUBLE)"
+        margin = "0D" if m == M else f"{z}D * CASE WHEN {sn} > 0 THEN {sd} END" if m > 1 else "CAST(NULL AS DOUBLE)"
         out += [f"{est} AS {q(a.name)}", f"{est} - {margin} AS {q(a.name + '_ci_low')}",
                 f"{est} + {margin} AS {q(a.name + '_ci_high')}",
                 f"round(try_divide({margin}, abs({est})) * 100, 2) AS {q(a.name + '_error_pct')}"]

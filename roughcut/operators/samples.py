@@ -57,6 +57,11 @@ META_SCHEMA = T.StructType([
     T.StructField("built_at", T.TimestampType()),
     T.StructField("hash_method", T.StringType()),
     T.StructField("data_path", T.StringType()),
+    # the columns as they are, whatever characters their names hold
+    T.StructField("group_list", T.ArrayType(T.StringType())),
+    T.StructField("key_list", T.ArrayType(T.StringType())),
+    # group columns whose values a tier build stored
+    T.StructField("known_groups", T.ArrayType(T.ArrayType(T.StringType()))),
 ])
 
 
@@ -107,12 +112,17 @@ class SampleStore:
 
     # ---------------------------------------------------------------- build
     def build_tiers(self, df: DataFrame, table: str, key, rates=DEFAULT_TIERS,
-                    hash_method: str = "md5") -> DataFrame:
+                    hash_method: str = "md5", known_groups: Sequence[Sequence[str]] = ()) -> DataFrame:
         """All uniform tiers in one write; returns the new meta rows.
 
         A stored ``h`` column on ``df`` is used as is; otherwise the key is
         hashed (``hash_method="xxhash"`` is the cheap choice when no SQL twin
         of the sample is needed).
+
+        ``known_groups`` names group columns whose distinct values (with their
+        number of rows) are stored with the tiers. With them a grouped answer from a
+        tier has every group, those without a sampled row too; without them the
+        planner takes no grouped answer from a tier.
         """
         rates = sorted(set(float(r) for r in rates))
         key = [key] if isinstance(key, str) else list(key)
@@ -140,9 +150,12 @@ class SampleStore:
         per_band = dict(self.spark.read.parquet(data).groupBy("tier_ppm").count()
                         .select("tier_ppm", "count").collect())
         cum = [sum(per_band.get(ppm(x), 0) for x in rates if x <= r) for r in rates]
+        known = [list(g) for g in known_groups]
+        for i, g in enumerate(known):
+            df.groupBy(*g).agg(F.count(F.lit(1)).alias("population_count")).write.parquet(f"{base}/{ver}/groups__{i}")
         built = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         rows = [(table, tier_name(r), r, None, cum[i], population, cum[-1],
-                 ",".join(key), built, hash_method, data) for i, r in enumerate(rates)]
+                 ",".join(key), built, hash_method, data, None, key, known) for i, r in enumerate(rates)]
         return self._publish(rows, f"{base}/meta/{ver}")
 
     def build_stratified(self, df: DataFrame, table: str, group_by, key,
@@ -155,7 +168,7 @@ class SampleStore:
         base, ver = self._strat(table, g), _version()
         # the written strata table cuts the lineage; the sample is then one
         # scan joined to the (counted, broadcast) empty strata
-        stratified.strata_table(dfh, g, rate).write.parquet(f"{base}/{ver}/strata")
+        stratified.strata_table(dfh, g, rate, extremes=True).write.parquet(f"{base}/{ver}/strata")
         strata = self.spark.read.parquet(f"{base}/{ver}/strata")
         rows = stratified.stratified_sample(dfh, g, rate, strata=strata)
         rows.hint("rebalance").write.parquet(f"{base}/{ver}/data")
@@ -164,7 +177,7 @@ class SampleStore:
         built = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         return self._publish(
             [(table, "stratified", float(rate), ",".join(g), sizes["s"], sizes["n"], sizes["s"],
-              ",".join(key), built, hash_method, f"{base}/{ver}/data")], f"{base}/meta/{ver}")
+              ",".join(key), built, hash_method, f"{base}/{ver}/data", g, key, None)], f"{base}/meta/{ver}")
 
     def _publish(self, rows: list, meta_path: str) -> DataFrame:
         """Write a build's metadata - the last step, which makes it visible."""
@@ -177,13 +190,15 @@ class SampleStore:
         """Every stored sample with its size and realised rate."""
         # the newest published build of a table's tiers, which replaces all tiers of older
         # ones, and of each stratified sample (a few rows per version; paths sort by build time)
-        build = Window.partitionBy("table_name", F.col("sample_type") == "stratified", "group_cols")
+        build = Window.partitionBy("table_name", F.col("sample_type") == "stratified", "group_list")
         meta = (self._all_meta().withColumn("__newest", F.max("data_path").over(build))
                 .filter(F.col("data_path") == F.col("__newest")).drop("__newest"))
         # storage_overhead: rows physically stored for this sample over the
         # population (all nested tiers share one dataset, so they report the
         # same overhead: the largest rate)
-        return (meta.withColumn("realised_rate", F.col("sample_rows") / F.col("population_rows"))
+        return (meta.withColumn("group_list", F.coalesce("group_list", F.split("group_cols", ",")))
+                .withColumn("key_list", F.coalesce("key_list", F.split("key_cols", ",")))
+                .withColumn("realised_rate", F.col("sample_rows") / F.col("population_rows"))
                 .withColumn("storage_overhead", F.col("stored_rows") / F.col("population_rows")))
 
     def _all_meta(self) -> DataFrame:
@@ -200,10 +215,10 @@ class SampleStore:
             self._meta_rows = self.registry().collect()
         return self._meta_rows
 
-    def _meta_row(self, table: str, sample_type: str, group_cols: str | None = None):
+    def _meta_row(self, table: str, sample_type: str, group_by: Sequence[str] | None = None):
         for row in self._registry_rows():
             if (row["table_name"] == table and row["sample_type"] == sample_type
-                    and (group_cols is None or row["group_cols"] == group_cols)):
+                    and (group_by is None or row["group_list"] == list(group_by))):
                 return row
         raise LookupError(f"no {sample_type} sample stored for {table}")
 
@@ -219,9 +234,25 @@ class SampleStore:
                       if r["table_name"] == table and r["sample_type"] != "stratified")
 
     def stratified_groups(self, table: str) -> list[tuple[str, ...]]:
-        return [tuple(r["group_cols"].split(",")) for r in self._registry_rows()
+        return [tuple(r["group_list"]) for r in self._registry_rows()
                 if r["table_name"] == table and r["sample_type"] == "stratified"]
 
+    def known_groups(self, table: str, group_by: Sequence[str]) -> DataFrame | None:
+        """Every value of the group columns that the table had when its samples were built:
+        from a stored list, or from the strata of a sample by these columns and maybe more.
+        None where neither is stored."""
+        want = set(group_by)
+        for r in self._registry_rows():
+            if r["table_name"] != table:
+                continue
+            base = r["data_path"].rsplit("/", 1)[0]
+            if r["sample_type"] == "stratified" and want <= set(r["group_list"]):
+                return self._read(f"{base}/strata").select(*group_by).distinct()
+            for i, g in enumerate(r["known_groups"] or []):
+                if want <= set(g):
+                    return self._read(f"{base}/groups__{i}").select(*group_by).distinct()
+        return None
+
     def tier(self, table: str, rate: float) -> DataFrame:
         """Rows of a uniform sample at ``rate`` from the newest tier build.
 
@@ -240,7 +271,7 @@ class SampleStore:
 
     def _strat_meta(self, table: str, group_by):
         g = [group_by] if isinstance(group_by, str) else list(group_by)
-        return self._meta_row(table, "stratified", ",".join(g))
+        return self._meta_row(table, "stratified", g)
 
     def stratified_rows(self, table: str, group_by) -> DataFrame:
         return self._read(self._strat_meta(table, group_by)["data_path"])
@@ -254,8 +285,11 @@ class SampleStore:
                        accuracy: float | None = None, where=None,
                        confidence: float = 0.95, bound_method: str = "proportion",
                        group_by: Sequence[str] = ()) -> DataFrame:
-        """Aggregate answered from a stored tier (groups that the tier has no
-        row of are missing; see :meth:`stratified_aggregate` for all groups).
+        """Aggregate answered from a stored tier.
+
+        Grouped, with the groups known (:meth:`known_groups`), a group without a sampled
+        (matching) row has COUNT and SUM 0, a COUNT of at most ``x_ci_high`` and unknown
+        errors (NULL); with groups that nothing stored tells of, such groups are missing.
 
         COUNT/SUM are scaled by the tier's realised rate ``n/N`` read from
         the tier metadata, so the estimate is unbiased even though the tier
@@ -271,6 +305,9 @@ class SampleStore:
                                         bound_method=bound_method,
                                         population=meta["population_rows"],
                                         sample_size=meta["sample_rows"])
+        known = self.known_groups(table, group_by) if group_by else None
+        if known is not None:
+            res = sampling.with_all_groups(res, known, as_aggs(aggs), group_by, realised, rate, confidence)
         return res.withColumn("sample_type", F.lit(tier_name(rate)))
 
     def stratified_aggregate(self, table: str, group_by, aggs, where=None) -> DataFrame:
@@ -288,12 +325,14 @@ class SampleStore:
         rows = self.stratified_rows(table, g)
         if where is not None:
             rows = rows.filter(where)
-        stats = ["count(1) AS __nd"] + [f"{agg_sql(a)} AS {q(a.name + '__s')}" for a in aggs]
-        stats += [f"stddev_samp({q(a.column)}) AS {q(a.name + '__sd')}" for a in aggs
-                  if a.func in ("sum", "avg")]
+        stats = [f"{agg_sql(a)} AS {q(a.name + '__s')}" for a in aggs]
+        for a in aggs:
+            if a.func in ("sum", "avg"):
+                stats += [f"stddev_samp({q(a.column)}) AS {q(a.name + '__sd')}", f"count({q(a.column)}) AS {q(a.name + '__k')}"]
         agg = rows.groupBy(*g).agg(*[F.expr(x) for x in stats])
-        strata = self.strata(table, g).select(*[F.col(c).alias(f"__s_{c}") for c in g],
-                                              "sample_count", "population_count")
+        stored = self.strata(table, g)
+        known = {c: q(c) for c in stored.columns if c.startswith(("min__", "max__"))}
+        strata = stored.select(*[F.col(c).alias(f"__s_{c}") for c in g], "sample_count", "population_count", *known)
         # null-safe: a NULL group value is a stratum like any other; a stratum without a
         # matching sampled row stays, with COUNT and SUM 0 and an upper bound
         cond = None
@@ -302,8 +341,6 @@ class SampleStore:
             cond = eq if cond is None else cond & eq
         j = strata.join(agg, cond, "left")
         n, N = "sample_count", "population_count"
-        n_d = "coalesce(__nd, 0)"
-        N_d = f"({n_d} * {N} / {n})"  # sampled rows of the (filtered) domain
         out = [f"{q('__s_' + c)} AS {q(c)}" for c in g]
         for a in aggs:
             v = q(a.name + "__s")
@@ -314,12 +351,14 @@ class SampleStore:
                 out += stratified.count_interval(a, v, n, N, where is not None)
             elif a.func == "sum":
                 d = f"CAST({v} AS DOUBLE)" if where is None else f"coalesce(CAST({v} AS DOUBLE), 0.0D)"
-                b = bounds.sum_bound_sql(d, q(a.name + "__sd"), n_d, N_d)
-                out += [f"{d} * {N} / {n} AS {q(a.name)}", f"{d} AS {q(a.name + '_sample')}",
-                        f"{b['error_pct']} AS {q(a.name + '_error_pct')}"]
+                lo, hi = (known.get(f"{x}__{a.column}", "CAST(NULL AS DOUBLE)") for x in ("min", "max"))
+                b = bounds.domain_sum_sql(d, q(a.name + "__sd"), f"coalesce({q(a.name + '__k')}, 0)", n, N, lo, hi)
+                out += [f"{d} * {N} / {n} AS {q(a.name)}", f"{d} AS {q(a.name + '_sample')}"]
+                out += [f"{b[x]} AS {q(a.name + '_' + x)}" for x in ("ci_low", "ci_high", "error_pct")]
             elif a.func == "avg":
                 d = f"CAST({v} AS DOUBLE)"
-                m = bounds.avg_bound_sql(q(a.name + "__sd"), n_d, N_d)["margin"]
+                k = f"coalesce({q(a.name + '__k')}, 0)"
+                m = bounds.avg_bound_sql(q(a.name + "__sd"), k, f"({k} * {N} / {n})")["margin"]
                 out += [f"{d} AS {q(a.name)}",
                         f"CASE WHEN {d} != 0 THEN round({m} / abs({d}) * 100, 2) END AS {q(a.name + '_error_pct')}"]
             else:
@@ -339,19 +378,20 @@ class SampleStore:
         """
         before = {r["data_path"] for r in self._registry_rows()}
         reg = (self.registry().filter(F.col("table_name") == table)
-               .select("sample_type", "rate", "group_cols", "key_cols", "hash_method").collect())
+               .select("sample_type", "rate", "group_list", "key_list", "hash_method", "known_groups").collect())
         tiers = sorted({r["rate"] for r in reg if r["sample_type"] != "stratified"})
-        keys = {(r["key_cols"], r["hash_method"] or "md5") for r in reg}
+        known = next((r["known_groups"] for r in reg if r["sample_type"] != "stratified"), None) or []
+        keys = {(tuple(r["key_list"]), r["hash_method"] or "md5") for r in reg}
         if len(keys) != 1:
             raise LookupError(f"no samples (or mixed keys / hash methods) stored for {table}")
-        key_text, method = keys.pop()
-        key = key_text.split(",")
+        key_cols, method = keys.pop()
+        key = list(key_cols)
         self._invalidate()
         if tiers:
-            self.build_tiers(df, table, key, tiers, hash_method=method)
+            self.build_tiers(df, table, key, tiers, hash_method=method, known_groups=known)
         for r in reg:
             if r["sample_type"] == "stratified":
-                self.build_stratified(df, table, r["group_cols"].split(","), key, r["rate"],
+                self.build_stratified(df, table, r["group_list"], key, r["rate"],
                                       hash_method=method)
         if profile_path is not None:
             invalidate_profile(self.spark, profile_path)

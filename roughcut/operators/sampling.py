@@ -16,12 +16,14 @@ so only one partial row per group and partition crosses the shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roughcut.functions import bounds
+from roughcut.functions.frames import join_on_groups
 from roughcut.functions.hashing import threshold, with_row_hash
 from roughcut.operators.aggspec import Agg, as_aggs
 
@@ -64,17 +66,24 @@ def sample_aggregate(df: DataFrame, aggs, rate: float, group_by: Sequence[str] =
                      where: Column | None = None, key=None, method: str = "hash",
                      seed: int = 42, confidence: float = 0.95,
                      bound_method: str = "proportion", with_bounds: bool = True,
-                     hash_method: str = "md5") -> DataFrame:
+                     hash_method: str = "md5", all_groups: bool = False) -> DataFrame:
     """Aggregate over a runtime sample and scale to the population.
 
     The WHERE predicate applies to sampled rows (sample first); with hash
     sampling the order does not change the result, so Catalyst is free to
     push the predicate into the Parquet scan. See :func:`aggregate_sample`
     for the output columns.
+
+    ``all_groups=True`` keeps the groups of ``df`` that no sampled row belongs
+    to (see :func:`with_all_groups`); they cost a second, key-only pass.
     """
     rows = uniform_sample(df, rate, key, method, seed, hash_method=hash_method)
-    return aggregate_sample(rows, aggs, rate, group_by, where, confidence,
-                            bound_method, with_bounds)
+    res = aggregate_sample(rows, aggs, rate, group_by, where, confidence,
+                           bound_method, with_bounds)
+    if all_groups and group_by:
+        groups = df.select(*group_by).distinct()
+        res = with_all_groups(res, groups, aggs, group_by, rate, rate, confidence)
+    return res
 
 
 def aggregate_sample(rows: DataFrame, aggs, rate: float, group_by: Sequence[str] = (),
@@ -152,6 +161,28 @@ def aggregate_sample(rows: DataFrame, aggs, rate: float, group_by: Sequence[str]
     return grouped.selectExpr(*out)
 
 
+def with_all_groups(res: DataFrame, groups: DataFrame, aggs, group_by: Sequence[str], realised: float,
+                    rate: float, confidence: float = 0.95) -> DataFrame:
+    """A grouped answer of :func:`aggregate_sample` completed to all of ``groups``: one that no
+    sampled (matching) row belongs to has COUNT and SUM 0, unknown errors, and as many rows at
+    most as leave the sample empty with the chance that the confidence allows."""
+    full = join_on_groups(res, groups.select(*group_by), list(group_by))
+    most = math.ceil(math.log(1 - confidence) / math.log1p(-realised)) if realised < 1.0 else 0
+    cols = {"sample_rows": F.coalesce("sample_rows", F.lit(0).cast("long")),
+            "sample_rate": F.lit(float(rate))}
+    missed = F.col("sample_rows").isNull()
+    for a in as_aggs(aggs):
+        if a.func not in ("count", "sum"):
+            continue
+        zero = F.lit(0).cast("long" if a.func == "count" else "double")
+        cols |= {a.name: F.when(missed, zero).otherwise(F.col(q(a.name))),
+                 f"{a.name}_sample": F.when(missed, zero).otherwise(F.col(q(a.name + "_sample")))}
+        if a.func == "count" and f"{a.name}_ci_high" in res.columns:
+            cols |= {f"{a.name}_ci_low": F.when(missed, zero).otherwise(F.col(q(a.name + "_ci_low"))),
+                     f"{a.name}_ci_high": F.when(missed, F.lit(most).cast("long")).otherwise(F.col(q(a.name + "_ci_high")))}
+    return full.withColumns(cols).select(*res.columns)
+
+
 def count_with_error(counts: DataFrame, count_col: str, rate: float,
                      confidence: float = 0.95, method: str = "proportion") -> DataFrame:
     """Attach a COUNT bound to every row of an aggregated result."""

@@ -30,6 +30,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from roughcut.functions import bounds
 from roughcut.functions.hashing import HASH_SPACE, threshold, with_row_hash
@@ -54,13 +55,14 @@ def strata_distinct(df: DataFrame, group_by) -> DataFrame:
 
 
 def strata_table(df: DataFrame, group_by, rate: float, key=None, h: str = "h",
-                 with_rows: bool = False, hash_method: str = "md5") -> DataFrame:
+                 with_rows: bool = False, hash_method: str = "md5", extremes: bool = False) -> DataFrame:
     """S3: per stratum ``population_count``, ``below_count`` (rows under the
     rate threshold), ``sample_count`` (= max(below_count, 1)) and ``min_h``.
 
     ``with_rows=True`` adds ``forced_row``: the whole minimum-hash row of the
     stratum (a struct), which is the stratum's sample when no hash falls
-    under the threshold.
+    under the threshold. ``extremes=True`` adds ``min__x`` and ``max__x`` of every
+    numeric column x (DOUBLE), which bound a SUM of rows that the sample missed.
     """
     g = _groups(group_by)
     if h not in df.columns:
@@ -70,6 +72,9 @@ def strata_table(df: DataFrame, group_by, rate: float, key=None, h: str = "h",
     aggs = [F.count(F.lit(1)).alias("population_count"),
             F.count_if(below).alias("below_count"),
             F.min(hash_).alias("min_h")]
+    if extremes:
+        numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in (h, *g)]
+        aggs += [fn(F.col(q(c))).cast("double").alias(f"{fn.__name__}__{c}") for c in numeric for fn in (F.min, F.max)]
     if with_rows:
         aggs.append(F.min_by(F.struct(*[F.col(c) for c in df.columns]), hash_).alias("forced_row"))
     return (df.groupBy(*g).agg(*aggs)
@@ -135,8 +140,12 @@ def _sampled(a: Agg, sel: str, w: str, h: str) -> list[str]:
     else:
         out = [f"CAST({a.func}({picked}) AS DOUBLE) AS {q(a.name + '__b')}", forced]
     if a.func in ("sum", "avg"):
-        # spread of the sampled values (a lone forced row has none)
-        out.append(f"stddev_samp({picked}) AS {q(a.name + '__sd')}")
+        # spread and number of the sampled values (a lone forced row has no spread)
+        out += [f"stddev_samp({picked}) AS {q(a.name + '__sd')}", f"count({picked}) AS {q(a.name + '__k')}",
+                f"CAST(min_by(CASE WHEN {w} THEN {c} END, {h}) IS NOT NULL AS BIGINT) AS {q(a.name + '__fk')}"]
+    if a.func == "sum":
+        # the pass sees every row, so the extremes of the stratum are known
+        out += [f"CAST(min({c}) AS DOUBLE) AS {q(a.name + '__lo')}", f"CAST(max({c}) AS DOUBLE) AS {q(a.name + '__hi')}"]
     return out
 
 
@@ -159,14 +168,16 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
     Output: group columns, one column per aggregate (COUNT and SUM scaled by
     ``N_g / n_g`` of the **unfiltered** stratum, AVG/MIN/MAX as sampled),
     ``x_sample`` for COUNT/SUM, ``x_ci_low``/``x_ci_high`` for COUNT (exact
-    without a filter, Wilson's interval with one), SUM and AVG (normal
-    interval from the spread of the sampled values within the stratum, with
-    finite-population correction; NULL when fewer than two rows were
-    sampled), ``x_error_pct`` per COUNT/SUM/AVG (relative margin of that
+    without a filter, Wilson's interval with one), SUM (normal interval from
+    the spread within the stratum of the value times whether the row matches,
+    rows that do not match counting as 0) and AVG (a ratio: from the spread of
+    the sampled values that match), both with finite-population correction
+    and NULL when fewer than two rows were sampled, ``x_error_pct`` per COUNT/SUM/AVG (relative margin of that
     estimate), ``sample_count``, ``population_count`` and the reference's
     per-stratum ``error_pct``. With ``where`` every stratum stays in the
-    result: one without a matching sampled row has COUNT and SUM 0, and its
-    COUNT an upper bound, since unsampled rows may match.
+    result: one without a matching sampled row has COUNT and SUM 0 with an
+    unknown relative error, and bounds, since unsampled rows may match: of the
+    COUNT Wilson's, of the SUM that many rows of the stratum's largest value.
     """
     g = _groups(group_by)
     aggs = as_aggs(aggs)
@@ -180,9 +191,7 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
     hq = _hash_sql(h)
     below = f"{hq} < {bounds.sql(threshold(rate))}"
     sel = f"({below}) AND {w}"
-    stats = ["count(1) AS population_count", f"count_if({below}) AS below_count",
-             f"count_if({sel}) AS match__b",
-             f"min_by(CASE WHEN {w} THEN 1 ELSE 0 END, {hq}) AS match__f"]
+    stats = ["count(1) AS population_count", f"count_if({below}) AS below_count"]
     for a in aggs:
         stats += _sampled(a, sel, w, hq)
     agg = df.groupBy(*g).agg(*[F.expr(x) for x in stats])
@@ -190,11 +199,11 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
     has_below = "below_count > 0"
     n = "greatest(below_count, 1)"
     N = "population_count"
-    # rows of the (filtered) domain in the sample, and its estimated size
-    n_d = f"(CASE WHEN {has_below} THEN match__b ELSE match__f END)"
-    N_d = f"({n_d} * {N} / {n})"
     out = [q(c) for c in g]
     for a in aggs:
+        # sampled values of the (filtered) domain, and their number in the stratum as estimated
+        k = f"(CASE WHEN {has_below} THEN {q(a.name + '__k')} ELSE {q(a.name + '__fk')} END)"
+        N_k = f"({k} * {N} / {n})"
         v = f"(CASE WHEN {has_below} THEN {q(a.name + '__b')} ELSE {q(a.name + '__f')} END)"
         name = q(a.name)
         if a.func == "count":
@@ -203,12 +212,12 @@ def stratified_aggregate(df: DataFrame, group_by, aggs, rate: float, key=None,
         elif a.func == "sum":
             if where is not None:
                 v = f"coalesce({v}, 0.0D)"
-            b = bounds.sum_bound_sql(v, q(a.name + "__sd"), n_d, N_d)
+            b = bounds.domain_sum_sql(v, q(a.name + "__sd"), k, n, N, q(a.name + "__lo"), q(a.name + "__hi"))
             out += [f"{v} * {N} / {n} AS {name}", f"{v} AS {q(a.name + '_sample')}",
                     f"{b['ci_low']} AS {q(a.name + '_ci_low')}", f"{b['ci_high']} AS {q(a.name + '_ci_high')}",
                     f"{b['error_pct']} AS {q(a.name + '_error_pct')}"]
         elif a.func == "avg":
-            m = bounds.avg_bound_sql(q(a.name + "__sd"), n_d, N_d)["margin"]
+            m = bounds.avg_bound_sql(q(a.name + "__sd"), k, N_k)["margin"]
             out += [f"{v} AS {name}", f"round({v} - {m}, 4) AS {q(a.name + '_ci_low')}",
                     f"round({v} + {m}, 4) AS {q(a.name + '_ci_high')}",
                     f"CASE WHEN {v} != 0 THEN round({m} / abs({v}) * 100, 2) END AS {q(a.name + '_error_pct')}"]

@@ -246,6 +246,23 @@ Q["stratified_filtered"] = _strat_agg(
     f"{_FILTERED}, t.sample_count, t.population_count, {_W_ERR} AS cnt_error_pct", where="WHERE amount > 50")
 Q["stratified_filtered_rare"] = _strat_agg(_FILTERED, where="WHERE user_id < 2")
 
+
+
+def domain_sum(s: str, sd: str, k: str, n: str, N: str, lo: str, hi: str) -> dict[str, str]:
+    """Filtered SUM of a stratum: the spread is that of the value times whether the row matches."""
+    spread = (f"(CASE WHEN {n} <= 1 THEN NULL WHEN {k} = {n} THEN {sd} WHEN {k} > 0 THEN "
+              f"sqrt((coalesce({sd} * {sd} * ({k} - 1), 0.0) + ({s} / {k}) * ({s} / {k}) * {k} * ({n} - {k}) / {n}) "
+              f"/ ({n} - 1)) ELSE 0.0 END)")
+    b = sum_bound(s, spread, n, N)
+    most = _wilson("0", n, N)[1]
+    none, whole = f"({k} = 0 AND {n} < {N})", f"{n} >= {N}"
+    return {"error_pct": f"CASE WHEN {none} THEN NULL WHEN {whole} THEN 0.0 ELSE abs({b['error_pct']}) END",
+            "ci_low": f"CASE WHEN {none} THEN round({most} * least(coalesce({lo}, 0.0), 0.0), 2) "
+                      f"WHEN {whole} THEN round({s}, 2) ELSE {b['ci_low']} END",
+            "ci_high": f"CASE WHEN {none} THEN round({most} * greatest(coalesce({hi}, 0.0), 0.0), 2) "
+                       f"WHEN {whole} THEN round({s}, 2) ELSE {b['ci_high']} END"}
+
+
 Q["sample_blocks"] = w() + f"""SELECT count(*) AS cnt, {r6(SUM_AMT)} AS total_revenue, {r6(AVG_AMT)} AS avg_amount,
   12 AS sample_blocks, 48 AS blocks, TRUE AS cnt_within, TRUE AS total_revenue_within, TRUE AS avg_amount_within,
   12 AS files_read FROM sales"""
@@ -277,6 +294,24 @@ SELECT a.l_returnflag, a.l_linestatus,
 FROM a JOIN st ON a.l_returnflag IS NOT DISTINCT FROM st.l_returnflag
   AND a.l_linestatus IS NOT DISTINCT FROM st.l_linestatus"""
 
+# the stratum's rows under the threshold, or its forced row; those that match have a value
+_DS = domain_sum("a.s", "a.sd", "a.k", "a.n", "a.pop", "a.lo", "a.hi")
+_DS_SEM = avg_sem("a.sd", "a.k", "(a.k * a.pop / a.n)")
+Q["stratified_filtered_sum"] = f"""WITH li AS (SELECT *, {hsql(_LI_KEY)} AS h, l_partkey % 50 = 7 AS m FROM lineitem),
+st AS (SELECT l_returnflag AS rf, l_linestatus AS ls, count(*) AS pop, min(h) AS mh,
+         count(*) FILTER (WHERE h < {T10}) AS below, CAST(min(l_quantity) AS DOUBLE) AS lo,
+         CAST(max(l_quantity) AS DOUBLE) AS hi FROM li GROUP BY ALL),
+a AS (SELECT rf, ls, pop, lo, hi, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE m) AS DOUBLE) AS k,
+        CAST(coalesce(sum(l_quantity) FILTER (WHERE m), 0) AS DOUBLE) AS s, stddev_samp(l_quantity) FILTER (WHERE m) AS sd
+      FROM li JOIN st ON l_returnflag = rf AND l_linestatus = ls
+      WHERE h < {T10} OR (below = 0 AND h = mh) GROUP BY ALL)
+SELECT rf AS l_returnflag, ls AS l_linestatus, {r6('s * pop / n')} AS sum_qty, {r6(_DS['ci_low'])} AS sum_qty_ci_low,
+  {r6(_DS['ci_high'])} AS sum_qty_ci_high, {r6(_DS['error_pct'])} AS sum_qty_error_pct,
+  {r6('CASE WHEN k > 0 THEN s / k END')} AS avg_qty,
+  {r6(f'round(CASE WHEN k > 0 THEN s / k END - round(1.96 * {_DS_SEM}, 4), 4)')} AS avg_qty_ci_low,
+  {r6(f'round(CASE WHEN k > 0 THEN s / k END + round(1.96 * {_DS_SEM}, 4), 4)')} AS avg_qty_ci_high
+FROM a"""
+
 Q["stratified_documents_lang"] = f"""WITH dc AS (SELECT doc_id, lang, n_chars, {hsql(['doc_id'])} AS h FROM documents),
 st AS (SELECT lang, count(*) AS population_count, count(*) FILTER (WHERE h < {T10}) AS below_count,
          min(h) AS min_h, CAST(greatest(count(*) FILTER (WHERE h < {T10}), 1) AS BIGINT) AS sample_count
@@ -546,6 +581,51 @@ Q["approx_aggregate_sketch"] = w() + f"""SELECT {r6(SUM_AMT)} AS total_revenue,
 Q["accuracy_sweep"] = w(_SIZES) + "\nUNION ALL ".join(
     f"SELECT *, {r6(d(a))} AS accuracy_target FROM ({_targeted(a)})" for a in ACC)
 
+_FS = domain_sum("a.s", "a.sd", "a.k", "a.n", "a.pop", "a.lo", "a.hi")
+_T25 = threshold(0.25)
+Q["approx_aggregate_filtered_sum"] = f"""WITH ev AS (SELECT *, {hsql(['event_id'])} AS h, user_id % 50 = 7 AS m FROM events),
+st AS (SELECT event_type AS g, count(*) AS pop, min(h) AS mh, count(*) FILTER (WHERE h < {_T25}) AS below,
+         min(value) AS lo, max(value) AS hi FROM ev GROUP BY ALL),
+a AS (SELECT g, pop, lo, hi, CAST(count(*) AS DOUBLE) AS n, CAST(count(value) FILTER (WHERE m) AS DOUBLE) AS k,
+        coalesce(sum(value) FILTER (WHERE m), 0.0) AS s, stddev_samp(value) FILTER (WHERE m) AS sd
+      FROM ev JOIN st ON event_type = g WHERE h < {_T25} OR (below = 0 AND h = mh) GROUP BY ALL),
+e AS (SELECT g AS event_type, {r6('s * pop / n')} AS total, {r6(_FS['error_pct'])} AS total_error_pct,
+        'materialized_stratified' AS strategy FROM a),
+x AS (SELECT event_type, {r6('sum(value)')} AS total, {d(0.0)} AS total_error_pct, 'exact' AS strategy
+      FROM ev WHERE m GROUP BY event_type),
+worst AS (SELECT max(coalesce(total_error_pct, 1e300)) AS w FROM e)
+""" + "\nUNION ALL ".join(
+    f"SELECT {src}.*, {d(t)} AS accuracy_target FROM {src}, worst WHERE w {op} {round((1 - t) * 100, 6)}"
+    for t in (0.2, 0.99) for src, op in (("e", "<="), ("x", ">")))
+
+
+def _rare(listed: bool, target: float, name: str, where: str) -> str:
+    """The first tier in which every group has a sampled match and keeps the target, else exact;
+    exact at once without a list of the groups."""
+    label = f"{str(listed).upper()} AS listed, {d(target)} AS accuracy_target, '{name}' AS filter"
+    exact = (f"SELECT 9 AS step, {label}, grp, count(*) AS cnt, {d(0.0)} AS cnt_error_pct, 'exact' AS strategy "
+             f"FROM rg WHERE {where} GROUP BY grp")
+    if not listed:
+        return f"SELECT * EXCLUDE (step) FROM ({exact})"
+    first = 0.2 if target >= 0.95 else 0.1 if target >= 0.9 else 0.01
+    parts = [exact]
+    for i, (rate, thr, n) in enumerate(_STEPS):
+        if rate >= first:
+            rr = f"(CAST({n} AS DOUBLE) / n_all)"
+            err = count_bound("c", rr, "ht")["error_pct"]
+            parts.append(f"""SELECT {i}, {label}, grp, CAST(floor(c * n_all / {n}) AS BIGINT), {r6(err)}, 'materialized_tier'
+FROM (SELECT grp, count(*) FILTER (WHERE h < {thr} AND {where}) AS c FROM rg GROUP BY grp) q, sz""")
+    union = "\nUNION ALL ".join(parts)
+    return f"""SELECT * EXCLUDE (step, worst, best) FROM (SELECT *, min(step) FILTER (WHERE worst <= {round((1 - target) * 100, 6)})
+  OVER () AS best FROM (SELECT *, max(coalesce(cnt_error_pct, 1e300)) OVER (PARTITION BY step) AS worst FROM ({union})))
+WHERE step = best"""
+
+
+Q["approx_aggregate_rare_group"] = w(_SIZES, """rg AS (SELECT *, CASE WHEN event_id < 4 THEN 'rare'
+  ELSE 'g' || CAST(event_id % 8 AS VARCHAR) END AS grp FROM sales)""") + "\nUNION ALL ".join(
+    f"({_rare(listed, t, name, where)})" for listed in (True, False) for t in (0.2, 0.95)
+    for name, where in (("all", "TRUE"), ("most", "amount > 20"), ("few", "event_id >= 4")))
+
 _EV_RATE = _rate_sql(d(0.95), "m", "sd", "n")
 Q["approx_aggregate_grouped"] = f"""WITH ev AS (SELECT *, {hsql(['event_id'])} AS h FROM events),
 st AS (SELECT count(*) AS n, avg(value) AS m, stddev_samp(value) AS sd FROM events),
@@ -615,13 +695,19 @@ Q["compare_strategies"] = w(_EXACT, strata(T10), samp(T10),
   {SUM_AMT} / {R10} AS total_revenue FROM sales WHERE h < {T10} GROUP BY region)""",
                             f"""a AS (SELECT region, count(*) AS cnt_s, {SUM_AMT} AS sum_s FROM samp GROUP BY region)""",
                             f"""sa AS (SELECT a.region, {_CNT_EST} AS cnt, {_SUM_EST} AS total_revenue
-  FROM a JOIN strata t ON a.region = t.region)""") + "\nUNION ALL ".join(
+  FROM a JOIN strata t ON a.region = t.region)""",
+                            _SIZES, f"""ti AS (SELECT t.region, CAST(floor(count(s.h) * any_value(n_all) / any_value(n10)) AS BIGINT) AS cnt,
+  coalesce(CAST(sum(s.amount) AS DOUBLE), 0.0) * any_value(n_all) / any_value(n10) AS total_revenue
+  FROM (SELECT DISTINCT region FROM sales) t LEFT JOIN (SELECT * FROM sales WHERE h < {T10}) s ON s.region = t.region, sz
+  GROUP BY t.region)""", f"""una AS (SELECT ex.region, coalesce(un.cnt, 0) AS cnt, coalesce(un.total_revenue, 0) AS total_revenue
+  FROM ex LEFT JOIN un ON ex.region = un.region)""") + "\nUNION ALL ".join(
     [f"""SELECT '{nm}' AS strategy, TRUE AS supported, coalesce(ex.region, x.region) AS region,
   {_cmp_cols('ex', 'x', with_acc=False)}, {r6(R10)} AS sample_rate
 FROM ex FULL OUTER JOIN {src} x ON ex.region = x.region"""
-     for nm, src in (("uniform", "un"), ("stratified", "sa"), ("materialized_stratified", "sa"))] +
+     for nm, src in (("uniform", "una"), ("stratified", "sa"), ("materialized_tier", "ti"),
+                     ("materialized_stratified", "sa"))] +
     [f"""SELECT '{nm}', FALSE, CAST(NULL AS VARCHAR), NULL, NULL, NULL, NULL, NULL, NULL, CAST(NULL AS DOUBLE)"""
-     for nm in ("materialized_tier", "sketch")])
+     for nm in ("sketch",)])
 
 
 def oracle_sql() -> dict[str, str]:

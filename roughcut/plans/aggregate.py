@@ -14,7 +14,8 @@ Rules, in order:
 2. fewer rows than ``small_table_rows``, where that is given -> ``exact``;
 3. grouped, with a stored stratified sample on these columns ->
    ``materialized_stratified``;
-4. stored tiers, and not grouped by a skewed column (normalised Gini > 0.6) ->
+4. stored tiers, and not grouped, or grouped by columns whose values are stored
+   (a tier alone may lack groups) and not skewed (normalised Gini > 0.6) ->
    ``materialized_tier`` (tier by accuracy);
 5. without ``runtime_sampling`` -> ``exact``: a sample drawn at query time
    reads the same bytes as the answer it estimates;
@@ -23,7 +24,9 @@ Rules, in order:
    above the largest rate -> ``exact``.
 
 An answer from a stored sample whose stated error exceeds the target goes to
-the next larger tier, and from the last to ``exact``.
+the next larger tier, and from the last to ``exact``. Every group of the table is
+in the answer; one that a sample has no (matching) row of has an unknown error, so
+a stored sample that misses one does not keep any target.
 
 Every strategy returns the same columns: the group columns, one estimate
 per aggregate, ``<agg>_error_pct`` (NULL where no bound is defined),
@@ -139,6 +142,11 @@ def choose_plan(df: DataFrame, aggs: list[Agg], group_by: list[str], accuracy: f
     if group_by and stored_here and tuple(group_by) in store.stratified_groups(table):
         return Plan("materialized_stratified", reason="stored stratified sample")
     tiers = store.available_tiers(table) if stored_here else []
+    if tiers and group_by and store.known_groups(table, group_by) is None:
+        # a tier alone does not tell which groups it has no row of
+        if not runtime_sampling:
+            return Plan("exact", rate=1.0, reason="no stored list of the groups")
+        tiers = []
     skew = None
     if group_by and (tiers or runtime_sampling):
         skew = _skew(df, group_by, table, store, tiers, profile_row, profile)
@@ -389,7 +397,7 @@ def _run(df, aggs, group_by, where, key, table, store, plan: Plan, confidence,
         if s == "uniform":
             res = sampling.sample_aggregate(df, aggs, plan.rate, group_by, where, key,
                                             confidence=confidence, bound_method=bound_method,
-                                            hash_method=hash_method)
+                                            hash_method=hash_method, all_groups=True)
         else:
             res = store.tier_aggregate(table, aggs, rate=plan.rate, where=where,
                                        confidence=confidence, bound_method=bound_method,
@@ -407,7 +415,7 @@ def _run(df, aggs, group_by, where, key, table, store, plan: Plan, confidence,
                                               hash_method=hash_method)
     elif s == "materialized_stratified":
         res = store.stratified_aggregate(table, group_by, aggs, where)
-        meta = store._meta_row(table, "stratified", ",".join(group_by))
+        meta = store._meta_row(table, "stratified", group_by)
         plan.rate = meta["rate"]
     else:
         raise ValueError(f"unknown strategy {s!r}")

@@ -74,7 +74,7 @@ def compare_strategies(df: DataFrame, aggs, group_by: Sequence[str] = (),
     candidates = [
         ("uniform", sampleable, Plan("uniform", rate=rate)),
         ("stratified", sampleable and bool(group_by), Plan("stratified", rate=rate)),
-        ("materialized_tier", sampleable and not group_by and bool(stored_tiers),
+        ("materialized_tier", sampleable and bool(stored_tiers),
          Plan("materialized_tier", rate=(rate if rate in stored_tiers else
                                          (max(stored_tiers) if stored_tiers else None)))),
         ("materialized_stratified", sampleable and stored_strat, Plan("materialized_stratified")),

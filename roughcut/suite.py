@@ -13,6 +13,7 @@ guarantee is comparable).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -419,6 +420,19 @@ def stratified_filtered_rare(spark, d):
                       "cnt_ci_low", "cnt_ci_high")
 
 
+@query
+def stratified_filtered_sum(spark, d):
+    """A filter that 2 % of the rows pass: the interval of the SUM counts that it is not known
+    how many rows of a stratum match."""
+    res = stratified.stratified_aggregate(
+        read_table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"],
+        [("sum", "l_quantity", "sum_qty"), ("avg", "l_quantity", "avg_qty")], UNIFORM_RATE,
+        key=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], where="l_partkey % 50 = 7")
+    return res.select("l_returnflag", "l_linestatus", *[r6(c).alias(c) for c in (
+        "sum_qty", "sum_qty_ci_low", "sum_qty_ci_high", "sum_qty_error_pct",
+        "avg_qty", "avg_qty_ci_low", "avg_qty_ci_high")])
+
+
 @query
 def stratified_count_lineitem(spark, d):
     """Stratified COUNT/SUM on a second table, by two group columns, with the
@@ -932,6 +946,39 @@ def approx_aggregate_filtered(spark, d):
     return _unified(res)
 
 
+@query
+def approx_aggregate_filtered_sum(spark, d):
+    """A filter that 2 % of the rows pass, answered from stored strata where the margin of
+    the filtered SUM keeps the target, else exactly."""
+    ev = read_table(spark, d, "events")
+    st = _store(spark, d, "event_types", lambda st: st.build_stratified(ev, "events", "event_type", "event_id", 0.25))
+    parts = [approx_aggregate(ev, [("sum", "value", "total")], ["event_type"], accuracy=a, table="events",
+                              where="user_id % 50 = 7", store=st).withColumn("accuracy_target", F.lit(a))
+             for a in (0.2, 0.99)]
+    return parts[0].unionByName(parts[1]).select(
+        "event_type", r6("total").alias("total"), r6("total_error_pct").alias("total_error_pct"), "strategy",
+        "accuracy_target")
+
+
+@query
+def approx_aggregate_rare_group(spark, d):
+    """Eight even groups and one of four rows: an answer from a tier has all of them, or is
+    no tier's, with and without a filter; without a list of the groups no tier is asked."""
+    s = _sales(spark, d).withColumn("grp", F.when(F.col("event_id") < 4, F.lit("rare")).otherwise(
+        F.concat(F.lit("g"), F.col("event_id") % 8)))
+    stores = [_store(spark, d, f"rare-{len(k)}", lambda st: st.build_tiers(s, "sales", "event_id", known_groups=k))
+              for k in ([["grp"]], [])]
+    parts = []
+    for st, listed in zip(stores, (True, False)):
+        for a in (0.2, 0.95):
+            for name, where in (("all", None), ("most", "amount > 20"), ("few", "event_id >= 4")):
+                res = approx_aggregate(s, [CNT], ["grp"], accuracy=a, table="sales", store=st, where=where)
+                parts.append(res.select(F.lit(listed).alias("listed"), F.lit(a).alias("accuracy_target"),
+                                        F.lit(name).alias("filter"), "grp", "cnt", r6("cnt_error_pct").alias("cnt_error_pct"),
+                                        "strategy"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def approx_aggregate_grouped(spark, d):
     ev = read_table(spark, d, "events")

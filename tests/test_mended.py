@@ -180,7 +180,7 @@ def store(spark):
     base = spark.range(60_000).select("id", (F.col("id") % 97).cast("double").alias("v"),
                                       (F.col("id") % 3).cast("string").alias("g"))
     st = SampleStore(spark, shared_dir(spark, "test", "mended-planner"))
-    st.build_tiers(base, "t", "id")
+    st.build_tiers(base, "t", "id", known_groups=[["g"]])
     return st, base
 
 
