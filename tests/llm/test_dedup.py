@@ -12,6 +12,7 @@ import pytest
 from roughcut.llm import near_dedup, substring_dedup
 from roughcut.llm.components import connected_components
 from roughcut.llm.exact_dedup import exact_dedup
+from roughcut.llm import common
 from roughcut.llm.line_dedup import dedup_lines
 from roughcut.llm.near_dedup import dart_signatures, near_duplicates
 from roughcut.llm.shingles import jaccard, mix, shingles, weighted, word_hashes
@@ -262,33 +263,81 @@ def test_substrings_of_the_given_table(spark):
 
 
 # ------------------------------------------------------------------- lines
-def brute_lines(rows, run=3):
+def brute_lines(rows, run=3, words=50):
+    def ref(d, t):
+        return hashlib.md5(f"{'n' if d is None else f'i{d}'} {t or ''}".encode()).hexdigest()
+    blank = " \t\r\x0b\x0c"
     seen, out = set(), []
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
-    for i in order:
-        d, t = rows[i]
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, ref(*r))):
         lines = (t or "").split("\n")
-        at = [k for k, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
-        gone, runs, last = set(), 0, None
-        for k in range(len(at) - run + 1):
-            w = tuple(lines[j].strip(" \t\r\x0b\x0c") for j in at[k:k + run])
-            if w in seen:
-                gone |= set(range(at[k], at[k + run - 1] + 1))
-                runs += last is None or k - last > run
-                last = k
-            seen.add(w)
-        out.append((d, len(lines), len(gone), runs, "\n".join(x for j, x in enumerate(lines) if j not in gone)))
+        at = [k for k, x in enumerate(lines) if x.strip(blank)]
+        text = [lines[k].strip(blank) for k in at]
+        drop = set()
+        for k in range(len(text)):
+            for n in range(1, min(run, len(text) - k) + 1):
+                part = tuple(text[k:k + n])
+                long = n == run or sum(len(re.split(f"[{blank}]+", x)) for x in part) >= words
+                if long or n == len(text):
+                    if (part, long) in seen:
+                        drop |= set(range(k, k + n))
+                    seen.add((part, long))
+        runs = [k for k in sorted(drop) if k - 1 not in drop]
+        gone = set()
+        for lo in runs:
+            hi = lo
+            while hi + 1 in drop:
+                hi += 1
+            gone |= set(range(at[lo], at[hi] + 1))
+        out.append((d, len(lines), len(gone), len(runs), "\n".join(x for j, x in enumerate(lines) if j not in gone)))
     return Counter(out)
 
 
-def test_lines_match_brute_force(spark, odd):
+def lines_fixture(odd):
     rng = random.Random(4)
-    pool = [f"line {i}" for i in range(12)] + ["", "  "]
+    pool = [f"line {i}" for i in range(12)] + ["", "  "] + [f"{i} " * 20 for i in range(4)] + [f"w{i} " * 60 for i in range(4)]
     rows = [(d, "\n".join(rng.choice(pool) + " " * rng.randrange(2) for _ in range(rng.randrange(0, 30))))
             for d in range(80)]
-    rows += [(r.doc_id, r.text) for r in odd.collect()]
-    got = Counter(tuple(r) for r in dedup_lines(table(spark, rows).coalesce(1)).collect())
+    rows += [(100 + d, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 4)))) for d in range(60)]
+    rows += [(d, t) for d, t in rows[:5]] + [(rows[6][0], rows[7][1]), (None, rows[8][1]), (None, rows[8][1]), (None, "new line")]
+    return rows + [(r.doc_id, r.text) for r in odd.collect()]
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_lines_match_brute_force(spark, odd, parts):
+    rows = lines_fixture(odd)
+    got = Counter(tuple(r) for r in dedup_lines(table(spark, rows).repartition(parts)).collect())
     assert got == brute_lines(rows)
     assert dedup_lines(odd.limit(0)).collect() == []
     plan = dedup_lines(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_long_lines_and_copies_of_short_texts_go(spark):
+    long, short = " ".join(f"w{i}" for i in range(60)), "just one line"
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n  {long}\nd"), (3, short), (4, short), (5, f"{short}\nand another"),
+            (6, f"{short}\nand another"), (7, f"x\n{short}"), (8, " ".join(["few"] * 49)), (9, "q\n" + " ".join(["few"] * 49))]
+    got = {r.doc_id: r.kept_text for r in dedup_lines(table(spark, rows)).collect()}
+    assert got[1] == rows[0][1] and got[2] == "c\nd"
+    assert got[3] == short and got[4] == "" and got[5] == rows[4][1] and got[6] == "" and got[7] == rows[6][1]
+    assert got[9] == rows[8][1]
+
+
+def test_only_selected_lines_are_joined(spark, monkeypatch):
+    """Fingerprints are fewer than lines, and without their join nothing is found."""
+    from roughcut.llm import line_dedup
+    sizes = {}
+
+    def spy(df, name):
+        out = common.stored(df, name)
+        sizes[name] = out.count()
+        return out
+    monkeypatch.setattr(line_dedup, "stored", spy)
+    rng = random.Random(9)
+    texts = [[f"line {rng.randrange(10**6)}" for _ in range(200)] for _ in range(20)]
+    texts += [texts[0][:100] + texts[1][50:], texts[2]]
+    rows = [(d, "\n".join(t)) for d, t in enumerate(texts)]
+    removed = sum(r.n_removed for r in dedup_lines(table(spark, rows)).collect())
+    assert removed == 100 + 150 + 200
+    assert sizes["places"] < 0.6 * sum(map(len, texts)) and sizes["near"] < 0.5 * sum(map(len, texts))
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: common.stored(df.limit(0) if name == "first" else df, name))
+    assert sum(r.n_removed for r in dedup_lines(table(spark, rows)).collect()) == 0
