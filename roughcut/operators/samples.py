@@ -9,6 +9,8 @@ Layout under the store root (a folder in the shared checkpoint location)::
     <root>/<table>/strat__<cols>/v<id>/data              stratified sample rows
     <root>/<table>/strat__<cols>/v<id>/strata            N_g, n_g, min_h per stratum
     <root>/<table>/strat__<cols>/meta/v<id>              one row
+    <root>/<table>/priority__<weight>/v<id>/data         k rows by weight, with inclusion
+    <root>/<table>/universe__<key>/v<id>/data            rows of the drawn join keys
 
 Every build writes a new version and adds its metadata row last, so readers
 always see the newest *complete* build: a build or refresh that dies part
@@ -30,16 +32,19 @@ import datetime as _dt
 import time
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roughcut.functions.hashing import threshold, with_row_hash
+from roughcut.functions.hashing import hash60, threshold, with_row_hash
 from roughcut.operators import sampling, stratified
 from roughcut.operators.aggspec import as_aggs
+from roughcut.operators.priority import priority_sample
 from roughcut.operators.profile import invalidate_profile
+from roughcut.operators.universe import universe_join_aggregate
 from roughcut.session import is_missing_path, shared_dir
 
 # The default tiers of the reference (1 %, 10 %, 20 %)
@@ -62,7 +67,21 @@ META_SCHEMA = T.StructType([
     T.StructField("key_list", T.ArrayType(T.StringType())),
     # group columns whose values a tier build stored
     T.StructField("known_groups", T.ArrayType(T.ArrayType(T.StringType()))),
+    T.StructField("weight", T.StringType()),  # of a priority sample
+    # the folders that hold the rows, where they are several (see operators/upkeep.py)
+    T.StructField("parts", T.ArrayType(T.StringType())),
+    T.StructField("source", T.StringType()),  # the files that a sample follows
 ])
+OTHER_KINDS = ("stratified", "priority", "universe")  # sample types that are not tiers
+
+
+def meta_row(**known) -> tuple:
+    """A metadata row with the given fields, the others NULL."""
+    return tuple(known.pop(f.name, None) for f in META_SCHEMA.fields)
+
+
+def now() -> _dt.datetime:
+    return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
 
 
 def _version() -> str:
@@ -153,9 +172,10 @@ class SampleStore:
         known = [list(g) for g in known_groups]
         for i, g in enumerate(known):
             df.groupBy(*g).agg(F.count(F.lit(1)).alias("population_count")).write.parquet(f"{base}/{ver}/groups__{i}")
-        built = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        rows = [(table, tier_name(r), r, None, cum[i], population, cum[-1],
-                 ",".join(key), built, hash_method, data, None, key, known) for i, r in enumerate(rates)]
+        built = now()
+        rows = [meta_row(table_name=table, sample_type=tier_name(r), rate=r, sample_rows=cum[i], population_rows=population,
+                         stored_rows=cum[-1], key_cols=",".join(key), key_list=key, built_at=built,
+                         hash_method=hash_method, data_path=data, known_groups=known) for i, r in enumerate(rates)]
         return self._publish(rows, f"{base}/meta/{ver}")
 
     def build_stratified(self, df: DataFrame, table: str, group_by, key,
@@ -174,10 +194,46 @@ class SampleStore:
         rows.hint("rebalance").write.parquet(f"{base}/{ver}/data")
         sizes = strata.agg(F.sum("sample_count").alias("s"),
                            F.sum("population_count").alias("n")).first()
-        built = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         return self._publish(
-            [(table, "stratified", float(rate), ",".join(g), sizes["s"], sizes["n"], sizes["s"],
-              ",".join(key), built, hash_method, f"{base}/{ver}/data", g, key, None)], f"{base}/meta/{ver}")
+            [meta_row(table_name=table, sample_type="stratified", rate=float(rate), group_cols=",".join(g), group_list=g,
+                      sample_rows=sizes["s"], population_rows=sizes["n"], stored_rows=sizes["s"], key_cols=",".join(key),
+                      key_list=key, built_at=now(), hash_method=hash_method, data_path=f"{base}/{ver}/data")],
+            f"{base}/meta/{ver}")
+
+    def build_priority(self, df: DataFrame, table: str, k: int, weight: str, key, hash_method: str = "md5") -> DataFrame:
+        """A weighted sample of exactly ``k`` rows (see :mod:`roughcut.operators.priority`)."""
+        key = [key] if isinstance(key, str) else list(key)
+        self._invalidate()
+        seen = Observation()
+        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        base, ver = f"{self.root}/{table}/priority__{weight}", _version()
+        rows = priority_sample(df, k, weight, key, hash_method=hash_method)
+        rows.hint("rebalance").write.parquet(f"{base}/{ver}/data")
+        counted.select(F.lit(1)).write.format("noop").mode("overwrite").save()
+        n = self.spark.read.parquet(f"{base}/{ver}/data").count()
+        return self._publish(
+            [meta_row(table_name=table, sample_type="priority", rate=n / max(seen.get["rows"], 1), sample_rows=n,
+                      population_rows=seen.get["rows"], stored_rows=n, key_cols=",".join(key), key_list=key,
+                      built_at=now(), hash_method=hash_method, data_path=f"{base}/{ver}/data", weight=weight)],
+            f"{base}/meta/{ver}")
+
+    def build_universe(self, df: DataFrame, table: str, key, rate: float, hash_method: str = "md5") -> DataFrame:
+        """The rows of the keys drawn at ``rate``, for joins with other tables stored by
+        keys of equal values (see :mod:`roughcut.operators.universe`); sorted by the key's hash, so
+        a lower rate is a row-group-pruned read."""
+        key = [key] if isinstance(key, str) else list(key)
+        self._invalidate()
+        base, ver = f"{self.root}/{table}/universe__{'__'.join(key)}", _version()
+        seen = Observation()
+        (df.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn("__key_hash", hash60(key, hash_method))
+            .where(F.col("__key_hash") < threshold(rate)).hint("rebalance").sortWithinPartitions("__key_hash")
+            .write.parquet(f"{base}/{ver}/data"))
+        n = self.spark.read.parquet(f"{base}/{ver}/data").count()
+        return self._publish(
+            [meta_row(table_name=table, sample_type="universe", rate=float(rate), sample_rows=n,
+                      population_rows=seen.get["rows"], stored_rows=n, key_cols=",".join(key), key_list=key,
+                      built_at=now(), hash_method=hash_method, data_path=f"{base}/{ver}/data")],
+            f"{base}/meta/{ver}")
 
     def _publish(self, rows: list, meta_path: str) -> DataFrame:
         """Write a build's metadata - the last step, which makes it visible."""
@@ -190,7 +246,9 @@ class SampleStore:
         """Every stored sample with its size and realised rate."""
         # the newest published build of a table's tiers, which replaces all tiers of older
         # ones, and of each stratified sample (a few rows per version; paths sort by build time)
-        build = Window.partitionBy("table_name", F.col("sample_type") == "stratified", "group_list")
+        kind = F.when(F.col("sample_type").isin(*OTHER_KINDS), F.col("sample_type")).otherwise("tiers")
+        by_key = F.when(kind == "universe", F.col("key_list"))
+        build = Window.partitionBy("table_name", kind, "group_list", "weight", by_key)
         meta = (self._all_meta().withColumn("__newest", F.max("data_path").over(build))
                 .filter(F.col("data_path") == F.col("__newest")).drop("__newest"))
         # storage_overhead: rows physically stored for this sample over the
@@ -231,7 +289,7 @@ class SampleStore:
 
     def available_tiers(self, table: str) -> list[float]:
         return sorted(r["rate"] for r in self._registry_rows()
-                      if r["table_name"] == table and r["sample_type"] != "stratified")
+                      if r["table_name"] == table and r["sample_type"] not in OTHER_KINDS)
 
     def stratified_groups(self, table: str) -> list[tuple[str, ...]]:
         return [tuple(r["group_list"]) for r in self._registry_rows()
@@ -264,17 +322,50 @@ class SampleStore:
         if not tiers:
             raise LookupError(f"no stored tier of {table} at or above {rate}")
         meta = self._meta_row(table, tier_name(min(tiers)))
-        data = self._read(meta["data_path"]).filter(F.col("tier_ppm") <= F.lit(ppm(min(tiers))))
+        data = self._rows(meta).filter(F.col("tier_ppm") <= F.lit(ppm(min(tiers))))
         if min(tiers) != rate:
             data = data.filter(F.col("h") < F.lit(threshold(rate)))
         return data.drop("tier_ppm")
 
+    def _rows(self, meta) -> DataFrame:
+        """The stored rows of a sample, wherever they lie."""
+        # one reader per folder, so that each prunes its own tiers
+        frames = [self._read(p) for p in meta["parts"] or [meta["data_path"]]]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+    def priority(self, table: str, weight: str) -> DataFrame:
+        """Rows of the stored priority sample by ``weight``, with ``inclusion``."""
+        for r in self._registry_rows():
+            if r["table_name"] == table and r["sample_type"] == "priority" and r["weight"] == weight:
+                return self._rows(r)
+        raise LookupError(f"no priority sample of {table} by {weight}")
+
+    def universe(self, table: str, key, rate: float | None = None) -> tuple[DataFrame, float]:
+        """Rows of the drawn keys of ``table``, and the rate they were drawn at (``rate``, if a
+        lower one is asked for)."""
+        key = [key] if isinstance(key, str) else list(key)
+        for r in self._registry_rows():
+            if r["table_name"] == table and r["sample_type"] == "universe" and r["key_list"] == key:
+                low = r["rate"] if rate is None else min(rate, r["rate"])
+                rows = self._rows(r)
+                return (rows if low == r["rate"] else rows.where(F.col("__key_hash") < threshold(low))), low
+        raise LookupError(f"no sample of {table} by the keys {key}")
+
+    def join_aggregate(self, left: str, right: str, left_key, right_key, aggs, group_by: Sequence[str] = (),
+                       where=None, confidence: float = 0.95) -> DataFrame:
+        """E5: COUNT, SUM and AVG over the join of two tables, from their stored key samples (at
+        the lower of both rates; see :func:`roughcut.operators.universe.universe_join_aggregate`)."""
+        rate = min(self.universe(left, left_key)[1], self.universe(right, right_key)[1])
+        a, b = (self.universe(t, k, rate)[0].drop("__key_hash") for t, k in ((left, left_key), (right, right_key)))
+        return universe_join_aggregate(a, b, left_key, right_key, rate, aggs, group_by, where,
+                                       sampled=True, confidence=confidence)
+
     def _strat_meta(self, table: str, group_by):
         g = [group_by] if isinstance(group_by, str) else list(group_by)
         return self._meta_row(table, "stratified", g)
 
     def stratified_rows(self, table: str, group_by) -> DataFrame:
-        return self._read(self._strat_meta(table, group_by)["data_path"])
+        return self._rows(self._strat_meta(table, group_by))
 
     def strata(self, table: str, group_by) -> DataFrame:
         data = self._strat_meta(table, group_by)["data_path"]
@@ -378,13 +469,15 @@ class SampleStore:
         """
         before = {r["data_path"] for r in self._registry_rows()}
         reg = (self.registry().filter(F.col("table_name") == table)
-               .select("sample_type", "rate", "group_list", "key_list", "hash_method", "known_groups").collect())
-        tiers = sorted({r["rate"] for r in reg if r["sample_type"] != "stratified"})
-        known = next((r["known_groups"] for r in reg if r["sample_type"] != "stratified"), None) or []
-        keys = {(tuple(r["key_list"]), r["hash_method"] or "md5") for r in reg}
-        if len(keys) != 1:
+               .select("sample_type", "rate", "group_list", "key_list", "hash_method", "known_groups", "weight",
+                       "sample_rows").collect())
+        plain = [r for r in reg if r["sample_type"] not in OTHER_KINDS]
+        tiers = sorted({r["rate"] for r in plain})
+        known = next((r["known_groups"] for r in plain), None) or []
+        keys = {(tuple(r["key_list"]), r["hash_method"] or "md5") for r in reg if r["sample_type"] != "universe"}
+        if len(keys) > 1 or not reg:
             raise LookupError(f"no samples (or mixed keys / hash methods) stored for {table}")
-        key_cols, method = keys.pop()
+        key_cols, method = keys.pop() if keys else ((), "md5")
         key = list(key_cols)
         self._invalidate()
         if tiers:
@@ -393,6 +486,10 @@ class SampleStore:
             if r["sample_type"] == "stratified":
                 self.build_stratified(df, table, r["group_list"], key, r["rate"],
                                       hash_method=method)
+            elif r["sample_type"] == "priority":
+                self.build_priority(df, table, r["sample_rows"], r["weight"], key, hash_method=method)
+            elif r["sample_type"] == "universe":
+                self.build_universe(df, table, r["key_list"], r["rate"], hash_method=r["hash_method"])
         if profile_path is not None:
             invalidate_profile(self.spark, profile_path)
         dropped = self.vacuum(table, keep_superseded=1)
@@ -423,15 +520,16 @@ class SampleStore:
             path.getFileSystem(conf).delete(path, True)
 
         current = {r["data_path"] for r in self._registry_rows()}
-        metas = self._all_meta().select("table_name", "data_path").distinct().collect()
-        published = {r["data_path"].rsplit("/", 1)[0] for r in metas}
+        in_use = {p.rsplit("/", 1)[0] for r in self._registry_rows() for p in r["parts"] or [r["data_path"]]}
+        metas = self._all_meta().select("table_name", "data_path", "source").distinct().collect()
+        published = {r[c].rsplit("/", 1)[0] for r in metas for c in ("data_path", "source") if r[c]}
         old: dict[str, list[str]] = {}  # superseded versions by sample folder
         for r in metas:
             if r["data_path"] not in current and (table is None or r["table_name"] == table):
                 version_dir = r["data_path"].rsplit("/", 1)[0]
                 old.setdefault(version_dir.rsplit("/", 1)[0], []).append(version_dir)
         gone = sorted(v for versions in old.values()
-                      for v in sorted(set(versions), reverse=True)[keep_superseded:])
+                      for v in sorted(set(versions), reverse=True)[keep_superseded:] if v not in in_use)
         for version_dir in gone:
             base, ver = version_dir.rsplit("/", 1)
             delete(version_dir)

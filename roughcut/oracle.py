@@ -312,6 +312,50 @@ SELECT rf AS l_returnflag, ls AS l_linestatus, {r6('s * pop / n')} AS sum_qty, {
   {r6(f'round(CASE WHEN k > 0 THEN s / k END + round(1.96 * {_DS_SEM}, 4), 4)')} AS avg_qty_ci_high
 FROM a"""
 
+_TP5 = threshold(0.005)
+Q["sample_incremental"] = w(strata(_TP5), samp(_TP5)) + f"""SELECT event_id, sample, (SELECT CAST(sum(population_count) AS BIGINT) FROM strata) AS population,
+  (SELECT CAST(sum(sample_count) AS BIGINT) FROM strata) AS strata_rows, 3 AS files_read
+FROM (SELECT event_id, 'tier' AS sample FROM sales WHERE h < {T20} UNION ALL SELECT event_id, 'strata' FROM samp)"""
+
+
+def _priority(weight: str, k: int = 400) -> str:
+    """The k rows of the largest priorities, and the first priority left out."""
+    return f"""pr AS (SELECT *, {weight} / ((CAST(h AS DOUBLE) + 0.5) / {d(float(HASH_SPACE))}) AS priority, {weight} AS weight
+  FROM (SELECT *, {hsql(_LI_KEY)} AS h FROM lineitem) WHERE {weight} > 0),
+rk AS (SELECT *, row_number() OVER (ORDER BY priority DESC, h) AS rn FROM pr),
+tau AS (SELECT priority AS tau FROM rk WHERE rn = {k} + 1),
+ps AS (SELECT rk.*, least(1.0, weight / tau) AS p FROM rk, tau WHERE rn <= {k})"""
+
+
+Q["sample_priority"] = f"""WITH {_priority("(CAST(l_extendedprice AS DOUBLE) ** 2 * CAST(l_linenumber > 3 AS INT))")}
+SELECT {", ".join(_LI_KEY)}, {r6('p')} AS inclusion FROM ps"""
+
+
+def _ht(x: str, est: str, margin: str) -> str:
+    return (f"round({est}, 2) AS {x}, round({est} - {margin}, 2) AS {x}_ci_low, round({est} + {margin}, 2) AS {x}_ci_high, "
+            f"round(round({margin} / abs({est}) * 100, 4), 2) AS {x}_error_pct")
+
+
+_PV = "(1.0 - p) / (p * p)"
+Q["priority_sum"] = f"""WITH {_priority("CAST(l_extendedprice AS DOUBLE)")},
+a AS (SELECT l_returnflag, count(*) AS sample_rows, sum(l_extendedprice / p) AS s,
+        sum(CAST(l_extendedprice AS DOUBLE) ** 2 * {_PV}) AS sv, sum(1.0 / p) AS c, sum({_PV}) AS cv,
+        sum(l_quantity / p) AS t, sum(CAST(l_quantity AS DOUBLE) ** 2 * {_PV}) AS tv, sum(l_quantity * {_PV}) AS tc
+      FROM ps WHERE l_discount > 0.02 GROUP BY l_returnflag),
+b AS (SELECT *, t / c AS av FROM a)
+SELECT l_returnflag, {_ht('total', 's', '(1.96 * sqrt(sv))')}, {_ht('cnt', 'c', '(1.96 * sqrt(cv))')},
+  {_ht('qty', 'av', '(1.96 * sqrt(tv - 2 * av * tc + av * av * cv) / c)')}, sample_rows FROM b"""
+
+Q["universe_join"] = f"""WITH k AS (SELECT o_orderpriority, l_orderkey, count(*) AS c, sum(CAST(l_extendedprice AS DOUBLE)) AS t
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 10 AND {hsql(['o_orderkey'])} < {T10} GROUP BY ALL),
+a AS (SELECT o_orderpriority, count(*) AS sample_keys, sum(c) AS n, sum(t) AS t, sum(c * c) AS cc, sum(t * t) AS tt,
+        sum(c * t) AS ct, sum(t) / sum(c) AS av FROM k GROUP BY o_orderpriority)
+SELECT o_orderpriority, {_ht('cnt', '(n / 0.1)', '(1.96 * sqrt(90.0 * cc))')}, {_ht('total', '(t / 0.1)', '(1.96 * sqrt(90.0 * tt))')},
+  {_ht('price', 'av', '(1.96 * sqrt(90.0 * (tt - 2 * av * ct + av * av * cc)) / (n / 0.1))')}, sample_keys FROM a"""
+
+Q["allocated_strata"] = """SELECT CAST(floor(log2(greatest(l_partkey, 1))) AS INTEGER) AS grp, count(*) AS population_count,
+  TRUE AS budget_kept, TRUE AS worst_is_less, TRUE AS within FROM lineitem GROUP BY 1"""
+
 Q["stratified_documents_lang"] = f"""WITH dc AS (SELECT doc_id, lang, n_chars, {hsql(['doc_id'])} AS h FROM documents),
 st AS (SELECT lang, count(*) AS population_count, count(*) FILTER (WHERE h < {T10}) AS below_count,
          min(h) AS min_h, CAST(greatest(count(*) FILTER (WHERE h < {T10}), 1) AS BIGINT) AS sample_count

@@ -12,6 +12,7 @@ guarantee is comparable).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -24,8 +25,11 @@ from roughcut.functions.hashing import threshold
 from roughcut.operators import profile as prof
 from roughcut.operators import sampling, sketches, stratified
 from roughcut.operators.blocks import block_aggregate, block_sample
+from roughcut.operators.allocation import allocate, allocated_aggregate, allocated_sample
+from roughcut.operators.priority import priority_aggregate, priority_sample
 from roughcut.operators.quantile import exact_quantiles, exact_quantiles_grouped
 from roughcut.operators.samples import DEFAULT_TIERS, SampleStore
+from roughcut.operators.upkeep import append_files, build_from_files
 from roughcut.plans.aggregate import approx_aggregate, exact_aggregate
 from roughcut.plans.compare import (ACCURACY_LEVELS, accuracy_sweep, compare_exact_approx,
                                     compare_strategies)
@@ -345,6 +349,64 @@ def sample_count_error(spark, d):
     return res.select("region", "count_sample", "estimated_total", "error_pct", "ci_low", "ci_high")
 
 
+PRIORITY_K = 400
+LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+def _r2(df: DataFrame, but: list[str]) -> list[Column]:
+    """The other columns with two decimals (sums of doubles differ in the last bits by engine)."""
+    return [F.round(F.col(c), 2).alias(c) for c in df.columns if c not in but]
+
+
+@query
+def sample_priority(spark, d):
+    """The rows of a priority sample by price, with their inclusion probabilities."""
+    li = read_table(spark, d, "lineitem").withColumn("weight", F.pow(F.col("l_extendedprice"), F.lit(2)) * (F.col("l_linenumber") > 3).cast("int"))
+    return priority_sample(li, PRIORITY_K, "weight", LINE_KEY).select(*LINE_KEY, r6("inclusion").alias("inclusion"))
+
+
+@query
+def priority_sum(spark, d):
+    """COUNT, SUM and AVG per group from a stored priority sample."""
+    li = read_table(spark, d, "lineitem")
+    st = _store(spark, d, "priority", lambda st: st.build_priority(li, "lineitem", PRIORITY_K, "l_extendedprice", LINE_KEY))
+    res = priority_aggregate(st.priority("lineitem", "l_extendedprice"),
+                             [("sum", "l_extendedprice", "total"), ("count", "*", "cnt"), ("avg", "l_quantity", "qty")],
+                             ["l_returnflag"], "l_discount > 0.02")
+    return res.select("l_returnflag", *_r2(res, ["l_returnflag", "sample_rows"]), "sample_rows")
+
+
+@query
+def universe_join(spark, d):
+    """C4/E5: COUNT, SUM and AVG over a join, from 10 % of the join keys on both sides."""
+    aggs = [("count", "*", "cnt"), ("sum", "l_extendedprice", "total"), ("avg", "l_extendedprice", "price")]
+    li, orders = read_table(spark, d, "lineitem"), read_table(spark, d, "orders")
+    st = _store(spark, d, "universe", lambda st: (st.build_universe(li, "lineitem", "l_orderkey", 0.2),
+                                                  st.build_universe(orders, "orders", "o_orderkey", UNIFORM_RATE)))
+    res = st.join_aggregate("lineitem", "orders", "l_orderkey", "o_orderkey", aggs, ["o_orderpriority"], "l_quantity > 10")
+    return res.select("o_orderpriority", *_r2(res, ["o_orderpriority", "sample_keys"]), "sample_keys")
+
+
+@query
+def allocated_strata(spark, d):
+    """A budget of 5 % of the rows dealt to strata of very different sizes by their spread:
+    the budget is kept, and the worst margin of the strata's sums is below that of one rate for all."""
+    li = read_table(spark, d, "lineitem").withColumn("grp", F.floor(F.log2(F.greatest("l_partkey", F.lit(1)))).cast("int")) \
+        .select("grp", "l_extendedprice", *LINE_KEY)
+    n = li.count()
+    aggs = [("sum", "l_extendedprice", "total")]
+    strata = allocate(li, "grp", "l_extendedprice", n // 20)
+    dealt = allocated_aggregate(allocated_sample(li, strata, "grp", LINE_KEY), "grp", aggs)
+    equal = stratified.stratified_aggregate(li, "grp", aggs, 0.05, LINE_KEY)
+    exact = li.groupBy(F.col("grp").alias("g")).agg(F.sum("l_extendedprice").alias("exact"))
+    worst = [x.agg(F.max(F.coalesce("total_error_pct", F.lit(1e300))).alias(k)) for x, k in ((dealt, "dealt"), (equal, "equal"))]
+    used = strata.agg(F.sum("target_rows").alias("used"))
+    j = with_scalars(dealt.join(exact, F.col("grp") == F.col("g")), *worst, used)
+    return j.select("grp", "population_count", (F.abs(F.col("used") - n // 20) <= 0.001 * n).alias("budget_kept"),
+                    (F.col("dealt") < 0.8 * F.col("equal")).alias("worst_is_less"),
+                    (F.abs(F.col("total") - F.col("exact")) <= 2 * (F.col("total_ci_high") - F.col("total")) + 0.01).alias("within"))
+
+
 # ======================================================================== S
 @query
 def strata_distinct(spark, d):
@@ -554,6 +616,26 @@ def sample_rebuild_rates(spark, d):
     return with_scalars(reg, est)
 
 
+@query
+def sample_incremental(spark, d):
+    """Samples of a table in files; after two appends only the new files were read, and tiers
+    and strata are those of a full build (strata of one row in a thousand included)."""
+    s = load_sales(spark, d)
+    table = shared_dir(spark, "suite", "growing", uuid.uuid4().hex)
+    s.where("event_id % 3 = 0").repartition(3).write.parquet(table)
+    st = SampleStore(spark, table + "-samples")
+    build_from_files(st, table, "sales", "event_id", strata=[(["region"], 0.005)])
+    read = 0
+    for rest in (1, 2):
+        s.where(f"event_id % 3 = {rest}").repartition(rest).write.mode("append").parquet(table)
+        read += len(append_files(st, table, "sales", max_parts=2).files)
+    rows = st.tier("sales", 0.2).select("event_id", F.lit("tier").alias("sample")).unionByName(
+        st.stratified_rows("sales", "region").select("event_id", F.lit("strata").alias("sample")))
+    sizes = st.strata("sales", "region").agg(F.sum("population_count").alias("population"),
+                                             F.sum("sample_count").alias("strata_rows"))
+    return with_scalars(rows, sizes).withColumn("files_read", F.lit(read))
+
+
 @query
 def profile_invalidate(spark, d):
     """A refresh makes the table's profile stale; it keeps the version it replaced and
