@@ -2,22 +2,56 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roughcut.functions.frames import with_scalars
 from roughcut.llm.common import stored, text_or_empty
 
-#: Bits of the filter for each row, and the most bits it may have. The second
-#: bounds what is broadcast (2**26 bits: a million 64-bit words). With more rows
-#: than fit, more of them count as possibly repeated and shuffle; results stay exact.
+#: Bits of the filter for each row, hashes that a row sets in it, and the most bits that one
+#: filter has (what is broadcast: a million 64-bit words). With more rows the hash space is
+#: cut into ranges with a filter each, so the share of rows that shuffle without need does
+#: not grow: of rows whose text occurs once, about (1 / BITS_PER_ROW) ** HASHES.
 BITS_PER_ROW = 16
+HASHES = 2
 MAX_FILTER_BITS = 1 << 26
 #: Characters that equality ignores: tab, line feed, vertical tab, form feed,
 #: carriage return, space.
 IGNORED = " \t\n\x0b\x0c\r"
 
 
+def possibly_repeated(digest: DataFrame, bits_per_row: int = BITS_PER_ROW,
+                      max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+    """``digest`` (``sha``, and ``hash`` of it) with ``maybe``: whether the row's slots in the
+    filter of its hash range are all hit by more than one row. False means that no other
+    row has the same ``sha``; rows that share one are always True."""
+    n = digest.count()
+    ranges = max(1, -(-n * bits_per_row // max_filter_bits))
+    bits = max(1 << 10, -(-n * bits_per_row // ranges))
+    cuts = [-(1 << 63) + (1 << 64) * r // ranges for r in range(ranges)]
+
+    def tested(r: int) -> DataFrame:
+        rows = digest
+        if r:
+            rows = rows.where(F.col("hash") >= cuts[r])
+        if r + 1 < ranges:
+            rows = rows.where(F.col("hash") < cuts[r + 1])
+        slots = [F.pmod(F.xxhash64("sha", F.lit(k)), F.lit(bits)) for k in range(HASHES)]
+        hit = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), s.alias("slot")) for k, s in enumerate(slots)])).alias("s"))
+        filters = (hit.groupBy("s.k", "s.slot").agg(F.count("*").alias("c")).where("c > 1")
+                   .groupBy("k", F.floor(F.col("slot") / 64).alias("word"))
+                   .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("set_bits")))
+        # one filter for each hash; at most HASHES * max_filter_bits / 64 words are broadcast
+        maybe = F.lit(True)
+        for k, s in enumerate(slots):
+            own = F.broadcast(filters.where(F.col("k") == k).select(F.col("word").alias(f"__w{k}"), F.col("set_bits").alias(f"__b{k}")))
+            rows = rows.join(own, F.floor(s / 64) == F.col(f"__w{k}"), "left")
+            maybe = maybe & (F.getbit(F.coalesce(F.col(f"__b{k}"), F.lit(0).cast("long")), (s % 64).cast("int")) == 1)
+        return rows.select(*digest.columns, maybe.alias("maybe"))
+    return reduce(DataFrame.unionByName, [tested(r) for r in range(ranges)])
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 bits_per_row: int = BITS_PER_ROW,
                 max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
@@ -29,34 +63,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows repeat. A null text counts as empty, and all empty texts are equal. An
     empty table gives an empty result. Other columns are not read.
 
-    Pass 1 reads each text once, stores a slim table of digests and finds the
-    filter slots hit more than once. Pass 2 tests each digest against the
-    broadcast filter: only rows in repeated slots shuffle on the whole hash, the
-    rest pass through. The hot group of one text is counted map-side first, and
-    the join back to its rows leaves Spark free to split the skewed side.
+    Pass 1 reads each text once, stores a slim table of digests (sorted by hash, so that a
+    range of the hash space is few pages) and finds the filter slots hit more than once.
+    Pass 2 tests each digest against the broadcast filter of its range: only rows whose
+    slots are all repeated shuffle on the whole hash, the rest pass through. The hot group of one
+    text is counted map-side first, and the join back to its rows leaves Spark free to
+    split the skewed side.
     """
     text = text_or_empty(text_col)
     digest = stored(docs.select(
         F.col(id_col).alias("doc_id"),
         F.unhex(F.sha2(F.translate(text, IGNORED, "").cast("binary"), 256)).alias("sha"),
         F.length(text).cast("long").alias("points"),
-        F.monotonically_increasing_id().alias("row")), "digest")
-
-    # pass 1: slots that more than one row falls into, as 64-bit words
-    n = digest.agg(F.count("*").alias("__n"))
-    bits = F.least(F.lit(max_filter_bits), F.greatest(F.lit(1 << 10), F.col("__n") * bits_per_row))
-    slots = with_scalars(digest, n).withColumn("slot", F.pmod(F.xxhash64("sha"), bits))
-    repeated = (slots.groupBy("slot").agg(F.count("*").alias("c")).where("c > 1")
-                .groupBy(F.floor(F.col("slot") / 64).alias("word"))
-                .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("set_bits")))
-
-    # pass 2: test every digest; at most max_filter_bits / 64 words are broadcast
-    tested = (slots.withColumn("word", F.floor(F.col("slot") / 64))
-              .join(F.broadcast(repeated), "word", "left")
-              .withColumn("maybe", F.coalesce(
-                  F.expr("shiftrightunsigned(set_bits, cast(slot % 64 AS int)) & 1") == 1,
-                  F.lit(False)))
-              .select("doc_id", "sha", "points", "row", "maybe"))
+        F.monotonically_increasing_id().alias("row")).withColumn("hash", F.xxhash64("sha"))
+        .sortWithinPartitions("hash"), "digest")
+    tested = possibly_repeated(digest, bits_per_row, max_filter_bits)
     maybe = tested.where("maybe")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("z"),
                           F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row")))

@@ -48,8 +48,12 @@ IMPLIED_END = {
 SCOPE = frozenset({"table", "td", "th", "caption", "template", "html"})
 #: A column is padded to its widest cell, but no further than this many characters
 #: (wider cells keep their whole text), and a colspan counts for so many columns at most.
+#: Columns are aligned up to this width: a longer cell is shown whole, and what follows it
+#: in its row moves to the right. A cell spans at most so many columns.
 PAD_LIMIT = 40
 SPAN_LIMIT = 100
+#: Lists and quotes nested deeper are shown at this depth's indent (two blanks a level).
+INDENT_LIMIT = 16
 
 _TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
 _ATTR = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
@@ -137,9 +141,12 @@ class _Flow:
         self.breaks = 0  # line ends owed before the next text
         self.empty = True  # nothing on this line yet
         self.space = False  # a collapsed space is owed
-        self.indent = ""
+        self.level = 0
         self.marker = ""
 
+    def shift(self, by: int) -> None:
+        self.level = max(self.level + by, 0)
+
     def block(self, lines: int) -> None:
         if self.parts:
             self.breaks = max(self.breaks, lines)
@@ -155,7 +162,7 @@ class _Flow:
             self.parts.append("\n" * self.breaks)
             self.breaks = 0
         if self.empty:
-            self.parts.append(self.indent)
+            self.parts.append("  " * min(self.level, INDENT_LIMIT))
             if self.marker:
                 self.parts.append(self.marker)
                 self.marker = ""
@@ -193,8 +200,9 @@ class _Flow:
 
 
 class _Table:
-    def __init__(self, outer: _Flow) -> None:
+    def __init__(self, outer: _Flow, aligned: bool = True) -> None:
         self.outer = outer
+        self.aligned = aligned
         self.rows: list[list[tuple[str, int]]] = []
         self.span = 1
         self.cell: _Flow | None = None
@@ -222,7 +230,7 @@ class _Table:
                 grid.append(cells)
         starts, at = {}, 0
         for column in range(max((c for row in grid for c, _ in row), default=-1) + 1):
-            starts[column] = at
+            starts[column] = at if self.aligned else 0
             at += widths.get(column, 0) + 2 if column in widths else 0
         out = []
         for row in grid:
@@ -251,7 +259,11 @@ def render(page: str | None) -> str:
     do not. Paragraphs, headings, lists and
     tables stand apart by an empty line, other blocks begin lines, items are
     marked and indented, preformatted text keeps its white space, and the cells
-    of a table are aligned in columns. A null or empty page gives the empty string.
+    of a table are aligned in columns. All visible text is shown; only white space is
+    bounded: columns align up to :data:`PAD_LIMIT` characters, a cell spans up to
+    :data:`SPAN_LIMIT` columns, lists and quotes indent and tables in tables align up
+    to :data:`INDENT_LIMIT` levels, so the text grows no faster than the page. A null or empty page gives the
+    empty string.
     """
     if not page:
         return ""
@@ -276,9 +288,9 @@ def render(page: str | None) -> str:
             pre -= 1
         if name in ("ul", "ol", "menu", "dir"):
             counters.pop()
-            flow.indent = flow.indent[:-2]
+            flow.shift(-1)
         elif name in ("dd", "blockquote"):
-            flow.indent = flow.indent[:-2]
+            flow.shift(-1)
         if name in ("td", "th") and tables and tables[-1].cell is flow:
             tables[-1].close_cell()
             flow = tables[-1].outer
@@ -371,7 +383,7 @@ def render(page: str | None) -> str:
         where[name] = where.get(name, 0) + 1
         hidden += hides
         if name == "table":
-            tables.append(_Table(flow))
+            tables.append(_Table(flow, len(tables) < INDENT_LIMIT))
         elif name in ("td", "th") and tables:
             t = tables[-1]
             t.close_cell()
@@ -382,9 +394,9 @@ def render(page: str | None) -> str:
             start = token[2].get("start", "1").strip()
             counters.append(None if name != "ol" else
                             int(start) if start.isascii() and start.isdigit() and len(start) < 9 else 1)
-            flow.indent += "  "
+            flow.shift(1)
         elif name in ("dd", "blockquote"):
-            flow.indent += "  "
+            flow.shift(1)
         elif name == "li" and not hidden:
             if counters and counters[-1] is not None:
                 flow.marker = f"{counters[-1]}. "

@@ -61,18 +61,19 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     """Dictionaries from a bounded sample of the labelled rows of ``docs``.
 
     Rows with a null label or text are left out. The sample of a language is its
-    first SAMPLE_DOCS rows by a hash of the id: a threshold from the row count
-    first keeps about four times as many, so the sort sees a bounded number of
-    rows however many one language has.
+    first SAMPLE_DOCS rows by a hash of id and text, equal rows counted once: a threshold
+    from the row count first keeps about four times as many, so the sort sees a bounded
+    number of rows however many one language has, and however many lack an id.
     """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
-                       F.xxhash64(F.col(id_col).cast("string")).alias("h")) \
+                       F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h")) \
         .where("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_DOCS) / F.col("n"))
     chosen = (rows.select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
               .join(F.broadcast(counts.orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES)), "lang")
               .where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+              .dropDuplicates(["lang", "h"])
               .withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("h", "text")))
               .where(F.col("rn") <= SAMPLE_DOCS))
     texts: dict[str, list[str]] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roughcut.llm.common import stored, text_or_empty
+from roughcut.llm.common import numbered, stored, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)  # of the sources in code point order, repeating; null last
@@ -29,7 +29,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget:
     at ``max_repeat`` times its size) is shared again by weight among the rest.
     That ends where every open source gets ``level`` times its weight, so the
     level comes from running sums over the sources in order of ``cap / weight``.
-    The windows run over one row per source.
+    The windows run over one row per source, in one task: sources are few.
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"),
                                       F.count("*").alias("n"))
@@ -125,8 +125,9 @@ def cube_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     number of documents and the expected number of words. ``taken`` is ``size``
     times ``copies``.
 
-    Flights run over chunks of about ``chunk_rows`` rows of one source, dealt by
-    a hash of id, size and checksum, so a hot source has many chunks. Each leaves
+    Flights run over chunks of ``chunk_rows`` rows of one source, in the order of a hash of
+    id, size and checksum; equal rows follow each other and are dealt to chunks like any
+    others, so a hot source or row has many chunks and none holds more. Each leaves
     at most two undecided rows; those meet 1,024 chunks at a time in the next
     round, until one chunk per source is left, where the landing decides. Draws
     are seeded by source, chunk and round and rows are ordered by hash and id, so
@@ -143,12 +144,13 @@ def cube_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = stored(source_targets(sizes, weights, budget, max_repeat).withColumn(
         "chunks", F.ceil(F.col("n") / chunk_rows)), "targets")
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    rows = (sizes.withColumn("order", F.xxhash64("doc_id", "size", "crc"))
-            .join(targets.select(F.col("source").alias("s"), "source_size", "target", "chunks"),
+    dealt = numbered(sizes.withColumn("order", F.xxhash64("doc_id", "size", "crc")), ["source"],
+                     ["order", "doc_id", "size", "crc"], "nr", "dealt")
+    rows = (dealt.join(targets.select(F.col("source").alias("s"), "source_size", "target", "chunks"),
                   F.col("source").eqNullSafe(F.col("s")))
             .withColumn("base", F.floor(ratio).cast("long"))
             .withColumn("p", ratio - F.floor(ratio))
-            .withColumn("chunk", F.pmod("order", "chunks").cast("long"))
+            .withColumn("chunk", F.floor(F.col("nr") / chunk_rows))
             .select(*fields))
     most = targets.agg(F.max("chunks")).first()[0] or 1
     decided, level = [], 0

@@ -6,12 +6,13 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roughcut.llm.common import text_or_empty
+
 # Fixed patterns of the base kinds, with the least length of what each must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.ASCII | re.IGNORECASE)
@@ -25,6 +26,9 @@ CONTEXT = re.compile(
     r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_ -]?key|auth[_ -]?key|"""
     r"""private[_ -]?key|credentials?|login)["']?[ \t]{0,4}(?:is|was|=>|->|:=|[:=])[ \t]{0,4}["'`]?"""
     r"""([^\s"'`]{6,})""", re.ASCII | re.IGNORECASE)
+# the same for Java, in lower-case text, with the value
+CONTEXT_JAVA = r"""(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_ -]?key|auth[_ -]?key|""" \
+    r"""private[_ -]?key|credentials?|login)["']?[ \t]{0,4}(?:is|was|=>|->|:=|[:=])[ \t]{0,4}["'`]?[^\s"'`]{6,}"""
 _KEYWORDS = ("pass", "pwd", "secret", "token", "key", "credential", "login")
 
 #: Values that take at least 10**MIN_GUESSES guesses are secrets.
@@ -38,50 +42,11 @@ COMMON_WORDS = (
     "pass", "pwd", "your", "my", "the", "here", "none", "null", "true", "false", "value",
     "string", "required", "public", "private", "local", "host", "summer", "winter", "spring",
     "autumn", "january", "monday", "company", "office", "money", "secure", "security", "super")
-#: Words of prose after a credential name; shorter ones are cheap by brute force as they are.
-PROSE_WORDS = tuple("""
-    important incorrect automatic available different necessary encrypted protected generated mandatory
-    sensitive forgotten temporary permanent something everything important recommended automatically
-    immediately correctly previously completely currently definitely deliberately especially essentially
-    eventually exclusively explicitly extremely frequently generally identical implicitly impossible
-    inaccessible incomplete increasingly independent insensitive insufficient intentionally internally
-    invalidated irrelevant meaningless necessarily nonexistent normalized occasionally originally
-    overwritten particularly permanently personally predictable presumably randomized reasonably
-    recoverable refreshed registered regularly reinforced remembered repeatedly reportedly restricted
-    retrieved sensitive separately sequential shareable simultaneously sometimes somewhere specifically
-    straightforward subsequently successful successfully supposedly synchronized technically temporarily
-    transferred transmitted transparent ultimately unacceptable unauthorized unavailable unchanged
-    undefined understood unencrypted unfortunately universally unnecessary unpredictable unprotected
-    unrestricted unsuccessful unsupported vulnerable worthless acceptable accessible accidentally
-    accompanied according accordingly additionally alphanumeric alternatively anonymously appropriate
-    approximately associated authenticated authentication authenticating authorization authorized
-    basically certificate character characters communicated compromised concatenated conditional
-    confidential configurable configuration configured confirmation confirmed considered consistent
-    constantly controlled conveniently credential credentials cryptographic cryptographically customized
-    deactivated decrypted dependent deprecated description determined developers development
-    disappointing disclosed discovered displayed distributed documentation documented downloaded
-    duplicated dynamically electronic embedded employees environment environments established exchanged
-    expiration expiring following forbidden functional fundamental guaranteed hardcoded identified
-    implemented including information initialized inherently instructions integrated interactive
-    interesting introduced invalidation knowledge legitimate management manually maintained managed
-    misconfigured misspelled nevertheless nonetheless notoriously obligatory obviously operational
-    organization overridden passphrase performing physically possession potentially preconfigured
-    preferably primarily privileged production programmatically provisioned publicly punctuation
-    questionable recognized redirected referenced regenerated relatively replacement represented
-    reproducible requirement requirements responsibility responsible retrievable satisfactory scheduled
-    significant significantly standardized statically strengthened strictly substituted sufficiently
-    suspicious terminated theoretical traditionally triggered troublesome typically unavoidable
-    undisclosed unexpectedly unfamiliar uniquely unlikely unreadable unspecified untouched username
-    validated validation variously verification voluntarily whatsoever whitespace widespread
-    administrator administrators application applications permission permissions
-    notwendig erforderlich geheim geschützt unterschiedlich verschlüsselt automatisch wahrscheinlich
-    selbstverständlich ausschließlich grundsätzlich zurückgesetzt vertraulich gespeichert ungültig
-    abgelaufen verantwortlich wiederhergestellt unverschlüsselt beispielsweise möglicherweise
-    nécessaire obligatoire indispensable confidentiel automatiquement différent incorrecte disponible
-    personnelle réinitialisé généralement actuellement malheureusement probablement seulement
-    necesario obligatoria confidencial automáticamente diferente incorrecta importante contraseña
-    generalmente actualmente desafortunadamente probablemente solamente restablecida""".split())
-WORDS = COMMON_WORDS + tuple(dict.fromkeys(PROSE_WORDS))
+#: Words of prose are counted over the corpus: at most so many, each in at least so many
+#: different texts outside credential context, of at least so many letters.
+MOST_WORDS = 50_000
+LEAST_TEXTS = 2
+LEAST_LETTERS = 4
 WALKS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz",
          "qazwsxedcrfvtgbyhnujmikolp", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik9ol0p")
 LEET = str.maketrans("4@8301!|5$7+2", "aabeoiiisstt" + "z")
@@ -93,13 +58,41 @@ _SPLIT = 0.7  # log10 of the guesses that each further segment costs
 _PAIRS = {w[i:i + 2] for walk in WALKS for w in (walk, walk[::-1]) for i in range(len(walk) - 1)}
 
 
-@lru_cache(maxsize=8)
-def _ranks(words: tuple[str, ...]) -> tuple[dict[str, int], int]:
-    """Rank of every word, and the length of the longest."""
-    return {w: i + 1 for i, w in enumerate(words)}, max(map(len, words), default=0)
+class Words:
+    """A ranked word list, most common first."""
+
+    def __init__(self, words: Sequence[str]) -> None:
+        self.rank: dict[str, int] = {}
+        for w in words:
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank), default=0)
+
+
+COMMON = Words(COMMON_WORDS)
+
 
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS,
+                 least_texts: int = LEAST_TEXTS) -> list[str]:
+    """The words (letters only, in lower case) that most rows of ``docs`` have, most frequent
+    first (ties in code point order): at most ``most``, each in at least ``least_texts`` (up to
+    64) different texts.
 
-def guess_cost(value: str, words: Sequence[str] = WORDS) -> float:
+    What follows a credential name is left out, so a secret is no word however often it was
+    copied, and equal texts count as one for the least number (texts fall into 64 classes by
+    hash, of which a word must meet so many). All texts are counted, map-side first; only
+    the ranked list, bounded by ``most``, reaches the driver.
+    """
+    text = F.lower(text_or_empty(text_col))
+    bare = F.regexp_replace(text, CONTEXT_JAVA, " ")
+    found = F.array_distinct(F.regexp_extract_all(bare, F.lit(rf"\p{{L}}{{{LEAST_LETTERS},}}"), 0))
+    rows = docs.select(F.pmod(F.xxhash64(text), F.lit(64)).cast("int").alias("kind"), found.alias("found")) \
+        .select("kind", F.explode("found").alias("word"))
+    counted = rows.groupBy("word").agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, kind)")).alias("kinds"))
+    top = counted.where(F.bit_count("kinds") >= least_texts).orderBy(F.col("n").desc(), "word").limit(most)
+    return [r["word"] for r in top.select("word").collect()]
+
+
+def guess_cost(value: str, words: Words | Sequence[str] = COMMON) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` takes.
 
     Segments are words (by rank, with letter case and look-alike digits at a
@@ -113,7 +106,8 @@ def guess_cost(value: str, words: Sequence[str] = WORDS) -> float:
     n = len(value)
     low = value.lower()
     plain = low.translate(LEET)
-    rank, longest = _ranks(tuple(words))
+    known = words if isinstance(words, Words) else Words(words)
+    rank, longest = known.rank, known.longest
     dates: dict[int, list[int]] = {}
     for i in range(n):
         if low[i] in "0123" and (m := _DATE.match(low, i)):
@@ -157,14 +151,14 @@ def guess_cost(value: str, words: Sequence[str] = WORDS) -> float:
     return best[n]
 
 
-def is_guarded(value: str, words: Sequence[str] = WORDS,
+def is_guarded(value: str, words: Words | Sequence[str] = COMMON,
                min_guesses: float = MIN_GUESSES) -> bool:
-    """Whether a value in credential context is hard to guess, words of prose included:
-    what is not in ``words`` is dear, in letters of one case as well."""
+    """Whether a value in credential context is hard to guess: what is not in ``words`` is
+    dear, in letters of one case as well."""
     return guess_cost(value, words) >= min_guesses
 
 
-def find_secrets(text: str | None, words: Sequence[str] = WORDS,
+def find_secrets(text: str | None, words: Words | Sequence[str] = COMMON,
                  min_guesses: float = MIN_GUESSES) -> list[tuple[int, int, str]]:
     """Spans ``(start, end, kind)`` in code points, end exclusive, by start and kind order."""
     if not text:
@@ -188,9 +182,11 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def secret_spans(text: Column, words: Sequence[str] = WORDS,
+def secret_spans(text: Column, words: Words | Sequence[str] = COMMON,
                  min_guesses: float = MIN_GUESSES) -> Column:
     """Struct of counts, the digest of the base spans and all spans for a text column."""
+    words = words if isinstance(words, Words) else Words(words)
+
     @F.pandas_udf("n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -206,7 +202,7 @@ def secret_spans(text: Column, words: Sequence[str] = WORDS,
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 words: Sequence[str] = WORDS,
+                 words: Words | Sequence[str] | None = None,
                  min_guesses: float = MIN_GUESSES) -> DataFrame:
     """One row per row of ``docs``:
     ``doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans``.
@@ -214,12 +210,15 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``spans`` lists ``kind:start:end`` of every match over the whole text. The
     base kinds are fixed patterns; ``guess`` is the value after a credential name
     ("password is ...") whose guess cost is at least ``10**min_guesses``, whatever
-    letters it has; a word of prose that ``words`` lacks counts as well from ten
-    letters on. Spans
+    letters it has. Words are cheap to guess: the fixed :data:`COMMON_WORDS` first,
+    then ``words`` by rank, by default those of the corpus itself (:func:`corpus_words`); a word
+    that the corpus uses nowhere else counts as a secret from ten letters on. Spans
     of different kinds may overlap. A null or empty text has no spans (the digest
     is that of the empty string). No shuffle; repeated rows get equal answers; an
     empty table gives an empty result; other columns are not read.
     """
+    if words is None:
+        words = Words([*COMMON_WORDS, *corpus_words(docs, text_col)])
     got = docs.select(F.col(id_col).alias("doc_id"),
                       secret_spans(F.col(text_col), words, min_guesses).alias("s"))
     return got.select("doc_id", "s.*")

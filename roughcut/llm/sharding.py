@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roughcut.llm.common import hash60, stored, text_or_empty
+from roughcut.llm.common import hash60, numbered, text_or_empty
 
 SHARDS = 24
-#: Slots are numbered inside small groups of a shard, never over a whole shard:
-#: KEY_BUCKETS ranges of the key's hash, each split SPLITS ways by the text's
-#: checksum (so a key repeated in very many rows is split too).
+#: Slots follow the ranges of the key's hash (KEY_BUCKETS), in each the checksum class of
+#: the text (SPLITS), then hash, id, checksum and size.
 KEY_BUCKETS = 4096
 SPLITS = 8
 
@@ -44,7 +42,9 @@ def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     With one shard more (of weight ``new_weight``) every score stays as it is,
     so ``grown_shard`` differs from ``shard`` only for rows that move into the
     new shard. ``slot`` numbers a shard's rows from 0 without gaps, by
-    (key hash range, checksum class, key hash, id, checksum).
+    (key hash range, checksum class, key hash, id, checksum, size). Rows are sorted once by
+    range and numbered part by part, so neither a shard nor a key that very many rows
+    share is one task's.
 
     A null id is one key of its own (the empty string); repeated keys go to one
     shard and get slots of their own. A null text has no bytes and checksum 0.
@@ -62,24 +62,21 @@ def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                        F.crc32(text).alias("text_crc32"), *kept)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     best = slim.withColumn("best", _best(key, weights)).withColumn("new", _score(key, shards, new_weight))
-    placed = stored(best.select(
+    placed = best.select(
         "doc_id", "size", "text_crc32", (-F.col("best.neg")).cast("int").alias("shard"),
         F.when(F.col("new") > F.col("best.score"), F.lit(shards)).otherwise(-F.col("best.neg"))
         .cast("int").alias("grown_shard"),
-        hash60(key).alias("kh"), *[c for c in slim.columns if c.startswith("__keep_")])
-        .withColumn("bucket", F.floor(F.col("kh") / ((1 << 60) // KEY_BUCKETS)).cast("int"))
-        .withColumn("part", (F.col("text_crc32") % SPLITS).cast("int")), "placed")
-
-    group = ["shard", "bucket", "part"]
-    before = W.partitionBy("shard").orderBy("bucket", "part").rowsBetween(W.unboundedPreceding, -1)
-    starts = (placed.groupBy(*group).agg(F.count("*").alias("c"))
-              .select(*group, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start")))
-    inside = W.partitionBy(*group).orderBy("kh", F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    return (placed.withColumn("rn", F.row_number().over(inside) - 1)
-            .join(starts, group)
-            .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-                    (F.col("start") + F.col("rn")).cast("long").alias("slot"), "grown_shard",
-                    *[F.col(f"__keep_{c}").alias(c) for c in keep if c not in taken]))
+        hash60(key).alias("kh"), *[c for c in slim.columns if c.startswith("__keep_")]) \
+        .withColumn("bucket", F.floor(F.col("kh") / ((1 << 60) // KEY_BUCKETS)).cast("int")) \
+        .withColumn("part", (F.col("text_crc32") % SPLITS).cast("int"))
+    order = ["bucket", "part", "kh", "doc_id", "text_crc32", "size"]
+    if kept:  # rows that differ in what they carry only come in its order
+        placed = placed.withColumn("__carried", F.xxhash64(*[c for c in placed.columns if c.startswith("__keep_")]))
+        order.append("__carried")
+    return numbered(placed, ["shard"], order, "slot", "placed").select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
+        F.col("slot").cast("long").alias("slot"), "grown_shard",
+        *[F.col(f"__keep_{c}").alias(c) for c in keep if c not in taken])
 
 
 def sharding_sql(source: str = "documents", shards: int = SHARDS) -> str:

@@ -8,11 +8,11 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from roughcut.llm import near_dedup, substring_dedup
+from roughcut.llm import common, near_dedup, substring_dedup
 from roughcut.llm.components import connected_components
-from roughcut.llm.exact_dedup import exact_dedup
-from roughcut.llm import common
+from roughcut.llm.exact_dedup import exact_dedup, possibly_repeated
 from roughcut.llm.line_dedup import dedup_lines
 from roughcut.llm.near_dedup import dart_signatures, near_duplicates
 from roughcut.llm.shingles import jaccard, mix, shingles, weighted, word_hashes
@@ -54,6 +54,18 @@ def test_exact_dedup_small_filter_stays_exact(spark):
         assert got == brute_exact(rows)
 
 
+@pytest.mark.parametrize("most", [1 << 26, 1 << 17])
+def test_few_single_texts_shuffle(spark, most):
+    """With one filter and with many ranges: of texts that occur once, about (1 / 16)^2 count as
+    possibly repeated; every repeated one does."""
+    digest = spark.range(20_000).select(F.unhex(F.sha2(F.greatest("id", F.lit(2000)).cast("string").cast("binary"), 256)).alias("sha"),
+                                        (F.col("id") <= 2000).alias("copy")).withColumn("hash", F.xxhash64("sha"))
+    got = possibly_repeated(digest, max_filter_bits=most).groupBy("copy").agg(
+        F.count("*").alias("n"), F.count_if("maybe").alias("maybe")).collect()
+    got = {r.copy: (r.n, r.maybe) for r in got}
+    assert got[True] == (2001, 2001) and got[False][0] == 17_999 and got[False][1] <= 0.01 * 17_999
+
+
 def test_exact_dedup_empty(spark):
     assert exact_dedup(table(spark, [(1, "a")]).limit(0)).collect() == []
 
