@@ -79,15 +79,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = text_or_empty(text_col)
     ref = F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n")),
                                  F.lit(" "), text).cast("binary")))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.split(text, "\n").alias("lines"), ref.alias("ref"))
-    numbered = base.withColumn("trimmed", F.transform("lines", lambda x: F.btrim(x, F.lit(BLANK)))) \
-        .withColumn("at", F.filter(F.sequence(F.lit(0), F.size("trimmed") - 1), lambda i: F.get("trimmed", i) != ""))
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), ref.alias("ref"))
+
+    def in_lines(df: DataFrame) -> DataFrame:
+        """The lines, the lines without blanks around them, and the places of those not empty."""
+        return df.withColumn("lines", F.split("text", "\n")).drop("text") \
+            .withColumn("trimmed", F.transform("lines", lambda x: F.btrim(x, F.lit(BLANK)))) \
+            .withColumn("at", F.filter(F.sequence(F.lit(0), F.size("trimmed") - 1), lambda i: F.get("trimmed", i) != ""))
 
     def line(x: Column) -> Column:
         return F.struct(F.xxhash64(x).alias("x"), F.unhex(F.md5(x.cast("binary"))).alias("h"),
                         F.size(F.split(x, f"[{BLANK}]+")).alias("w"))
     seq = F.transform(F.filter("trimmed", lambda x: x != ""), line)
-    hashed = stored(numbered.select("doc_id", "ref", seq.alias("seq")), "lines")
+    hashed = stored(in_lines(base).select("doc_id", "ref", seq.alias("seq")), "lines")
 
     # the winnowed fingerprints with the lines beside them
     sides = F.sequence(F.col("place") - _SIDE, F.col("place") + _SIDE)
@@ -101,7 +105,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = stored(places.groupBy("fp").agg(F.min(order).alias("o"), F.max(order).alias("last"),
                                             F.min(F.struct("z", "doc_id", "ref", "place", "xs", "n")).alias("e"))
                    .where("o <> last").select("fp", "o", F.col("e.xs").alias("xs0"), F.col("e.n").alias("n0")), "first")
-    near = places.join(first, "fp").withColumn("o", order == F.col("o")).where("NOT o").drop("o")
+    near = places.join(first.hint("merge"), "fp").withColumn("o", order == F.col("o")).where("NOT o").drop("o")
 
     # extend line by line; what fits and differs goes on
     def matches(a: int, b: int) -> Column:
@@ -118,23 +122,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = ["fp", "a", "b", "part", "fits"]
     again = stored(differ.groupBy(*same).agg(F.min(order).alias("o"), F.max(order).alias("last"))
                    .where("o <> last").select(*same, "o"), "again")
-    later = differ.join(again, same).where(order != F.col("o"))
+    later = differ.join(again.hint("merge"), same).where(order != F.col("o"))
     gone = (near.where("found").select("ref", "place", "a", "b").unionByName(later.select("ref", "place", "a", "b"))
             .select("ref", F.explode(F.sequence(F.col("place") + F.col("a"), F.col("place") + F.col("b"))).alias("k"))
             .groupBy("ref").agg(F.array_sort(F.collect_set("k")).alias("gone")))
-    copies = hashed.groupBy("ref").agg(F.count("*").alias("copies")).where("copies > 1")
-    marks = stored(gone.join(copies, "ref", "full_outer"), "marks")
+    copies = stored(hashed.groupBy("ref").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
 
-    # rows of equal id and text: the first keeps what is new, its copies keep nothing but empty lines
+    # texts meet what goes by their key (by the same join at every size); of rows of equal id
+    # and text the first keeps what is new, the copies keep nothing but empty lines
     none = F.array().cast("array<int>")
-    out = numbered.join(marks.withColumnRenamed("ref", "r"), F.col("ref") == F.col("r"), "left") \
-        .withColumn("gone", F.coalesce("gone", none)).withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
-    once = out.where("copies = 1")
-    several = out.where("copies > 1").dropDuplicates(["ref"]).withColumn(
-        "nr", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    twin = copies.withColumnRenamed("ref", "twin")
+    once = base.join(twin, F.col("ref") == F.col("twin"), "left_anti").withColumn("nr", F.lit(1).cast("long"))
+    several = base.join(twin, F.col("ref") == F.col("twin")).dropDuplicates(["ref"]).withColumn(
+        "nr", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*once.columns)
+    marks = gone.withColumnRenamed("ref", "mark").hint("merge")
+    out = in_lines(once.unionByName(several).join(marks, F.col("ref") == F.col("mark"), "left"))
     everything = F.when(F.size("at") > 0, F.sequence(F.lit(0), F.size("at") - 1)).otherwise(none)
-    several = several.withColumn("gone", F.when(F.col("nr") > 1, everything).otherwise(F.col("gone"))).drop("nr")
-    out = once.unionByName(several)
+    out = out.withColumn("gone", F.when(F.col("nr") > 1, everything).otherwise(F.coalesce("gone", none)))
 
     # rebuild each text from what lies between its runs
     begins = F.filter("gone", lambda k, i: (i == 0) | (F.get("gone", i - 1) != k - 1))

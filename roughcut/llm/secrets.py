@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roughcut.llm.common import text_or_empty
+from roughcut.llm.common import stored, text_or_empty
 
 # Fixed patterns of the base kinds, with the least length of what each must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -74,13 +74,15 @@ COMMON = Words(COMMON_WORDS)
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS,
                  least_texts: int = LEAST_TEXTS) -> list[str]:
     """The words (letters only, in lower case) that most rows of ``docs`` have, most frequent
-    first (ties in code point order): at most ``most``, each in at least ``least_texts`` (up to
-    64) different texts.
+    first (ties in code point order): the most frequent ones that are at most ``most`` (words as
+    frequent as the first that does not fit stay out with it), each in at least
+    ``least_texts`` (up to 64) different texts.
 
     What follows a credential name is left out, so a secret is no word however often it was
     copied, and equal texts count as one for the least number (texts fall into 64 classes by
     hash, of which a word must meet so many). All texts are counted, map-side first; only
-    the ranked list, bounded by ``most``, reaches the driver.
+    the list, bounded by ``most``, and how many words there are by frequency (some 1,500
+    steps) reach the driver.
     """
     text = F.lower(text_or_empty(text_col))
     bare = F.regexp_replace(text, CONTEXT_JAVA, " ")
@@ -88,8 +90,18 @@ def corpus_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS
     rows = docs.select(F.pmod(F.xxhash64(text), F.lit(64)).cast("int").alias("kind"), found.alias("found")) \
         .select("kind", F.explode("found").alias("word"))
     counted = rows.groupBy("word").agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, kind)")).alias("kinds"))
-    top = counted.where(F.bit_count("kinds") >= least_texts).orderBy(F.col("n").desc(), "word").limit(most)
-    return [r["word"] for r in top.select("word").collect()]
+    # exact up to 1,024 rows, then 16 steps an octave
+    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(1024 + F.floor((F.log2("n") - 10) * 16))
+    counted = stored(counted.where(F.bit_count("kinds") >= least_texts).select("word", "n", step.alias("step")), "words")
+    room, cut = most, None
+    for r in sorted(counted.groupBy("step").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        cut = r["step"]
+    if cut is None:
+        return []
+    return [r["word"] for r in sorted(counted.where(F.col("step") >= cut).collect(), key=lambda r: (-r["n"], r["word"]))]
 
 
 def guess_cost(value: str, words: Words | Sequence[str] = COMMON) -> float:
