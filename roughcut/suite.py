@@ -25,6 +25,8 @@ from roughcut.functions.hashing import threshold
 from roughcut.operators import profile as prof
 from roughcut.operators import sampling, sketches, stratified
 from roughcut.operators.blocks import block_aggregate, block_sample
+from roughcut.operators.bootstrap import Ratio, bootstrap_aggregate
+from roughcut.operators.distinct_sets import distinct_in, is_in, value_sketches
 from roughcut.operators.allocation import allocate, allocated_aggregate, allocated_sample
 from roughcut.operators.priority import priority_aggregate, priority_sample
 from roughcut.operators.quantile import exact_quantiles, exact_quantiles_grouped
@@ -376,6 +378,53 @@ def priority_sum(spark, d):
     return res.select("l_returnflag", *_r2(res, ["l_returnflag", "sample_rows"]), "sample_rows")
 
 
+@query
+def bootstrap_bounds(spark, d):
+    """H1-H3: Poisson bootstrap intervals of a count, a sum and a ratio of two sums per group."""
+    li = read_table(spark, d, "lineitem")
+    aggs = [("count", "*", "cnt"), ("sum", "l_extendedprice", "total"),
+            Ratio("discount_pct", "100 * l_extendedprice * l_discount", "l_extendedprice")]
+    res = bootstrap_aggregate(sampling.uniform_sample(li, UNIFORM_RATE, LINE_KEY), aggs, UNIFORM_RATE, ["l_returnflag"])
+    return res.select("l_returnflag", *_r2(res, ["l_returnflag", "sample_rows"]), "sample_rows")
+
+
+@query
+def bootstrap_median(spark, d):
+    """Q4: median and 90th percentile per group of a sample, with bootstrap intervals (twice as
+    wide they hold the exact values, and they are narrow)."""
+    li = read_table(spark, d, "lineitem")
+    aggs = [("median", "l_extendedprice", "med"), ("percentile", "l_extendedprice", "p90", 0.9)]
+    res = bootstrap_aggregate(sampling.uniform_sample(li, UNIFORM_RATE, LINE_KEY, hash_method="xxhash"), aggs, UNIFORM_RATE,
+                              ["l_returnflag"], hash_method="xxhash")
+    exact = exact_quantiles_grouped(li, "l_returnflag", "l_extendedprice", (0.5, 0.9), names=("exact_med", "exact_p90"))
+    j = join_on_groups(res, exact, ["l_returnflag"], "inner")
+    out = ["l_returnflag"]
+    for x in ("med", "p90"):
+        out += [r6(f"exact_{x}").alias(f"exact_{x}"),
+                F.col(f"exact_{x}").between(2 * F.col(f"{x}_ci_low") - F.col(x), 2 * F.col(f"{x}_ci_high") - F.col(x)).alias(f"{x}_within"),
+                (F.col(f"{x}_error_pct") < 60).alias(f"{x}_bounded")]
+    return j.select(*out)
+
+
+@query
+def distinct_sets(spark, d):
+    """distinct pairs of user and whole value by combined event types, from stored theta
+    sketches of 512 keys: the exact count lies in the stated interval."""
+    ev = read_table(spark, d, "events").withColumn("pair", F.col("user_id") * 100_000 + F.floor("value"))
+    path = _once(spark, d, "theta", lambda p: write_parquet(value_sketches(ev, "pair", ["event_type"], 9), p))
+    click, error, view = (is_in("event_type", t) for t in ("click", "error", "view"))
+    got = distinct_in(spark.read.parquet(path), {"both": click & error, "either": click | error, "click_only": click - error - view,
+                                                 "unknown": is_in("event_type", "never")}, 0.9999)
+    per = ev.groupBy("pair").agg(*[F.max(F.col("event_type") == t).alias(t) for t in ("click", "error", "view")])
+    exact = per.agg(F.struct(F.expr("count_if(click AND error)").alias("both"), F.expr("count_if(click OR error)").alias("either"),
+                             F.expr("count_if(click AND NOT error AND NOT view)").alias("click_only"), F.lit(0).cast("long").alias("unknown"))
+                    .alias("x"))
+    j = with_scalars(got, exact)
+    right = F.element_at(F.create_map(*[c for k in ("both", "either", "click_only", "unknown")
+                                        for c in (F.lit(k), F.col("x").getField(k))]), F.col("set_name"))
+    return j.select("set_name", right.alias("exact"), right.between(F.floor("ci_low"), F.ceil("ci_high")).alias("within"))
+
+
 @query
 def universe_join(spark, d):
     """C4/E5: COUNT, SUM and AVG over a join, from 10 % of the join keys on both sides."""
