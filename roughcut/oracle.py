@@ -382,6 +382,13 @@ SELECT 'either', count(*) FILTER (WHERE c OR e), TRUE FROM p UNION ALL
 SELECT 'click_only', count(*) FILTER (WHERE c AND NOT e AND NOT v), TRUE FROM p UNION ALL
 SELECT 'unknown', 0, TRUE"""
 
+_MID = """m AS (SELECT max(event_id) + 1 AS n FROM events),
+x AS (SELECT s.* FROM sales s, m WHERE event_id BETWEEN n // 5 AND n - n // 3)"""
+Q["summary_range"] = w(_MID) + f"""SELECT region, {r6('count(*)')} AS cnt, round(CAST(sum(amount) AS DOUBLE), 2) AS total,
+  {r6(AVG_AMT)} AS mean, 0.0::DOUBLE AS error_pct, TRUE AS ends_only, TRUE AS most_from_summaries FROM x GROUP BY region"""
+Q["summary_sampled"] = w(_MID) + f"""SELECT count(*) AS exact_cnt, {r6('sum(amount)')} AS exact_total, TRUE AS cnt_within,
+  TRUE AS total_within, TRUE AS drawn FROM x"""
+
 Q["universe_join"] = f"""WITH k AS (SELECT o_orderpriority, l_orderkey, count(*) AS c, sum(CAST(l_extendedprice AS DOUBLE)) AS t
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 10 AND {hsql(['o_orderkey'])} < {T10} GROUP BY ALL),
 a AS (SELECT o_orderpriority, count(*) AS sample_keys, sum(c) AS n, sum(t) AS t, sum(c * c) AS cc, sum(t * t) AS tt,

@@ -31,6 +31,7 @@ from roughcut.operators.allocation import allocate, allocated_aggregate, allocat
 from roughcut.operators.priority import priority_aggregate, priority_sample
 from roughcut.operators.quantile import exact_quantiles, exact_quantiles_grouped
 from roughcut.operators.samples import DEFAULT_TIERS, SampleStore
+from roughcut.operators.summaries import file_summaries, range_aggregate
 from roughcut.operators.upkeep import append_files, build_from_files
 from roughcut.plans.aggregate import approx_aggregate, exact_aggregate
 from roughcut.plans.compare import (ACCURACY_LEVELS, accuracy_sweep, compare_exact_approx,
@@ -425,6 +426,47 @@ def distinct_sets(spark, d):
     return j.select("set_name", right.alias("exact"), right.between(F.floor("ci_low"), F.ceil("ci_high")).alias("within"))
 
 
+def _summed(spark, d, name: str, files: int, *order: str) -> tuple[str, DataFrame]:
+    """``sales`` in ``files`` files (in ranges of ``order``, or dealt by hash), and their summaries."""
+    def write(p):
+        s = load_sales(spark, d).select("event_id", "region", "amount")
+        (s.repartitionByRange(files, *order) if order else s.repartition(files, F.xxhash64("event_id"))).write.parquet(p)
+    path = _once(spark, d, name, write)
+    stored_at = _once(spark, d, name + "-sums", lambda p: write_parquet(
+        file_summaries(spark, path, ["event_id"], ["amount"], ["region"]), p))
+    return path, spark.read.parquet(stored_at)
+
+
+_RANGE_AGGS = [("count", "*", "cnt"), ("sum", "amount", "total"), ("avg", "amount", "mean")]
+
+
+@query
+def summary_range(spark, d):
+    """A range filter on an ordered table of 24 files opens the two files at its ends only, and
+    is exact."""
+    path, sums = _summed(spark, d, "ordered", 24, "event_id")
+    n = sums.agg(F.max("most_event_id")).first()[0] + 1
+    res = range_aggregate(spark, path, sums, "event_id", n // 5, n - n // 3, _RANGE_AGGS, ["region"])
+    return res.select("region", r6("cnt").alias("cnt"), F.round("total", 2).alias("total"), r6("mean").alias("mean"),
+                      F.col("total_error_pct").alias("error_pct"), (F.col("files_read") <= 2).alias("ends_only"),
+                      (F.col("files_inside") > 8).alias("most_from_summaries"))
+
+
+@query
+def summary_sampled(spark, d):
+    """The same filter where every file straddles the range: 24 of 64 files are drawn, and the
+    exact answers lie in twice the stated intervals."""
+    path, sums = _summed(spark, d, "dealt", 64)
+    n = sums.agg(F.max("most_event_id")).first()[0] + 1
+    res = range_aggregate(spark, path, sums, "event_id", n // 5, n - n // 3, _RANGE_AGGS, max_files=24)
+    s = load_sales(spark, d).where(f"event_id BETWEEN {n // 5} AND {n - n // 3}")
+    exact = s.agg(F.count("*").alias("exact_cnt"), r6(F.sum("amount")).alias("exact_total"))
+    j = with_scalars(res, exact)
+    return j.select("exact_cnt", "exact_total", *[
+        (F.abs(F.col(x) - F.col(f"exact_{x}")) <= 2 * (F.col(f"{x}_ci_high") - F.col(x))).alias(f"{x}_within") for x in ("cnt", "total")],
+        (F.col("files_read") == 24).alias("drawn"))
+
+
 @query
 def universe_join(spark, d):
     """C4/E5: COUNT, SUM and AVG over a join, from 10 % of the join keys on both sides."""
