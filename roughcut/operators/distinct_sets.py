@@ -87,7 +87,7 @@ def _sketch(s: KeySet, names: dict) -> Column:
     return F.theta_intersection(a, b) if s.op == "and" else F.theta_difference(a, b)
 
 
-def distinct_in(sketches: DataFrame, sets: dict[str, KeySet], confidence: float = 0.95) -> DataFrame:
+def distinct_in(sketches: DataFrame, sets: dict[str, KeySet], confidence: float = 0.95, lg_k: int = LG_K) -> DataFrame:
     """Distinct keys of each named set, from the sketches alone: ``set_name``, ``distinct_keys``,
     ``ci_low``, ``ci_high``.
 
@@ -97,18 +97,18 @@ def distinct_in(sketches: DataFrame, sets: dict[str, KeySet], confidence: float
     Up to ``2^lg_k`` keys in the union the answer is exact. Where no kept key is in the set, the upper
     end is ``-ln((1 - confidence) / 2)`` thresholds. A value that never occurred is an empty set.
 
+    Several sketches of one value (of days, unmerged) are united; ``lg_k`` is the size they are
+    united at, and the least size of all counts for the interval.
+
     Only the rows of the values asked for are read; the result has a row per set.
     """
     wanted = list(dict.fromkeys(v for s in sets.values() for v in s.values()))
     names = {v: f"__s{i}" for i, v in enumerate(wanted)}
     match = {v: (F.col("attribute") == v[0]) & F.col("value").eqNullSafe(F.lit(v[1])) for v in wanted}
     rows = sketches.where(reduce(lambda a, b: a | b, match.values()))
-    # one row per value, so max() only picks it
-    one = rows.agg(F.coalesce(F.max("lg_k"), F.lit(LG_K)).alias("__lg"), *[
-        F.max(F.when(match[v], F.col("sketch"))).alias(n) for v, n in names.items()])
-    empty = F.theta_difference(F.col("__any"), F.col("__any"))
-    one = one.withColumn("__any", F.coalesce(*[F.col(n) for n in names.values()]))
-    one = one.select("__lg", *[F.coalesce(F.col(n), empty).alias(n) for n in names.values()])
+    one = rows.agg(F.least(F.min("lg_k"), F.lit(lg_k)).alias("__lg"), *[
+        F.theta_union_agg(F.when(match[v], F.col("sketch")), lg_k).alias(n) for v, n in names.items()])
+    one = one.withColumn("__lg", F.coalesce("__lg", F.lit(lg_k)))
     answers = []
     for name, s in sets.items():
         union = reduce(lambda a, b: a | b, [KeySet("is", v) for v in s.values()])

@@ -87,6 +87,8 @@ def test_small_sets_are_exact_and_sketches_merge(spark, visits):
     a, b = is_in("kind", "a"), is_in("kind", "b")
     halves = [value_sketches(few.where(c), "user", ["kind"]) for c in ("user % 2 = 0 OR kind = 'a'", "user % 2 = 1")]
     r = {x.set_name: x for x in distinct_in(merge_value_sketches(halves[0].unionByName(halves[1])), {"x": a & b, "y": a}).collect()}
+    loose = distinct_in(halves[0].unionByName(halves[1]), {"x": a & b}).first()
+    assert loose.distinct_keys == r["x"].distinct_keys  # unmerged sketches are united too
     users = {k: {x.user for x in few.where(F.col("kind") == k).collect()} for k in "ab"}
     assert r["x"].distinct_keys == r["x"].ci_low == r["x"].ci_high == len(users["a"] & users["b"])
     assert r["y"].distinct_keys == len(users["a"])
