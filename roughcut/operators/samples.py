@@ -11,6 +11,7 @@ Layout under the store root (a folder in the shared checkpoint location)::
     <root>/<table>/strat__<cols>/meta/v<id>              one row
     <root>/<table>/priority__<weight>/v<id>/data         k rows by weight, with inclusion
     <root>/<table>/universe__<key>/v<id>/data            rows of the drawn join keys
+    <root>/<table>/outliers__<value>/v<id>/data          the extreme rows, exact beside the tiers
 
 Every build writes a new version and adds its metadata row last, so readers
 always see the newest *complete* build: a build or refresh that dies part
@@ -42,6 +43,7 @@ from pyspark.sql import types as T
 from roughcut.functions.hashing import hash60, threshold, with_row_hash
 from roughcut.operators import sampling, stratified
 from roughcut.operators.aggspec import as_aggs
+from roughcut.operators.outliers import Cut, is_outlier, outlier_aggregate, outlier_cut
 from roughcut.operators.priority import priority_sample
 from roughcut.operators.profile import invalidate_profile
 from roughcut.operators.universe import universe_join_aggregate
@@ -67,12 +69,15 @@ META_SCHEMA = T.StructType([
     T.StructField("key_list", T.ArrayType(T.StringType())),
     # group columns whose values a tier build stored
     T.StructField("known_groups", T.ArrayType(T.ArrayType(T.StringType()))),
-    T.StructField("weight", T.StringType()),  # of a priority sample
+    T.StructField("weight", T.StringType()),  # of a priority sample; the value of an outlier index
     # the folders that hold the rows, where they are several (see operators/upkeep.py)
     T.StructField("parts", T.ArrayType(T.StringType())),
     T.StructField("source", T.StringType()),  # the files that a sample follows
+    T.StructField("center", T.DoubleType()),  # rows farther than ``cut`` from it are in the outlier index
+    T.StructField("cut", T.DoubleType()),
+    T.StructField("budget", T.LongType()),  # rows that the index may hold
 ])
-OTHER_KINDS = ("stratified", "priority", "universe")  # sample types that are not tiers
+OTHER_KINDS = ("stratified", "priority", "universe", "outliers")  # sample types that are not tiers
 
 
 def meta_row(**known) -> tuple:
@@ -235,6 +240,22 @@ class SampleStore:
                       built_at=now(), hash_method=hash_method, data_path=f"{base}/{ver}/data")],
             f"{base}/meta/{ver}")
 
+    def build_outliers(self, df: DataFrame, table: str, value: str, k: int) -> DataFrame:
+        """H2/E5: an index of the at most ``k`` rows whose ``value`` is farthest from the others',
+        beside the table's tiers (see :mod:`roughcut.operators.outliers`)."""
+        self._invalidate()
+        base, ver = f"{self.root}/{table}/outliers__{value}", _version()
+        at = outlier_cut(df, value, k)
+        seen = Observation()
+        (df.observe(seen, F.count(F.lit(1)).alias("rows")).where(is_outlier(value, at))
+            .hint("rebalance").write.parquet(f"{base}/{ver}/data"))
+        n = self.spark.read.parquet(f"{base}/{ver}/data").count()
+        return self._publish(
+            [meta_row(table_name=table, sample_type="outliers", rate=n / max(seen.get["rows"], 1), sample_rows=n,
+                      population_rows=seen.get["rows"], stored_rows=n, built_at=now(), data_path=f"{base}/{ver}/data",
+                      weight=value, center=at.center, cut=at.cut, budget=k)],
+            f"{base}/meta/{ver}")
+
     def _publish(self, rows: list, meta_path: str) -> DataFrame:
         """Write a build's metadata - the last step, which makes it visible."""
         self.spark.createDataFrame(rows, META_SCHEMA).coalesce(1).write.parquet(meta_path)
@@ -340,6 +361,31 @@ class SampleStore:
                 return self._rows(r)
         raise LookupError(f"no priority sample of {table} by {weight}")
 
+    def outliers(self, table: str, value: str) -> tuple[DataFrame, Cut]:
+        """Rows of the outlier index of ``value``, and the rule that made them outliers."""
+        meta = self._outliers_row(table, value)
+        return self._rows(meta), Cut(meta["center"], meta["cut"])
+
+    def _outliers_row(self, table: str, value: str):
+        for r in self._registry_rows():
+            if r["table_name"] == table and r["sample_type"] == "outliers" and r["weight"] == value:
+                return r
+        raise LookupError(f"no outlier index of {table} by {value}")
+
+    def outlier_aggregate(self, table: str, value: str, rate: float, aggs, group_by: Sequence[str] = (),
+                          where=None, confidence: float = 0.95) -> DataFrame:
+        """COUNT, SUM and AVG from the index of ``value`` and the other rows of the tier at ``rate``.
+        An index and tiers that were built from different numbers of rows do not fit, and raise."""
+        meta = self._outliers_row(table, value)
+        tier = self._meta_row(table, tier_name(min([r for r in self.available_tiers(table) if r >= rate], default=rate)))
+        if tier["population_rows"] != meta["population_rows"]:
+            raise LookupError(f"the outlier index of {table} was built from {meta['population_rows']} rows, "
+                              f"its tiers from {tier['population_rows']}: refresh them together")
+        index, at = self.outliers(table, value)
+        rest = self.tier(table, rate).where(~is_outlier(value, at))
+        return outlier_aggregate(index, rest, meta["population_rows"] - meta["sample_rows"], aggs, group_by, where,
+                                 value, at, confidence)
+
     def universe(self, table: str, key, rate: float | None = None) -> tuple[DataFrame, float]:
         """Rows of the drawn keys of ``table``, and the rate they were drawn at (``rate``, if a
         lower one is asked for)."""
@@ -470,11 +516,12 @@ class SampleStore:
         before = {r["data_path"] for r in self._registry_rows()}
         reg = (self.registry().filter(F.col("table_name") == table)
                .select("sample_type", "rate", "group_list", "key_list", "hash_method", "known_groups", "weight",
-                       "sample_rows").collect())
+                       "sample_rows", "budget").collect())
         plain = [r for r in reg if r["sample_type"] not in OTHER_KINDS]
         tiers = sorted({r["rate"] for r in plain})
         known = next((r["known_groups"] for r in plain), None) or []
-        keys = {(tuple(r["key_list"]), r["hash_method"] or "md5") for r in reg if r["sample_type"] != "universe"}
+        keys = {(tuple(r["key_list"]), r["hash_method"] or "md5") for r in reg
+                if r["sample_type"] not in ("universe", "outliers")}
         if len(keys) > 1 or not reg:
             raise LookupError(f"no samples (or mixed keys / hash methods) stored for {table}")
         key_cols, method = keys.pop() if keys else ((), "md5")
@@ -488,6 +535,8 @@ class SampleStore:
                                       hash_method=method)
             elif r["sample_type"] == "priority":
                 self.build_priority(df, table, r["sample_rows"], r["weight"], key, hash_method=method)
+            elif r["sample_type"] == "outliers":
+                self.build_outliers(df, table, r["weight"], r["budget"])
             elif r["sample_type"] == "universe":
                 self.build_universe(df, table, r["key_list"], r["rate"], hash_method=r["hash_method"])
         if profile_path is not None:

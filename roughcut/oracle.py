@@ -347,6 +347,34 @@ b AS (SELECT *, t / c AS av FROM a)
 SELECT l_returnflag, {_ht('total', 's', '(1.96 * sqrt(sv))')}, {_ht('cnt', 'c', '(1.96 * sqrt(cv))')},
   {_ht('qty', 'av', '(1.96 * sqrt(tv - 2 * av * tc + av * av * cv) / c)')}, sample_rows FROM b"""
 
+# the mean of all, the mean of those below the 32nd of an octave that holds the 61st farthest, the 61st farthest
+_OUTLIERS = """e AS (SELECT *, value * value * value AS cost FROM events),
+o AS (SELECT e.*, floor(log2(nullif(abs(cost - c0), 0)) * 32) AS part FROM e, (SELECT avg(cost) AS c0 FROM e)),
+k1 AS (SELECT part AS cut_part FROM (SELECT part, sum(count(*)) OVER (ORDER BY part DESC) AS upto FROM o WHERE part IS NOT NULL GROUP BY part)
+  WHERE upto > 60 ORDER BY part DESC LIMIT 1),
+c1 AS (SELECT avg(cost) AS center FROM o, k1 WHERE part < cut_part OR (part IS NULL AND cost IS NOT NULL)),
+f AS (SELECT e.*, abs(cost - center) AS far FROM e, c1),
+t AS (SELECT far AS cut FROM f ORDER BY far DESC NULLS LAST LIMIT 1 OFFSET 60),
+x AS (SELECT f.*, coalesce(far > cut, false) AS extreme FROM f, t)"""
+Q["outlier_rows"] = f"WITH {_OUTLIERS} SELECT event_id, {r6('cost')} AS cost FROM x WHERE extreme"
+
+
+def _rest(yy: str, y: str) -> str:
+    """Margin of a total over the n sampled of the other rows."""
+    return f"(1.96 * pop * sqrt(greatest({yy} - {y} * {y} / n, 0) / (n - 1) / n * (1.0 - n / CAST(pop AS DOUBLE))))"
+
+
+Q["outlier_sum"] = f"""WITH {_OUTLIERS},
+m AS (SELECT count(*) FILTER (WHERE NOT extreme) AS pop, count(*) FILTER (WHERE NOT extreme AND {hsql(['event_id'])} < {T10}) AS n FROM x),
+g AS (SELECT event_type, any_value(m.pop) AS pop, any_value(m.n) AS n, count(*) FILTER (WHERE extreme) AS ic, count(*) FILTER (WHERE NOT extreme) AS rc,
+    coalesce(sum(cost) FILTER (WHERE extreme), 0) AS it, coalesce(sum(cost) FILTER (WHERE NOT extreme), 0) AS rt,
+    coalesce(sum(cost * cost) FILTER (WHERE NOT extreme), 0) AS ryy
+  FROM x, m WHERE user_id % 4 < 3 AND (extreme OR {hsql(['event_id'])} < {T10}) GROUP BY event_type),
+s AS (SELECT *, it + rt * pop / n AS t, ic + rc * pop / CAST(n AS DOUBLE) AS c FROM g),
+a AS (SELECT *, t / c AS av FROM s)
+SELECT event_type, {_ht('total', 't', _rest('ryy', 'rt'))}, {_ht('cnt', 'c', _rest('rc', 'CAST(rc AS DOUBLE)'))},
+  {_ht('mean', 'av', f"({_rest('(ryy - 2 * av * rt + av * av * rc)', '(rt - av * rc)')} / c)")}, ic AS index_rows, rc AS sample_rows FROM a"""
+
 _POISSON = " ".join(f"WHEN u < {t} THEN {k}" for k, t in enumerate(poisson_thresholds()))
 
 
@@ -538,6 +566,17 @@ Q["profile_skew"] = w("""g AS (SELECT 'region' AS column_name, count(*) AS c FRO
   abs(2 * sum(i * c) / (count(*) * sum(c)) - (count(*) + 1.0) / count(*)) AS g FROM rk GROUP BY column_name)""") + \
     f"""SELECT column_name, CAST(n AS BIGINT) AS groups, {r6('g')} AS gini,
   {r6('CASE WHEN n > 1 THEN g * n / (n - 1) END')} AS gini_normalised FROM gg"""
+Q["heavy_values"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count, "
+    f"{r6('count(*) / (SELECT count(*) FROM events)')} AS share FROM events GROUP BY {c} HAVING count(*) >= 0.02 * (SELECT count(*) FROM events)"
+    for c in ("event_type", "user_id", "event_id"))
+Q["skew_interval"] = w("g AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS c FROM sales GROUP BY {c}"
+                                                    for c in ("region", "user_id", "event_id")) + ")",
+                       """rk AS (SELECT column_name, CAST(c AS DOUBLE) AS c,
+  CAST(row_number() OVER (PARTITION BY column_name ORDER BY c) AS DOUBLE) AS i FROM g)""",
+                       """gg AS (SELECT column_name, count(*) AS n,
+  abs(2 * sum(i * c) / (count(*) * sum(c)) - (count(*) + 1.0) / count(*)) AS g FROM rk GROUP BY column_name)""") + \
+    f"SELECT column_name, {r6('CASE WHEN n > 1 THEN g * n / (n - 1) ELSE 0 END')} AS gini_normalised, TRUE AS within FROM gg"
 Q["profile_gini_users"] = _gini("cnts AS (SELECT count(*) AS c FROM orders GROUP BY o_custkey)")
 
 # ======================================================================== H

@@ -46,6 +46,7 @@ from roughcut.functions.frames import join_on_groups, with_scalars
 from roughcut.operators import profile as prof
 from roughcut.operators import quantile, sampling, sketches, stratified
 from roughcut.operators.aggspec import Agg, as_aggs
+from roughcut.operators.heavy import skew_bounds
 from roughcut.operators.samples import SampleStore, tier_name
 
 STRATEGIES = ("exact", "uniform", "stratified", "materialized_tier", "materialized_stratified",
@@ -124,6 +125,13 @@ def _skew(df, group_by, table, store, tiers, profile_row, profile) -> float:
             return row["group_gini_normalised"]
     # group frequencies of a stored sample stand in for the table's
     rows = store.tier(table, max(tiers)) if tiers else df
+    if len(group_by) == 1 and not tiers:
+        # the frequent values often settle it, without a shuffle of all values
+        bounded = skew_bounds(rows, group_by).first()
+        if bounded is None or bounded["gini_high"] <= prof.SKEW_GINI:
+            return bounded["gini_high"] if bounded else 0.0
+        if bounded["gini_low"] > prof.SKEW_GINI:
+            return bounded["gini_low"]
     return prof.frequency_gini(rows, group_by).first()["gini_normalised"] or 0.0
 
 

@@ -28,6 +28,8 @@ from roughcut.operators.blocks import block_aggregate, block_sample
 from roughcut.operators.bootstrap import Ratio, bootstrap_aggregate
 from roughcut.operators.distinct_sets import distinct_in, is_in, value_sketches
 from roughcut.operators.allocation import allocate, allocated_aggregate, allocated_sample
+from roughcut.operators.heavy import heavy_hitters, skew_bounds
+from roughcut.operators.outliers import is_outlier, outlier_cut
 from roughcut.operators.priority import priority_aggregate, priority_sample
 from roughcut.operators.quantile import exact_quantiles, exact_quantiles_grouped
 from roughcut.operators.samples import DEFAULT_TIERS, SampleStore
@@ -379,6 +381,34 @@ def priority_sum(spark, d):
     return res.select("l_returnflag", *_r2(res, ["l_returnflag", "sample_rows"]), "sample_rows")
 
 
+OUTLIER_K = 60
+
+
+def _costs(spark, d):
+    """``events`` with a heavy-tailed ``cost``: the cube of the value."""
+    return read_table(spark, d, "events").withColumn("cost", F.col("value") * F.col("value") * F.col("value"))
+
+
+@query
+def outlier_rows(spark, d):
+    """H2: the rows of an outlier index of 60 rows by cost."""
+    ev = _costs(spark, d)
+    return ev.where(is_outlier("cost", outlier_cut(ev, "cost", OUTLIER_K))).select("event_id", r6("cost").alias("cost"))
+
+
+@query
+def outlier_sum(spark, d):
+    """H2/E5: COUNT, SUM and AVG of the cost per event type under a filter, from the stored index
+    and the other rows of the 10 % tier."""
+    ev = _costs(spark, d)
+    st = _store(spark, d, "outliers", lambda st: (st.build_tiers(ev, "events", "event_id"),
+                                                  st.build_outliers(ev, "events", "cost", OUTLIER_K)))
+    res = st.outlier_aggregate("events", "cost", UNIFORM_RATE,
+                               [("sum", "cost", "total"), ("count", "*", "cnt"), ("avg", "cost", "mean")],
+                               ["event_type"], "user_id % 4 < 3")
+    return res.select("event_type", *_r2(res, ["event_type", "index_rows", "sample_rows"]), "index_rows", "sample_rows")
+
+
 @query
 def bootstrap_bounds(spark, d):
     """H1-H3: Poisson bootstrap intervals of a count, a sum and a ratio of two sums per group."""
@@ -993,6 +1023,26 @@ def profile_skew(spark, d):
                     r6("gini_normalised").alias("gini_normalised"))
 
 
+@query
+def heavy_values(spark, d):
+    """The values that at least 2 % of the events have, of three columns (one is a key)."""
+    ev = read_table(spark, d, "events")
+    res = heavy_hitters(ev, ["event_type", "user_id", "event_id"], 0.02)
+    return res.select("column_name", "value", "count", r6("share").alias("share"))
+
+
+@query
+def skew_interval(spark, d):
+    """The exact frequency Gini lies in the interval from heavy hitters (300 tracked values)."""
+    s = load_sales(spark, d)
+    columns = ["region", "user_id", "event_id"]
+    exact = prof.profile_skew(s, columns).select("column_name", "gini_normalised")
+    j = join_on_groups(skew_bounds(s, columns, 300), exact, ["column_name"], "inner")
+    g = F.coalesce("gini_normalised", F.lit(0.0))
+    return j.select("column_name", r6(g).alias("gini_normalised"),
+                    g.between(F.col("gini_low") - 1e-9, F.col("gini_high") + 1e-9).alias("within"))
+
+
 @query
 def profile_gini_users(spark, d):
     """Frequency Gini of a high-cardinality column (one group per user)."""
