@@ -63,7 +63,7 @@ def heavy_hitters(df: DataFrame, columns: Sequence[str], min_share: float | None
 
 
 def _summaries(df: DataFrame, columns: Sequence[str], tracked: int, distinct: bool) -> DataFrame:
-    """One row: ``n``, and per column i the candidates ``c<i>`` (and the number of values ``d<i>``)."""
+    """One row (none of an empty table): ``n``, and per column i the candidates ``c<i>`` (and the number of values ``d<i>``)."""
     if not columns:
         raise ValueError("name the columns")
     part = [f"approx_top_k_accumulate({_text(c)}, {tracked}) AS s{i}" for i, c in enumerate(columns)]
@@ -73,7 +73,8 @@ def _summaries(df: DataFrame, columns: Sequence[str], tracked: int, distinct: bo
         part += [f"hll_sketch_agg({_text(c)}, {_HLL_LG}) AS h{i}" for i, c in enumerate(columns)]
         whole += [f"hll_sketch_estimate(hll_union_agg(h{i})) AS d{i}" for i in range(len(columns))]
     buckets = df.groupBy((F.spark_partition_id() % _BUCKETS).alias("__bucket")).agg(F.expr("count(1) AS n"), *map(F.expr, part))
-    return buckets.agg(F.sum("n").alias("n"), *map(F.expr, whole)).where("n > 0")
+    # by a constant: an empty table has no group, so that no summary of nothing is merged
+    return buckets.groupBy(F.lit(0).alias("__all")).agg(F.sum("n").alias("n"), *map(F.expr, whole)).drop("__all")
 
 
 def _recounted(df: DataFrame, columns: Sequence[str], facts: DataFrame, least: float) -> DataFrame:
