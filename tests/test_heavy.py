@@ -42,7 +42,7 @@ def test_shuffle_is_bounded_by_candidates(columns):
     plan = heavy_hitters(columns, ["key"], 0.05, tracked=100)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "SortMergeJoin" not in plan
     keyed = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert len(keyed) == 2  # by bucket, and the candidates' counts
+    assert len(keyed) == 3  # the summaries by bucket and then together, and the candidates' counts
 
 
 def test_intervals_hold_the_exact_gini(columns):
