@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from roughcut.session import stored
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, *name: str) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, *name: str,
+             few: bool = False) -> DataFrame:
     """``df`` with ``out``, the number of each row from 0 within its ``group`` in the order of
     the columns ``order`` (nulls first).
 
@@ -17,6 +18,10 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, *name:
     one group, are spread over the tasks: the rows are sorted once by range, stored below
     ``name`` with their place, and what lies before a group in earlier parts is added from a
     table of one row per group and part. No window or task holds a group.
+
+    ``few``: there are few groups (by the kind of ``group``, whatever the rows), so that table,
+    which has at most as many rows as there are parts and groups, goes to every task, and the
+    rows are not shuffled again to meet it.
     """
     spread = [*group, *order, "__spread"]
     keyed = df.withColumn("__spread", F.xxhash64(F.monotonically_increasing_id()))
@@ -31,5 +36,5 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, *name:
     same = F.col("__part") == F.col("__p")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"__k{i}"))
-    return at.join(parts, same).withColumn(out, F.col("__at") + F.col("__shift")) \
+    return at.join(F.broadcast(parts) if few else parts, same).withColumn(out, F.col("__at") + F.col("__shift")) \
         .drop(*alike, "__p", "__shift", "__at", "__part")

@@ -41,6 +41,7 @@ def hash60(key: Column) -> Column:
 
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, name: str) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], out: str, name: str,
+             few: bool = False) -> DataFrame:
     """See :func:`roughcut.functions.ranking.numbered`."""
-    return ranking.numbered(df, group, order, out, "llm", name)
+    return ranking.numbered(df, group, order, out, "llm", name, few=few)

@@ -44,7 +44,7 @@ def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     new shard. ``slot`` numbers a shard's rows from 0 without gaps, by
     (key hash range, checksum class, key hash, id, checksum, size). Rows are sorted once by
     range and numbered part by part, so neither a shard nor a key that very many rows
-    share is one task's.
+    share is one task's; what is carried along is shuffled once.
 
     A null id is one key of its own (the empty string); repeated keys go to one
     shard and get slots of their own. A null text has no bytes and checksum 0.
@@ -73,7 +73,7 @@ def rendezvous_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if kept:  # rows that differ in what they carry only come in its order
         placed = placed.withColumn("__carried", F.xxhash64(*[c for c in placed.columns if c.startswith("__keep_")]))
         order.append("__carried")
-    return numbered(placed, ["shard"], order, "slot", "placed").select(
+    return numbered(placed, ["shard"], order, "slot", "placed", few=True).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
         F.col("slot").cast("long").alias("slot"), "grown_shard",
         *[F.col(f"__keep_{c}").alias(c) for c in keep if c not in taken])

@@ -124,6 +124,17 @@ def test_shard_cases(spark, odd):
     assert rendezvous_shards(odd.limit(0)).collect() == []
 
 
+def test_shards_shuffle_what_they_carry_once(spark, odd):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = rendezvous_shards(odd, keep=["text"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert len(out.collect()) == odd.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages_apply_their_decisions(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
