@@ -16,30 +16,27 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     least node after a number of rounds that grows with the logarithm of the
     component. Both are a grouped minimum (combined map-side) joined back, so a
     node with very many links is a skewed join side, never one gathered list. Each
-    round is stored; only a count and a checksum reach the driver. Nulls and
-    self-links add nothing.
+    star is stored; only a count reaches the driver. Nulls and self-links add nothing.
     """
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                    .where("u <> v").distinct(), "links")
-    before = _mark(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m"))
-                       .select("u", F.least("u", "m").alias("m")), "least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = stored(both.where("v > u").join(least, "u")
                        .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
-            .unionByName(low.select("u", F.col("m").alias("v")))
-        nxt = stored(small.where("u <> v").distinct(), "small")
-        after = _mark(nxt)
-        if after == before:
-            break
-        edges, before = nxt, after
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # the link to the least neighbour stays, the others go from it
+        edges = stored(large.join(low, "u").select(
+            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
+            F.col("m").alias("v")).distinct(), "small")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return row[0], row[1]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no larger end has a second link or is a smaller end too."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")) \
+        .unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")) \
+        .where("up > 1 OR up = 1 AND down = 1").agg(F.count("*")).first()[0] == 0

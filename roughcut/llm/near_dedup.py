@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -152,34 +153,82 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "sim": np.array(sim, np.float64)})
 
 
+def _bags(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``(owner, hash)`` of the shingles of several texts, with how often each occurs."""
+    unpack = zstandard.ZstdDecompressor()
+    texts = [unpack.decompress(b).decode("utf-8", "surrogatepass") for b in blobs]
+    parts = []
+    for part in chunks(texts):
+        h, o, c = weighted(*shingles([texts[i] for i in part]))
+        parts.append((h, o + part[0], c))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The indices ``first[k], first[k] + 1, ...``, ``length[k]`` of them, one ``k`` after the other."""
+    return np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+def similar_classes(h: np.ndarray, o: np.ndarray, c: np.ndarray, label: np.ndarray,
+                    similarity: float) -> list[tuple[int, int]]:
+    """Links ``(j, i)`` with ``j < i`` of sets that join the classes ``label`` of the sets.
+
+    Each set, in order, gets a link to the first set before it in every class but its own
+    that has one at least ``similarity`` like it (weighted Jaccard); classes that a link joins
+    are one from then on. Two such sets share ``similarity`` times the larger weight, so with
+    elements in one order, rarest first, the first one they share is followed by that much in
+    either set: only sets that meet in such an element are compared. No pair is lost by that.
+    """
+    n, label, links = len(label), label.copy(), []
+    _, el = np.unique(h, return_inverse=True)
+    often = np.bincount(el)
+    rarest = np.lexsort((el, often[el], o))
+    weight = np.bincount(o, weights=c, minlength=n)
+    ends = np.cumsum(np.bincount(o, minlength=n))
+    starts = ends - np.bincount(o, minlength=n)
+    before = np.cumsum(c[rarest]) - c[rarest]
+    left = weight[o] - (before - before[np.minimum(starts, len(o) - 1)][o])
+    head = rarest[(left >= similarity * weight[o] - 1e-6) & (often[el[rarest]] > 1)]
+    met = head[np.lexsort((o[head], el[head]))]  # by element, in each by set
+    first = np.searchsorted(el[met], np.arange(len(often)))
+    place = np.arange(len(met))
+    mine = np.argsort(o[met], kind="stable")
+    upto = np.searchsorted(o[met][mine], np.arange(n + 1))
+    count = np.zeros(len(often), np.int64)
+    for i in range(n):
+        at = place[mine[upto[i]:upto[i + 1]]]
+        begin = first[el[met[at]]]
+        others = o[met[_ranges(begin, at - begin)]]
+        others = np.unique(others[label[others] != label[i]])
+        others = others[np.minimum(weight[others], weight[i]) >= similarity * np.maximum(weight[others], weight[i])]
+        if not len(others):
+            continue
+        own = slice(starts[i], ends[i])
+        count[el[own]] = c[own]
+        length = ends[others] - starts[others]
+        theirs = _ranges(starts[others], length)
+        both = np.add.reduceat(np.minimum(count[el[theirs]], c[theirs]), np.cumsum(length) - length)
+        count[el[own]] = 0
+        for j in others[both / (weight[others] + weight[i] - both) >= similarity].tolist():
+            if label[j] != label[i]:
+                links.append((j, i))
+                label[label == label[i]] = label[j]
+    return links
+
+
 def _finish(similarity: float):
-    """Links between the classes that meet in one small bucket."""
+    """Links between the classes that meet in one small bucket, with the classes they join."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bag = _bag_of(zstandard.ZstdDecompressor())
+        nodes, classes = pdf["node"].tolist(), pdf["component"].tolist()
+        size = Counter(classes)
         # the largest class first: a member of another one looks for its first link in it
-        size = pdf.groupby("component")["node"].transform("count")
-        pdf = pdf.assign(size=-size).sort_values(["size", "component", "node"])
-        nodes, blobs = pdf["node"].tolist(), [bytes(b) for b in pdf["blob"]]
-        root = {c: c for c in pdf["component"]}
-
-        def find(x: bytes) -> bytes:
-            while root[x] != x:
-                x = root[x]
-            return x
-        bags, classes, out = [bag(b) for b in blobs], pdf["component"].tolist(), []
-        weights = pdf["weight"].tolist()
-        for i in range(len(nodes)):
-            mine = find(classes[i])
-            for j in range(i):
-                if classes[j] == classes[i] or find(classes[j]) == mine:
-                    continue
-                if min(weights[i], weights[j]) < similarity * max(weights[i], weights[j]):
-                    continue
-                if jaccard(*bags[i], *bags[j]) >= similarity:
-                    out.append((nodes[j], nodes[i]))
-                    root[mine] = find(classes[j])
-                    mine = root[mine]
-        return pd.DataFrame(out, columns=["a", "b"])
+        order = sorted(range(len(nodes)), key=lambda i: (-size[classes[i]], classes[i], nodes[i]))
+        number = {c: k for k, c in enumerate(size)}
+        label = np.array([number[classes[i]] for i in order])
+        blobs = pdf["blob"].tolist()
+        links = similar_classes(*_bags([bytes(blobs[i]) for i in order]), label, similarity)
+        return pd.DataFrame([(nodes[order[j]], nodes[order[i]], classes[order[j]], classes[order[i]])
+                             for j, i in links], columns=["a", "b", "class_a", "class_b"])
     return run
 
 
@@ -260,8 +309,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rests = rests.select("rest").distinct().select(
             F.xxhash64("rest").alias("key"), F.inline("rest"))
         last = stored(rests.join(texts, "node").groupBy("key")
-                      .applyInPandas(_finish(similarity), "a binary, b binary"), "finished")
-        links = links.unionByName(last).distinct()
+                      .applyInPandas(_finish(similarity), "a binary, b binary, class_a binary, class_b binary"),
+                      "finished")
+        links = links.unionByName(last.select("a", "b")).distinct()
         if large.isEmpty():
             break
         level += 1
@@ -282,13 +332,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .groupBy("key").agg(F.min(F.struct("n", "a"))["a"].alias("a"))
 
     links = stored(links, "links")
-    component = connected_components(links)
+    # the classes so far, and which of them the links of the last round join
+    joined = connected_components(last, "class_a", "class_b") \
+        .select(F.col("node").alias("component"), F.col("component").alias("into"))
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) \
         .groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     linked = stored(contents.select("node", "first", "copies").join(component, "node", "left")
                     .join(degree, "node", "left")
                     .select("node", "first", "copies", F.coalesce("component", "node").alias("component"),
-                            F.coalesce("n_links", F.lit(0)).alias("n_links")), "linked")
+                            F.coalesce("n_links", F.lit(0)).alias("n_links"))
+                    .join(joined, "component", "left")
+                    .withColumn("component", F.coalesce("into", "component")).drop("into"), "linked")
     classes = linked.groupBy("component").agg(F.min("first").alias("c"), F.sum("copies").alias("class_size"))
     named = stored(linked.join(classes, "component").select("node", "c", "class_size", "n_links"), "named")
     out = sketch.select("doc_id", "node").join(named, "node", "left")

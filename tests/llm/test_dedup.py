@@ -3,18 +3,21 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from roughcut.llm import common, near_dedup, substring_dedup
+from roughcut.llm import common, components, near_dedup, substring_dedup
 from roughcut.llm.components import connected_components
 from roughcut.llm.exact_dedup import exact_dedup, possibly_repeated
 from roughcut.llm.line_dedup import dedup_lines
-from roughcut.llm.near_dedup import dart_signatures, near_duplicates
+from roughcut.llm.near_dedup import dart_signatures, near_duplicates, similar_classes
 from roughcut.llm.shingles import jaccard, mix, shingles, weighted, word_hashes
 from roughcut.llm.substring_dedup import dedup_substrings
 from roughcut.llm.substrings import repeated_classes, segments
@@ -168,6 +171,61 @@ def test_near_duplicates_cases(spark, odd):
     assert near_duplicates(odd.limit(0)).collect() == []
 
 
+def brute_links(bags, label, similarity):
+    label, links = list(label), []
+    for i in range(len(bags)):
+        for j in range(i):
+            if label[j] != label[i] and jaccard(*bags[i], *bags[j]) >= similarity:
+                links.append((j, i))
+                label = [label[j] if x == label[i] else x for x in label]
+    return links
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_similar_classes_match_all_pairs(similarity):
+    rng, links = random.Random(5), 0
+    for _ in range(100):
+        texts = [[f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 120))]]
+        for _ in range(rng.randrange(40)):
+            words = list(rng.choice(texts))
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(30)}"
+            texts.append(words + words[:rng.choice([0, 0, rng.randrange(1, 9), len(words)])])
+        h, o, c = weighted(*shingles([" ".join(t) for t in texts]))
+        label = [rng.randrange(len(texts)) for _ in texts]
+        bags = [(h[o == i], c[o == i]) for i in range(len(texts))]
+        got = similar_classes(h, o, c, np.array(label), similarity)
+        assert got == brute_links(bags, label, similarity)
+        links += len(got)
+    assert links > 300
+
+
+def test_many_near_copies_that_are_not_linked_finish_fast():
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(1200):  # about 0.6 alike, each in a class of its own; the last is a copy of the first, nearly
+        words = list(base)
+        for at in rng.sample(range(150), 8):
+            words[at] = f"x{rng.randrange(10**9)}"
+        rows.append(words if i < 1199 else [*rows[0], "end"])
+    pack, node = zstandard.ZstdCompressor(level=1), [i.to_bytes(4) for i in range(1200)]
+    pdf = pd.DataFrame({"node": node, "component": node, "weight": [len(w) - 4 for w in rows],
+                        "blob": [pack.compress(" ".join(w).encode()) for w in rows]})
+    began = time.process_time()
+    out = near_dedup._finish(0.8)(pdf)
+    assert time.process_time() - began < 5  # 720,000 pairs one by one take several times as long
+    assert list(zip(out["a"], out["b"])) == [(node[0], node[1199])]
+
+
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(components, "stored", lambda df, name: kept.append(name) or common.stored(df, name))
+    df = spark.createDataFrame([(i, i % 3) for i in range(3, 60)] + [(1, 4), (5, 5), (None, 3)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(df).collect()}
+    assert got == {i: i % 3 for i in range(60)} and kept == ["links"]
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 140)] + [(120, 200), (200, 200)]
